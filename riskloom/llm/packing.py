@@ -12,6 +12,7 @@ their own; an empty table gives no pieces; other columns of the input are ignore
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,14 +24,20 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import cut
 
-#: A worker forgets its words beyond this many, so its memory stays bounded.
-MEMO_WORDS = 300_000
+#: A worker forgets its words, or its stems, beyond this many, so its memory stays bounded.
+MEMO_WORDS = 600_000
+
+#: A stem of plain letters and the marks behind it: the tokenizer always cuts between the two.
+STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
+
+#: Parts words that are encoded in one call; words that hold it themselves are encoded alone.
+MARK = "\x01"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds:
-    """Token ids of whole texts, from a bounded memo of blank-separated words.
+    """Token ids of whole texts, from bounded memos of blank-separated words and of their stems.
 
     The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
     words one after another. Ids are kept as little-endian unsigned 32-bit bytes.
@@ -43,18 +50,43 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
-        self.memo: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
+        (self.mark,) = self._ids(MARK)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encode(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words without white space, from one call of the tokenizer."""
+        ids = np.asarray(self._ids(f" {MARK} ".join(words)), dtype="<u4")
+        cuts = np.flatnonzero(ids == self.mark)
+        data = ids.tobytes()
+        starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(data)]
+        return (data[s:e] for s, e in zip(starts, ends, strict=True))
+
+    def _learn(self, missing: set[str]) -> None:
+        split = {w: m.groups() for w in missing if (m := STEM.fullmatch(w))}
+        parts = {x for stem, tail in split.values() for x in (stem.lower(), tail)}
+        if len(self.stems) > self.limit:
+            self.stems = {"": b""}
+        if new := list(parts.difference(self.stems)):
+            self.stems.update(zip(new, self._encode(new), strict=True))
+        for word in missing:
+            if word in split:
+                stem, tail = split[word]
+                self.words[word] = self.stems[stem.lower()] + self.stems[tail]
+            else:
+                self.words[word] = np.asarray(self._ids(word), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        missing = list(set(words).difference(self.memo))
-        if missing:
-            if len(self.memo) + len(missing) > self.limit:
-                self.memo = {"": b""}
-                missing = [w for w in set(words) if w]
-            for word, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self.memo[word] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, words))
+        if missing := set(words).difference(self.words):
+            if len(self.words) + len(missing) > self.limit:
+                self.words = {"": b""}
+                missing = set(words) - {""}
+            self._learn(missing)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
