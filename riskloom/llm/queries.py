@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import byte_bpe, packing
+from riskloom.llm import byte_bpe, packing, sharding, simhash_trie, topk_threshold, warc_zip, weak_rules
 from riskloom.llm.common import table
 
 
@@ -17,6 +17,37 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_threshold.quantised(table(spark, sf_dir, "embeddings"))
+    return topk_threshold.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+def op5_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+    return weak_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
+
+
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_zip.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_topk_threshold": op4_topk_threshold,
+    "op5_weak_rules": op5_weak_rules,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_packing": op7_packing,
+    "op9_warc_zip": op9_warc_zip,
+    "op10_simhash_trie": op10_simhash_trie,
+}
 
 ORACLES: dict[str, str] = {}
