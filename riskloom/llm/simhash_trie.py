@@ -7,8 +7,8 @@ are dealt by (block, value); inside each such group a binary trie over the sorte
 joined with itself: pairs of nodes descend together, add up differing bits, and are dropped as soon
 as the budget is exceeded. A task gives back a spanning forest of its links, never all pairs.
 
-Groups that grow beyond ``group_rows`` are split again by the same argument on their free bits, so
-no task holds an unbounded group and no link is lost. Many groups share one task's arrays.
+Groups that grow beyond ``group_rows`` are split again by the same argument on their free bits, up
+to two times, and no link is lost. Many groups share one task's arrays.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
 texts of fewer words than a shingle are one shingle; equal rows share a class; an empty table gives
@@ -150,7 +150,7 @@ def near_links(classes: DataFrame, budget: int = 4, group_rows: int = 20_000, ta
 
     masks = block_masks(whole, blocks)
     level, ready = dealt(classes, masks), []
-    while n > group_rows and min(64 - bin(m).count("1") for m in masks) > 2 * blocks:
+    for _ in range(2 * (n > group_rows)):
         level = cut(level)
         large = cut(level.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("mask", "key"))
         if large.isEmpty():
