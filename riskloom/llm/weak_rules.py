@@ -62,7 +62,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, n_distinct."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, n_distinct, n_symbol_runs."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = F.array_remove(F.split("text", "[ \\t-\\r]+"), "")
     solid = F.translate("text", SPACES, "")
@@ -80,6 +80,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         outside("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊÍÑÓÖÚÜ").alias("n_upper"),
         outside("!?").alias("n_marks"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        F.regexp_count("solid", F.lit(f"[{SYMBOLS}]+")).cast("long").alias("n_symbol_runs"),
     )
 
 
@@ -92,10 +93,13 @@ def votes() -> dict[str, Column]:
 
     mean, symbols, repeats = share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_repeat_words", "n_words")
     lines, upper, marks, variety = share("n_dup_lines", "n_lines"), share("n_upper", "word_chars"), share("n_marks", "n_words"), share("n_distinct", "n_words")
+    density, runs = share("n_symbols", "word_chars"), share("n_symbol_runs", "n_words")
     return {
         "length": rule(F.col("n_words"), F.col("n_words") >= 50, F.col("n_words") < 10),
         "word_length": rule(mean, (mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 14)),
         "symbols": rule(symbols, symbols <= 0.05, symbols > 0.2),
+        "symbol_chars": rule(density, density <= 0.02, density > 0.05),
+        "symbol_runs": rule(runs, runs <= 0.03, runs > 0.15),
         "duplicate_lines": rule(lines, lines <= 0.1, lines > 0.3),
         "repetition": rule(repeats, repeats <= 0.02, repeats > 0.15),
         "capitals": rule(upper, upper <= 0.12, upper > 0.35),
@@ -136,7 +140,7 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 100, prior: float =
                 voted = sum(n * weight(p) for p, n in patterns.items() if p[j] != ABSTAIN)
                 agreed = sum(n * weight(p) for p, n in patterns.items() if p[j] == c)
                 # a good document seldom gets a bad vote; a bad one may well pass most rules
-                low = 0.85 if c == GOOD else 0.05
+                low = 0.9 if c == GOOD else 0.05
                 right[j, c] = min(0.999, max(low, (agreed + 9) / (voted + 10)))
     return {p: posterior(p) for p in patterns}
 
