@@ -47,3 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
 def text_of(name: str):
     """The column as a string, null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: A table of at most this many bytes may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def joined_to(large: DataFrame, side: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join a large table with a side whose size is measured first.
+
+    A side of up to BROADCAST_BYTES is broadcast, so that the large table's texts stay where they
+    lie; beyond it both sides are shuffled. ``side`` should be cut already, as it is read twice.
+    """
+    width = F.length(F.to_json(F.struct(*side.columns)))
+    size = side.agg(F.sum(width)).first()[0] or 0
+    return large.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, keys, how)

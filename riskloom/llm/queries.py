@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import byte_bpe, packing, sharding, simhash_trie, topk_threshold, warc_zip, weak_rules
+from riskloom.llm import byte_bpe, packing, sharding, simhash_trie, suffix_dedup, topk_threshold, warc_zip, weak_rules
 from riskloom.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), least=400, with_text=False)
+
+
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_zip.round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -46,6 +50,7 @@ QUERIES = {
     "op5_weak_rules": op5_weak_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc_zip": op9_warc_zip,
     "op10_simhash_trie": op10_simhash_trie,
 }
