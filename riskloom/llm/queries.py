@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import byte_bpe, packing, sharding, simhash_trie, suffix_dedup, topk_threshold, warc_zip, weak_rules
+from riskloom.llm import byte_bpe, line_crf, packing, sharding, simhash_trie, suffix_dedup, topk_threshold, warc_zip, weak_rules
 from riskloom.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.scored(docs, line_crf.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_threshold.quantised(table(spark, sf_dir, "embeddings"))
     return topk_threshold.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -46,6 +51,7 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_line_crf": op3_line_crf,
     "op4_topk_threshold": op4_topk_threshold,
     "op5_weak_rules": op5_weak_rules,
     "op6_byte_bpe": op6_byte_bpe,
