@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import byte_bpe, line_crf, packing, sharding, simhash_trie, suffix_dedup, topk_threshold, warc_zip, weak_rules
+from riskloom.llm import byte_bpe, line_crf, packing, sharding, simhash_trie, style_tree, suffix_dedup, topk_threshold, warc_zip, weak_rules
 from riskloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_style_tree": op1_style_tree,
     "op2_sharding": op2_sharding,
     "op3_line_crf": op3_line_crf,
     "op4_topk_threshold": op4_topk_threshold,
