@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut
+from riskloom.llm.common import cut, joined_to
 from riskloom.llm.components import components
 
 #: Node pairs that a task expands at once.
@@ -185,10 +185,29 @@ def near_links(classes: DataFrame, budget: int = 4, group_rows: int = 20_000, ta
     return level.repartition(parts, "mask", "key").mapInArrow(run, "a long, b long")
 
 
+def grouped(fps: DataFrame, budget: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) of rows (doc_id, fp): the least doc_id that links reach."""
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    linked = components(near_links(classes.filter("rep IS NOT NULL"), budget), "a", "b")
+    placed = classes.join(linked, classes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(placed, "fp")
+
+
 def near_duplicates(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its fingerprint (16 hex digits) and component_id, the least doc_id that links reach."""
+    found = grouped(cut(fingerprints(docs, shingle, id_col, text_col)), budget)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their groups (the least id of each), with all their columns.
+
+    Rows without an id go. Of rows that share the least id one stays.
+    """
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(near_links(classes.filter("rep IS NOT NULL"), budget), "a", "b")
-    placed = classes.join(linked, classes["rep"] == linked["node"], "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    survivors = cut(grouped(fps, budget).filter("doc_id = component_id").select(F.col("doc_id").alias("survivor_id")))
+    ids = survivors.distinct()
+    kept = joined_to(docs.withColumn("survivor_id", F.col(id_col).cast("long")), ids, ["survivor_id"], "left_semi")
+    if ids.count() < survivors.count():
+        kept = kept.dropDuplicates(["survivor_id"])
+    return kept.drop("survivor_id")

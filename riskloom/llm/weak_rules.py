@@ -61,15 +61,17 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, zero).otherwise(counted)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, n_distinct, n_symbol_runs."""
-    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns ``keep`` as kept_0, kept_1 and so on, and doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, n_distinct, n_symbol_runs."""
+    carried, names = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], [f"kept_{i}" for i in range(len(keep))]
+    text = docs.select(*carried, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = F.array_remove(F.split("text", "[ \\t-\\r]+"), "")
     solid = F.translate("text", SPACES, "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    split = text.select("doc_id", "text", words.alias("words"), solid.alias("solid"), lines.alias("lines"))
+    split = text.select(*names, "doc_id", "text", words.alias("words"), solid.alias("solid"), lines.alias("lines"))
     outside = lambda chars: (F.length("solid") - F.length(F.translate("solid", chars, ""))).cast("long")
     return split.select(
+        *names,
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length("solid").cast("long").alias("word_chars"),
@@ -145,15 +147,33 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 100, prior: float =
     return {p: posterior(p) for p in patterns}
 
 
-def judged(docs: DataFrame, threshold: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Statistics with base_failed, p_good and kept, one row per document."""
-    stats = cut(statistics(docs, id_col, text_col))
-    rules = votes()
-    voted = stats.withColumn("votes", F.array(*[v.cast("int") for v in rules.values()]))
-    counted = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** rules rows
-    post = fit({tuple(r["votes"]): r["n"] for r in counted})
+def _voted(stats: DataFrame) -> DataFrame:
+    return stats.withColumn("votes", F.array(*[v.cast("int") for v in votes().values()]))
+
+
+def posteriors(stats: DataFrame) -> dict[tuple[int, ...], float]:
+    """Posterior probability of good by vote pattern. Pattern counts, at most 3 ** rules rows, reach the driver."""
+    counted = _voted(stats).groupBy("votes").agg(F.count("*").alias("n")).collect()
+    return fit({tuple(r["votes"]): r["n"] for r in counted})
+
+
+def decided(stats: DataFrame, post: dict[tuple[int, ...], float], threshold: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+    """``stats`` with base_failed, p_good and kept."""
     entries = [x for p, v in post.items() for x in (F.lit(",".join(map(str, p))), F.lit(float(v)))]
     known = F.create_map(*entries) if entries else F.create_map().cast("map<string,double>")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    scored = voted.withColumn("p_good", F.element_at(known, F.concat_ws(",", F.col("votes").cast("array<string>"))))
-    return scored.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("p_good"), F.lit(0.0)) >= threshold)).drop("votes")
+    scored = _voted(stats).withColumn("p_good", F.coalesce(F.element_at(known, F.concat_ws(",", F.col("votes").cast("array<string>"))), F.lit(0.0)))
+    return scored.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop("votes")
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """Statistics with base_failed, p_good and kept, one row per document."""
+    stats = cut(statistics(docs, id_col, text_col))
+    return decided(stats, posteriors(stats), **limits)
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. Statistics are made twice rather than texts shuffled."""
+    post = posteriors(statistics(docs, id_col, text_col))
+    kept = decided(statistics(docs, id_col, text_col, keep=tuple(docs.columns)), post, **limits).filter("kept")
+    return kept.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
