@@ -1,10 +1,10 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Each text gets a 64-bit fingerprint: the majority of every bit over the hashes of its word
-shingles. Equal fingerprints form a class; only one row per class is joined. Two fingerprints
-within ``budget`` differing bits agree on at least one of ``budget + 1`` bit blocks, so classes
-are dealt by (block, value); inside each such group a binary trie over the sorted fingerprints is
-joined with itself: pairs of nodes descend together, add up differing bits, and are dropped as soon
+shingles. Equal fingerprints form a class; only one row per class is joined. Cut into ``budget + c``
+blocks of bits, two fingerprints within ``budget`` differing bits agree on ``c`` blocks at least, so
+classes are dealt by the values of each ``c`` blocks, with ``c`` growing with the logarithm of their
+number; inside each such group a binary trie over the sorted fingerprints is joined with itself: pairs of nodes descend together, add up differing bits, and are dropped as soon
 as the budget is exceeded. A task gives back a spanning forest of its links, never all pairs.
 
 Groups that grow beyond ``group_rows`` are split again by the same argument on their free bits, up
@@ -19,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +102,12 @@ def trie_links(fps: np.ndarray, fixed: int, budget: int) -> Iterator[tuple[np.nd
         middle = lambda lo, hi: np.clip(np.searchsorted(fps, (fps[lo] & above) | one), lo, hi)
         um, vm = middle(ul, uh), middle(vl, vh)
         same = (ul == vl) & (uh == vh)
-        parts = [(ul, um, vl, vm, err, None), (um, uh, vm, vh, err, None), (ul, um, vm, vh, err + 1, None), (um, uh, vl, vm, err + 1, ~same)]
-        for a, b, c, d, e, only in parts:
-            ok = (b > a) & (d > c) & (e <= budget)
-            ok &= (d - c > 1) | (b - a > 1) | (a != c)
-            if only is not None:
-                ok &= only
-            if ok.any():
-                stack.append((bit - 1, a[ok], b[ok], c[ok], d[ok], e[ok]))
+        below = [(ul, um, vl, vm, err, True), (um, uh, vm, vh, err, True), (ul, um, vm, vh, err + 1, True), (um, uh, vl, vm, err + 1, ~same)]
+        kept = []
+        for a, b, c, d, e, ok in below:
+            ok = ok & (b > a) & (d > c) & (e <= budget) & ((d - c > 1) | (b - a > 1) | (a != c))
+            kept.append([x[ok] for x in (a, b, c, d, e)])
+        stack.append((bit - 1, *map(np.concatenate, zip(*kept, strict=True))))
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], rank: np.ndarray) -> np.ndarray:
@@ -143,13 +142,14 @@ def near_links(classes: DataFrame, budget: int = 4, group_rows: int = 20_000, ta
     whole = (1 << 64) - 1
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     blocks = budget + 1
+    same = next((c for c in range(1, 5) if n <= 4 * 2 ** (64 * c // (budget + c))), 5)
 
     def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
         keys = F.explode(F.array(*[F.struct(F.lit(signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for m in masks])).alias("k")
         return rows.select("fp", "rep", keys).select("fp", "rep", "k.mask", "k.key")
 
-    masks = block_masks(whole, blocks)
-    level, ready = dealt(classes, masks), []
+    masks = [sum(part) for part in combinations(block_masks(whole, budget + same), same)]
+    first, level, ready = masks, dealt(classes, masks), []
     for _ in range(2 * (n > group_rows)):
         level = cut(level)
         large = cut(level.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("mask", "key"))
@@ -181,7 +181,7 @@ def near_links(classes: DataFrame, budget: int = 4, group_rows: int = 20_000, ta
             moved = np.flatnonzero(found != np.arange(len(f)))
             yield pa.RecordBatch.from_arrays([pa.array(r[moved]), pa.array(r[found[moved]])], names=["a", "b"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * blocks // task_rows))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(first) // task_rows))
     return level.repartition(parts, "mask", "key").mapInArrow(run, "a long, b long")
 
 
