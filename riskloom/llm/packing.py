@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import cut
 
 #: A worker forgets its words, or its stems, beyond this many, so its memory stays bounded.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
+
+#: Texts whose unseen words are looked up together.
+TOGETHER = 128
 
 #: A stem of plain letters and the marks behind it: the tokenizer always cuts between the two.
 STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
@@ -79,14 +82,18 @@ class WordIds:
             else:
                 self.words[word] = np.asarray(self._ids(word), dtype="<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if missing := set(words).difference(self.words):
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        if missing := set().union(*split).difference(self.words):
             if len(self.words) + len(missing) > self.limit:
                 self.words = {"": b""}
-                missing = set(words) - {""}
+                missing = set().union(*split) - {""}
             self._learn(missing)
-        return b"".join(map(self.words.__getitem__, words))
+        return (b"".join(map(self.words.__getitem__, words)) for words in split)
+
+    def __call__(self, text: str) -> bytes:
+        return next(self.many([text]))
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -98,10 +105,15 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(tokenizer)
         end = np.asarray([end_id], dtype="<u4").tobytes()
+
+        def each(texts: pa.Array) -> Iterator[bytes]:
+            for k in range(0, len(texts), TOGETHER):
+                yield from ids_of.many([t or "" for t in texts.slice(k, TOGETHER).to_pylist()])
+
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids)}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids_of(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
+                data = ids + end
                 total = len(data) // 4
                 for start in range(0, total, capacity):
                     piece = data[4 * start : 4 * (start + capacity)]
