@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut, joined_to
+from riskloom.llm.common import cut
 
 GRAM = 8
 NO_ID = -(1 << 63)
@@ -213,7 +213,7 @@ def _anchor_rows(rows: DataFrame, least: int) -> DataFrame:
 def _with_bytes(rows: DataFrame, places: DataFrame, least: int) -> DataFrame:
     """Add each place's bytes before its anchor (reversed) and from it on."""
     listed = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "place", "once")).alias("places"))
-    met = joined_to(rows, listed, ["k1", "k2"], "inner")
+    met = rows.join(listed, ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,7 +321,7 @@ def deduplicated(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text
     carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("data"), *carried)
-    met = joined_to(full, cut(runs), ["k1", "k2"], "left").drop("k1", "k2")
+    met = full.join(runs, ["k1", "k2"], "left").drop("k1", "k2")
     names = [f"kept_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
