@@ -175,5 +175,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **li
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Statistics are made twice rather than texts shuffled."""
     post = posteriors(statistics(docs, id_col, text_col))
-    kept = decided(statistics(docs, id_col, text_col, keep=tuple(docs.columns)), post, **limits).filter("kept")
+    stats = statistics(docs, id_col, text_col, keep=tuple(docs.columns)).withColumn("row", F.monotonically_increasing_id())
+    # a filter that names a row number isn't pushed below the statistics, where it would repeat them for every use
+    kept = decided(stats, post, **limits).filter(F.col("kept") & (F.col("row") >= 0))
     return kept.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
