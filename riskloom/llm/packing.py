@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,14 +157,15 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 16_384, se
     groups = max(1, -(-pieces.count() // group_pieces))
     names = pieces.columns
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "length"], kind="stable")
-        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=(group["pack_group"].to_numpy() << 32) + bins, offset=offsets)[[*names, "sequence_id", "offset"]]
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(k, "ascending") for k in ("doc_id", "start", "length")])
+        bins, offsets = first_fit_decreasing(group.column("length").to_numpy(), capacity)
+        sequence = (group.column("pack_group").to_numpy().astype("i8") << 32) + bins
+        return group.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
-    return grouped.groupBy("pack_group").applyInPandas(run, schema)
+    return grouped.groupBy("pack_group").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, **names) -> DataFrame:
