@@ -175,8 +175,8 @@ def near_links(classes: DataFrame, budget: int = 4, group_rows: int = 20_000, ta
         for m in np.unique(mask):
             own, bits = mask == m, int(m) % (1 << 64)
             f, r = bits_first(fps[own].view("u8"), bits), rep[own]
-            order = np.argsort(f)
-            f, r = f[order], r[order]
+            f, once = np.unique(f, return_index=True)  # two splits can deal a fingerprint out under one mask
+            r = r[once]
             found = forest(len(f), trie_links(f, bits.bit_count(), budget), r)
             moved = np.flatnonzero(found != np.arange(len(f)))
             yield pa.RecordBatch.from_arrays([pa.array(r[moved]), pa.array(r[found[moved]])], names=["a", "b"])
