@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,12 @@ class WordIds:
         return next(self.many([text]))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One memo per worker process, kept from task to task."""
+    return WordIds(path)
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece of at most ``capacity`` ids of each document, the end id included.
 
@@ -102,7 +109,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         end = np.asarray([end_id], dtype="<u4").tobytes()
 
         def each(texts: pa.Array) -> Iterator[bytes]:
