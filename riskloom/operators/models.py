@@ -26,6 +26,9 @@ SMALL_BOOSTING = {**BOOSTING, "n_trees": 8, "depth": 2, "learning_rate": 0.4}
 FOREST_LIKE = {**BOOSTING, "n_trees": 10, "depth": 5, "learning_rate": 0.3}
 EARLY_STOPPING = 5
 
+#: Trees that are grown before the validation metric is looked at again.
+CHUNK = 10
+
 
 def merge_params(base: dict, changes: dict | None) -> dict:
     return {**base, **(changes or {})}
@@ -112,19 +115,22 @@ class Boosting:
             self.base_ = mean
         self.trees_, self.gain_, self.splits_, self.history_ = [], dict.fromkeys(self.features, 0.0), dict.fromkeys(self.features, 0), []
         best, best_n, scorer = None, 0, get_metric(metric)
-        check = self.preparer.transform(valid).withColumn("__x", F.array(*columns)).cache() if valid is not None else None
+        check = self.preparer.transform(valid).withColumn("__x", F.array(*columns)).withColumn("__start", F.col(margin).cast("double") if margin else F.lit(0.0)).cache() if valid is not None else None
         try:
-            for k in range(p["n_trees"]):
-                self.trees_.append(self._grow(rows, p))
+            while len(self.trees_) < p["n_trees"]:
+                done = len(self.trees_)
+                for _ in range(min(CHUNK, p["n_trees"] - done)):
+                    self.trees_.append(self._grow(rows, p))
                 if check is None:
-                    best_n = k + 1
+                    best_n = len(self.trees_)
                     continue
-                scored = check.withColumn("__p", self._link(self._margin(F.col("__x"), start if not margin else F.col(margin))))
-                value = scorer.func(scored, target, "__p", (), None).first()["value"]
-                self.history_.append(value)
-                if value is not None and (best is None or scorer.delta(value, best) > 0):
-                    best, best_n = value, k + 1
-                elif k + 1 - best_n >= patience:
+                for k, value in enumerate(self._history(check, target, scorer, done), done + 1):
+                    self.history_.append(value)
+                    if value is not None and (best is None or scorer.delta(value, best) > 0):
+                        best, best_n = value, k
+                    elif k - best_n >= patience:
+                        break
+                if len(self.history_) - best_n >= patience:
                     break
         finally:
             rows.unpersist()
@@ -134,6 +140,18 @@ class Boosting:
         self.trees_ = self.trees_[: self.n_iterations_]
         return self
 
+    def _history(self, check: DataFrame, target: str, scorer, done: int) -> list[float | None]:
+        """The metric after each of the trees from ``done`` on, all in one plan."""
+        keep = [c for c in ("row_id", target) if c in check.columns]
+        m, steps = F.col("__start") + F.lit(float(self.base_)), []
+        for k, nodes in enumerate(self.trees_):
+            m = m + self._tree(nodes, F.col("__x"))
+            if k >= done:
+                steps.append(m)
+        long = check.select(*keep, F.posexplode(F.array(*map(self._link, steps))).alias("__k", "__p"))
+        found = {r["__k"]: r["value"] for r in scorer.func(long, target, "__p", ["__k"], None).collect()}
+        return [found.get(k) for k in range(len(steps))]
+
     def _link(self, m: Column) -> Column:
         return 1 / (1 + F.exp(-m)) if self.loss == "logistic" else m
 

@@ -96,10 +96,11 @@ def custom_metric(func: Callable, name: str | None = None) -> Metric:
     def build(df, label, score, by=(), key=None):
         import pandas as pd
 
-        @F.pandas_udf("double")
-        def value(y: pd.Series, p: pd.Series) -> float:
+        def aggregate(y, p):
             return float(func(y.to_numpy(), p.to_numpy()))
 
+        aggregate.__annotations__ = {"y": pd.Series, "p": pd.Series, "return": float}
+        value = F.pandas_udf(aggregate, "double")
         return df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by).agg(value(F.col(label).cast("double"), F.col(score).cast("double")).alias("value"))
 
     return Metric(name or getattr(func, "__name__", "metric"), build)
