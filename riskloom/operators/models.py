@@ -22,8 +22,8 @@ from riskloom.operators.ranking import get_metric
 from riskloom.operators.splits import DataSplit, exact_sample, make_folds
 
 BOOSTING = {"n_trees": 20, "depth": 3, "learning_rate": 0.2, "min_leaf": 20, "ridge": 1.0, "max_bins": 32}
-SMALL_BOOSTING = {**BOOSTING, "n_trees": 8, "depth": 2, "learning_rate": 0.4}
-FOREST_LIKE = {**BOOSTING, "n_trees": 10, "depth": 5, "learning_rate": 0.3}
+SMALL_BOOSTING = {**BOOSTING, "n_trees": 5, "depth": 2, "learning_rate": 0.6}
+FOREST_LIKE = {**BOOSTING, "n_trees": 5, "depth": 4, "learning_rate": 0.5}
 EARLY_STOPPING = 5
 
 #: Trees that are grown before the validation metric is looked at again.
@@ -145,7 +145,7 @@ class Boosting:
         keep = [c for c in ("row_id", target) if c in check.columns]
         m, steps = F.col("__start") + F.lit(float(self.base_)), []
         for k, nodes in enumerate(self.trees_):
-            m = m + self._tree(nodes, F.col("__x"))
+            m = m + self._tree(nodes)
             if k >= done:
                 steps.append(m)
         long = check.select(*keep, F.posexplode(F.array(*map(self._link, steps))).alias("__k", "__p"))
@@ -155,44 +155,46 @@ class Boosting:
     def _link(self, m: Column) -> Column:
         return 1 / (1 + F.exp(-m)) if self.loss == "logistic" else m
 
-    def _tree(self, nodes: list[dict], x: Column, at: int = 0) -> Column:
-        node = nodes[at]
-        if "value" in node:
-            return F.lit(float(node["value"]))
-        b = F.get(x, node["feature"])
-        left = b.isin(node["left_bins"]) if "left_bins" in node else (b <= node["cut"]) & ((b > 0) | F.lit(node["missing_left"]))
-        return F.when(left, self._tree(nodes, x, node["left"])).otherwise(self._tree(nodes, x, node["right"]))
-
-    def _margin(self, x: Column, start: Column) -> Column:
-        out = start + F.lit(float(self.base_))
-        for nodes in self.trees_:
-            out = out + self._tree(nodes, x)
-        return out
-
-    def _leaf(self, nodes: list[dict], x: Column, at: int = 0) -> Column:
+    @staticmethod
+    def _rule(node: dict) -> str:
+        """SQL that is true for rows that go left; bin 0 (missing) goes where the rule says."""
+        b = f"get(__x, {node['feature']})"
+        if "left_bins" in node:
+            return f"{b} IN ({', '.join(map(str, node['left_bins']))})"
+        return f"{b} <= {node['cut']}" + ("" if node["missing_left"] else f" AND {b} > 0")
+
+    def _sql(self, nodes: list[dict], leaf, at: int = 0) -> str:
+        """A tree as one nested SQL expression; ``leaf(place, node)`` gives what its ends say."""
         node = nodes[at]
         if "left" not in node:
-            return F.lit(at)
-        b = F.get(x, node["feature"])
-        left = b.isin(node["left_bins"]) if "left_bins" in node else (b <= node["cut"]) & ((b > 0) | F.lit(node["missing_left"]))
-        return F.when(left, self._leaf(nodes, x, node["left"])).otherwise(self._leaf(nodes, x, node["right"]))
+            return leaf(at, node)
+        return f"IF({self._rule(node)}, {self._sql(nodes, leaf, node['left'])}, {self._sql(nodes, leaf, node['right'])})"
+
+    def _tree(self, nodes: list[dict]) -> Column:
+        return F.expr(self._sql(nodes, lambda at, node: f"({float(node['value'])!r}D)"))
+
+    def _margin(self, start: Column) -> Column:
+        total = " + ".join([f"({float(self.base_)!r}D)", *(self._sql(t, lambda at, node: f"({float(node['value'])!r}D)") for t in self.trees_)])
+        return start + F.expr(total)
 
     def _grow(self, rows: DataFrame, p: dict) -> list[dict]:
-        """One tree, level by level: each level is one aggregation of (node, feature, bin)."""
-        m = self._margin(F.col("__x"), F.col("__m"))
+        """One tree, level by level: each level of splits is one aggregation of (node, feature, bin)."""
+        m = self._margin(F.col("__m"))
         if self.loss == "logistic":
             q = 1 / (1 + F.exp(-m))
             g, h = (F.col("__y") - q) * F.col("__w"), F.greatest(q * (1 - q), F.lit(1e-6)) * F.col("__w")
         else:
             g, h = (F.col("__y") - m) * F.col("__w"), F.col("__w")
         data = rows.select("__x", g.alias("g"), h.alias("h"))
-        nodes: list[dict] = [{}]
+        leaf = lambda sg, sh, n: {"value": p["learning_rate"] * sg / (sh + p["ridge"]), "n": n}
+        nodes: list[dict] = [{"value": 0.0}]
         open_nodes = [0]
         cats = {k for k, f in enumerate(self.features) if f in self.preparer.categories}
-        for level in range(p["depth"] + 1):
+        for level in range(max(1, p["depth"])):
             if not open_nodes:
                 break
-            placed = data.withColumn("node", self._leaf(nodes, F.col("__x"))).filter(F.col("node").isin(open_nodes))
+            place = F.expr(self._sql(nodes, lambda at, node: str(at)))
+            placed = data.withColumn("node", place).filter(F.col("node").isin(open_nodes))
             hist = placed.select("node", "g", "h", F.posexplode("__x").alias("f", "b")).groupBy("node", "f", "b").agg(F.sum("g"), F.sum("h"), F.count("*")).collect()
             by: dict[int, dict[int, list]] = {}
             for node, f, b, sg, sh, n in hist:
@@ -201,21 +203,19 @@ class Boosting:
             for node in open_nodes:
                 cells = by.get(node)
                 if not cells:
-                    nodes[node] = {"value": 0.0}
                     continue
                 first = cells[min(cells)]
                 sg, sh, n = (sum(c[k] for c in first) for k in (1, 2, 3))
-                value = p["learning_rate"] * sg / (sh + p["ridge"])
-                split = self._best_split(cells, sg, sh, n, cats, p) if level < p["depth"] else None
+                nodes[node] = leaf(sg, sh, n)
+                split = self._best_split(cells, sg, sh, n, cats, p) if p["depth"] else None
                 if split is None:
-                    nodes[node] = {"value": value, "n": n}
                     continue
-                gain, f, rule = split
+                gain, f, rule, (lg, lh, ln) = split
                 self.gain_[self.features[f]] += gain
                 self.splits_[self.features[f]] += 1
                 nodes[node] = {"feature": f, **rule, "left": len(nodes), "right": len(nodes) + 1, "n": n}
                 following += [len(nodes), len(nodes) + 1]
-                nodes += [{}, {}]
+                nodes += [leaf(lg, lh, ln), leaf(sg - lg, sh - lh, n - ln)]
             open_nodes = following
         return nodes
 
@@ -245,14 +245,14 @@ class Boosting:
                     continue
                 gain = score(lg, lh) + score(sg - lg, sh - lh) - score(sg, sh)
                 if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
-                    best = (gain, f, rule)
+                    best = (gain, f, rule, (lg, lh, ln))
         return best
 
     def predict(self, df: DataFrame, name: str = "prediction", margin: str | None = None) -> DataFrame:
         """``df`` with the prediction: a probability, or a value for regression."""
-        x = F.array(*[self.preparer.bin(df, f) for f in self.features])
         self.preparer._check(df)
-        return df.withColumn("__x", x).withColumn(name, self._link(self._margin(F.col("__x"), F.col(margin).cast("double") if margin else F.lit(0.0)))).drop("__x")
+        x = F.array(*[self.preparer.bin(df, f) for f in self.features])
+        return df.withColumn("__x", x).withColumn(name, self._link(self._margin(F.col(margin).cast("double") if margin else F.lit(0.0)))).drop("__x")
 
     def feature_importance(self, kind: str = "gain") -> dict[str, float]:
         return dict(sorted((self.gain_ if kind == "gain" else self.splits_).items(), key=lambda x: (-x[1], x[0])))
