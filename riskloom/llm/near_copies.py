@@ -1,0 +1,135 @@
+"""Near copies by the Jaccard similarity of word shingles.
+
+Two texts are linked if the sets of their shingles have a Jaccard similarity of ``least`` or more,
+which is worked out exactly for every pair of candidates. Candidates share one of BANDS bands of
+ROWS minima each: a pair at 0.8 shares none with a probability of 1.3e-7, a closer pair with less.
+
+Texts with one and the same set form a class. Inside a band's group the classes are first compared
+with one centre each, in rounds with different centres; only pairs that are then still in different
+components are compared one by one, so that a large group of copies costs no square of its size.
+
+Defined results: null, empty and blank texts have one class; texts of fewer words than a shingle are
+one shingle; rows need no id, and rows that share one are told apart; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskloom.llm.common import cut, joined_to
+from riskloom.llm.components import components
+from riskloom.llm.simhash_trie import shingle_hashes
+
+BANDS, ROWS = 40, 5
+#: Rounds with one centre a group before the remaining pairs are compared.
+STAR_ROUNDS = 2
+#: Shingles whose minima are taken at once.
+CHUNK = 1024
+
+_DRAW = np.random.default_rng(42)
+FACTORS = (_DRAW.integers(0, 2**63, (BANDS * ROWS, 1), dtype="u8") << np.uint64(1)) | np.uint64(1)
+SHIFTS = _DRAW.integers(0, 2**63, (BANDS * ROWS, 1), dtype="u8")
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed key for each band of a set of shingles; none for the empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
+    for k in range(0, len(hashes), CHUNK):
+        np.minimum(least, (hashes[k : k + CHUNK] * FACTORS + SHIFTS).min(axis=1), out=least)
+    digest = xxhash.xxh3_64_intdigest
+    keys = np.fromiter((digest(row.tobytes(), b) for b, row in enumerate(least.reshape(BANDS, ROWS))), "u8", BANDS)
+    return keys.view("i8").tolist()
+
+
+def keyed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, row, id, text, node, n, bands): every row with a key of its own and its class ``node``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or "", shingle)) for t in batch.column("text")]
+            nodes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), "u8", len(sets)).view("i8")
+            found = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["key", "row", "id", "text", "node", "n", "bands"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = rows.select("key", "row", "id", "text", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("bands")).schema
+    return rows.mapInArrow(run, out)
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py() or "", shingle)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), "u8"), np.frombuffer(y.as_py(), "u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both / (len(x) + len(y) - both) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    one = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def links(rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(node, component) of the classes that are linked with others."""
+    spread = rows.select(F.explode("bands").alias("band"), "node", "n")
+    shared = cut(spread.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("band"))
+    members = cut(joined_to(spread, shared, ["band"], "left_semi").distinct())
+    some = cut(members.select("node").distinct())
+    keys = joined_to(rows.select("node", "key"), some, ["node"], "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    sets = cut(_sets(joined_to(rows.select("key", "text"), cut(keys), ["key"], "inner"), shingle))
+    close = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    in_order = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    tried = found = None
+    placed = members.withColumn("component", F.col("node"))
+    for k in range(STAR_ROUNDS + 1):
+        mixed = cut(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "n", "component")).alias("c")).filter("low < high"))
+        if mixed.isEmpty():
+            break
+        if k < STAR_ROUNDS:
+            other = mixed.select("band", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.component").alias("theirs"))
+            met = placed.join(other, "band").filter("component <> theirs")
+        else:
+            left = joined_to(placed, mixed.select("band"), ["band"], "left_semi")
+            other = left.select("band", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
+            met = left.join(other, "band").filter("component < theirs")
+        pairs = met.filter(close).select(*in_order).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        near = cut(similar(pairs, sets, least))
+        found = near if found is None else found.union(near)
+        linked = cut(components(found, "a", "b"))
+        placed = cut(members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return placed.select("node", "component").distinct()
+
+
+def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near copies, with all its columns: that of the least id, if any has one."""
+    rows = cut(keyed(docs, shingle, id_col, text_col))
+    linked = links(rows, shingle, least)
+    classes = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key")).alias("best"))
+    kept = classes.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("best").alias("best")).select("best.key")
+    gone = cut(rows.select("key").join(kept, "key", "left_anti"))
+    return joined_to(rows.select("key", "row"), gone, ["key"], "left_anti").select("row.*")

@@ -34,18 +34,26 @@ from riskloom.llm.components import components
 FRONTIER = 1 << 18
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """The unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: str, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The hash of every word shingle of one text."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)], "<u8", n)
+    return np.fromiter([digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)], "<u8", n)
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    """The unsigned 64-bit SimHash of one text."""
+    hashes = shingle_hashes(text, shingle, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     votes = np.unpackbits(hashes.view("u1").reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype="i4")
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
 

@@ -263,3 +263,48 @@ def test_queries_equal_their_sql(spark, small, oracle):
 
     for name, sql in queries.ORACLES.items():
         assert_same(queries.QUERIES[name](spark, small), oracle, sql)
+
+
+def five_word_sets(texts):
+    split = [t.encode().lower().split() for t in texts]
+    return [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def jaccard_roots(texts, least=0.8):
+    sets = five_word_sets(texts)
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s or {b""}:
+            holders[x].append(i)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = collections.Counter(j for x in s or {b""} for j in holders[x] if j < i)
+        for j, n in shared.items():
+            if not s or n / (len(s) + len(sets[j]) - n) >= least:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicate_stage_equals_exact_jaccard(spark, small):
+    import random
+
+    import corpus_pipeline as c
+
+    random.seed(11)
+    docs = [" ".join(random.choice("abcdefghijklmnop") + str(random.randrange(99)) for _ in range(120)) for _ in range(12)]
+    for k in range(12):
+        for changed in (1, 2, 3, 6):
+            w = docs[k].split()
+            for i in random.sample(range(120), changed):
+                w[i] = "changed"
+            docs.append(" ".join(w))
+    docs += [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in c.near_duplicates(spark, df, small).collect()}
+    assert kept == set(jaccard_roots(docs))
