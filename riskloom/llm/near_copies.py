@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import cut, joined_to
 from riskloom.llm.components import components
-from riskloom.llm.simhash_trie import shingle_hashes
+from riskloom.llm.simhash_trie import keyed, one_of_each, shingle_hashes
 
 BANDS, ROWS = 40, 5
 #: Rounds with one centre a group before the remaining pairs are compared.
@@ -49,7 +49,7 @@ def bands(hashes: np.ndarray) -> list[int]:
     return keys.view("i8").tolist()
 
 
-def keyed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def classed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """(key, row, id, text, node, n, bands): every row with a key of its own and its class ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def keyed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFram
             found = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["key", "row", "id", "text", "node", "n", "bands"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = keyed(docs, id_col, text_col)
     out = rows.select("key", "row", "id", "text", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("bands")).schema
     return rows.mapInArrow(run, out)
 
@@ -127,9 +127,5 @@ def links(rows: DataFrame, shingle: int, least: float) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near copies, with all its columns: that of the least id, if any has one."""
-    rows = cut(keyed(docs, shingle, id_col, text_col))
-    linked = links(rows, shingle, least)
-    classes = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key")).alias("best"))
-    kept = classes.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("best").alias("best")).select("best.key")
-    gone = cut(rows.select("key").join(kept, "key", "left_anti"))
-    return joined_to(rows.select("key", "row"), gone, ["key"], "left_anti").select("row.*")
+    rows = cut(classed(docs, shingle, id_col, text_col))
+    return one_of_each(rows, links(rows, shingle, least), "node")

@@ -12,8 +12,8 @@ to two times, and no link is lost. Many groups share one task's arrays.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
 texts of fewer words than a shingle are one shingle; equal rows share a class; an empty table gives
-no rows; rows without an id keep their class's component but never name it; other columns are
-ignored.
+no rows; rows without an id link and are linked like any other but never name a component; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,12 +193,31 @@ def near_links(classes: DataFrame, budget: int = 4, group_rows: int = 20_000, ta
     return level.repartition(parts, "mask", "key").mapInArrow(run, "a long, b long")
 
 
+def placed(fps: DataFrame, budget: int = 4) -> DataFrame:
+    """(fp, component, component_id) of the classes of rows (doc_id, fp): the least fp and the least doc_id that links reach."""
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    linked = components(near_links(classes.select("fp", F.col("fp").alias("rep")), budget), "a", "b").withColumnRenamed("node", "fp")
+    named = linked.join(classes, "fp").groupBy("component").agg(F.min("rep").alias("named"))
+    own = classes.join(linked.join(named, "component"), "fp", "left")
+    return own.select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("named")).alias("component_id"))
+
+
 def grouped(fps: DataFrame, budget: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of rows (doc_id, fp): the least doc_id that links reach."""
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(near_links(classes.filter("rep IS NOT NULL"), budget), "a", "b")
-    placed = classes.join(linked, classes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(placed, "fp")
+    return fps.join(placed(fps, budget).drop("component"), "fp")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, row, id, text): every row with a key of its own, which stays once the table is cut."""
+    return docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def one_of_each(rows: DataFrame, linked: DataFrame, node: str) -> DataFrame:
+    """Of rows (key, row, id, ``node``) one for each component of ``linked`` (``node``, component): that of the least id, if any has one."""
+    classes = rows.groupBy(node).agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key")).alias("best"))
+    kept = classes.join(linked, node, "left").groupBy(F.coalesce("component", node).alias("c")).agg(F.min("best").alias("best")).select("best.key")
+    gone = cut(rows.select("key").join(kept, "key", "left_anti"))
+    return joined_to(rows.select("key", "row"), gone, ["key"], "left_anti").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,14 +227,13 @@ def near_duplicates(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col:
 
 
 def without_near_duplicates(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their groups (the least id of each), with all their columns.
+    """One row of ``docs`` for each group, with all its columns: that of the least id, if any has one."""
 
-    Rows without an id go. Of rows that share the least id one stays.
-    """
-    fps = cut(fingerprints(docs, shingle, id_col, text_col))
-    survivors = cut(grouped(fps, budget).filter("doc_id = component_id").select(F.col("doc_id").alias("survivor_id")))
-    ids = survivors.distinct()
-    kept = joined_to(docs.withColumn("survivor_id", F.col(id_col).cast("long")), ids, ["survivor_id"], "left_semi")
-    if ids.count() < survivors.count():
-        kept = kept.dropDuplicates(["survivor_id"])
-    return kept.drop("survivor_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(t.as_py() or "", shingle) for t in batch.column("text")), "u8", batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("key", "row", "id")), pa.array(found.view("i8"))], names=["key", "row", "id", "fp"])
+
+    rows = keyed(docs, id_col, text_col)
+    rows = cut(rows.mapInArrow(run, rows.select("key", "row", "id", F.lit(0).cast("long").alias("fp")).schema))
+    return one_of_each(rows, placed(rows.select(F.col("id").alias("doc_id"), "fp"), budget).select("fp", "component"), "fp")

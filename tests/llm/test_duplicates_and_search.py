@@ -308,3 +308,20 @@ def test_near_duplicate_stage_equals_exact_jaccard(spark, small):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     kept = {r["doc_id"] for r in c.near_duplicates(spark, df, small).collect()}
     assert kept == set(jaccard_roots(docs))
+
+
+def test_rows_without_or_with_a_shared_id_are_told_apart(spark, small):
+    import corpus_pipeline as c
+
+    rng = np.random.default_rng(5)
+    a, b, n, z = (" ".join(f"w{v}" for v in rng.integers(0, 10**6, 200)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b), (5, n), (5, z), (7, z), (None, "a clean text that is like no other one in this table")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for kept in (simhash_trie.without_near_duplicates(df), c.near_duplicates(spark, df, small)):
+        assert collections.Counter(tuple(r) for r in kept.collect()) == collections.Counter([rows[0], rows[1], rows[3], rows[4], rows[6]])
+
+
+def test_a_text_without_an_id_links_others(spark):
+    fps = [(3, 0), (None, 0b1111), (4, 0b11111111), (None, 1 << 40 | (1 << 20) - 1), (6, 0x5555 << 44), (None, 0x5555 << 44)]
+    got = simhash_trie.grouped(spark.createDataFrame(fps, "doc_id long, fp long")).collect()
+    assert collections.Counter((r["fp"], r["component_id"]) for r in got) == collections.Counter({(0, 3): 1, (15, 3): 1, (255, 3): 1, (fps[3][1], None): 1, (fps[4][1], 6): 2})
