@@ -50,17 +50,17 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def classed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, row, id, text, node, n, bands): every row with a key of its own and its class ``node``."""
+    """(key, row, id, node, n, bands): every row with a key of its own and its class ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py() or "", shingle)) for t in batch.column("text")]
             nodes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), "u8", len(sets)).view("i8")
             found = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["key", "row", "id", "text", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("key", "row", "id")), *found], names=["key", "row", "id", "node", "n", "bands"])
 
     rows = keyed(docs, id_col, text_col)
-    out = rows.select("key", "row", "id", "text", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("bands")).schema
+    out = rows.select("key", "row", "id", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("bands")).schema
     return rows.mapInArrow(run, out)
 
 
@@ -87,19 +87,19 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 near.append(both / (len(x) + len(y) - both) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    one = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    one = joined_to(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), pairs, ["b"], "inner")
+    two = joined_to(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), cut(pairs.select("a").distinct()), ["a"], "left_semi")
+    return one.join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links(rows: DataFrame, shingle: int, least: float) -> DataFrame:
+def links(rows: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
     """(node, component) of the classes that are linked with others."""
     spread = rows.select(F.explode("bands").alias("band"), "node", "n")
     shared = cut(spread.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("band"))
     members = cut(joined_to(spread, shared, ["band"], "left_semi").distinct())
     some = cut(members.select("node").distinct())
     keys = joined_to(rows.select("node", "key"), some, ["node"], "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    sets = cut(_sets(joined_to(rows.select("key", "text"), cut(keys), ["key"], "inner"), shingle))
+    sets = cut(_sets(joined_to(rows.select("key", F.col("row").getField(text_col).alias("text")), cut(keys), ["key"], "inner"), shingle))
     close = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
     in_order = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     tried = found = None
@@ -128,4 +128,4 @@ def links(rows: DataFrame, shingle: int, least: float) -> DataFrame:
 def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near copies, with all its columns: that of the least id, if any has one."""
     rows = cut(classed(docs, shingle, id_col, text_col))
-    return one_of_each(rows, links(rows, shingle, least), "node")
+    return one_of_each(rows, links(rows, shingle, least, text_col), "node")
