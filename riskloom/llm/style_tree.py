@@ -202,7 +202,7 @@ def style_rows(root: Node) -> list[tuple[int, int, int]]:
 
     Elements at one place count together. Inline elements belong to their block's presentation. The
     largest places, which hold half of the page's text or more, give the content to compare with
-    and are never candidates: they come with a presentation of 0.
+    come with a presentation of 0: a place that is so on half of its pages or more is no candidate.
     """
     at: dict[int, list] = {}
 
@@ -249,7 +249,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     by_kind = lambda k, v: F.sum(F.when(F.col("kind") == k, v))
     total = counted.groupBy("host", "place").agg(
         by_kind(1, F.col("n")).alias("pages"),
-        F.max(F.when(F.col("kind") == 0, (F.col("value") == 0).cast("int"))).alias("large"),
+        (2 * F.coalesce(F.sum(F.when((F.col("kind") == 0) & (F.col("value") == 0), F.col("n"))), F.lit(0)) >= by_kind(1, F.col("n"))).cast("int").alias("large"),
         by_kind(0, F.col("n") * F.log2("n")).alias("look_log"),
         by_kind(1, F.col("n") * F.log2("n")).alias("content_log"),
     )

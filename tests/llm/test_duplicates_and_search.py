@@ -325,3 +325,10 @@ def test_a_text_without_an_id_links_others(spark):
     fps = [(3, 0), (None, 0b1111), (4, 0b11111111), (None, 1 << 40 | (1 << 20) - 1), (6, 0x5555 << 44), (None, 0x5555 << 44)]
     got = simhash_trie.grouped(spark.createDataFrame(fps, "doc_id long, fp long")).collect()
     assert collections.Counter((r["fp"], r["component_id"]) for r in got) == collections.Counter({(0, 3): 1, (15, 3): 1, (255, 3): 1, (fps[3][1], None): 1, (fps[4][1], 6): 2})
+
+
+def test_stub_pages_leave_a_sites_boilerplate_removed(spark):
+    body = "<body><div class='x'><p>Read our offers today</p></div><div class='y'><p>%s</p></div></body>"
+    pages = [(i, f"http://h.com/{i}", body % (f"story{i} " * 40)) for i in range(12)] + [(i, f"http://h.com/{i}", body % "") for i in (20, 21)]
+    got = {r["page_id"]: r["text"] for r in style_tree.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: (f"story{i} " * 40).strip() for i in range(12)} | {20: "", 21: ""}
