@@ -6,7 +6,8 @@ elements) and each content (the text below) occurs. Their entropies, relative to
 pages, give a place's importance: what looks and reads alike on page after page carries little.
 Branches of low importance are removed from each page, with those that HTML itself marks as menus,
 headers, footers, asides, forms, scripts or that their class, id or role names as adverts, notices,
-sidebars, comments and the like, whose presentation importance is taken as zero beforehand.
+sidebars, comments and the like, whose presentation importance is taken as zero beforehand. A named
+branch or a form stays if it holds the page's article or, on a page without one, most of its text.
 
 Importance is measured against the most varied place of the host, so that a host of copies of one
 article, or with few pages, keeps its articles; the place that holds a page's article is never
@@ -51,6 +52,8 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"sel
 BOILERPLATE = frozenset("head nav footer aside form script style noscript template iframe button select option input textarea dialog svg canvas object audio video map menu search title datalist legend".split())
 #: Words in a class, id or role that name such parts.
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adslot|banner|bottom-?bar|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|dialog|disclaimer|disqus|footer|gdpr|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|paywall|popup|promo|promoted|promotion|reactions?|recommended|related|replies|reply|respond|search|share|sharing|side-?bar|signup|site-?header|skip|social|sponsor|sponsored|subscribe|tags?|teaser|toolbar|top-?bar|widget|contentinfo|complementary|alert|feedback|discussion)(?:$|[\s_-])", re.I)
+#: Words that tell a state or a topic of what an element holds, not what it is.
+STATE = re.compile(r"(?<!\S)(?:(?:has|no|with|without)[-_]\S*|tags?[-_](?!(?:lists?|clouds?|links?)(?!\S))\S*|\S*[-_](?:open|closed))(?!\S)", re.I)
 HEADERS = frozenset("header site-header page-header top-header global-header main-header hdr masthead page-head site-head".split())
 MAIN = frozenset({"article", "main"})
 
@@ -71,8 +74,11 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
         named = " ".join(found[k] for k in ("class", "id", "role") if found.get(k))
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     kind = ""
-    if tag not in MAIN and tag not in ("body", "html") and (tag in BOILERPLATE or hidden or (named and NAMED.search(named))):
-        kind = "out"
+    if tag not in MAIN and tag not in ("body", "html"):
+        if tag in BOILERPLATE and tag != "form" or hidden:
+            kind = "out"
+        elif tag == "form" or named and NAMED.search(STATE.sub(" ", named)):
+            kind = "named"
     if not parent.within and (tag == "header" or tag in ("div", "section", "table") and HEADERS.intersection(named.lower().split())):
         kind = "out"  # a header inside an article holds its title
     style = f"{tag}|{DIGITS.sub('0', named)}"
@@ -80,9 +86,37 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
     return Node(tag, kind, parent, place, parent.within or tag in MAIN)
 
 
+def _settle(root: Node, named: list[Node]) -> None:
+    """Branches that are out by name or as forms stay so unless they hold the page's article or, without one, most of its text."""
+    mains, stack = [], [(root, 0)]
+    while stack:
+        x, depth = stack.pop()
+        if x.kind == "out":
+            continue
+        depth += x.kind == "named"
+        if x.tag in MAIN:
+            mains.append((depth, x))
+        stack += [(c, depth) for c in x.children]
+    size = lambda x: len("".join(raw_text(x).split()))
+    mains = [(depth, x) for depth, x in mains if size(x)]
+    if mains:
+        least = min(depth for depth, _ in mains)  # an article in a comment lies deeper than the page's own
+        for depth, x in mains:
+            while depth == least and x is not None:
+                x.kind, x = "" if x.kind == "named" else x.kind, x.parent
+    else:
+        whole = size(root)
+        for x in named:
+            if x.kind == "named" and 2 * size(x) > whole:
+                x.kind = ""
+    for x in named:
+        x.kind = x.kind and "out"
+
+
 def parsed(html: str) -> Node:
     """The page's element tree, with HTML's implied ends of elements."""
     root = node = Node("", "", None, 0, False)
+    named: list[Node] = []
     at, end = 0, len(html)
 
     def text(piece: str) -> None:
@@ -123,6 +157,8 @@ def parsed(html: str) -> Node:
             if up.tag in SIBLING[tag]:
                 node = up.parent
         own = _opened(tag, m[3], node)
+        if own.kind == "named":
+            named.append(own)
         node.children.append(own)
         node.parts.append(own)
         if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
@@ -132,6 +168,8 @@ def parsed(html: str) -> Node:
             at = close.end() if close else end
             continue
         node = own
+    if named:
+        _settle(root, named)
     return root
 
 

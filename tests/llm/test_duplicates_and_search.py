@@ -332,3 +332,13 @@ def test_stub_pages_leave_a_sites_boilerplate_removed(spark):
     pages = [(i, f"http://h.com/{i}", body % (f"story{i} " * 40)) for i in range(12)] + [(i, f"http://h.com/{i}", body % "") for i in (20, 21)]
     got = {r["page_id"]: r["text"] for r in style_tree.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: (f"story{i} " * 40).strip() for i in range(12)} | {20: "", 21: ""}
+
+
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class='no-sidebar'", "div class='post tag-news'", "div class='page comments-open'", "div class='widget'", "form"])
+def test_named_wrappers_keep_what_the_page_is_about(wrapper):
+    text = "the story itself goes on and on " * 9
+    closing = f"</{wrapper.split()[0]}>"
+    extra = "<section id='comments'><article><p>me too</p></article></section><div class='tag-list'>news</div><div class='widget'>buy</div>"
+    for body in (f"<article><p>{text}</p></article>{extra}", f"<div class='c'><p>{text}</p></div>" + extra.replace("article", "div")):
+        found = style_tree.main_text(style_tree.parsed(f"<body><{wrapper}>{body}{closing}</body>"), set())
+        assert found == text.strip()
