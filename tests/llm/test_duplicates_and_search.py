@@ -132,14 +132,15 @@ def test_deep_shallow_sorts():
         assert [texts[i] for i in suffix_dedup.deep_shallow(texts)] == sorted(texts)
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [64, None])
+def test_top_k_equals_brute_force(spark, block_rows):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(400, 6)), 1)
     rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(500, None), (501, [1.0, None, 0, 0, 0, 0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [0.0] * 6), (504, []), (505, [1.0])]
     rows = [(i, v and [None if e is None else float(e) for e in v] if v != [] else []) for i, v in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = topk_threshold.quantised(df)
-    got = topk_threshold.top_k(q, q.filter("vec_id % 50 = 0"), 10, block_rows=64, query_rows=3).collect()
+    got = topk_threshold.top_k(q, q.filter("vec_id % 50 = 0"), 10, block_rows=block_rows, query_rows=3).collect()
     v = np.floor(1024 * x.astype("f4").astype("f8")).astype("i8")
     for query in range(0, 400, 50):
         s = v @ v[query]
@@ -149,11 +150,44 @@ def test_top_k_equals_brute_force(spark):
     assert topk_threshold.top_k(q.filter("false"), q.filter("false")).count() == 0
 
 
+def brute_top_k(ids, x, query_ids, queries, k):
+    out = []
+    for q, v in zip(query_ids.tolist(), queries, strict=True):
+        s = x @ v
+        out += [(q, int(ids[j]), int(s[j])) for j in [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("skew", [0.0, 0.5, 1.0])
+def test_threshold_stops_early_where_dimensions_are_skewed(skew):
+    rng = np.random.default_rng(0)
+    x = np.floor(1024 * rng.normal(size=(4000, 16)) * 2.0 ** (-skew * np.arange(16))).astype("i8")
+    x[100:140] = x[100]  # ties
+    ids, q = np.arange(4000), np.arange(0, 4000, 50)
+    block = topk_threshold.Block(ids, x)
+    found = sorted(block.top_k(q, x[q], 10))
+    assert found == brute_top_k(ids, x, q, x[q], 10)
+    if skew:
+        assert block.scored / (len(ids) * len(q)) < 0.5
+    floor = np.array([min(s for i, _, s in found if i == n) for n in q])
+    carried = topk_threshold.Block(ids, x)
+    assert sorted(carried.top_k(q, x[q], 10, floor)) == found
+    assert carried.scored <= block.scored
+
+
 def test_threshold_reads_only_the_tops_it_needs():
     x = np.zeros((4000, 2), "i8")
     x[:, 0] = np.arange(4000)
-    out = topk_threshold.block_top_k(np.arange(4000), x, np.array([-1]), np.array([[1, 0]]), 5)
-    assert [o[1] for o in out] == [3999, 3998, 3997, 3996, 3995]
+    block = topk_threshold.Block(np.arange(4000), x)
+    assert [o[1] for o in block.top_k(np.array([-1]), np.array([[1, 0]]), 5)] == [3999, 3998, 3997, 3996, 3995]
+    assert block.scored < 200
+
+
+def test_top_k_with_repeated_ids_and_few_candidates(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.5, 0.5]), (2, [3.0, -1.0]), (3, [0.0, 0.0])]
+    q = topk_threshold.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "0 AS dim", "1 AS cell", "2 AS floor"))
+    got = topk_threshold.top_k(q, q.filter("vec_id = 3"), 10, block_rows=2).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 2, 0)]
 
 
 def test_archives_round_trip(spark, small):
