@@ -11,6 +11,7 @@ their own; an empty table gives no pieces; other columns of the input are ignore
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,6 +31,11 @@ MEMO_WORDS = 1_000_000
 #: Texts whose unseen words are looked up together.
 TOGETHER = 128
 
+#: What a tokenizer file must say for texts to be encoded word by word and words by stem: white space separates, letters are
+#: lower-cased and cut from marks. Fixed values of that form of file; any other file encodes whole texts.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
 #: A stem of plain letters and the marks behind it: the tokenizer always cuts between the two.
 STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
 
@@ -43,7 +49,8 @@ class WordIds:
     """Token ids of whole texts, from bounded memos of blank-separated words and of their stems.
 
     The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-    words one after another. Ids are kept as little-endian unsigned 32-bit bytes.
+    words one after another; special tokens hold no white space and are found inside words. A file
+    that says otherwise encodes whole texts. Ids are kept as little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str, limit: int = MEMO_WORDS):
@@ -51,11 +58,15 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.limit = limit
+        spec = json.loads(self.tokenizer.to_str())
+        normal, cuts = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.by_word = normal.get("normalizers") == NORMALIZER and cuts.get("pretokenizers", [None])[0] == SPLIT and not any(re.search(r"\s", t) or STEM.fullmatch(t) for t in special)
         self.words: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
-        (self.mark,) = self._ids(MARK)
+        if self.by_word:
+            (self.mark,) = self._ids(MARK)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -84,6 +95,8 @@ class WordIds:
 
     def many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
+        if not self.by_word:
+            return (np.asarray(self._ids(t), dtype="<u4").tobytes() for t in texts)
         split = [text.replace("\n", " ").split(" ") for text in texts]
         if missing := set().union(*split).difference(self.words):
             if len(self.words) + len(missing) > self.limit:

@@ -39,7 +39,6 @@ def test_pieces_hold_every_id_once_and_sequences_fit(spark, messy, nothing):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     pieces = packing.pack(packing.tokenised_pieces(messy, WORDS, keep_ids=True, capacity=64), 64, group_pieces=50).collect()
     got = collections.defaultdict(list)
     for p in pieces:
@@ -64,6 +63,24 @@ def test_pieces_hold_every_id_once_and_sequences_fit(spark, messy, nothing):
     assert packing.pack_documents(nothing, WORDS).count() == 0
 
 
+def test_word_ids_equal_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    texts = ["hi <|endoftext|> there<|endoftext|>", "<|startoftext|>A<|endoftext|>.", "<|endoftext |>|<|ENDOFTEXT|>", "it's I'LL naïve Éa\u0301 \u00a0x\u0085y\x1cz a\u0308. \u0308 İ", "x\ty\r\nz  ..,, a.b! 12a ***", "\x01 a \x01b", ""]
+    t = Tokenizer.from_file(WORDS)
+    want = [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert np.frombuffer(want[0], "<u4").tolist() == [1883, 49407, 997, 49407]
+    ids = packing.WordIds(WORDS)
+    assert ids.by_word and list(ids.many(texts)) == want and list(map(ids, texts)) == want
+    spec = json.loads(t.to_str())
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]  # keeps capitals
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other, plain = packing.WordIds(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not other.by_word and list(other.many(texts)) == [np.asarray(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_first_fit_decreasing_equals_the_plain_rule():
     rng = np.random.default_rng(1)
     lengths = rng.integers(0, 101, 300)
