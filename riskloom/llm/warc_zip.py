@@ -3,8 +3,12 @@
 An archive is a ZIP with stored members: ``archive/data.warc.gz`` holds gzip'd WARC/1.1 records one
 after another, ``indexes/index.cdxj`` one line per record with its offset and length. The reader
 parses the end of central directory (ZIP64 forms included) and the central directory by range
-reads, finds the stored members, reads the index, and then fetches each record by its range. An
-archive without an index is scanned record by record.
+reads, finds the stored ``.warc`` and ``.warc.gz`` members, reads the indexes, and then fetches each
+record by its range. A member that no index names is scanned record by record, in bounded pieces.
+
+Which payloads are equal is found on digests alone. Where the repeated digests are few, they are
+told to the pages by a measured broadcast, and payloads stay where they lie; else pages are joined
+with them by digest, those of common payloads dealt out over several tasks.
 
 Payloads of at least ``min_bytes`` that are equal are stored once: the row with the largest page id
 is the response, the others are revisits that refer to it. Archives live in the shared folder and
@@ -14,6 +18,8 @@ by a lost executor are never read.
 Defined results: a null payload is empty; rows with equal payloads that share the largest id are
 all responses; a null id stays null and is never referred to unless all equal payloads lack one;
 a null url is the empty one; an empty table gives no archive and no rows; other columns are ignored.
+An archive without a WARC member, with a compressed one, or whose index names a member that it does
+not hold, is an error that names it.
 """
 
 from __future__ import annotations
@@ -33,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut, fresh_dir
+from riskloom.llm.common import cut, fresh_dir, small, spread_to
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Bytes that a scan reads at once.
+PIECE = 1 << 15
+
 #: An archive is closed beyond this many bytes of records.
 ARCHIVE_BYTES = 32 << 20
 
@@ -92,11 +101,12 @@ def zipped(records: list[tuple[int | None, bytes]]) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write all rows as archives under ``folder``; returns (path, records) of the finished files, cut from its lineage."""
+    """Write all rows as archives under ``folder``; returns (path, records, bytes) of the finished files, cut from its lineage."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("response_id"))
-    typed = rows.join(first, "digest").withColumn("revisit", (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id")))
+    equal = cut(rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("response_id")).filter("n > 1"))
+    met = rows.join(F.broadcast(equal), "digest", "left") if small(equal) else spread_to(rows, equal, ["digest"], "left")
+    typed = met.withColumn("revisit", F.col("n").isNotNull() & (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, held = [], 0
@@ -107,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             fs.create_dir(local.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(local) as f:
                 f.write(zipped(records))
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(records)], pa.int64())], names=["path", "records"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(records)], pa.int64()), pa.array([held], pa.int64())], names=["path", "records", "bytes"])
 
         for batch in batches:
             for page_id, url, payload, response_id, revisit in zip(*(batch.column(k) for k in ("page_id", "url", "payload", "response_id", "revisit")), strict=True):
@@ -120,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if records:
             yield close()
 
-    return cut(typed.select("page_id", "url", "payload", "response_id", "revisit").mapInArrow(run, "path string, records long"))
+    return cut(typed.select("page_id", "url", "payload", "response_id", "revisit").mapInArrow(run, "path string, records long, bytes long"))
 
 
 def members(f, size: int) -> dict[str, tuple[int, int, int]]:
@@ -168,15 +178,73 @@ def members(f, size: int) -> dict[str, tuple[int, int, int]]:
     return found
 
 
-def _scan(data: bytes) -> Iterator[tuple[int, int]]:
-    """Offset and length of each gzip member."""
+def _scan(f, start: int, length: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each gzip member of a range of ``f``, read in pieces."""
+    packer, begin, got, data = None, 0, 0, b""
+    while data or got < length:
+        if not data:
+            f.seek(start + got)
+            data = f.read(min(PIECE, length - got))
+            if not data:
+                break
+            got += len(data)
+        if packer is None:
+            packer, begin = zlib.decompressobj(wbits=31), got - len(data)
+        packer.decompress(data, 16 * PIECE)
+        if packer.eof:
+            data, packer = packer.unused_data, None
+            yield begin, got - len(data) - begin
+        else:
+            data = packer.unconsumed_tail
+    if packer is not None or got < length:
+        raise ValueError("the last record is cut off")
+
+
+def _scan_plain(f, start: int, length: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each record of a range of ``f`` that isn't compressed, from the records' own lengths."""
     at = 0
-    while at < len(data):
-        d = zlib.decompressobj(wbits=31)
-        d.decompress(data[at:])
-        n = len(data) - at - len(d.unused_data)
-        yield at, n
-        at += n
+    while at < length:
+        head = b""
+        while b"\r\n\r\n" not in head:
+            f.seek(start + at + len(head))
+            more = f.read(min(PIECE, length - at - len(head)))
+            if not more:
+                raise ValueError("the last record is cut off")
+            head += more
+        head = head.partition(b"\r\n\r\n")[0]
+        size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+        yield at, len(head) + 8 + size
+        at += len(head) + 8 + size
+
+
+def ranges(f, size: int, path: str) -> list[tuple[int, int]]:
+    """Offset and length in the archive of every record: from its indexes, and by a scan of members that they don't name."""
+    found = members(f, size)
+    kept = {k: v for k, v in found.items() if k.endswith((".warc", ".warc.gz"))}
+    if not kept:
+        raise ValueError(f"{path} holds no WARC member")
+    by_end = {k.rpartition("/")[2]: k for k in kept}
+    out, named = [], set()
+    for name, (at, n, method) in found.items():
+        if not name.endswith((".cdxj", ".cdx")):
+            continue
+        f.seek(at)
+        text = f.read(n)
+        for line in (zlib.decompress(text, -15) if method else text).decode().splitlines():
+            if "{" not in line:
+                continue
+            x = json.loads(line[line.index("{") :])
+            member = x["filename"] if x["filename"] in kept else by_end.get(x["filename"].rpartition("/")[2])
+            if member is None:
+                raise ValueError(f"the index of {path} names {x['filename']}, which it does not hold")
+            named.add(member)
+            out.append((kept[member][0] + int(x["offset"]), int(x["length"])))
+    for name, (start, length, method) in kept.items():
+        if method:
+            raise ValueError(f"{name} in {path} is not stored")
+        if name not in named:
+            out += [(start + o, n) for o, n in (_scan if name.endswith(".gz") else _scan_plain)(f, start, length)]
+    return out
 
 
 def locate(paths: DataFrame) -> DataFrame:
@@ -186,22 +254,9 @@ def locate(paths: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, local = _store(path)
-                size = fs.get_file_info(local).size
                 with fs.open_input_file(local) as f:
-                    found = members(f, size)
-                    start, length, method = found[DATA]
-                    if method:
-                        raise ValueError(f"{DATA} in {path} is not stored")
-                    if INDEX in found:
-                        at, n, method = found[INDEX]
-                        f.seek(at)
-                        text = f.read(n)
-                        lines = (text if not method else zlib.decompress(text, -15)).decode().splitlines()
-                        ranges = [(x["offset"], x["length"]) for x in map(json.loads, lines)]
-                    else:
-                        f.seek(start)
-                        ranges = list(_scan(f.read(length)))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(ranges), pa.string()), pa.array([start + o for o, _ in ranges], pa.int64()), pa.array([n for _, n in ranges], pa.int64())], names=["path", "offset", "length"])
+                    found = ranges(f, fs.get_file_info(local).size, path)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([o for o, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["path", "offset", "length"])
 
     return paths.select("path").mapInArrow(run, "path string, offset long, length long")
 
@@ -220,7 +275,8 @@ def read_records(places: DataFrame, payloads: bool = True) -> DataFrame:
                     fs, local = _store(p)
                     path, f = p, fs.open_input_file(local)
                 f.seek(offset)
-                x = parse(zlib.decompress(f.read(length), wbits=31))
+                raw = f.read(length)
+                x = parse(zlib.decompress(raw, wbits=31) if raw[:2] == b"\x1f\x8b" else raw)
                 declared = x["headers"].get("warc-payload-digest", "").removeprefix("sha1:")
                 digest = declared if x["type"] == "revisit" else base32_sha1(x["payload"])
                 if digest != declared:
@@ -238,8 +294,15 @@ def read_records(places: DataFrame, payloads: bool = True) -> DataFrame:
     return places.mapInArrow(run, schema)
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0, range_bytes: int = 4 << 20, **names) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder and read every record back by its range."""
+def round_trip(pages: DataFrame, min_bytes: int = 0, range_bytes: int = 1 << 20, task_bytes: int = 64 << 20, **names) -> DataFrame:
+    """Write ``pages`` as archives in the shared folder and read every record back by its range.
+
+    Records are read by ranges of ``range_bytes``, dealt over a fixed number of tasks: at least one
+    for each core, and more as the archives grow beyond ``task_bytes`` a task.
+    """
     written = write_archives(pages, fresh_dir(pages.sparkSession, "warc"), min_bytes=min_bytes, **names)
-    spread = locate(written.repartition("path")).repartition("path", F.floor(F.col("offset") / range_bytes)).sortWithinPartitions("path", "offset")
-    return read_records(spread, payloads=False)
+    files, size = written.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-size // task_bytes), min(cores, -(-size // range_bytes)))
+    spread = locate(written.repartition(max(1, min(files, tasks)), "path"))
+    return read_records(spread.repartition(tasks, "path", F.floor(F.col("offset") / range_bytes)).sortWithinPartitions("path", "offset"), payloads=False)

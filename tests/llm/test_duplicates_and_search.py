@@ -219,7 +219,7 @@ def test_directories_with_and_without_zip64(monkeypatch, tmp_path):
     for data in (plain, wide, plain):
         found = warc_zip.members(io.BytesIO(data), len(data))
         start, length, method = found[warc_zip.DATA]
-        assert method == 0 and [n for _, n in warc_zip._scan(data[start : start + length])] == [len(d) for _, d in records]
+        assert method == 0 and [n for _, n in warc_zip._scan(io.BytesIO(data), start, length)] == [len(d) for _, d in records]
     with pytest.raises(ValueError):
         warc_zip.members(io.BytesIO(b"nothing"), 7)
     assert warc_zip.parse(zlib.decompress(records[3][1], wbits=31))["payload"] == b"xxx"
@@ -233,6 +233,43 @@ def test_archive_without_an_index_is_scanned(spark, tmp_path):
     assert sorted((r["page_id"], bytes(r["payload"])) for r in rows) == [(k, b"p%d" % k) for k in range(5)]
 
 
+def test_members_of_any_name_and_faulty_archives():
+    texts = [b"p%d" % k * 50_000 for k in range(4)]
+    records = [warc_zip.record(k, "u", x, None, False) for k, x in enumerate(texts)]
+    plain = b"".join(zlib.decompress(r, wbits=31) for r in records[2:])
+
+    def found(*files, method=zipfile.ZIP_STORED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files:
+                z.writestr(name, data, method)
+        data = out.getvalue()
+        raw = [data[o : o + n] for o, n in warc_zip.ranges(io.BytesIO(data), len(data), "a.zip")]
+        return [warc_zip.parse(zlib.decompress(r, wbits=31) if r[:2] == b"\x1f\x8b" else r)["payload"] for r in raw]
+
+    index = f'com,a)/ 2024 {{"filename": "x.warc.gz", "offset": "{len(records[0])}", "length": "{len(records[1])}"}}'
+    assert found(("archive/x.warc.gz", b"".join(records[:2])), ("archive/y.warc", plain)) == texts
+    assert found(("archive/x.warc.gz", b"".join(records[:2])), ("archive/y.warc", plain), ("indexes/i.cdxj", index)) == [texts[1], *texts[2:]]
+    for files in ([("readme", b"x")], [("archive/y.warc", plain), ("i.cdxj", index)], [("x.warc.gz", records[0][:-9])], [("y.warc", plain[:9])]):
+        with pytest.raises(ValueError):
+            found(*files)
+    with pytest.raises(ValueError):
+        found(("x.warc.gz", b"".join(records)), method=zipfile.ZIP_DEFLATED)
+
+
+def test_common_payloads_are_dealt_out(spark, monkeypatch):
+    from riskloom.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    rows = [(i, "u", "same", 1, "x") for i in range(300)] + [(300 + i, "u", f"own {i}", 1, "x") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n long, digest string").repartition(7)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc_zip.round_trip(pages).collect()}
+    assert got == {i: ("revisit", 299) for i in range(299)} | {i: ("response", None) for i in range(299, 350)}
+    large, side = spark.range(1000).selectExpr("id", "IF(id < 700, 0, id) AS k"), spark.createDataFrame([(0, 700), (800, 1)], "k long, n long")
+    dealt = common.spread_to(large, side, ["k"], hot_rows=100)
+    assert dealt.count() == 701 and dealt.columns == ["k", "id", "n"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li>menu</li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>A &amp; b</h1><p><b>one  two<br><p>three&nbsp;four<p>five</p><form>f</form><aside>s</aside><div class="share">x</div></article>
