@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.llm import byte_bpe, line_crf, packing, sharding, simhash_trie, style_tree, suffix_dedup, topk_threshold, warc_zip, weak_rules
 from riskloom.llm.common import table
@@ -45,7 +46,8 @@ def op5_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), least=400, with_text=False)
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), least=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

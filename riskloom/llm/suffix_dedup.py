@@ -5,18 +5,23 @@ Every byte covered by a string of ``least`` bytes that starts at two or more pla
 1. Anchors. A window of ``least`` bytes is represented by the place of the least hash of 8 bytes
    in its first ``least // 2`` places. The choice depends on the window's bytes alone, so equal
    windows have equal anchors at equal distances. All windows of an anchor share the bytes just
-   behind it; their hash is the anchor's key. Its context is the bytes of all its windows.
+   behind it; their hash is the anchor's key. Its context is the bytes of all its windows. Long
+   texts are gone through in segments, so memory doesn't grow with them.
 2. Counting. Keys that occur once cannot hold a repeat. A context that occurs twice or more is a
-   repeat as a whole; this settles copies in groups of any size by a plain count.
-3. Sorting. Contexts that occur once but share their key with others are gathered by key, one of
-   each kind. The suffixes at their anchors are sorted by multikey quicksort over 8-byte digits to
-   a shallow depth; blind tries order the groups that still agree there. The bytes before the
-   anchors are sorted likewise, backwards. Going through the suffix array's common prefixes from
-   the longest down, neighbouring intervals are merged, the smaller into the larger; each suffix
-   looks up its neighbours on the left side only. That gives the windows repeated elsewhere
-   without comparing all pairs.
-4. A key with more than ``group_rows`` kinds of context is not gathered: its windows are counted
-   one by one by a 128-bit hash in an aggregation.
+   repeat as a whole, which its count says; one representative of each kind goes on, with its count.
+3. Sorting. Kinds that share their key with others are gathered by key. The suffixes at their
+   anchors are sorted by multikey quicksort over 8-byte digits to a shallow depth; blind tries order
+   the groups that still agree there. The bytes before the anchors are sorted likewise, backwards.
+   Going through the suffix array's common prefixes from the longest down, neighbouring intervals
+   are merged, the smaller into the larger; each suffix looks up its neighbours on the left side
+   only. That gives the windows repeated elsewhere without comparing all pairs.
+4. A key with more than ``group_rows`` kinds is split by depth until its parts can be sorted. Its
+   windows are dealt out by how far they begin before the anchor, in spans of PARTS, then finer:
+   those of a span share the bytes that all of them hold, so the hash of these is the part's key.
+   A span of one place is a window itself, and what shares its key is repeated.
+
+Keys and contexts with very many places are dealt out over several tasks where places are joined
+with their counts.
 
 Defined results: a null text is empty; matches never cross documents; rows with the same id and
 text are copies of each other; a null id is a value like others; an empty table gives no rows;
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut
+from riskloom.llm.common import cut, spread_to
 
 GRAM = 8
 NO_ID = -(1 << 63)
@@ -45,7 +50,19 @@ NO_ID = -(1 << 63)
 SHALLOW = 64
 
 
-def anchors(data: bytes, least: int) -> Iterator[tuple[int, int, int]]:
+#: Window starts that are looked at together, and the spans that keys with too many kinds are split by.
+SEGMENT = 1 << 22
+PARTS = (64, 16, 4, 1)
+
+
+def anchors(data: bytes, least: int, segment: int = SEGMENT) -> Iterator[tuple[int, int, int]]:
+    """The anchors of a text, segment by segment; one whose windows start in two segments comes once for each."""
+    for at in range(0, max(1, len(data) - least + 1), segment):
+        for a, lo, hi in _anchors(data[at : at + segment + least - 1] if len(data) > segment else data, least):
+            yield a + at, lo + at, hi + at
+
+
+def _anchors(data: bytes, least: int) -> Iterator[tuple[int, int, int]]:
     """(anchor, first window start, last window start) for the windows of ``least`` bytes."""
     reach = min(least // 2, 250)
     n = len(data)
@@ -182,11 +199,6 @@ def repeated_windows(contexts: list[tuple[bytes, bytes, int, int]], least: int)
     return found
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("data"))
-
-
 def _anchor_rows(rows: DataFrame, least: int) -> DataFrame:
     """(k1, k2, key, context, place) of every anchor; place packs the anchor and its largest and least distance."""
 
@@ -207,11 +219,15 @@ def _anchor_rows(rows: DataFrame, least: int) -> DataFrame:
             as_long = lambda v: pa.array(np.asarray(v, "u8").view("i8"))
             yield pa.RecordBatch.from_arrays([pa.array(k1[owner]), pa.array(k2[owner]), as_long(keys), as_long(contexts), pa.array(np.asarray(places, "i8"))], names=["k1", "k2", "key", "context", "place"])
 
-    return rows.mapInArrow(run, "k1 long, k2 long, key long, context long, place long")
+    return rows.select("k1", "k2", "data").mapInArrow(run, "k1 long, k2 long, key long, context long, place long")
 
 
 def _with_bytes(rows: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """Add each place's bytes before its anchor (reversed) and from it on."""
+    """Add each place's bytes before its anchor (reversed) and from it on.
+
+    All columns of ``rows`` go through, so that the texts are shuffled in the same way, and but once,
+    for this and for the cutting at the end.
+    """
     listed = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "place", "once")).alias("places"))
     met = rows.join(listed, ["k1", "k2"])
 
@@ -222,78 +238,106 @@ def _with_bytes(rows: DataFrame, places: DataFrame, least: int) -> DataFrame:
                 k1, k2, data = k1.as_py(), k2.as_py(), data.as_py()
                 for x in listed.as_py():
                     a, most, fewest = x["place"] >> 16, x["place"] >> 8 & 255, x["place"] & 255
-                    out.append((k1, k2, x["key"], x["place"], x["once"], data[a - most : a][::-1], data[a : a - fewest + least]))
-            types = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.binary()]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["k1", "k2", "key", "place", "once", "before", "behind"])
+                    out.append((x["key"], k1, k2, x["place"], x["once"], data[a - most : a][::-1], data[a : a - fewest + least]))
+            yield _batch(out, _CONTEXT)
+
+    return met.mapInArrow(run, CONTEXT)
+
+
+CONTEXT = "key long, k1 long, k2 long, place long, once boolean, before binary, behind binary"
+SPANS = "k1 long, k2 long, s long, e long"
+_CONTEXT = pa.schema([("key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int64()), ("once", pa.bool_()), ("before", pa.binary()), ("behind", pa.binary())])
+_SPANS = pa.schema([(k, pa.int64()) for k in ("k1", "k2", "s", "e")])
 
-    return met.select("k1", "k2", "data", "places").mapInArrow(run, "k1 long, k2 long, key long, place long, once boolean, before binary, behind binary")
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def _sorted_spans(contexts: DataFrame, least: int) -> DataFrame:
     """(k1, k2, s, e): repeated byte ranges of contexts that occur once, by the suffix array of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in ("key", "k1", "k2", "place", "once", "before", "behind")), strict=True))
+        rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in _CONTEXT.names), strict=True))
         out: list[tuple[int, int, int, int]] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            done = pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["k1", "k2", "s", "e"])
-            out.clear()
-            return done
-
         for _, own in groupby(rows, key=lambda r: r[0]):
             own = list(own)
             found = repeated_windows([(r[5], r[6], r[3] & 255, r[3] >> 8 & 255) for r in own], least)
-            for i, ranges in found.items():
+            for i, near in found.items():
                 _, k1, k2, place, once, _, _ = own[i]
                 if once:
-                    out += [(k1, k2, (place >> 16) - high, (place >> 16) - low + least) for low, high in ranges]
+                    out += [(k1, k2, (place >> 16) - high, (place >> 16) - low + least) for low, high in near]
             if len(out) >= 50_000:
-                yield flush()
-        yield flush()
+                yield _batch(out, _SPANS)
+                out.clear()
+        yield _batch(out, _SPANS)
 
-    return contexts.repartition("key").sortWithinPartitions("key").select("key", "k1", "k2", "place", "once", "before", "behind").mapInArrow(run, "k1 long, k2 long, s long, e long")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPANS)
 
 
-def _counted_spans(contexts: DataFrame, least: int) -> DataFrame:
-    """The same for keys with too many kinds of context: one row per window, counted by its hash."""
+def _split(contexts: DataFrame, least: int, width: int) -> DataFrame:
+    """The contexts' windows by spans of ``width`` distances to the anchor, keyed by the bytes that all windows of a span hold.
+
+    A span of one distance is one window; its hash of 128 bits takes the place of the bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out = []
-            for k1, k2, place, once, before, behind in zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "place", "once", "before", "behind")), strict=True):
-                data, a = before[::-1] + behind, len(before)
-                for d in range(place & 255, a + 1):
-                    h = xxhash.xxh3_128_digest(data[a - d : a - d + least])
-                    out.append((h, k1, k2, (place >> 16) - d, once))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["h", "k1", "k2", "s", "once"])
+            for _, k1, k2, place, once, before, behind in zip(*(batch.column(k).to_pylist() for k in _CONTEXT.names), strict=True):
+                a, most, fewest = place >> 16, place >> 8 & 255, place & 255
+                for span in range(fewest // width, most // width + 1):
+                    low, high = span * width, (span + 1) * width - 1
+                    own_low, own_high = max(low, fewest), min(high, most)
+                    held = before[:low] + behind[: max(0, least - high)]
+                    rest = (before[:own_high], behind[: least - own_low]) if width > 1 else (xxhash.xxh3_128_digest(held), b"")
+                    out.append((digest(held, span << 8 | width) - (1 << 63), k1, k2, a << 16 | own_high << 8 | own_low, once, *rest))
+            yield _batch(out, _CONTEXT)
+
+    return contexts.mapInArrow(run, CONTEXT)
+
+
+def _deep_spans(contexts: DataFrame, sizes: DataFrame, least: int, group_rows: int) -> DataFrame:
+    """Repeated byte ranges of contexts whose keys have more kinds than can be gathered; ``sizes`` counts each key's rows as n."""
+    result = None
+    for width in PARTS:
+        contexts = cut(_split(spread_to(contexts, sizes, ["key"]).select(*_CONTEXT.names), least, width))
+        keys = ["key"] if width > 1 else ["key", "before"]
+        counted = contexts.groupBy(*keys).agg(F.count("*").alias("n"))
+        if width == 1:
+            part = spread_to(contexts.filter("once"), cut(counted.filter("n > 1")), keys).select(*whole_range(least))
+        else:
+            sizes = cut(counted.filter(F.col("n") > group_rows))
+            part = _sorted_spans(contexts.join(sizes, "key", "left_anti"), least)
+        result = part if result is None else result.union(part)
+        if width > 1 and sizes.isEmpty():
+            break
+    return result
 
-    windows = contexts.select("k1", "k2", "place", "once", "before", "behind").mapInArrow(run, "h binary, k1 long, k2 long, s long, once boolean")
-    twice = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return windows.filter("once").join(twice, "h", "left_semi").select("k1", "k2", "s", (F.col("s") + least).alias("e"))
+
+def whole_range(least: int) -> list:
+    """k1, k2, s, e of all windows of a place."""
+    return [F.col("k1"), F.col("k2"), F.expr("(place >> 16) - (place >> 8 & 255)").alias("s"), F.expr(f"(place >> 16) - (place & 255) + {least}").alias("e")]
 
 
 def repeated_spans(rows: DataFrame, least: int, group_rows: int = 20_000) -> DataFrame:
     """(k1, k2, s, e): byte ranges of ``rows`` (k1, k2, data) that together are all bytes to remove."""
-    spans = lambda df: df.select("k1", "k2", F.expr("(place >> 16) - (place >> 8 & 255)").alias("s"), F.expr(f"(place >> 16) - (place & 255) + {least}").alias("e"))
     found = _anchor_rows(rows, least)
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).filter("n > 1").select("key", "mixed")
-    met = cut(found.join(keys, "key"))
-    whole = spans(met.filter("NOT mixed"))
+    keys = cut(found.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).filter("n > 1"))
+    met = cut(spread_to(found, keys, ["key"]).drop("n"))
+    whole = met.filter("NOT mixed").select(*whole_range(least))
     mixed = met.filter("mixed").drop("mixed")
     kinds = cut(mixed.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")))
-    copies = spans(mixed.join(kinds.filter("n > 1").select("key", "context"), ["key", "context"]))
-    sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("single")).filter("single > 0")
-    open_kinds = kinds.join(sizes.select("key", "kinds"), "key").select("key", "kinds", "one.*", (F.col("n") == 1).alias("once"))
-    open_kinds = cut(open_kinds)
-    large = open_kinds.filter(F.col("kinds") > group_rows)
-    result = whole.union(copies).union(_sorted_spans(_with_bytes(rows, open_kinds.filter(F.col("kinds") <= group_rows), least), least))
-    if not large.isEmpty():
-        result = result.union(_counted_spans(_with_bytes(rows, large, least), least))
+    copies = spread_to(mixed, kinds.filter("n > 1").select("key", "context", "n"), ["key", "context"]).select(*whole_range(least))
+    shared = kinds.groupBy("key").agg(F.count("*").alias("n"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
+    shared = cut(shared.filter("single > 0").select("key", "n"))
+    open_kinds = cut(spread_to(kinds.select("key", "one", (F.col("n") == 1).alias("once")), shared, ["key"]).select("key", "one.*", "once", "n"))
+    result = whole.union(copies).union(_sorted_spans(_with_bytes(rows, open_kinds.filter(F.col("n") <= group_rows), least), least))
+    sizes = cut(shared.filter(F.col("n") > group_rows))
+    if not sizes.isEmpty():
+        result = result.union(_deep_spans(_with_bytes(rows, open_kinds.filter(F.col("n") > group_rows), least), sizes, least, group_rows))
     return result
 
 
@@ -316,12 +360,11 @@ def deduplicated(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text
     """
     if not 2 * GRAM <= least:
         raise ValueError("strings must have at least 16 bytes")
-    rows = _identified(docs, id_col, text_col)
-    runs = repeated_spans(rows, least, group_rows).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("data"), *carried)
-    met = full.join(runs, ["k1", "k2"], "left").drop("k1", "k2")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("data"), *carried)
+    runs = repeated_spans(rows, least, group_rows).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    met = rows.join(runs, ["k1", "k2"], "left")
     names = [f"kept_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,4 +387,4 @@ def deduplicated(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text
 
     kinds = ", ".join(f"{k} {met.schema[k].dataType.simpleString()}" for k in names)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<s:long,e:long>>, kept_text string" * with_text + (f", {kinds}" if names else "")
-    return met.select("doc_id", "data", "spans", *names).mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)

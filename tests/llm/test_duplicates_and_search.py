@@ -94,7 +94,7 @@ def brute_removed(docs, least):
     return out
 
 
-@pytest.mark.parametrize("least,group_rows", [(400, 20_000), (100, 20_000), (100, 3)])
+@pytest.mark.parametrize("least,group_rows", [(400, 20_000), (100, 20_000), (100, 3), (400, 8)])
 def test_repeated_passages_equal_brute_force(spark, least, group_rows):
     import random
 
@@ -122,6 +122,24 @@ def test_passages_of_messy_tables(spark, messy, nothing):
     assert suffix_dedup.deduplicated(nothing, 400).count() == 0
 
 
+def test_long_texts_are_gone_through_in_segments():
+    data = bytes(np.random.default_rng(1).integers(97, 100, 5000, dtype="u1"))
+    whole = [(a, s) for a, lo, hi in suffix_dedup.anchors(data, 100) for s in range(lo, hi + 1)]
+    for segment in (1, 57, 1000, 4901, 4902):
+        assert [(a, s) for a, lo, hi in suffix_dedup.anchors(data, 100, segment) for s in range(lo, hi + 1)] == whole
+    assert [s for _, s in whole] == list(range(4901))
+
+
+def test_removal_of_the_tables_equals_brute_force(spark, small):
+    from riskloom.llm import queries
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    rows = queries.op8_suffix_dedup(spark, small).orderBy("doc_id").collect()
+    want = brute_removed([(r["text"] or "").encode() for r in docs], 400)
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows] == want
+    assert all(r["n_removed"] or r["text"] == (d["text"] or "") for r, d in zip(rows, docs, strict=True)) and any(r["n_removed"] for r in rows)
+
+
 def test_deep_shallow_sorts():
     import random
 
