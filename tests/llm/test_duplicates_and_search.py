@@ -416,6 +416,55 @@ def test_a_text_without_an_id_links_others(spark):
     assert collections.Counter((r["fp"], r["component_id"]) for r in got) == collections.Counter({(0, 3): 1, (15, 3): 1, (255, 3): 1, (fps[3][1], None): 1, (fps[4][1], 6): 2})
 
 
+def brute_tree(pages):
+    """host and place to pages, presentation and content entropy, counted in plain Python."""
+    import math
+
+    seen = collections.defaultdict(list)
+    for url, html in pages:
+        host = re.match("https?://([^/]*)", url)[1]
+        for place, look, content, _, _ in style_tree.style_rows(style_tree.parsed(html)):
+            seen[host, place].append((look, content))
+    out = {}
+    for key, rows in seen.items():
+        entropy = [1.0 if len(rows) < 2 else -sum(n / len(rows) * math.log(n / len(rows), len(rows)) for n in collections.Counter(r[k] for r in rows).values()) for k in (0, 1)]
+        out[key] = (len(rows), *entropy)
+    return out
+
+
+def unnamed_site(n):
+    """A site whose class names tell nothing and that has no article element: banners, a menu, a box that varies a little, and stories."""
+    rng = np.random.default_rng(3)
+    words = lambda k: " ".join(f"w{v}" for v in rng.integers(0, 10**5, k))
+    pages, stories = [], []
+    for i in range(n):
+        paragraphs = [words(int(rng.integers(20, 60))) for _ in range(int(rng.integers(2, 6)))]
+        box = ("today it rains", "today it shines")[i % 2]
+        pages.append((f"http://s.com/{i}", f"<body><div class='qa'><span>one site for all</span></div><div class='qb'><ul><li>home<li>news<li>about</ul></div><div class='qc'><p>{box}</p></div><div class='qd'><p>{'</p><p>'.join(paragraphs)}</p></div><div class='qe'>all rights kept</div></body>"))
+        stories.append("\n".join(paragraphs))
+    return pages, stories
+
+
+def test_the_style_tree_equals_a_brute_force_tree_and_decides(spark, small):
+    pages, stories = unnamed_site(40)
+    tables = [(r["url"], r["html"]) for r in spark.read.parquet(f"{small}/pages.parquet").filter("url IS NOT NULL AND html IS NOT NULL").collect()]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages + tables)], "page_id long, url string, html string")
+    want = brute_tree(pages + tables)
+    got = {(r["host"], r["place"] % (1 << 64)): (r["pages"], r["presentation"], r["content"]) for r in style_tree.style_tree(df).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    found = {r["page_id"]: r["text"] for r in style_tree.main_texts(df).collect()}
+    assert [found[i] for i in range(40)] == stories
+    alone = [style_tree.main_text(style_tree.parsed(h)) for _, h in pages]  # without the tree
+    assert all(a != s and "one site for all" in a for a, s in zip(alone, stories, strict=True))
+
+
+def test_words_that_may_name_a_topic_leave_it_to_the_tree(spark):
+    page = "<body><article><p>%s</p><div class='discussion'>%s</div><div class='related'>read this too</div></article> stray</body>"
+    rows = [(i, f"http://t.com/{i}", page % (f"story{i} " * 9, f"they discuss point {i} " * 3)) for i in range(12)]
+    found = {r["page_id"]: r["text"] for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: ("story%d " % i * 9).strip() + "\n" + (f"they discuss point {i} " * 3).strip() for i in range(12)}
+
+
 def test_stub_pages_leave_a_sites_boilerplate_removed(spark):
     body = "<body><div class='x'><p>Read our offers today</p></div><div class='y'><p>%s</p></div></body>"
     pages = [(i, f"http://h.com/{i}", body % (f"story{i} " * 40)) for i in range(12)] + [(i, f"http://h.com/{i}", body % "") for i in (20, 21)]
