@@ -14,6 +14,17 @@ Defined results: null, empty and blank texts have fingerprint zero and are linke
 texts of fewer words than a shingle are one shingle; equal rows share a class; an empty table gives
 no rows; rows without an id link and are linked like any other but never name a component; other
 columns are ignored.
+
+Budgets as wide as a Jaccard similarity of 0.8 asks for (``without_similar``) leave no block of bits
+that near texts must share. There groups are dealt by MinHash: the texts of a group share one of
+BANDS bands of ROWS minima, and a pair at 0.8 shares none with a probability of 1.3e-7. The trie
+self-join searches every group for fingerprints within WIDE bits (a pair at 0.8 differs in 9.7 of 64
+on average and in more than WIDE with a probability of 2e-4), and what it finds is compared exactly.
+Texts with one and the same set of shingles form a class. A group's classes are first compared with
+one centre each, in rounds with different centres, and only those that are then still in different
+components go into the trie, so that a large group of copies costs no square of its size; groups
+that are still large are dealt again by each further band that their texts share. Empty texts have
+one class, rows need no id, and rows that share one are told apart.
 """
 
 from __future__ import annotations
@@ -30,6 +41,18 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import cut, joined_to
 from riskloom.llm.components import components
 
+BANDS, ROWS = 40, 5
+#: Differing bits of 64 that the trie allows where exact comparison follows.
+WIDE = 20
+#: Rounds with one centre a group before the trie.
+STAR_ROUNDS = 2
+#: Shingles whose minima are taken at once.
+CHUNK = 1024
+
+_DRAW = np.random.default_rng(42)
+FACTORS = (_DRAW.integers(0, 2**63, (BANDS * ROWS, 1), dtype="u8") << np.uint64(1)) | np.uint64(1)
+SHIFTS = _DRAW.integers(0, 2**63, (BANDS * ROWS, 1), dtype="u8")
+
 #: Node pairs that a task expands at once.
 FRONTIER = 1 << 18
 
@@ -50,7 +73,11 @@ def shingle_hashes(text: str, shingle: int = 4, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     """The unsigned 64-bit SimHash of one text."""
-    hashes = shingle_hashes(text, shingle, seed)
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The majority of every bit."""
     n = len(hashes)
     if not n:
         return 0
@@ -84,10 +111,24 @@ def bits_first(fps: np.ndarray, mask: int) -> np.ndarray:
     return out
 
 
-def trie_links(fps: np.ndarray, fixed: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) within ``budget`` bits among sorted, distinct ``fps`` that agree on their first ``fixed`` bits."""
-    top = fps >> np.uint64(64 - fixed) if fixed else np.zeros(len(fps), "u8")
-    starts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+def _lower_bounds(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each range [lo, hi) of ``fps``, which is sorted, the first place whose fingerprint isn't below its value."""
+    while (seek := lo < hi).any():
+        middle = np.where(seek, (lo + hi) // 2, 0)
+        below = seek & (fps[middle] < values)
+        lo, hi = np.where(below, middle + 1, lo), np.where(seek & ~below, middle, hi)
+    return lo
+
+
+def trie_links(fps: np.ndarray, fixed: int, budget: int, starts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) within ``budget`` bits among sorted, distinct ``fps`` that agree on their first ``fixed`` bits.
+
+    With ``starts`` the array holds groups that begin there, each sorted and distinct, and pairs lie inside groups.
+    """
+    grouped = starts is not None
+    if not grouped:
+        top = fps >> np.uint64(64 - fixed) if fixed else np.zeros(len(fps), "u8")
+        starts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
     ends = np.append(starts[1:], len(fps))
     keep = ends - starts > 1
     starts, ends = starts[keep], ends[keep]
@@ -107,7 +148,8 @@ def trie_links(fps: np.ndarray, fixed: int, budget: int) -> Iterator[tuple[np.nd
         if not len(ul) or bit < 0:
             continue
         one, above = np.uint64(1 << bit), np.uint64((1 << 64) - (2 << bit))
-        middle = lambda lo, hi: np.clip(np.searchsorted(fps, (fps[lo] & above) | one), lo, hi)
+        value = lambda lo: (fps[lo] & above) | one
+        middle = lambda lo, hi: _lower_bounds(fps, lo, hi, value(lo)) if grouped else np.clip(np.searchsorted(fps, value(lo)), lo, hi)
         um, vm = middle(ul, uh), middle(vl, vh)
         same = (ul == vl) & (uh == vh)
         below = [(ul, um, vl, vm, err, True), (um, uh, vm, vh, err, True), (ul, um, vm, vh, err + 1, True), (um, uh, vl, vm, err + 1, ~same)]
@@ -237,3 +279,149 @@ def without_near_duplicates(docs: DataFrame, budget: int = 4, shingle: int = 4,
     rows = keyed(docs, id_col, text_col)
     rows = cut(rows.mapInArrow(run, rows.select("key", "row", "id", F.lit(0).cast("long").alias("fp")).schema))
     return one_of_each(rows, placed(rows.select(F.col("id").alias("doc_id"), "fp"), budget).select("fp", "component"), "fp")
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed key for each band of a set of shingles; none for the empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
+    for k in range(0, len(hashes), CHUNK):
+        np.minimum(least, (hashes[k : k + CHUNK] * FACTORS + SHIFTS).min(axis=1), out=least)
+    digest = xxhash.xxh3_64_intdigest
+    keys = np.fromiter((digest(row.tobytes(), b) for b, row in enumerate(least.reshape(BANDS, ROWS))), "u8", BANDS)
+    return keys.view("i8").tolist()
+
+
+def classed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, row, id, node, fp, n, bands): every row with a key of its own and its class ``node``, whose set of ``n`` shingles has the fingerprint ``fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = lambda values, k: pa.array(np.fromiter(values, "u8", k).view("i8"))
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or "", shingle)) for t in batch.column("text")]
+            nodes, fps = longs((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), len(sets)), longs(map(majority, sets), len(sets))
+            found = [nodes, fps, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("key", "row", "id")), *found], names=["key", "row", "id", "node", "fp", "n", "bands"])
+
+    rows = keyed(docs, id_col, text_col)
+    zero = F.lit(0).cast("long")
+    out = rows.select("key", "row", "id", zero.alias("node"), zero.alias("fp"), zero.alias("n"), F.array().cast("array<long>").alias("bands")).schema
+    return rows.mapInArrow(run, out)
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py() or "", shingle)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), "u8"), np.frombuffer(y.as_py(), "u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both / (len(x) + len(y) - both) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    one = joined_to(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), pairs, ["b"], "inner")
+    two = joined_to(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), cut(pairs.select("a").distinct()), ["a"], "left_semi")
+    return one.join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _group_pairs(groups: DataFrame, budget: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one group (rows g, node, fp, component) within ``budget`` bits and in different components, by the trie self-join of every group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        g, fp, node, component = (rows.column(k).to_numpy() for k in ("g", "fp", "node", "component"))
+        fp = fp.view("u8")
+        order = np.lexsort((fp, g))
+        g, fp, node, component = (x[order] for x in (g, fp, node, component))
+        first = np.concatenate(([True], (g[1:] != g[:-1]) | (fp[1:] != fp[:-1])))  # nodes may share a fingerprint
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, len(g)))
+        starts = np.flatnonzero(np.concatenate(([True], g[at][1:] != g[at][:-1])))
+
+        def expanded(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            """All pairs of nodes of fingerprints i and j."""
+            count = size[i] * size[j]
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            i, j = np.repeat(i, count), np.repeat(j, count)
+            x, y = at[i] + inner // size[j], at[j] + inner % size[j]
+            apart = (component[x] != component[y]) & (x != y)
+            x, y = node[x[apart]], node[y[apart]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        same = np.flatnonzero(size > 1)
+        yield expanded(same, same)
+        for i, j in trie_links(fp[at], 0, budget, starts):
+            yield expanded(i, j)
+
+    return groups.repartition("g").mapInArrow(run, "a long, b long")
+
+
+def _dealt_again(members: DataFrame, group_rows: int, levels: int = 3) -> DataFrame:
+    """``members`` (g, node, fp, component, bands) with groups of more than ``group_rows`` dealt again by each further band."""
+    ready, level = None, members
+    for _ in range(levels):
+        level = cut(level)
+        large = cut(level.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).select("g"))
+        if large.isEmpty():
+            break
+        part = joined_to(level, large, ["g"], "left_anti")
+        ready = part if ready is None else ready.union(part)
+        finer = joined_to(level, large, ["g"], "left_semi").withColumn("band", F.explode("bands")).filter("band <> g")
+        level = finer.withColumn("g", F.xxhash64("g", "band")).drop("band").distinct()
+    return level if ready is None else ready.union(level.select(*ready.columns))
+
+
+def similar_links(rows: DataFrame, shingle: int, least: float, text_col: str, budget: int = WIDE, group_rows: int = 20_000) -> DataFrame:
+    """(node, component) of the classes that are linked with others; ``rows`` as ``classed`` gives them."""
+    spread = rows.select(F.explode("bands").alias("g"), "node", "fp", "n")
+    shared = cut(spread.groupBy("g").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("g"))
+    members = cut(joined_to(spread, shared, ["g"], "left_semi").distinct())
+    some = cut(members.select("node").distinct())
+    own = joined_to(rows.select("node", "key", "bands"), some, ["node"], "left_semi").groupBy("node").agg(F.min_by("bands", "key").alias("bands"), F.min("key").alias("key"))
+    own = cut(own)
+    sets = cut(_sets(joined_to(rows.select("key", F.col("row").getField(text_col).alias("text")), own.select("key", "node"), ["key"], "inner"), shingle))
+    near = (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("their_fp"))) <= budget)
+    tried = found = None
+    placed = members.withColumn("component", F.col("node"))
+    for k in range(STAR_ROUNDS + 1):
+        mixed = cut(placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "fp", "n", "component")).alias("c")).filter("low < high"))
+        if mixed.isEmpty():
+            break
+        if k < STAR_ROUNDS:
+            other = mixed.select("g", F.col("c.node").alias("other"), F.col("c.fp").alias("their_fp"), F.col("c.n").alias("m"), F.col("c.component").alias("theirs"))
+            met = joined_to(placed, other, ["g"], "inner").filter("component <> theirs").filter(near)
+            pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        else:
+            left = joined_to(placed, mixed.select("g"), ["g"], "left_semi").drop("n")
+            pairs = _group_pairs(_dealt_again(left.join(own.select("node", "bands"), "node"), group_rows), budget)
+        pairs = pairs.distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        alike = cut(similar(pairs, sets, least))
+        found = alike if found is None else found.union(alike)
+        linked = cut(components(found, "a", "b"))
+        placed = cut(members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return placed.select("node", "component").distinct()
+
+
+def without_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """One row of ``docs`` for each group of texts linked by a Jaccard similarity of ``least`` or more, with all its columns: that of the least id, if any has one."""
+    rows = cut(classed(docs, shingle, id_col, text_col))
+    return one_of_each(rows, similar_links(rows, shingle, least, text_col, **limits), "node")
