@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.mathx import chi2_tail
 from riskloom.operators.ranking import ranking_metrics
+from riskloom.plans.relational import quantiles
 
 
 def sigmoid(x):
@@ -19,8 +20,9 @@ def sigmoid(x):
 def logit_buckets(df: DataFrame, logit: str, buckets: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``bucket``: quantile bucket of the logit, 1 the highest; equal edges fall together."""
     by = list(by)
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(logit, F.array(*[F.lit(k / buckets) for k in range(1, buckets + 1)]))).alias("__edges"), F.min(logit).alias("__least"))
-    joined = df.join(F.broadcast(edges), by) if by else df.crossJoin(F.broadcast(edges))
+    found = quantiles(df, logit, [k / buckets for k in range(buckets + 1)], by)
+    edges = found.select(*by, F.array_distinct(F.slice("quantiles", 2, buckets)).alias("__edges"), F.get("quantiles", 0).alias("__least"))
+    joined = df.join(edges, by) if by else df.crossJoin(F.broadcast(edges))
     # pandas-like quantile cut: edges start at the minimum, which belongs to the first bucket
     ends = F.filter("__edges", lambda e: e > F.col("__least"))
     code = F.size(F.filter(ends, lambda e: e < F.col(logit)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.columns import detect_categorical, normalize_missing, numeric, wilson
-from riskloom.plans.relational import no_nan, present
+from riskloom.plans.relational import no_nan, one_row, present, quantiles
 
 
 def overview(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
 def clipped(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """The column as x, clipped to its quantiles."""
     x = df.select(no_nan(F.col(column).cast("double")).alias("x")).filter("x IS NOT NULL")
-    q = x.agg(F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("q"))
+    q = quantiles(x, "x", [low, high], name="q")
     return x.crossJoin(F.broadcast(q)).select(F.least(F.greatest("x", F.get("q", 0)), F.get("q", 1)).alias("x"))
 
 
@@ -82,7 +82,8 @@ def distribution_stats(df: DataFrame, column: str, low: float = 0.01, high: floa
     x = clipped(df, column, low, high)
     n = F.count("*").cast("double")
     skew = F.when((n > 2) & (F.stddev_pop("x") > 0), F.skewness("x") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(F.lit(0.0))
-    out = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.stddev_samp("x").alias("std"), skew.alias("skew"), F.min("x").alias("least"))
+    out = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), skew.alias("skew"), F.min("x").alias("least"))
+    out = out.crossJoin(one_row(quantiles(x, "x", [0.5]).select(F.get("quantiles", 0).alias("median"))))
     return out.select("n", "mean", "median", "std", "skew", ((F.col("skew") > 2) & (F.col("least") > 0)).alias("log_scale"))
 
 
@@ -97,6 +98,6 @@ def distribution(df: DataFrame, column: str, low: float = 0.01, high: float = 0.
 def target_by_bins(df: DataFrame, column: str, target: str, bins: int = 10) -> DataFrame:
     """Target mean and size by quantile bins (right ends inclusive); missing values are bin -1."""
     x = df.select(no_nan(F.col(column).cast("double")).alias("x"), F.col(target).alias("y"))
-    edges = x.agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(k / bins) for k in range(1, bins)]))).alias("edges"))
+    edges = quantiles(x, "x", [k / bins for k in range(1, bins)]).select(F.array_distinct("quantiles").alias("edges"))
     b = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e < F.col("x"))))
-    return x.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("y").alias("target_rate"))
+    return x.crossJoin(one_row(edges)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("y").alias("target_rate"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import numeric
-from riskloom.plans.relational import long_form, running, safe_div
+from riskloom.plans.relational import long_form, quantiles, running, safe_div
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -56,7 +56,7 @@ def lift(df: DataFrame, label: str, score: str, key: str, share: float = 0.1, by
     whole = cut.filter("__take = __n").groupBy(*by).agg(F.sum("__p").alias("__full"))
     edge = cut.filter("__take > 0 AND __take < __n").select(*[F.col(b).alias(f"__e_{b}") for b in by], F.col("__s").alias("__e_s"), "__take")
     on = [rows["__s"] == edge["__e_s"], *[rows[b].eqNullSafe(edge[f"__e_{b}"]) for b in by]]
-    part = rows.join(F.broadcast(edge), on).withColumn("__r", F.row_number().over(W.partitionBy(*by, "__s").orderBy("__k"))).filter("__r <= __take").groupBy(*by).agg(F.sum("__y").alias("__partial"))
+    part = rows.join(edge, on).withColumn("__r", F.row_number().over(W.partitionBy(*by, "__s").orderBy("__k"))).filter("__r <= __take").groupBy(*by).agg(F.sum("__y").alias("__partial"))
     total = cut.groupBy(*by).agg(F.max("__c_all").alias("n"), F.max("__cp_all").alias("n_target"), F.max("__k_rows").alias("k"))
     if by:
         joined = total.join(whole, by, "left").join(part, by, "left")
@@ -156,8 +156,9 @@ def direct_auc(df: DataFrame, label: str, features: Sequence[str], fold: str | N
     rows = long_form(values, keep, features)
     if fold:
         folds = df.select(F.col(fold).alias("out")).distinct()
-        medians = rows.join(F.broadcast(folds), F.col("fold") != F.col("out")).groupBy("feature", "out").agg(F.percentile("value", 0.5).alias("m"), F.count_distinct("value").alias("d"))
-        joined = rows.join(F.broadcast(medians), (rows["feature"] == medians["feature"]) & (rows["fold"] == medians["out"])).select(rows["feature"], "fold", "y", F.coalesce("value", "m", F.lit(0.0)).alias("value"))
+        outside = rows.join(F.broadcast(folds), F.col("fold") != F.col("out"))  # one row a fold
+        medians = quantiles(outside, "value", [0.5], ["feature", "out"]).select("feature", "out", F.get("quantiles", 0).alias("m"))
+        joined = rows.join(medians, (rows["feature"] == medians["feature"]) & (rows["fold"] == medians["out"]), "left").select(rows["feature"], "fold", "y", F.coalesce("value", "m", F.lit(0.0)).alias("value"))
         scored = ranking_metrics(joined, "y", "value", ["feature", "fold"])
         best = F.greatest("auc", 1 - F.col("auc"))
         out = scored.groupBy("feature").agg(F.coalesce(F.avg(best), F.lit(0.5)).alias("direct_auc"))

@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskloom.plans.relational import seeded_order
+from riskloom.plans.relational import buckets_of, one_row, running, seeded_order
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Add ``__rank`` (from 1, in the order of the seeded hash within ``by``) and ``__n``.
 
     Ranks are made inside (group, hash prefix) and shifted by the prefixes' counts, so no group is
-    ordered in one task.
+    ordered in one task; prefixes are as many as shuffle partitions, 64 at least.
     """
-    by = list(by)
+    by, buckets = list(by), min(65536, buckets or buckets_of(df, 64))
     rows = df.withColumn("__h", seeded_order(seed, key)).withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int") % 65536 * buckets)
     rows = rows.withColumn("__b", F.floor(F.col("__b") / 65536).cast("int"))
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -90,13 +90,17 @@ def time_split(df: DataFrame, target: str, date: str, key: str, oot_from: str, o
         ranked = hash_rank(dev, key, seed, [target])
         placed = ranked.withColumn("part", F.when(F.col("__rank") <= F.bround(F.col("__n") * val_size), "val").otherwise("train")).drop("__rank", "__n")
     elif val_mode == "time":
-        # rows by day first: only the day that the cut falls on is ordered
-        days = dev.groupBy(F.col(date).alias("__d")).agg(F.count("*").alias("__c"))
-        w = W.partitionBy(F.lit(0)).orderBy("__d")
-        days = days.withColumn("__upto", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(W.partitionBy(F.lit(0))))
-        joined = dev.join(F.broadcast(days), dev[date] == days["__d"])
-        rank = F.col("__upto") - F.col("__c") + F.row_number().over(W.partitionBy("__d").orderBy(key))
-        placed = joined.withColumn("part", F.when(rank > F.col("__n") - F.bround(F.col("__n") * val_size), "val").otherwise("train")).drop("__d", "__c", "__upto", "__n")
+        # the cut's day is found on counts by day; only the rows of that day are ordered
+        days = dev.groupBy(F.to_date(date).alias("__d")).agg(F.count("*").alias("__c")).withColumn("__o", F.datediff("__d", F.lit("1970-01-01")))
+        days = running(days, [], "__o", {"__upto": F.col("__c")})
+        first = F.col("__upto_all") - F.bround(F.col("__upto_all") * val_size)  # rows up to this rank are train
+        day = days.filter((F.col("__upto") - F.col("__c") <= first) & (first < F.col("__upto"))).select(F.col("__d").alias("__cut"), (first - (F.col("__upto") - F.col("__c"))).alias("__left"))
+        joined = dev.crossJoin(one_row(day)).withColumn("__d", F.to_date(date))
+        on = F.coalesce(F.col("__d") == F.col("__cut"), F.lit(False))
+        edge = joined.filter(on).withColumn("__r", F.row_number().over(W.partitionBy("__d").orderBy(date, key)))
+        edge = edge.withColumn("part", F.when(F.col("__r") > F.col("__left"), "val").otherwise("train")).drop("__r")
+        rest = joined.filter(~on).withColumn("part", F.when(F.col("__d") > F.col("__cut"), "val").otherwise("train"))
+        placed = edge.unionByName(rest).drop("__d", "__cut", "__left")
     else:
         raise ValueError("val_mode is random or time")
     return DataSplit(placed.unionByName(test), target)

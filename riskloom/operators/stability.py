@@ -11,18 +11,19 @@ from pyspark.sql import types as T
 
 from riskloom.functions.columns import iv_strength, normalize_missing, psi_label, value_transform, woe_half_width
 from riskloom.operators.ranking import ranking_metrics
-from riskloom.plans.relational import long_form, no_nan, safe_div
+from riskloom.plans.relational import long_form, no_nan, one_row, quantiles, running, safe_div
 
 MISSING_BIN = "NaN"
 
 
-def _quantiles(bins: int) -> Column:
-    return F.array(*[F.lit(k / bins) for k in range(1, bins)])
+def _inner(bins: int) -> list[float]:
+    return [k / bins for k in range(1, bins)]
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """One row: the distinct inner edges of equal-mass bins."""
-    return df.agg(F.array_distinct(F.percentile(no_nan(F.col(column).cast("double")), _quantiles(bins))).alias("edges"))
+    found = quantiles(df, column, _inner(bins)).select(F.array_distinct("quantiles").alias("edges"))
+    return one_row(found).select(F.coalesce("edges", F.array().cast("array<double>")).alias("edges"))
 
 
 def bin_number(x: Column, edges: Column) -> Column:
@@ -78,8 +79,8 @@ def feature_psi(df: DataFrame, features: Sequence[str], is_expected: Column, bin
     parts = []
     if numbers:
         rows = long_form(marked.withColumns({f: no_nan(F.col(f).cast("double")) for f in numbers}), ["__e", "__p"], numbers)
-        edges = rows.filter("__e").groupBy("feature").agg(F.array_distinct(F.percentile("value", _quantiles(bins))).alias("edges"))
-        parts.append(rows.join(F.broadcast(edges), "feature", "left").select("__e", "__p", "feature", bin_number(F.col("value"), F.coalesce("edges", F.array().cast("array<double>"))).cast("string").alias("bin")))
+        edges = quantiles(rows.filter("__e"), "value", _inner(bins), ["feature"]).select("feature", F.array_distinct("quantiles").alias("edges"))
+        parts.append(rows.join(edges, "feature", "left").select("__e", "__p", "feature", bin_number(F.col("value"), F.coalesce("edges", F.array().cast("array<double>"))).cast("string").alias("bin")))
     if strings:
         rows = long_form(marked, ["__e", "__p"], strings, cast="string")
         parts.append(rows.select("__e", "__p", "feature", F.coalesce(normalize_missing(F.col("value")), F.lit(MISSING_BIN)).alias("bin")))
@@ -108,15 +109,16 @@ def psi_by_period(df: DataFrame, column: str, date: str, freq: str = "month", bi
         binned = lambda t: t.crossJoin(edges).withColumn("bin", bin_number(F.col("x"), F.col("edges")))
         expected = binned(base).groupBy("bin").agg(F.count("*").alias("expected"))
         actual = binned(x).groupBy("period", "bin").agg(F.count("*").alias("actual"))
-        grid = actual.select("period").distinct().crossJoin(F.broadcast(expected))
+        grid = actual.select("period").distinct().crossJoin(F.broadcast(expected))  # one row a bin
         counts = grid.join(actual, ["period", "bin"], "full").fillna(0, ["expected", "actual"])
         return _psi_terms(counts, ["period"]).groupBy("period").agg(F.sum("psi").alias("psi"))
     if mode != "adjacent":
         raise ValueError("mode is reference or adjacent")
-    edges = x.groupBy("period").agg(F.array_distinct(F.percentile("x", _quantiles(bins))).alias("edges"))
+    found = quantiles(x, "x", _inner(bins), ["period"]).select("period", F.array_distinct("quantiles").alias("edges"))
+    edges = x.select("period").distinct().join(found, "period", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<double>")))
     steps = edges.select("period", "edges", F.lead("period").over(W.partitionBy(F.lit(0)).orderBy("period")).alias("next"))
-    old = x.join(F.broadcast(steps.filter("next IS NOT NULL")), "period").select(F.col("next").alias("period"), bin_number(F.col("x"), F.col("edges")).alias("bin"), F.lit(1).alias("e"))
-    new = x.join(F.broadcast(steps.filter("next IS NOT NULL").select(F.col("next").alias("period"), "edges")), "period").select("period", bin_number(F.col("x"), F.col("edges")).alias("bin"), F.lit(0).alias("e"))
+    old = x.join(steps.filter("next IS NOT NULL"), "period").select(F.col("next").alias("period"), bin_number(F.col("x"), F.col("edges")).alias("bin"), F.lit(1).alias("e"))
+    new = x.join(steps.filter("next IS NOT NULL").select(F.col("next").alias("period"), "edges"), "period").select("period", bin_number(F.col("x"), F.col("edges")).alias("bin"), F.lit(0).alias("e"))
     counts = old.union(new).groupBy("period", "bin").agg(F.sum("e").alias("expected"), F.count_if(F.col("e") == 0).alias("actual"))
     found = _psi_terms(counts, ["period"]).groupBy("period").agg(F.sum("psi").alias("psi"))
     return edges.select("period").join(found, "period", "left")
@@ -126,25 +128,38 @@ def greedy_bounds(df: DataFrame, column: str, buckets: int = 10, by: Sequence[st
     """Upper values of greedy equal-mass buckets that never split a value: keys, uppers (array).
 
     From each bound the next is the first value that completes an equal share of what is left. The
-    histogram of distinct values is summed up by window; its cumulative counts are one array a group,
-    so a column with more than some millions of distinct values should be rounded first.
+    histogram of distinct values is summed up once, range by range, and kept; each bound of all
+    groups is then one aggregation of it. Only the bounds, ``buckets`` a group, reach the driver.
     """
     by = list(by)
+    spark = df.sparkSession
     h = df.select(*by, no_nan(F.col(column).cast("double")).alias("x")).filter("x IS NOT NULL").groupBy(*by, "x").agg(F.count("*").alias("n"))
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("x")
-    cum = h.withColumn("c", F.sum("n").over(w)).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("cum"))
-    zero, total = F.lit(0).cast("long"), F.element_at("cum", -1)["c"]
-
-    def step(bounds: Column, k: Column) -> Column:
-        last = F.element_at(bounds, -1)
-        found = F.filter("cum", lambda e: (e["c"] - last).cast("double") >= (total - last) / k.cast("double"))
-        following = F.when(k <= 1, total).otherwise(F.get(found, 0)["c"])
-        return F.when(last >= total, bounds).otherwise(F.concat(bounds, F.array(following)))
-
-    bounds = F.aggregate(F.sequence(F.lit(buckets), F.lit(1), F.lit(-1)), F.array(zero), step)
-    # inside a one-element transform the bounds are worked out once, not for every value
-    uppers = F.transform(F.array(bounds), lambda b: F.transform(F.filter("cum", lambda e: F.array_contains(b, e["c"])), lambda e: e["x"]))
-    return cum.select(*by, F.get(uppers, 0).alias("uppers"))
+    cum = running(h, by, "x", {"c": F.col("n")}).select(*by, "x", "c", F.col("c_all").alias("tot")).persist()
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema] if by else []
+    uppers: dict[tuple, list[float]] = {}
+    reached: dict[tuple, tuple[int, int]] = {}
+    try:
+        for left in range(buckets, 0, -1):
+            if uppers and all(b >= total for b, total in reached.values()):
+                break
+            if uppers:
+                now = spark.createDataFrame([(*k, b) for k, (b, total) in reached.items() if b < total], ", ".join([*kinds, "b long"]))
+                rows = cum.join(F.broadcast(now), [cum[c].eqNullSafe(now[c]) for c in by]).select(*[cum[c] for c in by], "x", "c", "tot", "b") if by else cum.crossJoin(F.broadcast(now))
+            else:
+                rows = cum.withColumn("b", F.lit(0).cast("long"))
+            enough = (F.col("c") - F.col("b")).cast("double") >= (F.col("tot") - F.col("b")) / F.lit(float(left))
+            fits = F.col("c") == F.col("tot") if left <= 1 else enough
+            for r in rows.filter(fits).groupBy(*by).agg(F.min("x").alias("x_"), F.min("c").alias("c_"), F.max("tot").alias("tot_")).collect():
+                if r["x_"] is None:
+                    continue
+                key = tuple(r[c] for c in by)
+                uppers.setdefault(key, []).append(r["x_"])
+                reached[key] = (r["c_"], r["tot_"])
+            if not uppers:
+                break
+    finally:
+        cum.unpersist()
+    return spark.createDataFrame([(*k, v) for k, v in uppers.items()], ", ".join([*kinds, "uppers array<double>"]))
 
 
 def quantile_buckets(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
@@ -152,7 +167,7 @@ def quantile_buckets(df: DataFrame, column: str, buckets: int = 10) -> DataFrame
     uppers = greedy_bounds(df, column, buckets)
     x = no_nan(F.col(column).cast("double"))
     b = F.when(x.isNull(), -1).otherwise(F.size(F.filter("uppers", lambda u: u < x)))
-    return df.crossJoin(F.broadcast(uppers)).withColumn("bucket", b).drop("uppers")
+    return df.crossJoin(one_row(uppers)).withColumn("bucket", b).drop("uppers")
 
 
 def uniform_buckets(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
@@ -163,7 +178,7 @@ def uniform_buckets(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
     raw = F.when(x.isNull(), -1).when(F.col("__hi") == F.col("__lo"), 0).otherwise(F.size(F.filter("__inner", lambda e: e <= x)))
     placed = df.crossJoin(F.broadcast(ends.withColumn("__inner", inner))).withColumn("__raw", raw).drop("__lo", "__hi", "__inner")
     used = placed.select("__raw").distinct().withColumn("bucket", F.when(F.col("__raw") < 0, -1).otherwise(F.dense_rank().over(W.partitionBy(F.col("__raw") < 0).orderBy("__raw")) - 1))
-    return placed.join(F.broadcast(used), "__raw").drop("__raw")
+    return placed.join(F.broadcast(used), "__raw").drop("__raw")  # one row a bucket
 
 
 def woe_iv_table(df: DataFrame, bucket: str, target: str, by: Sequence[str] = ()) -> DataFrame:
@@ -182,7 +197,7 @@ def iv_table(df: DataFrame, features: Sequence[str], target: str, buckets: int =
     rows = long_form(df.withColumn("__y", F.col(target).cast("int")), ["__y"], features).withColumn("value", no_nan(F.col("value")))
     uppers = greedy_bounds(rows, "value", buckets, by=["feature"])
     b = F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter("uppers", lambda u: u < F.col("value"))))
-    placed = rows.join(F.broadcast(uppers), "feature", "left").withColumn("b", b)
+    placed = rows.join(F.broadcast(uppers), "feature", "left").withColumn("b", b)  # bounds came through the driver
     out = woe_iv_table(placed, "b", "__y", by=["feature"]).groupBy("feature").agg(F.sum("iv").alias("iv"))
     return out.withColumn("strength", iv_strength(F.col("iv")))
 
@@ -206,7 +221,8 @@ def stability_table(df: DataFrame, column: str, target: str, date: str, freq: st
     placed = (uniform_buckets if uniform else quantile_buckets)(rows, "x", buckets)
     w = W.partitionBy("period")
     if continuous:
-        cells = placed.groupBy("period", "bucket").agg(F.count("*").alias("n"), F.percentile("y", 0.5).alias("median"), F.percentile("y", 0.45).alias("q45"), F.percentile("y", 0.55).alias("q55"))
+        q = quantiles(placed, "y", [0.5, 0.45, 0.55], ["period", "bucket"])
+        cells = placed.groupBy("period", "bucket").agg(F.count("*").alias("n")).join(q, ["period", "bucket"], "left").select("period", "bucket", "n", *[F.get("quantiles", k).alias(c) for k, c in enumerate(("median", "q45", "q55"))])
         c = safe_div(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
         periods = placed.groupBy("period").agg(F.count("*").alias("n"), F.when(F.count("*") > 2, c * c).alias("r2"))
     else:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.plans.relational import quantiles as exact_quantiles
+
 MILESTONES = (30, 90, 180, 365, 730, 1095)
 
 
@@ -23,11 +25,11 @@ def _curves(df: DataFrame, group: str | None, own_base: bool, client: str, days:
     frame = base.join(horizons, base_key) if base_key else base.crossJoin(F.broadcast(horizons))
     if group and not own_base:
         names = df.filter(F.col(days).isNotNull() & F.col(amount).isNotNull()).select(group).distinct()
-        frame = names.crossJoin(F.broadcast(frame))
+        frame = names.crossJoin(F.broadcast(frame))  # one row
     keys = [group] if group else []
     grid = frame.select("*", F.explode(F.expr(f"sequence(0L, h, {step}L)")).alias("day"))
     events = df.filter(F.col(days).isNotNull() & F.col(amount).isNotNull() & (F.col(days) >= 0))
-    events = events.join(F.broadcast(horizons), base_key) if base_key else events.crossJoin(F.broadcast(horizons))
+    events = events.join(horizons, base_key) if base_key else events.crossJoin(F.broadcast(horizons))
     events = events.filter(F.col(days) <= F.col("h")).withColumn("day", (F.col(days) - F.col(days) % step).cast("long"))
     daily = events.groupBy(*keys, "day").agg(F.count("*").alias("c"), F.sum(amount).alias("s"))
     first = events.groupBy(*keys, client).agg(F.min("day").alias("day")).groupBy(*keys, "day").agg(F.count(client).alias("f"))
@@ -45,6 +47,11 @@ def vintage(df: DataFrame, client: str, days: str, amount: str, balance: str, re
     return out.select(F.lit(sample).alias("sample"), *out.columns)
 
 
+def _leading(samples: DataFrame, by: str, top_k: int | None) -> DataFrame:
+    """The samples to keep: all, or the ``top_k`` largest, ties by name."""
+    return (samples if top_k is None else samples.orderBy(F.desc(by), "sample").limit(top_k)).select("sample")
+
+
 def vintage_by_type(df: DataFrame, tx_type: str, client: str, days: str, amount: str, balance: str, retro: str, types: Sequence[str] | None = None, top_k: int | None = None, min_tx: int = 0, abs_amount: bool = False, **more) -> DataFrame:
     """Curves by transaction type over one common base and horizon. ``top_k`` ranks types by absolute turnover, ties by name."""
     rows = df.withColumn("sample", F.coalesce(F.col(tx_type).cast("string"), F.lit("NA")))
@@ -54,8 +61,8 @@ def vintage_by_type(df: DataFrame, tx_type: str, client: str, days: str, amount:
     if types is not None:
         out = out.filter(F.col("sample").isin(list(types)))
     if top_k is not None or min_tx:
-        paid = rows.filter(F.col(days).isNotNull() & F.col(amount).isNotNull()).groupBy("sample").agg(F.abs(F.sum(amount)).alias("turnover"), F.count("*").alias("n_tx")).filter(F.col("n_tx") >= min_tx).orderBy(F.desc("turnover"), "sample")
-        out = out.join(F.broadcast(paid.limit(top_k or 10_000).select("sample")), "sample", "left_semi")
+        paid = rows.filter(F.col(days).isNotNull() & F.col(amount).isNotNull()).groupBy("sample").agg(F.abs(F.sum(amount)).alias("turnover"), F.count("*").alias("n_tx")).filter(F.col("n_tx") >= min_tx)
+        out = out.join(_leading(paid, "turnover", top_k), "sample", "left_semi")
     return out
 
 
@@ -67,8 +74,8 @@ def vintage_by_segment(df: DataFrame, segment: str, client: str, days: str, amou
     if segments is not None:
         out = out.filter(F.col("sample").isin(list(segments)))
     if top_k is not None or min_contracts:
-        sizes = rows.groupBy("sample").agg(F.count_distinct(client).alias("n")).filter(F.col("n") >= min_contracts).orderBy(F.desc("n"), "sample")
-        out = out.join(F.broadcast(sizes.limit(top_k or 10_000).select("sample")), "sample", "left_semi")
+        sizes = rows.groupBy("sample").agg(F.count_distinct(client).alias("n")).filter(F.col("n") >= min_contracts)
+        out = out.join(_leading(sizes, "n", top_k), "sample", "left_semi")
     return out
 
 
@@ -83,7 +90,7 @@ def transaction_profile(df: DataFrame, client: str, amount: str, days: str, tx_d
     return {
         "overview": df.agg(F.count("*").alias("n_rows"), F.count_distinct(client).alias("n_clients"), F.count(amount).alias("n_tx"), F.sum(amount).alias("turnover"), F.min(tx_date).alias("first_tx"), F.max(tx_date).alias("last_tx")),
         "nulls": df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "n_missing").withColumn("column", F.col("column")),
-        "quantiles": tx.agg(F.percentile(amount, F.array(*[F.lit(float(q)) for q in quantiles])).alias("v")).select(F.posexplode("v").alias("k", "value")).select(F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("k") + 1).alias("q"), "value"),
+        "quantiles": exact_quantiles(tx, amount, quantiles, name="v").select(F.posexplode("v").alias("k", "value")).select(F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("k") + 1).alias("q"), "value"),
         "per_client": per.agg(F.count("*").alias("n_clients"), F.avg("n_tx").alias("mean_n_tx"), F.max("n_tx").alias("max_n_tx"), F.avg("turnover").alias("mean_turnover"), F.max("turnover").alias("max_turnover")),
         "signs": tx.groupBy(F.signum(amount).cast("int").alias("sign")).agg(F.count("*").alias("n_tx"), F.sum(amount).alias("turnover")),
         "top_clients": per.orderBy(F.desc("turnover"), client).limit(top_n),

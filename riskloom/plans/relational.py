@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,15 +32,27 @@ def seeded_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column], buckets: int = 32) -> DataFrame:
+def buckets_of(df: DataFrame, least: int) -> int:
+    """Into how many ranges or hash prefixes a table is cut where one task each orders them: as many as it is shuffled into."""
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """Add for each name the sum of its column over the rows of the group up to and including this value of ``order``, and the group's whole sum as ``<name>_all``.
 
-    A group is cut into ranges of ``order`` at approximate quantiles; sums run inside a range and
-    over the few range totals, so no task sorts a whole group. Rows should be distinct in (by, order).
+    A group is cut into ranges of ``order`` at approximate quantiles, about as many as there are
+    shuffle partitions; sums run inside a range and over the few range totals, so no task sorts a
+    whole group. A value finds its range in two steps of about the root of their number. Rows should
+    be distinct in (by, order).
     """
     by = list(by)
-    edges = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / buckets for k in range(1, buckets)], 2000).alias("__edges"))
-    cut = df.crossJoin(F.broadcast(edges)).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(order)))).drop("__edges")
+    fan = math.ceil(math.sqrt(buckets or buckets_of(df, 32)))
+    cuts = [k / fan**2 for k in range(1, fan**2)]
+    edges = df.agg(F.percentile_approx(F.col(order).cast("double"), cuts, max(2000, 2 * fan**2)).alias("__edges"))
+    below = lambda part: F.size(F.filter(part, lambda e: e < F.col(order)))
+    outer = F.coalesce(F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.get("__edges", i * fan - 1)), F.array().cast("array<double>")) if fan > 1 else F.array().cast("array<double>")
+    cut = df.crossJoin(F.broadcast(edges.withColumn("__outer", outer))).withColumn("__range", below(F.col("__outer")))
+    cut = cut.withColumn("__range", F.col("__range") * fan + below(F.slice("__edges", F.col("__range") * fan + 1, F.lit(fan - 1)))).drop("__edges", "__outer") if fan > 1 else cut.drop("__edges", "__outer")
     valued = cut.withColumns({f"__v_{k}": v for k, v in sums.items()})
     totals = valued.groupBy(*by, "__range").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -53,6 +66,32 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column
     return joined.drop("__range", *[f"__k_{c}" for c in [*by, "__range"]], *[f"__b_{k}" for k in sums], *[f"__v_{k}" for k in sums])
 
 
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
+    """Keys and an array of the exact quantiles of ``column``, interpolated between neighbours, one for each share.
+
+    Taken from running counts over the histogram of distinct values: a value answers the shares whose
+    ranks fall on it, and only these answers are gathered. Groups without a value have no row.
+    """
+    by = list(by)
+    h = df.select(*by, no_nan(F.col(column).cast("double")).alias("__x")).filter("__x IS NOT NULL").groupBy(*by, "__x").agg(F.count("*").alias("__n"))
+    c = running(h, by, "__x", {"__c": F.col("__n")})
+    at = lambda q: q * (F.col("__c_all") - 1)
+    holds = lambda rank: (rank >= F.col("__c") - F.col("__n")) & (rank < F.col("__c"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("q")) for k, q in enumerate(shares)])
+    hits = F.filter(wanted, lambda w: holds(F.floor(at(w["q"]))) | holds(F.ceil(at(w["q"]))))
+    rows = c.select(*by, "__x", "__c", "__n", "__c_all", F.explode(hits).alias("__w"))
+    rank = at(F.col("__w.q"))
+    pick = lambda r: F.max(F.when(holds(r), F.col("__x")))
+    found = rows.groupBy(*by, F.col("__w.k").alias("__k")).agg(pick(F.floor(rank)).alias("__lo"), pick(F.ceil(rank)).alias("__hi"), F.max(rank - F.floor(rank)).alias("__part"))
+    value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")
+    return found.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__k", value.alias("v")))).alias("__a")).select(*by, F.transform("__a", lambda a: a["v"]).alias(name))
+
+
+def one_row(df: DataFrame) -> DataFrame:
+    """A table of one row or none, with a row of nulls instead of none, to be broadcast."""
+    return F.broadcast(df.sparkSession.range(1).select().join(df, F.lit(True), "left"))
+
+
 def long_form(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "feature", value: str = "value", cast: str = "double") -> DataFrame:
     """One row per (row, column): ``keep`` with the column's name and its value."""
     return df.select(*keep, *[F.col(c).cast(cast).alias(c) for c in columns]).unpivot(list(keep), list(columns), name, value)
