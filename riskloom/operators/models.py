@@ -3,7 +3,9 @@
 The learner is Newton boosting over histograms. Features are cut into at most ``max_bins`` bins once
 (missing values have a bin of their own) and every tree level is one aggregation of gradients by
 (node, feature, bin); only these histograms, whose size does not depend on the number of rows,
-reach the driver. Predictions are column expressions, so scoring stays in the JVM.
+reach the driver. Each row carries its margin, which is brought up to date every CHUNK trees, so the
+work a tree costs doesn't grow with the trees before it. Predictions of small models are column
+expressions; those of large ones are worked out in Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,14 +22,20 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import category_strings, category_of_number, detect_categorical, numeric
 from riskloom.operators.ranking import get_metric
 from riskloom.operators.splits import DataSplit, exact_sample, make_folds
+from riskloom.plans.relational import settled
 
-BOOSTING = {"n_trees": 20, "depth": 3, "learning_rate": 0.2, "min_leaf": 20, "ridge": 1.0, "max_bins": 32}
+# Fixed values of the usual sizes: trees, depth, rate and rounds without improvement.
+BOOSTING = {"n_trees": 5000, "depth": 4, "learning_rate": 0.03, "min_leaf": 20, "ridge": 1.0, "max_bins": 32, "max_categories": 1000}
 SMALL_BOOSTING = {**BOOSTING, "n_trees": 5, "depth": 2, "learning_rate": 0.6}
 FOREST_LIKE = {**BOOSTING, "n_trees": 5, "depth": 4, "learning_rate": 0.5}
-EARLY_STOPPING = 5
+EARLY_STOPPING = 100
 
-#: Trees that are grown before the validation metric is looked at again.
+#: Trees that are grown before margins are brought up to date and the validation metric is looked at again.
 CHUNK = 10
+#: Updates of the margins between two cuts of their lineage.
+CUT_EVERY = 10
+#: Models of more trees are scored in Arrow batches.
+EXPRESSION_TREES = 64
 
 
 def merge_params(base: dict, changes: dict | None) -> dict:
@@ -38,7 +46,9 @@ def merge_params(base: dict, changes: dict | None) -> dict:
 class FeaturePreparer:
     """Bins of each feature, learnt on training rows alone: quantile edges of numbers, sorted categories of texts.
 
-    Bin 0 is missing (and unseen categories). Absent columns raise KeyError.
+    Bin 0 is missing. The ``max_categories`` most frequent categories have a bin each; all others,
+    unseen ones too, share one more, or are missing if there were no more. Absent columns raise KeyError.
+    ``accuracy`` is that of the approximate quantiles: ranks are off by rows / accuracy at most.
     """
 
     features: list[str]
@@ -46,6 +56,9 @@ class FeaturePreparer:
     max_bins: int = 32
     edges: dict[str, list[float]] = field(default_factory=dict)
     categories: dict[str, list[str]] = field(default_factory=dict)
+    max_categories: int = 1000
+    others: list[str] = field(default_factory=list)
+    accuracy: int = 10_000
 
     def _check(self, df: DataFrame) -> None:
         if absent := [f for f in self.features if f not in df.columns]:
@@ -59,11 +72,14 @@ class FeaturePreparer:
         texts = [f for f in self.features if f in self.categorical]
         if numbers:
             cuts = F.array(*[F.lit(k / (self.max_bins - 1)) for k in range(1, self.max_bins - 1)])
-            row = df.agg(*[F.percentile_approx(numeric(df, f), cuts, 10_000).alias(f) for f in numbers]).first()
+            row = df.agg(*[F.percentile_approx(numeric(df, f), cuts, self.accuracy).alias(f) for f in numbers]).first()
             self.edges = {f: sorted(set(row[f] or [])) for f in numbers}
         for f in texts:
-            top = df.groupBy(self._text(df, f).alias("v")).agg(F.count("*").alias("n")).filter("v IS NOT NULL").orderBy(F.desc("n"), "v").limit(self.max_bins - 1)
-            self.categories[f] = sorted(r["v"] for r in top.collect())
+            top = df.groupBy(self._text(df, f).alias("v")).agg(F.count("*").alias("n")).filter("v IS NOT NULL").orderBy(F.desc("n"), "v").limit(self.max_categories + 1)
+            found = [r["v"] for r in top.collect()]
+            self.categories[f] = sorted(found[: self.max_categories])
+            if len(found) > self.max_categories:
+                self.others.append(f)
         return self
 
     @staticmethod
@@ -73,7 +89,9 @@ class FeaturePreparer:
     def bin(self, df: DataFrame, f: str) -> Column:
         if f in self.categories:
             known = F.array(*[F.lit(c) for c in self.categories[f]]).cast("array<string>")
-            return F.coalesce(F.array_position(known, self._text(df, f)).cast("int"), F.lit(0))
+            at, text = F.array_position(known, self._text(df, f)).cast("int"), self._text(df, f)
+            rest = F.when(text.isNotNull() & (at == 0), len(self.categories[f]) + 1).otherwise(at) if f in self.others else at
+            return F.coalesce(rest, F.lit(0))
         x, edges = numeric(df, f), self.edges[f]
         if not edges:
             return F.when(x.isNull(), 0).otherwise(1)
@@ -84,7 +102,7 @@ class FeaturePreparer:
         return df.withColumns({f"{prefix}{k}": self.bin(df, f) for k, f in enumerate(self.features)})
 
     def spec(self) -> dict:
-        return {"features": self.features, "categorical": self.categorical, "max_bins": self.max_bins, "edges": self.edges, "categories": self.categories}
+        return {"features": self.features, "categorical": self.categorical, "max_bins": self.max_bins, "edges": self.edges, "categories": self.categories, "max_categories": self.max_categories, "others": self.others, "accuracy": self.accuracy}
 
 
 class Boosting:
@@ -100,12 +118,10 @@ class Boosting:
     def fit(self, train: DataFrame, target: str, features: Sequence[str], categorical: Sequence[str] | None = None, valid: DataFrame | None = None, metric="roc_auc", patience: int = EARLY_STOPPING, weight: str | None = None, margin: str | None = None) -> Boosting:
         p = self.params
         self.features = list(features)
-        self.preparer = FeaturePreparer(self.features, list(categorical) if categorical is not None else None, p["max_bins"]).fit(train)
+        self.preparer = FeaturePreparer(self.features, list(categorical) if categorical is not None else None, p["max_bins"], max_categories=p["max_categories"]).fit(train)
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
-        start = F.col(margin).cast("double") if margin else F.lit(0.0)
         columns = [f"__bin_{k}" for k in range(len(self.features))]
-        rows = self.preparer.transform(train).select(F.col(target).cast("double").alias("__y"), w.alias("__w"), start.alias("__m"), F.array(*columns).alias("__x")).filter("__y IS NOT NULL").cache()
-        mean = rows.agg(F.sum(F.col("__y") * F.col("__w")) / F.sum("__w")).first()[0] or 0.0
+        mean = train.filter(F.col(target).isNotNull()).agg(F.sum(F.col(target) * w) / F.sum(w)).first()[0] or 0.0
         if margin:
             self.base_ = 0.0
         elif self.loss == "logistic":
@@ -113,25 +129,37 @@ class Boosting:
             self.base_ = math.log(q / (1 - q))
         else:
             self.base_ = mean
+        start = (F.col(margin).cast("double") if margin else F.lit(0.0)) + F.lit(float(self.base_))
+        rows = self.preparer.transform(train).select(F.col(target).cast("double").alias("__y"), w.alias("__w"), start.alias("__m"), F.array(*columns).alias("__x")).filter("__y IS NOT NULL").persist()
         self.trees_, self.gain_, self.splits_, self.history_ = [], dict.fromkeys(self.features, 0.0), dict.fromkeys(self.features, 0), []
         best, best_n, scorer = None, 0, get_metric(metric)
-        check = self.preparer.transform(valid).withColumn("__x", F.array(*columns)).withColumn("__start", F.col(margin).cast("double") if margin else F.lit(0.0)).cache() if valid is not None else None
+        check = None
+        if valid is not None:
+            kept = [c for c in ("row_id", target) if c in valid.columns]
+            check = self.preparer.transform(valid).select(*kept, F.array(*columns).alias("__x"), start.alias("__m")).persist()
+        updates = 0
         try:
             while len(self.trees_) < p["n_trees"]:
                 done = len(self.trees_)
+                grown: list[list[dict]] = []
                 for _ in range(min(CHUNK, p["n_trees"] - done)):
-                    self.trees_.append(self._grow(rows, p))
+                    grown.append(self._grow(rows, grown, p))
+                self.trees_ += grown
                 if check is None:
                     best_n = len(self.trees_)
-                    continue
-                for k, value in enumerate(self._history(check, target, scorer, done), done + 1):
-                    self.history_.append(value)
-                    if value is not None and (best is None or scorer.delta(value, best) > 0):
-                        best, best_n = value, k
-                    elif k - best_n >= patience:
+                else:
+                    for k, value in enumerate(self._history(check, target, scorer, grown), done + 1):
+                        self.history_.append(value)
+                        if value is not None and (best is None or scorer.delta(value, best) > 0):
+                            best, best_n = value, k
+                        elif k - best_n >= patience:
+                            break
+                    if len(self.history_) - best_n >= patience:
                         break
-                if len(self.history_) - best_n >= patience:
-                    break
+                if len(self.trees_) < p["n_trees"]:
+                    updates += 1
+                    rows = self._updated(rows, grown, updates)
+                    check = check if check is None else self._updated(check, grown, updates)
         finally:
             rows.unpersist()
             if check is not None:
@@ -140,14 +168,22 @@ class Boosting:
         self.trees_ = self.trees_[: self.n_iterations_]
         return self
 
-    def _history(self, check: DataFrame, target: str, scorer, done: int) -> list[float | None]:
-        """The metric after each of the trees from ``done`` on, all in one plan."""
+    def _updated(self, rows: DataFrame, grown: list[list[dict]], updates: int) -> DataFrame:
+        """``rows`` with their margins after the trees just grown, kept; the lineage is cut now and then."""
+        following = rows.withColumn("__m", self._sum(F.col("__m"), grown))
+        following = settled(following) if updates % CUT_EVERY == 0 else following.persist()
+        if updates % CUT_EVERY:
+            following.count()
+        rows.unpersist()
+        return following
+
+    def _history(self, check: DataFrame, target: str, scorer, grown: list[list[dict]]) -> list[float | None]:
+        """The metric after each of the trees just grown, all in one plan."""
         keep = [c for c in ("row_id", target) if c in check.columns]
-        m, steps = F.col("__start") + F.lit(float(self.base_)), []
-        for k, nodes in enumerate(self.trees_):
+        m, steps = F.col("__m"), []
+        for nodes in grown:
             m = m + self._tree(nodes)
-            if k >= done:
-                steps.append(m)
+            steps.append(m)
         long = check.select(*keep, F.posexplode(F.array(*map(self._link, steps))).alias("__k", "__p"))
         found = {r["__k"]: r["value"] for r in scorer.func(long, target, "__p", ["__k"], None).collect()}
         return [found.get(k) for k in range(len(steps))]
@@ -173,13 +209,21 @@ class Boosting:
     def _tree(self, nodes: list[dict]) -> Column:
         return F.expr(self._sql(nodes, lambda at, node: f"({float(node['value'])!r}D)"))
 
-    def _margin(self, start: Column) -> Column:
-        total = " + ".join([f"({float(self.base_)!r}D)", *(self._sql(t, lambda at, node: f"({float(node['value'])!r}D)") for t in self.trees_)])
-        return start + F.expr(total)
+    def _sum(self, start: Column, trees: list[list[dict]]) -> Column:
+        """``start`` with the trees' values added, two by two so that the expression stays shallow."""
+        parts = [self._sql(t, lambda at, node: f"({float(node['value'])!r}D)") for t in trees]
+        while len(parts) > 1:
+            parts = [" + ".join(parts[k : k + 2]) if k + 1 == len(parts) else f"({parts[k]} + {parts[k + 1]})" for k in range(0, len(parts), 2)]
+        return start + F.expr(parts[0]) if parts else start
+
+    def _margin(self, start: Column, x: str) -> Column:
+        if len(self.trees_) <= EXPRESSION_TREES:
+            return self._sum(start + F.lit(float(self.base_)), self.trees_)
+        return start + F.lit(float(self.base_)) + _batch_scorer(self.trees_)(F.col(x))
 
-    def _grow(self, rows: DataFrame, p: dict) -> list[dict]:
+    def _grow(self, rows: DataFrame, grown: list[list[dict]], p: dict) -> list[dict]:
         """One tree, level by level: each level of splits is one aggregation of (node, feature, bin)."""
-        m = self._margin(F.col("__m"))
+        m = self._sum(F.col("__m"), grown)
         if self.loss == "logistic":
             q = 1 / (1 + F.exp(-m))
             g, h = (F.col("__y") - q) * F.col("__w"), F.greatest(q * (1 - q), F.lit(1e-6)) * F.col("__w")
@@ -252,7 +296,7 @@ class Boosting:
         """``df`` with the prediction: a probability, or a value for regression."""
         self.preparer._check(df)
         x = F.array(*[self.preparer.bin(df, f) for f in self.features])
-        return df.withColumn("__x", x).withColumn(name, self._link(self._margin(F.col(margin).cast("double") if margin else F.lit(0.0)))).drop("__x")
+        return df.withColumn("__x", x).withColumn(name, self._link(self._margin(F.col(margin).cast("double") if margin else F.lit(0.0), "__x"))).drop("__x")
 
     def feature_importance(self, kind: str = "gain") -> dict[str, float]:
         return dict(sorted((self.gain_ if kind == "gain" else self.splits_).items(), key=lambda x: (-x[1], x[0])))
@@ -269,6 +313,39 @@ class Boosting:
         return out
 
 
+def _batch_scorer(trees: list[list[dict]]):
+    """A function of the array of bins that adds up the values of many trees in Arrow batches."""
+    import numpy as np
+    import pandas as pd
+
+    width = 2 + max((n.get("cut", 0) if "cut" in n else max(n.get("left_bins", [0]), default=0)) for t in trees for n in t)
+    tables = []
+    for nodes in trees:
+        goes_left = np.zeros((len(nodes), width), bool)
+        for k, n in enumerate(nodes):
+            if "left_bins" in n:
+                goes_left[k, n["left_bins"]] = True
+            elif "left" in n:
+                goes_left[k, : n["cut"] + 1] = True
+                goes_left[k, 0] = n["missing_left"]
+        inner = np.array(["left" in n for n in nodes])
+        column = lambda name, nodes=nodes: np.array([n.get(name, 0) for n in nodes])
+        tables.append((inner, column("feature"), goes_left, column("left"), column("right"), column("value").astype("f8")))
+
+    def total(x: pd.Series) -> pd.Series:
+        bins = np.minimum(np.stack(x.to_numpy()), width - 1) if len(x) else np.zeros((0, 1), "i4")
+        out, every = np.zeros(len(bins)), np.arange(len(bins))
+        for inner, feature, goes_left, left, right, value in tables:
+            at = np.zeros(len(bins), "i8")
+            while (deeper := inner[at]).any():
+                down = np.where(goes_left[at, bins[every, feature[at]]], left[at], right[at])
+                at = np.where(deeper, down, at)
+            out += value[at]
+        return pd.Series(out)
+
+    return F.pandas_udf(total, "double")
+
+
 MODELS = {"boosting": BOOSTING, "small": SMALL_BOOSTING, "deep": FOREST_LIKE}
 
 
@@ -434,14 +511,34 @@ def load_model(folder: str) -> Boosting:
         return Boosting.from_json(f.read())
 
 
-def univariate_scores(df: DataFrame, target: str, features: Sequence[str], fold: str = "fold", bins: int = 32, tree_depth: int | None = None, min_leaf_share: float = 0.0) -> DataFrame:
+def feature_metric_dynamics(train: DataFrame, data: DataFrame, features: Sequence[str], target: str, date: str, freq: str = "month", metric="roc_auc", bins: int = 32, min_size: int = 30, accuracy: int = 10_000, key: str = "row_id") -> DataFrame:
+    """feature, period, n, value: one-feature models of ``train``, each scored on every period of ``data``; null below ``min_size`` rows.
+
+    A one-feature model is the smoothed target rate of its bins, as in ``univariate_scores``; all
+    features are fitted by one histogram and scored by one join with it, a row for each bin.
+    """
+    prepared = FeaturePreparer(list(features), None, bins, accuracy=accuracy).fit(train)
+    names = F.array(*map(F.lit, features))
+    bin_of = lambda df: F.posexplode(F.array(*[prepared.bin(df, f) for f in features])).alias("f", "b")
+    seen = train.filter(F.col(target).isNotNull()).select(F.col(target).cast("int").alias("y"), bin_of(train)).groupBy("f", "b").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    whole = seen.groupBy("f").agg((F.sum("pos") / F.sum("n")).alias("rate"))
+    model = seen.join(whole, "f").select("f", "b", ((F.col("pos") + 5 * F.col("rate")) / (F.col("n") + 5)).alias("p"))
+    keys = [c for c in (key,) if c in data.columns]
+    rows = data.filter(F.col(date).isNotNull()).select(*keys, F.date_trunc(freq, date).alias("period"), F.col(target).cast("int").alias("y"), bin_of(data))
+    scored = rows.join(model, ["f", "b"], "left").join(whole, "f").select(*keys, F.get(names, F.col("f")).alias("feature"), "period", "y", F.coalesce("p", "rate").alias("p"))
+    sizes = scored.groupBy("feature", "period").agg(F.count("*").alias("n"))
+    found = get_metric(metric).func(scored, "y", "p", ["feature", "period"], key)
+    return sizes.join(found, ["feature", "period"], "left").select("feature", "period", "n", F.when(F.col("n") >= min_size, F.col("value")).alias("value"))
+
+
+def univariate_scores(df: DataFrame, target: str, features: Sequence[str], fold: str = "fold", bins: int = 32, tree_depth: int | None = None, min_leaf_share: float = 0.0, accuracy: int = 10_000) -> DataFrame:
     """feature, auc_mean, auc_std, auc_gain, status: one-feature models of all features and folds from one histogram.
 
     Any model of one binned feature is a function of its counts by (fold, bin). Its score is the
     smoothed target rate of the bins outside the fold, or with ``tree_depth`` that of the leaves of a
     tree on them. Sorted by auc_gain = |auc_mean - 0.5|.
     """
-    prepared = FeaturePreparer(list(features), None, bins).fit(df)
+    prepared = FeaturePreparer(list(features), None, bins, accuracy=accuracy).fit(df)
     binned = prepared.transform(df).select(F.col(target).cast("int").alias("y"), F.col(fold).alias("fold"), F.posexplode(F.array(*[f"__bin_{k}" for k in range(len(features))])).alias("f", "b"))
     counts = binned.filter("y IS NOT NULL").groupBy("f", "fold", "b").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     names = list(features)
@@ -480,9 +577,9 @@ def univariate_scores(df: DataFrame, target: str, features: Sequence[str], fold:
     return out.orderBy(F.desc_nulls_last("auc_gain"), "feature")
 
 
-def _histogram_tree(counts, depth: int, min_share: float) -> dict[int, float]:
-    """Leaf target rate of each bin: best Gini splits between adjacent bins, missing (bin 0) on a side of its own."""
-    total = counts["n"].sum()
+def _histogram_tree(counts, depth: int, min_share: float, categorical: bool = False, number: bool = False) -> dict[int, float]:
+    """Leaf target rate of each bin (or with ``number`` the leaf's number): best Gini splits between bins next to each other, categories by their rates."""
+    total, leaves = counts["n"].sum(), 0
     out: dict[int, float] = {}
 
     def grow(bins: list[int], left: int) -> None:
@@ -498,17 +595,54 @@ def _histogram_tree(counts, depth: int, min_share: float) -> dict[int, float]:
                 if gain > 1e-9 and (best is None or gain > best[0]):
                     best = (gain, k)
         if best is None:
-            out.update(dict.fromkeys(bins, float(pos / n) if n else 0.5))
+            nonlocal leaves
+            leaves += 1
+            out.update(dict.fromkeys(bins, leaves if number else float(pos / n) if n else 0.5))
         else:
             grow(bins[: best[1]], left - 1)
             grow(bins[best[1] :], left - 1)
 
-    grow(sorted(counts.index), depth)
+    grow(sorted(counts.index, key=lambda b: (counts.loc[b, "pos"] / counts.loc[b, "n"], b) if categorical else b), depth)
     return out
 
 
 def univariate_tree_scores(df: DataFrame, target: str, features: Sequence[str], fold: str = "fold", max_depth: int = 3, min_leaf_share: float = 0.05) -> DataFrame:
-    return univariate_scores(df, target, features, fold, tree_depth=max_depth, min_leaf_share=min_leaf_share)
+    """As ``univariate_scores`` for one readable tree a feature, with n_leaves and whether the leaves' rates are monotonic (numbers alone)."""
+    scores = univariate_scores(df, target, features, fold, tree_depth=max_depth, min_leaf_share=min_leaf_share)
+    leaves = univariate_leaves(df, target, features, max_depth, min_leaf_share)
+    shape = leaves.groupBy("feature").agg(F.count("*").alias("n_leaves"), F.array_sort(F.collect_list(F.when(~F.col("categorical") & F.col("least").isNotNull(), F.struct("leaf", "target_rate")))).alias("r"))
+    steps = F.zip_with(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), F.slice("r", 1, F.greatest(F.size("r") - 1, F.lit(0))), lambda a, b: a["target_rate"] - b["target_rate"])
+    even = F.when(F.size("r") > 1, F.forall(steps, lambda d: d >= 0) | F.forall(steps, lambda d: d <= 0))
+    return scores.join(shape.select("feature", "n_leaves", even.alias("monotonic")), "feature", "left")
+
+
+def univariate_leaves(df: DataFrame, target: str, features: Sequence[str], max_depth: int = 3, min_leaf_share: float = 0.05, bins: int = 32) -> DataFrame:
+    """feature, categorical, leaf, n, share, n_target, target_rate, least, largest, with_missing, categories: the leaves of one tree a feature on all rows.
+
+    Leaves of numbers are numbered by value, one of missing values alone last; leaves of categories by target rate.
+    """
+    prepared = FeaturePreparer(list(features), None, bins).fit(df)
+    names, cats = list(features), set(prepared.categories)
+    value = lambda f: F.struct(F.lit(None).cast("double") if f in cats else numeric(df, f), prepared._text(df, f) if f in cats else F.lit(None).cast("string"))
+    rows = prepared.transform(df).filter(F.col(target).isNotNull()).select(F.col(target).cast("int").alias("y"), F.posexplode(F.array(*[F.struct(F.col(f"__bin_{k}").alias("b"), value(f).alias("v")) for k, f in enumerate(features)])).alias("f", "c"))
+    counts = rows.groupBy("f", F.col("c.b").alias("b")).agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.min("c.v.col1").alias("least"), F.max("c.v.col1").alias("largest"), F.min("c.v.col2").alias("category"))
+
+    def run(key, pdf):
+        import pandas as pd
+
+        f = names[int(key[0])]
+        own = pdf.set_index("b").sort_index()
+        tree = _histogram_tree(own[["n", "pos"]], max_depth, min_leaf_share, f in cats, number=True)
+        own["leaf"] = pd.Series(tree)
+        total, out = own["n"].sum(), []
+        for _, part in own.groupby("leaf"):
+            low, high = part["least"].min(), part["largest"].max()
+            known = sorted(c for c in part["category"] if isinstance(c, str))
+            out.append((f, f in cats, int(part["n"].sum()), float(part["n"].sum() / total), int(part["pos"].sum()), float(part["pos"].sum() / part["n"].sum()), None if low != low else low, None if high != high else high, 0 in part.index, known))
+        out.sort(key=lambda r: r[5] if f in cats else (r[6] is None, r[6] or 0.0))
+        return pd.DataFrame([(r[0], r[1], k, *r[2:]) for k, r in enumerate(out, 1)], columns=["feature", "categorical", "leaf", "n", "share", "n_target", "target_rate", "least", "largest", "with_missing", "categories"])
+
+    return counts.groupBy("f").applyInPandas(run, "feature string, categorical boolean, leaf int, n long, share double, n_target long, target_rate double, least double, largest double, with_missing boolean, categories array<string>")
 
 
 def univariate_filter(df: DataFrame, target: str, features: Sequence[str], fold: str = "fold", min_auc: float = 0.52):

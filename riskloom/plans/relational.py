@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once, its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
+
+    Where that is unset, a local master gets a temporary folder; a cluster must name one that all machines share.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(configured or f"file://{tempfile.mkdtemp(prefix='riskloom-')}")
+    return df.checkpoint(eager=True)
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """a / b as double, null where b is 0 or null."""
     return a.cast("double") / F.when(b != 0, b.cast("double"))
