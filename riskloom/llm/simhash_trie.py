@@ -19,12 +19,13 @@ Budgets as wide as a Jaccard similarity of 0.8 asks for (``without_similar``) le
 that near texts must share. There groups are dealt by MinHash: the texts of a group share one of
 BANDS bands of ROWS minima, and a pair at 0.8 shares none with a probability of 1.3e-7. The trie
 self-join searches every group for fingerprints within WIDE bits (a pair at 0.8 differs in 9.7 of 64
-on average and in more than WIDE with a probability of 2e-4), and what it finds is compared exactly.
+on average and in more than WIDE with a probability of 2e-4), and what it finds is compared exactly,
+in the group's task, from which only the links of a spanning forest go back.
 Texts with one and the same set of shingles form a class. A group's classes are first compared with
-one centre each, in rounds with different centres, and only those that are then still in different
-components go into the trie, so that a large group of copies costs no square of its size; groups
-that are still large are dealt again by each further band that their texts share. Empty texts have
-one class, rows need no id, and rows that share one are told apart.
+one centre each, in rounds with different centres, and only groups that are then still in different
+components go into the trie; a pair is looked at in the first band that it shares. Groups that are
+still large are dealt again by each further band that their texts share. Empty texts have one class,
+rows need no id, and rows that share one are told apart.
 """
 
 from __future__ import annotations
@@ -111,24 +112,10 @@ def bits_first(fps: np.ndarray, mask: int) -> np.ndarray:
     return out
 
 
-def _lower_bounds(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each range [lo, hi) of ``fps``, which is sorted, the first place whose fingerprint isn't below its value."""
-    while (seek := lo < hi).any():
-        middle = np.where(seek, (lo + hi) // 2, 0)
-        below = seek & (fps[middle] < values)
-        lo, hi = np.where(below, middle + 1, lo), np.where(seek & ~below, middle, hi)
-    return lo
-
-
-def trie_links(fps: np.ndarray, fixed: int, budget: int, starts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) within ``budget`` bits among sorted, distinct ``fps`` that agree on their first ``fixed`` bits.
-
-    With ``starts`` the array holds groups that begin there, each sorted and distinct, and pairs lie inside groups.
-    """
-    grouped = starts is not None
-    if not grouped:
-        top = fps >> np.uint64(64 - fixed) if fixed else np.zeros(len(fps), "u8")
-        starts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+def trie_links(fps: np.ndarray, fixed: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) within ``budget`` bits among sorted, distinct ``fps`` that agree on their first ``fixed`` bits."""
+    top = fps >> np.uint64(64 - fixed) if fixed else np.zeros(len(fps), "u8")
+    starts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
     ends = np.append(starts[1:], len(fps))
     keep = ends - starts > 1
     starts, ends = starts[keep], ends[keep]
@@ -148,8 +135,7 @@ def trie_links(fps: np.ndarray, fixed: int, budget: int, starts: np.ndarray | No
         if not len(ul) or bit < 0:
             continue
         one, above = np.uint64(1 << bit), np.uint64((1 << 64) - (2 << bit))
-        value = lambda lo: (fps[lo] & above) | one
-        middle = lambda lo, hi: _lower_bounds(fps, lo, hi, value(lo)) if grouped else np.clip(np.searchsorted(fps, value(lo)), lo, hi)
+        middle = lambda lo, hi: np.clip(np.searchsorted(fps, (fps[lo] & above) | one), lo, hi)
         um, vm = middle(ul, uh), middle(vl, vh)
         same = (ul == vl) & (uh == vh)
         below = [(ul, um, vl, vm, err, True), (um, uh, vm, vh, err, True), (ul, um, vm, vh, err + 1, True), (um, uh, vl, vm, err + 1, ~same)]
@@ -338,39 +324,110 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return one.join(two, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _group_pairs(groups: DataFrame, budget: int) -> DataFrame:
-    """Pairs (a, b) of nodes of one group (rows g, node, fp, component) within ``budget`` bits and in different components, by the trie self-join of every group."""
+class _Group:
+    """The classes of one group: fingerprints, components, bands and sets of shingles."""
+
+    def __init__(self, t: pa.Table):
+        self.g = int(t.column("g")[0].as_py())
+        column = lambda k: t.column(k).to_numpy()
+        order = np.argsort(column("fp").view("u8"), kind="stable")
+        self.node, self.fp = column("node")[order], column("fp").view("u8")[order]
+        _, self.component = np.unique(column("component")[order], return_inverse=True)
+        self.bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+        hashes = t.column("hashes").to_pylist()
+        self.sets = [np.frombuffer(hashes[k], "u8") for k in order]
+        self.size = np.array([len(x) for x in self.sets])
+        self.postings: tuple | None = None
+
+    def candidates(self, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within ``budget`` bits in different components that this group is to look at, by the trie self-join."""
+        first = np.flatnonzero(np.concatenate(([True], self.fp[1:] != self.fp[:-1])))  # classes may share a fingerprint
+        count = np.diff(np.append(first, len(self.fp)))
+
+        def expanded(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = count[i] * count[j]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, j = np.repeat(i, n), np.repeat(j, n)
+            return first[i] + inner // count[j], first[j] + inner % count[j]
+
+        same = np.flatnonzero(count > 1)
+        for i, j in ([(same, same)] if len(same) else []) + [(i[k : k + 8192], j[k : k + 8192]) for i, j in trie_links(self.fp[first], 0, budget) for k in range(0, len(i), 8192)]:
+            x, y = expanded(i, j)
+            for k in range(0, len(x), 1 << 15):
+                u, v = x[k : k + (1 << 15)], y[k : k + (1 << 15)]
+                apart = (u != v) & (self.component[u] != self.component[v])
+                u, v = u[apart], v[apart]
+                shared, own = self.bands[u] == self.bands[v], self.bands[u] == self.g
+                here = ~own.any(axis=1) | (shared.argmax(axis=1) == own.argmax(axis=1))
+                yield u[here], v[here]
+
+    def overlaps(self, x: int) -> np.ndarray:
+        """How many shingles each class of the group has in common with class ``x``."""
+        if self.postings is None:
+            _, kind = np.unique(np.concatenate(self.sets), return_inverse=True)
+            start = np.concatenate(([0], np.cumsum(np.bincount(kind))))
+            owner = np.repeat(np.arange(len(self.sets)), self.size)[np.argsort(kind, kind="stable")]
+            self.postings = kind, np.concatenate(([0], np.cumsum(self.size))), start, owner
+        kind, at, start, owner = self.postings
+        own = kind[at[x] : at[x + 1]]
+        n = start[own + 1] - start[own]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)
+        return np.bincount(owner[places], minlength=len(self.sets))
+
+    def links(self, least: float, budget: int) -> Iterator[tuple[int, int]]:
+        """Nodes of classes whose Jaccard similarity is ``least`` or more: as many pairs as it takes to connect their components."""
+        root = list(range(int(self.component.max()) + 1))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for u, v in self.candidates(budget):
+            order = np.argsort(u, kind="stable")
+            u, v = u[order], v[order]
+            cuts = np.flatnonzero(np.diff(u)) + 1
+            for x, near in zip(u[np.concatenate(([0], cuts))].tolist() if len(u) else [], np.split(v, cuts), strict=False):
+                near = [y for y in near.tolist() if find(self.component[x]) != find(self.component[y])]
+                if not near:
+                    continue
+                both = self.overlaps(x)
+                for y in near:
+                    i, j = find(self.component[x]), find(self.component[y])
+                    if i != j and both[y] >= least * (self.size[x] + self.size[y] - both[y]) - 1e-9:
+                        root[i] = j
+                        yield int(self.node[x]), int(self.node[y])
+
+
+def _group_links(groups: DataFrame, least: float, budget: int) -> DataFrame:
+    """Links (a, b) of the classes of each group (rows g, node, fp, component, bands, hashes), one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        g, fp, node, component = (rows.column(k).to_numpy() for k in ("g", "fp", "node", "component"))
-        fp = fp.view("u8")
-        order = np.lexsort((fp, g))
-        g, fp, node, component = (x[order] for x in (g, fp, node, component))
-        first = np.concatenate(([True], (g[1:] != g[:-1]) | (fp[1:] != fp[:-1])))  # nodes may share a fingerprint
-        at = np.flatnonzero(first)
-        size = np.diff(np.append(at, len(g)))
-        starts = np.flatnonzero(np.concatenate(([True], g[at][1:] != g[at][:-1])))
-
-        def expanded(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            """All pairs of nodes of fingerprints i and j."""
-            count = size[i] * size[j]
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            i, j = np.repeat(i, count), np.repeat(j, count)
-            x, y = at[i] + inner // size[j], at[j] + inner % size[j]
-            apart = (component[x] != component[y]) & (x != y)
-            x, y = node[x[apart]], node[y[apart]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-        same = np.flatnonzero(size > 1)
-        yield expanded(same, same)
-        for i, j in trie_links(fp[at], 0, budget, starts):
-            yield expanded(i, j)
-
-    return groups.repartition("g").mapInArrow(run, "a long, b long")
+        held: list[pa.RecordBatch] = []
+        out: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = [(min(x), max(x)) for x in out]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if held and held[0].column("g")[0].as_py() != g[s]:
+                    out += _Group(pa.Table.from_batches(held)).links(least, budget)
+                    held.clear()
+                held.append(batch.slice(s, e - s))
+            if len(out) >= 50_000:
+                yield flush()
+        if held:
+            out += _Group(pa.Table.from_batches(held)).links(least, budget)
+        yield flush()
+
+    return groups.repartition("g").sortWithinPartitions("g").select("g", "node", "fp", "component", "bands", "hashes").mapInArrow(run, "a long, b long")
 
 
 def _dealt_again(members: DataFrame, group_rows: int, levels: int = 3) -> DataFrame:
@@ -388,7 +445,7 @@ def _dealt_again(members: DataFrame, group_rows: int, levels: int = 3) -> DataFr
     return level if ready is None else ready.union(level.select(*ready.columns))
 
 
-def similar_links(rows: DataFrame, shingle: int, least: float, text_col: str, budget: int = WIDE, group_rows: int = 20_000) -> DataFrame:
+def similar_links(rows: DataFrame, shingle: int, least: float, text_col: str, budget: int = WIDE, group_rows: int = 2_000) -> DataFrame:
     """(node, component) of the classes that are linked with others; ``rows`` as ``classed`` gives them."""
     spread = rows.select(F.explode("bands").alias("g"), "node", "fp", "n")
     shared = cut(spread.groupBy("g").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("g"))
@@ -401,20 +458,21 @@ def similar_links(rows: DataFrame, shingle: int, least: float, text_col: str, bu
     tried = found = None
     placed = members.withColumn("component", F.col("node"))
     for k in range(STAR_ROUNDS + 1):
-        mixed = cut(placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "fp", "n", "component")).alias("c")).filter("low < high"))
+        order = F.xxhash64("node", F.lit(k), F.pmod("g", F.lit(8 if k else 1)))  # later rounds try eight centres of a large group
+        mixed = cut(placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(order.alias("order"), "node", "fp", "n", "component")).alias("c")).filter("low < high"))
         if mixed.isEmpty():
             break
         if k < STAR_ROUNDS:
             other = mixed.select("g", F.col("c.node").alias("other"), F.col("c.fp").alias("their_fp"), F.col("c.n").alias("m"), F.col("c.component").alias("theirs"))
             met = joined_to(placed, other, ["g"], "inner").filter("component <> theirs").filter(near)
-            pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+            pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            tried = pairs if tried is None else tried.union(pairs)
+            alike = cut(similar(pairs, sets, least))
         else:
             left = joined_to(placed, mixed.select("g"), ["g"], "left_semi").drop("n")
-            pairs = _group_pairs(_dealt_again(left.join(own.select("node", "bands"), "node"), group_rows), budget)
-        pairs = pairs.distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        alike = cut(similar(pairs, sets, least))
+            dealt = _dealt_again(left.join(own.select("node", "bands"), "node"), group_rows)
+            alike = cut(_group_links(dealt.join(sets, "node"), least, budget))
         found = alike if found is None else found.union(alike)
         linked = cut(components(found, "a", "b"))
         placed = cut(members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))

@@ -73,17 +73,6 @@ def test_trie_finds_every_link_of_dense_clusters(spark, group_rows):
     assert [found.get(i, i) for i in range(len(fps))] == want
 
 
-def test_trie_of_many_groups_equals_all_pairs():
-    rng = np.random.default_rng(4)
-    for budget in (3, 20):
-        groups = [np.unique(rng.integers(0, 2**63, int(n), dtype="u8") & np.uint64(0xFFFFFF)) for n in (1, 2, 50, 7, 1)]
-        fps, starts = np.concatenate(groups), np.cumsum([0, *map(len, groups[:-1])])
-        own = np.repeat(np.arange(len(groups)), list(map(len, groups)))
-        got = {(int(i), int(j)) for a, b in simhash_trie.trie_links(fps, 0, budget, starts) for i, j in zip(a, b, strict=True)}
-        want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if own[i] == own[j] and int(fps[i] ^ fps[j]).bit_count() <= budget}
-        assert got == want
-
-
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
