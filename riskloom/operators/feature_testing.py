@@ -17,7 +17,7 @@ from riskloom.operators.ranking import direct_auc, get_metric, ranking_metrics
 from riskloom.operators.selection import correlation_matrix
 from riskloom.operators.splits import DataSplit, make_folds, stratified_cap
 from riskloom.operators.stability import feature_psi
-from riskloom.plans.relational import safe_div
+from riskloom.plans.relational import running, safe_div
 
 
 def cv_interval(deltas: Sequence[float], train_share: float, alpha: float = 0.05) -> tuple[float, float]:
@@ -32,29 +32,42 @@ def cv_interval(deltas: Sequence[float], train_share: float, alpha: float = 0.05
     return mean - t * se, mean + t * se
 
 
-def bootstrap_interval(df: DataFrame, label: str, base: str, new: str, key: str, n_boot: int = 50, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """One row (ci_low, ci_high) of the AUC difference of two scores by a paired Poisson bootstrap.
+def poisson_steps(most: int = 8) -> list[float]:
+    """Distribution function of Poisson(1) at 0, 1, ... ``most`` - 1."""
+    out, p = [], math.exp(-1)
+    for k in range(most):
+        out.append((out[-1] if out else 0.0) + p)
+        p /= k + 1
+    return out
 
-    A row's count in repeat b is a Poisson(1) draw from a hash of (seed, b, key), so repeats are
-    reproducible and rows are never gathered; weighted AUCs come from one histogram of all repeats.
+
+def bootstrap_aucs(df: DataFrame, label: str, base: str, new: str, key: str, n_boot: int = 50, seed: int = 42, together: int = 20) -> DataFrame:
+    """(b, base_auc, new_auc) of each repeat of a paired Poisson bootstrap.
+
+    A row's count in repeat b is a Poisson(1) draw from 16 bits of the md5 of seed, b div 8 and key,
+    so repeats are the same in any engine. Counts are columns: the histogram of a score is cut into
+    ranges and summed up once for ``together`` repeats, and no row is written once a repeat.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", F.col(key)), F.lit(1 << 40)) / float(1 << 40)
-    steps, acc, p = [], 0.0, math.exp(-1)
-    for k in range(8):
-        acc += p
-        steps.append((k, acc))
-        p /= k + 1
-    draw = reduce(lambda c, s: c.when(u < s[1], s[0]), steps[1:], F.when(u < steps[0][1], steps[0][0])).otherwise(8)
-    rows = df.select(key, F.col(label).cast("int").alias("y"), base, new, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).withColumn("w", draw).filter("w > 0")
-    both = rows.select("b", "y", "w", F.explode(F.create_map(F.lit("base"), F.col(base), F.lit("new"), F.col(new))).alias("s", "p"))
-    from pyspark.sql import Window as W
+    steps = poisson_steps()
+    rows = df.filter(F.col(label).isNotNull() & F.col(base).isNotNull() & F.col(new).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("y"), F.array(F.struct(F.lit("base").alias("s"), F.col(base).cast("double").alias("p")), F.struct(F.lit("new").alias("s"), F.col(new).cast("double").alias("p"))).alias("both"))
+    parts = []
+    for first in range(0, n_boot, together):
+        repeats = range(first, min(n_boot, first + together))
+        digests = {f"d_{c}": F.md5(F.concat(F.lit(f"{seed}|{c}|"), "k")) for c in sorted({r // 8 for r in repeats})}
+        u = lambda r: F.conv(F.substring(f"d_{r // 8}", 1 + 4 * (r % 8), 4), 16, 10).cast("int") / 65536.0
+        draws = rows.withColumns(digests).withColumns({f"u_{r}": u(r) for r in repeats}).withColumns({f"w_{r}": reduce(lambda c, t, r=r: c + (F.col(f"u_{r}") >= t).cast("int"), steps[1:], (F.col(f"u_{r}") >= steps[0]).cast("int")) for r in repeats})
+        h = draws.select("y", F.explode("both").alias("x"), *[f"w_{r}" for r in repeats]).groupBy("x.s", "x.p").agg(*[F.sum(F.col(f"w_{r}") * F.col("y")).alias(f"q_{r}") for r in repeats], *[F.sum(F.col(f"w_{r}") * (1 - F.col("y"))).alias(f"g_{r}") for r in repeats])
+        c = running(h, ["s"], "p", {f"c_{r}": F.col(f"g_{r}") for r in repeats})
+        auc = lambda r: safe_div(F.sum(F.col(f"q_{r}") * (F.col(f"c_{r}") - F.col(f"g_{r}") / 2)), F.sum(f"q_{r}").cast("double") * F.max(f"c_{r}_all"))
+        listed = c.groupBy("s").agg(F.array(*[F.struct(F.lit(r).alias("b"), auc(r).alias("auc")) for r in repeats]).alias("a")).select("s", F.inline("a"))
+        parts.append(listed.groupBy("b").agg(F.max(F.when(F.col("s") == "base", F.col("auc"))).alias("base_auc"), F.max(F.when(F.col("s") == "new", F.col("auc"))).alias("new_auc")))
+    return reduce(DataFrame.union, parts)
 
-    h = both.groupBy("b", "s", "p").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("q"))
-    w = W.partitionBy("b", "s").orderBy("p")
-    c = h.withColumn("cn", F.sum(F.col("n") - F.col("q")).over(w))
-    auc = c.groupBy("b", "s").agg(safe_div(F.sum(F.col("q") * (F.col("cn") - (F.col("n") - F.col("q")) / 2)), F.sum("q").cast("double") * F.sum(F.col("n") - F.col("q"))).alias("auc"))
-    delta = auc.groupBy("b").agg((F.max(F.when(F.col("s") == "new", F.col("auc"))) - F.max(F.when(F.col("s") == "base", F.col("auc")))).alias("d"))
-    return delta.agg(F.percentile("d", alpha / 2).alias("ci_low"), F.percentile("d", 1 - alpha / 2).alias("ci_high"))
+
+def bootstrap_interval(df: DataFrame, label: str, base: str, new: str, key: str, n_boot: int = 50, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """One row (ci_low, ci_high) of the AUC difference of two scores by a paired Poisson bootstrap."""
+    delta = bootstrap_aucs(df, label, base, new, key, n_boot, seed).select((F.col("new_auc") - F.col("base_auc")).alias("d"))
+    return delta.agg(F.percentile("d", alpha / 2).alias("ci_low"), F.percentile("d", 1 - alpha / 2).alias("ci_high"))  # one value a repeat
 
 
 def cheap_stats(df: DataFrame, target: str, candidates: Sequence[str], base: Sequence[str], date: str | None = None, reference=None, freq: str = "month") -> DataFrame:
@@ -137,7 +150,8 @@ def test_features(split: DataSplit, base, candidates: Sequence[str], key: str =
     """Each candidate, and ALL together, against the base by paired folds of the training part.
 
     The verdict comes from the fold interval alone; val and test differences are for information.
-    With more than ``max_exact`` candidates the others are screened by their direct AUC and not tested.
+    With more than ``max_exact`` candidates all are screened first by a small model of each upon the
+    base, judged on val; those that gain least there are not tested and have the verdict ``screened``.
     """
     columns = set(split.data.columns)
     groups = {g: list(fs) for g, fs in groups.items()} if groups else {c: [c] for c in candidates}
@@ -156,10 +170,12 @@ def test_features(split: DataSplit, base, candidates: Sequence[str], key: str =
     names = base.features if isinstance(base, Boosting) else [] if isinstance(base, str) else list(base)
     flat = list(dict.fromkeys(c for fs in groups.values() for c in fs))
     stats = cheap_stats(split.train, split.target, flat, names, date)
-    tested = dict(groups)
+    tested, screen = dict(groups), {}
     if len(groups) > max_exact:
-        auc = {r["feature"]: r["direct_auc"] for r in direct_auc(split.train, split.target, flat).collect()}
-        tested = dict(sorted(groups.items(), key=lambda g: (-max(auc[c] for c in g[1]), g[0]))[:max_exact])
+        for g, fs in groups.items():
+            a, b = _two_scores(train, split.val, split.target, base, fs, metric, "on_top", model, key)
+            screen[g] = m.delta(b, a) if None not in (a, b) else -math.inf
+        tested = dict(sorted(groups.items(), key=lambda g: (-screen[g[0]], g[0]))[:max_exact])
     if len(groups) > 1:
         tested["ALL"] = flat
     summary, folds, parts = [], [], []
@@ -171,26 +187,39 @@ def test_features(split: DataSplit, base, candidates: Sequence[str], key: str =
         low, high = cv_interval(deltas, share)
         mean = sum(deltas) / len(deltas)
         verdict = "better" if low > 0 else "worse" if high < 0 else "same"
-        summary.append((name, len(extra), mean, None if math.isnan(low) else low, None if math.isnan(high) else high, verdict))
+        summary.append((name, len(extra), mean, None if math.isnan(low) else low, None if math.isnan(high) else high, verdict, screen.get(name)))
         for part, d in split.items():
             if part != "train":
                 a, b = _two_scores(split.train, d, split.target, base, extra, metric, mode, model, key)
                 parts.append((name, part, a, b, m.delta(b, a) if None not in (a, b) else None))
     train.unpersist()
+    summary += [(g, len(fs), None, None, None, "screened", screen[g]) for g, fs in groups.items() if g not in tested]
     spark = split.data.sparkSession
-    table = spark.createDataFrame(summary, "candidate string, n_features int, delta_cv double, ci_low double, ci_high double, verdict string").orderBy(F.desc_nulls_last("delta_cv"), "candidate")
+    table = spark.createDataFrame(summary, "candidate string, n_features int, delta_cv double, ci_low double, ci_high double, verdict string, screen_delta double").orderBy(F.desc_nulls_last("delta_cv"), "candidate")
     return FeatureTest(table, spark.createDataFrame(folds, "candidate string, fold int, base double, new double, delta double"), spark.createDataFrame(parts, "candidate string, part string, base double, new double, delta double"), stats, {"mode": mode, "screened": len(groups) - len([g for g in tested if g != "ALL"])})
 
 
 def test_domains(split: DataSplit, base, domains: dict[str, Sequence[str]], **options) -> FeatureTest:
-    """Whole domains of features against the base; also the AUC of each domain alone, in ``info``."""
+    """Whole domains of features against the base.
+
+    ``info`` has for each domain the AUC of a model of it ``alone`` on val, its ``gain_share`` of the
+    importance of the model of base and domain (bases of features), and ``features``: domain,
+    feature, importance, share of the domain's, coverage and direct_auc.
+    """
     out = test_features(split, base, [], groups=domains, **options)
-    alone = {}
+    model = options.get("model", "small")
+    alone, gains, rows = {}, {}, []
+    names = base.features if isinstance(base, Boosting) else [] if isinstance(base, str) else list(base)
+    cheap = {r["feature"]: r for r in out.stats.select("feature", "coverage", "direct_auc").collect()}
     for name, fs in domains.items():
-        fitted = make_model(options.get("model", "small")).fit(split.train, split.target, list(fs))
-        scored = fitted.predict(split.val, "__p")
-        alone[name] = ranking_metrics(scored, split.target, "__p").first()["auc"]
-    out.info["alone"] = alone
+        fitted = make_model(model).fit(split.train, split.target, list(fs))
+        alone[name] = ranking_metrics(fitted.predict(split.val, "__p"), split.target, "__p").first()["auc"]
+        both = (make_model(model).fit(split.train, split.target, list(dict.fromkeys([*names, *fs]))) if names else fitted).feature_importance()
+        own, total = sum(both[f] for f in fs), sum(both.values())
+        gains[name] = own / total if names and total else None
+        rows += [(name, f, float(both[f]), both[f] / own if own else 0.0, cheap[f]["coverage"], cheap[f]["direct_auc"]) for f in fs]
+    table = split.data.sparkSession.createDataFrame(rows, "domain string, feature string, importance double, share double, coverage double, direct_auc double")
+    out.info |= {"alone": alone, "gain_share": gains, "features": table.orderBy("domain", F.desc("importance"), "feature")}
     return out
 
 

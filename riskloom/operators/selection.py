@@ -42,8 +42,9 @@ def quality_filter(df: DataFrame, features: Sequence[str], categorical: Sequence
 def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pearson", chunk: int = 200) -> DataFrame:
     """(a, b, corr) of each pair a before b, over the rows where both are present; null where one is constant.
 
-    Pearson and Spearman. Pairs are aggregates of one scan per ``chunk``; ranks are averages over
-    all present rows of the feature.
+    Pearson and Spearman. Up to ``chunk`` pairs are aggregates of one scan; for more, every task adds
+    up the products of its rows' centred values as matrices, and the matrices' cells are added up, in
+    one scan too. Ranks are averages over all present rows of the feature.
     """
     x = df.select(*[numeric(df, c).alias(c) for c in features])
     if method == "spearman":
@@ -63,8 +64,41 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
         u, v = F.when(both, F.col(a)), F.when(both, F.col(b))
         return safe_div(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))
 
+    if len(pairs) > chunk:
+        return _product_sums(x, list(features))
     parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("corr")) for a, b in pairs]
-    return reduce(DataFrame.union, [x.agg(F.array(*parts[k : k + chunk]).alias("p")).select(F.inline("p")) for k in range(0, len(parts), chunk)])
+    return x.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+
+
+def _product_sums(x: DataFrame, features: list[str]) -> DataFrame:
+    """Correlations of all pairs from sums of products over the rows where both are present, by one scan; the shift by the means keeps them exact."""
+    import numpy as np
+    import pyarrow as pa
+
+    means = x.agg(*[F.avg(c).alias(c) for c in features]).first()
+    shift = np.array([means[c] if means[c] is not None else 0.0 for c in features])
+    i, j = np.triu_indices(len(features), 1)
+    names = ["i", "j", "n", "u", "v", "uu", "vv", "uv"]
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype("f8") for c in batch.columns]) - shift
+            there = ~np.isnan(v)
+            v, m = np.where(there, v, 0.0), there.astype("f8")
+            sums = np.stack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v])
+            total = sums if total is None else total + sums
+        if total is not None:
+            n, first, square, product = total
+            cells = [n[i, j], first[i, j], first[j, i], square[i, j], square[j, i], product[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype("i4")), pa.array(j.astype("i4")), *map(pa.array, cells)], names=names)
+
+    sums = x.select(*features).mapInArrow(run, "i int, j int, n double, u double, v double, uu double, vv double, uv double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    var = lambda s, q: F.col(q) / F.col("n") - (F.col(s) / F.col("n")) ** 2
+    spread = F.sqrt(F.greatest(var("u", "uu"), F.lit(0.0)) * F.greatest(var("v", "vv"), F.lit(0.0)))
+    corr = F.when(F.col("n") > 0, (F.col("uv") / F.col("n") - F.col("u") / F.col("n") * F.col("v") / F.col("n")) / F.when(spread > 1e-300, spread))
+    known = F.array(*map(F.lit, features))
+    return sums.select(F.get(known, F.col("i")).alias("a"), F.get(known, F.col("j")).alias("b"), corr.alias("corr"))
 
 
 def _edges(matrix: DataFrame, threshold: float) -> list[tuple[str, str]]:

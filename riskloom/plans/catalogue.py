@@ -530,29 +530,78 @@ def _split(spark, d) -> splits.DataSplit:
     return splits.time_split(_signal(spark, d), "target", "date", "row_id", "2000-01-01")
 
 
-@query()
+_NEWTON = f"""{OBSR}, lg AS (SELECT coalesce(segment, 'NaN') AS grp, round(ln(score / (1 - score)), 3) AS l, target AS y FROM obs UNION ALL SELECT 'ALL', round(ln(score / (1 - score)), 3), target FROM obs),
+lh AS MATERIALIZED (SELECT grp, l, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS y FROM lg GROUP BY grp, l),
+nb AS (SELECT DISTINCT grp, 0 AS i, CAST(0 AS DOUBLE) AS b FROM lh UNION ALL SELECT s.grp, i + 1, b - (SELECT (sum(n / (1 + exp(-(l + s.b)))) - sum(y)) / sum(n / (1 + exp(-(l + s.b))) * (1 - 1 / (1 + exp(-(l + s.b))))) FROM lh WHERE lh.grp = s.grp) FROM nb s WHERE i < 25),
+nf AS (SELECT DISTINCT grp, 0 AS i, CAST(1 AS DOUBLE) AS k, CAST(0 AS DOUBLE) AS b FROM lh UNION ALL SELECT grp, i + 1, k + (m.d * m.g1 - m.c * m.g0) / (m.a * m.d - m.c * m.c), b + (m.a * m.g0 - m.c * m.g1) / (m.a * m.d - m.c * m.c)
+ FROM (SELECT s.grp, s.i, s.k, s.b, (SELECT {{'g1': sum((y - n / (1 + exp(-(l * s.k + s.b)))) * l), 'g0': sum(y - n / (1 + exp(-(l * s.k + s.b)))), 'a': sum(n / (1 + exp(-(l * s.k + s.b))) * (1 - 1 / (1 + exp(-(l * s.k + s.b)))) * l * l), 'c': sum(n / (1 + exp(-(l * s.k + s.b))) * (1 - 1 / (1 + exp(-(l * s.k + s.b)))) * l), 'd': sum(n / (1 + exp(-(l * s.k + s.b))) * (1 - 1 / (1 + exp(-(l * s.k + s.b)))))}} FROM lh WHERE lh.grp = s.grp) AS m FROM nf s WHERE s.i < 25)),
+ro AS (SELECT nb.grp, nb.b AS offs, nf.k AS coef, nf.b AS icpt FROM nb JOIN nf USING (grp) WHERE nb.i = 25 AND nf.i = 25)"""
+
+
+@query(_NEWTON + " SELECT round(offs, 6) AS \"offset\", round(coef, 6) AS coef, round(icpt, 6) AS intercept FROM ro WHERE grp = 'ALL'")
 def calibration_parameters(spark, d):
     df = _logits(spark, d)
     k, b = calibration.full_calibration(df, "logit", "target")
-    return spark.createDataFrame([(round(calibration.calibration_offset(df, "logit", "target"), 9), round(k, 7), round(b, 7))], "offset double, coef double, intercept double")
+    return spark.createDataFrame([(round(calibration.calibration_offset(df, "logit", "target"), 6), round(k, 6), round(b, 6))], "offset double, coef double, intercept double")
 
 
-@query()
+@query(f"""{_NEWTON}, gq AS (SELECT grp, quantile_cont(l, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM lg GROUP BY grp), ge AS (SELECT grp, list_distinct(list_filter(q[2:], lambda v: v > q[1])) AS e FROM gq),
+gb AS (SELECT grp, len(list_filter(e, lambda v: v < l)) AS bucket, count(*) AS n, sum(y) AS k, avg(1 / (1 + exp(-l))) AS pred FROM lg JOIN ge USING (grp) GROUP BY 1, 2),
+hl AS (SELECT grp, sum(CASE WHEN pred * n * (1 - pred) > 0 THEN power(k - pred * n, 2) / (pred * n * (1 - pred)) END) AS hl FROM gb GROUP BY grp), {_rank_sql('lg', 'grp', 'y', 'l')}
+SELECT grp AS "group", round(auc, 4) AS roc_auc, round(hl, 1) AS hl, round(offs, 4) AS "offset", round(coef, 4) AS coef FROM r JOIN hl USING (grp) JOIN ro USING (grp) WHERE grp <> 'ALL'""")
 def gain_chart_by_segment(spark, d):
-    return spark.createDataFrame(calibration.gain_chart_metrics(_logits(spark, d), "logit", "target", "segment"))
+    return spark.createDataFrame(calibration.gain_chart_metrics(_logits(spark, d), "logit", "target", "segment"), "group string, roc_auc double, hl double, offset double, coef double")
 
 
-@query()
+# A rational approximation of the normal quantile near the middle.
+_PROBIT = "(((((-39.69683028665376e0 * t + 220.9460984245205e0) * t - 275.9285104469687e0) * t + 138.3577518672690e0) * t - 30.66479806614716e0) * t + 2.506628277459239e0) * v / (((((-54.47609879822406e0 * t + 161.5858368580409e0) * t - 155.6989798598866e0) * t + 66.80131188771972e0) * t - 13.28068155288572e0) * t + 1e0)"
+
+
+@query(f"{OBS}, s AS (SELECT 'price' AS feature, target AS y, price AS p FROM obs UNION ALL SELECT 'acctbal', target, acctbal FROM obs), {_rank_sql('s', 'feature')}, tv AS (SELECT feature, greatest(auc, 1 - auc) - 0.5 AS v, (greatest(auc, 1 - auc) - 0.5) * (greatest(auc, 1 - auc) - 0.5) AS t FROM r) SELECT feature, round(2 * power({_PROBIT}, 2), 7) AS iv FROM tv")
 def iv_auc(spark, d):
     rows = ranking.direct_auc(observations(spark, d), "target", ["price", "acctbal"]).collect()
-    return spark.createDataFrame([(r["feature"], C.iv_from_auc(r["direct_auc"])) for r in rows], "feature string, iv double")
+    return rounded(spark.createDataFrame([(r["feature"], C.iv_from_auc(r["direct_auc"])) for r in rows], "feature string, iv double"), 7)
 
 
-@query()
+_SIGNAL = f"""{OBS}, sg AS (SELECT * REPLACE (CASE WHEN CAST(('0x' || substr(md5('noise|' || row_id), 1, 8))::UBIGINT AS DOUBLE) / 4294967296 < 1 / (1 + exp(-2 * ((price - 250000) / CAST(150000 AS DOUBLE) + coalesce(quantity, 100) / 200 + CASE WHEN priority LIKE '1%' THEN CAST(0.8 AS DOUBLE) ELSE 0 END - CAST(0.6 AS DOUBLE)))) THEN 1 ELSE 0 END AS target) FROM obs),
+sf AS (SELECT *, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|' || row_id), row_id) - 1) % 3 AS INT) AS fold FROM sg)"""
+MODEL_NUMBERS = ("price", "acctbal", "quantity", "discount")
+
+
+def _bins_sql(train: str, data: str, keep: str, bins: int = 32) -> str:
+    """CTEs ending in bn (feature, keep, b): bins of MODEL_FEATURES by edges of ``train``, 0 for missing."""
+    cuts = ", ".join(f"CAST({k} AS DOUBLE) / {bins - 1}" for k in range(1, bins - 1))
+    return f"""tl AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f} AS x FROM {train} WHERE {f} IS NOT NULL" for f in MODEL_NUMBERS)}), tr AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS rk, count(*) OVER (PARTITION BY feature) AS nx FROM tl),
+te AS (SELECT DISTINCT feature, x FROM tr JOIN (SELECT unnest([{cuts}]) AS q) ON rk = greatest(1, CAST(ceil(q * nx) AS BIGINT))), ta AS (SELECT feature, list(x) AS e FROM te GROUP BY feature),
+pc AS (SELECT DISTINCT priority AS c FROM {train} WHERE priority IS NOT NULL), dl AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f} AS x, {keep} FROM {data}" for f in MODEL_NUMBERS)}),
+bn AS (SELECT feature, {keep}, CASE WHEN x IS NULL THEN 0 ELSE len(list_filter(e, lambda v: v < x)) + 1 END AS b FROM dl JOIN ta USING (feature)
+ UNION ALL SELECT 'priority', {keep}, CASE WHEN priority IS NULL THEN 0 ELSE (SELECT CASE WHEN count(*) FILTER (c = priority) = 0 THEN 0 ELSE count(*) FILTER (c <= priority) END FROM pc) END FROM {data})"""
+
+
+@query(f"""{_SIGNAL}, {_bins_sql('sf', 'sf', 'fold, target')}, ct AS (SELECT feature, fold, b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(target) AS DOUBLE) AS k FROM bn GROUP BY 1, 2, 3), fo AS (SELECT DISTINCT fold AS o FROM sf),
+tn AS (SELECT feature, o, b, sum(n) AS n, sum(k) AS k FROM ct JOIN fo ON fold <> o GROUP BY 1, 2, 3), rt AS (SELECT feature, o, sum(k) / sum(n) AS rate FROM tn GROUP BY 1, 2),
+sc AS (SELECT ct.feature AS feature, ct.fold AS fold, ct.n AS n, ct.k AS k, coalesce((tn.k + 5 * rate) / (tn.n + 5), rate) AS p FROM ct JOIN rt ON ct.feature = rt.feature AND ct.fold = rt.o LEFT JOIN tn ON tn.feature = ct.feature AND tn.o = ct.fold AND tn.b = ct.b),
+hs AS (SELECT feature, fold, p, sum(n) AS n, sum(k) AS q FROM sc GROUP BY 1, 2, 3), hc AS (SELECT *, sum(n - q) OVER (PARTITION BY feature, fold ORDER BY p) AS cn FROM hs),
+fa AS (SELECT feature, fold, sum(q * (cn - (n - q) / 2)) / (sum(q) * sum(n - q)) AS auc FROM hc GROUP BY 1, 2)
+SELECT feature, round(avg(auc), 9) AS auc_mean, round(stddev_pop(auc), 9) AS auc_std, round(abs(avg(auc) - 0.5), 9) AS auc_gain, 'ok' AS status FROM fa GROUP BY feature""")
 def univariate_scores(spark, d):
     from riskloom.operators import models
 
-    return models.univariate_scores(_folds(spark, d), "target", MODEL_FEATURES)
+    return rounded(models.univariate_scores(_folds(spark, d), "target", MODEL_FEATURES, accuracy=1_000_000), 9)
+
+
+@query(f"""{_SIGNAL}, st AS (SELECT * FROM sg WHERE date < TIMESTAMP '1997-01-01'), sd AS (SELECT CAST(date_trunc('quarter', date) AS TIMESTAMP) AS period, * FROM sg WHERE date >= TIMESTAMP '1997-01-01'), {_bins_sql('st', 'sd', 'period, target')},
+b2 AS (SELECT feature, target, CASE WHEN x IS NULL THEN 0 ELSE len(list_filter(e, lambda v: v < x)) + 1 END AS b FROM ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f} AS x, target FROM st" for f in MODEL_NUMBERS)}) JOIN ta USING (feature)
+ UNION ALL SELECT 'priority', target, CASE WHEN priority IS NULL THEN 0 ELSE (SELECT count(*) FROM pc WHERE c <= priority) END FROM st),
+tn AS (SELECT feature, b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(target) AS DOUBLE) AS k FROM b2 GROUP BY 1, 2), rt AS (SELECT feature, sum(k) / sum(n) AS rate FROM tn GROUP BY 1),
+sc AS (SELECT bn.feature AS feature, period, target AS y, coalesce((k + 5 * rate) / (n + 5), rate) AS p FROM bn JOIN rt ON rt.feature = bn.feature LEFT JOIN tn ON tn.feature = bn.feature AND tn.b = bn.b), {_rank_sql('sc', 'feature, period')}
+SELECT feature, period, n, round(CASE WHEN n >= 30 THEN auc END, 9) AS value FROM r""")
+def feature_metric_dynamics(spark, d):
+    from riskloom.operators import models
+
+    t = _signal(spark, d)
+    late = F.col("date") >= F.lit("1997-01-01").cast("timestamp")
+    return rounded(models.feature_metric_dynamics(t.filter(~late), t.filter(late), MODEL_FEATURES, "target", "date", "quarter", accuracy=1_000_000), 9)
 
 
 @query()
