@@ -694,11 +694,27 @@ def incremental(spark, d):
     return wrappers.incremental_feature_eval(_folds(spark, d, 2), "target", ["price", "quantity"]).table
 
 
-@query()
+def _corr_sql(a: str, b: str) -> str:
+    u, v = (f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {c} END" for c in (a, b))
+    return f"covar_pop({u}, {v}) / nullif(stddev_pop({u}) * stddev_pop({v}), 0)"
+
+
+_CHEAP = ("quantity", "price_copy")
+
+
+@query(f"""{OBS}, s AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, target AS y, {c} AS p FROM obs" for c in _CHEAP)}), {_rank_sql('s', 'feature')},
+cv AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST(count({c}) AS DOUBLE) / count(*) AS coverage, min(date) FILTER ({c} IS NOT NULL) AS filled_from, max(date) FILTER ({c} IS NOT NULL) AS filled_to FROM obs" for c in _CHEAP)}),
+co AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature, '{b}' AS o, abs({_corr_sql(a, b)}) AS c FROM obs" for a in _CHEAP for b in ("price", "acctbal"))}), cm AS (SELECT feature, max(c) AS max_corr, arg_max(o, c) AS corr_with FROM co GROUP BY 1),
+fp AS (SELECT min(CAST(date_trunc('quarter', date) AS TIMESTAMP)) AS f FROM obs), l AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS x, CAST(date_trunc('quarter', date) AS TIMESTAMP) AS period, CAST(date_trunc('quarter', date) AS TIMESTAMP) = (SELECT f FROM fp) AS e FROM obs" for c in _CHEAP)}),
+ed AS (SELECT feature, list_distinct(quantile_cont(x, {_Q10})) AS q FROM l WHERE e GROUP BY feature), b AS (SELECT feature, e, period, CASE WHEN x IS NULL THEN 0 ELSE len(list_filter(q, lambda v: v < x)) + 1 END AS bin FROM l JOIN ed USING (feature)),
+ex AS (SELECT feature, bin, count(*) AS expected FROM b WHERE e GROUP BY 1, 2), ac AS (SELECT feature, period, bin, count(*) AS actual FROM b WHERE NOT e GROUP BY 1, 2, 3), gr AS (SELECT feature, period, bin, expected FROM (SELECT DISTINCT feature, period FROM ac) JOIN ex USING (feature)),
+{_psi_sql('SELECT feature, period, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual FROM gr FULL JOIN ac USING (feature, period, bin)', 'feature, period')}, pm AS (SELECT feature, max(psi) AS max_psi FROM (SELECT feature, period, sum((sa - es) * ln(sa / es)) AS psi FROM ps GROUP BY 1, 2) GROUP BY 1)
+SELECT feature, round(coverage, 9) AS coverage, filled_from, filled_to, round(greatest(auc, 1 - auc), 9) AS direct_auc, round(max_corr, 7) AS max_corr, corr_with, round(max_psi, 9) AS max_psi FROM r JOIN cv USING (feature) JOIN cm USING (feature) JOIN pm USING (feature)""")
 def cheap_stats(spark, d):
     from riskloom.operators import feature_testing
 
-    return feature_testing.cheap_stats(observations(spark, d), "target", ["quantity", "price_copy"], ["price", "acctbal"], "date", freq="quarter")
+    t = feature_testing.cheap_stats(observations(spark, d), "target", list(_CHEAP), ["price", "acctbal"], "date", freq="quarter")
+    return rounded(t, 9).withColumn("max_corr", F.round("max_corr", 7))
 
 
 @query()
@@ -715,12 +731,32 @@ def domain_test(spark, d):
     return feature_testing.test_domains(_split(spark, d), ["acctbal"], {"order": ["price", "quantity"]}, n_splits=2).summary
 
 
-@query()
+def _bootstrap_sql(n: int = 20) -> str:
+    from riskloom.operators.feature_testing import poisson_steps
+
+    w = " + ".join(f"CASE WHEN u >= {t!r}e0 THEN 1 ELSE 0 END" for t in poisson_steps())
+    return f"""{OBS}, bu AS (SELECT target AS y, round(acctbal / 10000.0e0, 6) AS o, score AS p, b, ('0x' || substr(md5('42|' || CAST(b // 8 AS INT) || '|' || row_id), 1 + 4 * (b % 8), 4))::INT / 65536.0e0 AS u FROM obs, range({n}) t(b)),
+bw AS (SELECT y, o, p, b, {w} AS w FROM bu), bl AS (SELECT b, 'base' AS s, o AS x, y, w FROM bw UNION ALL SELECT b, 'new', p, y, w FROM bw), bh AS (SELECT b, s, x, CAST(sum(w * y) AS DOUBLE) AS q, CAST(sum(w * (1 - y)) AS DOUBLE) AS g FROM bl GROUP BY 1, 2, 3),
+bc AS (SELECT *, sum(g) OVER (PARTITION BY b, s ORDER BY x) AS c FROM bh), ba AS (SELECT b, s, sum(q * (c - g / 2)) / (sum(q) * sum(g)) AS auc FROM bc GROUP BY 1, 2),
+bo AS (SELECT b, max(auc) FILTER (s = 'base') AS base_auc, max(auc) FILTER (s = 'new') AS new_auc FROM ba GROUP BY 1)"""
+
+
+def _with_other(spark, d) -> DataFrame:
+    return observations(spark, d).withColumn("other", F.round(F.col("acctbal") / 10000.0, 6))
+
+
+@query(f"{_bootstrap_sql()} SELECT CAST(b AS INT) AS b, round(base_auc, 9) AS base_auc, round(new_auc, 9) AS new_auc FROM bo")
+def bootstrap_aucs(spark, d):
+    from riskloom.operators import feature_testing
+
+    return rounded(feature_testing.bootstrap_aucs(_with_other(spark, d), "target", "other", "score", "row_id", n_boot=20), 9)
+
+
+@query(f"{_bootstrap_sql()} SELECT round(quantile_cont(new_auc - base_auc, 0.025), 9) AS ci_low, round(quantile_cont(new_auc - base_auc, 0.975), 9) AS ci_high FROM bo")
 def bootstrap_auc_delta(spark, d):
     from riskloom.operators import feature_testing
 
-    t = observations(spark, d).withColumn("other", F.round(F.col("acctbal") / 10000.0, 6))
-    return feature_testing.bootstrap_interval(t, "target", "other", "score", "row_id", n_boot=20)
+    return rounded(feature_testing.bootstrap_interval(_with_other(spark, d), "target", "other", "score", "row_id", n_boot=20), 9)
 
 
 @query()
@@ -740,18 +776,168 @@ def model_report(spark, d):
     return report.model_report(fitted, s, "date", "segment").tables["metrics"]
 
 
-@query()
+def _bits_sql(name: str, keys: str, first: int = 1) -> str:
+    return f"CAST(('0x' || substr(md5('42|{name}|' || {keys}), {first}, 8))::UBIGINT AS DOUBLE)"
+
+
+def _uniform_sql(name: str, keys: str = "client_id") -> str:
+    return f"{_bits_sql(name, keys)} / 4294967296"
+
+
+def _normal_sql(name: str, keys: str = "client_id") -> str:
+    return f"sqrt(-2 * ln(({_bits_sql(name, keys)} + 0.5e0) / 4294967296)) * cos(2 * pi() * ({_bits_sql(name, keys, 9)} / 4294967296))"
+
+
+def _poisson_sql(mean: float, u: str, most: int = 20) -> str:
+    import math
+
+    p, acc, parts = math.exp(-mean), 0.0, []
+    for k in range(most):
+        acc += p
+        parts.append(f"WHEN {u} < {acc!r}e0 THEN {k}")
+        p *= mean / (k + 1)
+    return f"CASE {' '.join(parts)} ELSE {most} END"
+
+
+@query(f"""WITH c AS (SELECT range AS client_id FROM range(2000)), o AS (SELECT client_id, {_normal_sql('risk')} AS risk, {_uniform_sql('segment')} AS us, {_uniform_sql('bureau')} AS ub, TIMESTAMP '2023-01-01' + to_days(CAST(floor({_uniform_sql('date')} * 540) AS INT)) AS dt FROM c),
+f AS (SELECT *, CASE WHEN us < 0.5e0 THEN 'early' WHEN us < 0.8e0 THEN 'middle' ELSE 'late' END AS segment FROM o), g AS (SELECT *, CASE WHEN {_uniform_sql('target')} < 1 / (1 + exp(-(risk - 1.2e0 + CASE WHEN segment = 'late' THEN 0.5e0 ELSE 0 END))) THEN 1 ELSE 0 END AS target FROM f)
+SELECT segment, count(*) AS n, round(avg(target), 9) AS target_rate, min(dt) AS first_date, max(dt) AS last_date, round(avg(CASE WHEN ub >= 0.1e0 THEN 600 - risk * 60 + {_normal_sql('score')} * 40 END), 6) AS bureau_score, round(avg(CASE WHEN ub >= 0.1e0 THEN {_poisson_sql(2.5, _uniform_sql('open'))} END), 9) AS open_cnt,
+ count(CASE WHEN dt >= TIMESTAMP '2023-07-01' THEN 1 END) AS n_trx, round(avg(exp({_normal_sql('income')} * 0.5e0 + 10.5e0 - risk * 0.2e0)), 4) AS income, count(DISTINCT 'r' || CAST(floor({_uniform_sql('region')} * 8) AS INT)) AS n_regions FROM g GROUP BY segment""")
 def demo_observations(spark, d):
     from riskloom.sources.demo import demo_observations as make
 
-    return make(spark, 2000).groupBy("segment").agg(F.count("*").alias("n"), F.avg("target").alias("target_rate"))
+    t = make(spark, 2000).groupBy("segment").agg(
+        F.count("*").alias("n"), F.round(F.avg("target"), 9).alias("target_rate"), F.min("report_date").alias("first_date"), F.max("report_date").alias("last_date"), F.round(F.avg("bureau_score"), 6).alias("bureau_score"),
+        F.round(F.avg("bureau_open_cnt"), 9).alias("open_cnt"), F.count("trx_sum").alias("n_trx"), F.round(F.avg("app_income"), 4).alias("income"), F.count_distinct("app_region").alias("n_regions"),
+    )
+    return t
 
 
-@query()
+_TWO = "contract_id || '|' || k"
+
+
+@query(f"""WITH c0 AS (SELECT range AS contract_id FROM range(1000)), c AS (SELECT contract_id, 'product_' || CAST(floor({_uniform_sql('product', 'contract_id')} * 3) AS INT) AS product, TIMESTAMP '2023-01-01' + to_days(CAST(floor({_uniform_sql('start', 'contract_id')} * 600) AS INT)) AS start_date,
+ round(exp({_normal_sql('balance', 'contract_id')} * 0.7e0 + 9.5e0), 2) AS balance, CAST({_poisson_sql(2.5, _uniform_sql('payments', 'contract_id'))} AS INT) AS n_tx FROM c0),
+x AS (SELECT contract_id, start_date, balance, unnest(range(1, n_tx + 1)) AS k FROM c), t AS (SELECT contract_id, start_date + to_days(CAST(floor({_uniform_sql('day', _TWO)} * 500) AS INT)) AS tx_date, round(balance * ({_uniform_sql('amount', _TWO)}) * 0.2e0 * CASE WHEN {_uniform_sql('sign', _TWO)} < 0.03e0 THEN -1 ELSE 1 END, 2) AS amount,
+ CASE WHEN {_uniform_sql('type', _TWO)} < 0.7e0 THEN 'voluntary' ELSE 'court' END AS tx_type FROM x)
+SELECT product, count(*) AS n, count(tx_date) AS n_tx, round(sum(amount), 0) AS turnover, count(CASE WHEN tx_type = 'court' THEN 1 END) AS n_court, min(tx_date) AS first_tx FROM c LEFT JOIN t ON c.contract_id = t.contract_id AND tx_date <= TIMESTAMP '2025-01-01' GROUP BY product""")
 def demo_transactions(spark, d):
     from riskloom.sources.demo import demo_transactions as make
 
-    return make(spark, 1000).groupBy("product").agg(F.count("*").alias("n"), F.count("tx_date").alias("n_tx"))
+    return make(spark, 1000).groupBy("product").agg(F.count("*").alias("n"), F.count("tx_date").alias("n_tx"), F.round(F.sum("tx_amount"), 0).alias("turnover"), F.count_if(F.col("tx_type") == "court").alias("n_court"), F.min("tx_date").alias("first_tx"))
+
+
+# --- helpers that other operators are made of ---------------------------------------------------
+
+
+@query(f"{OBS} SELECT row_id, CASE WHEN code IN ('nan', 'NaN', 'None', 'null', 'NULL', '') THEN NULL ELSE TRY_CAST(code AS DOUBLE) END AS code, price, CAST(target AS DOUBLE) AS target, priority, date_diff('day', CAST(date AS DATE), DATE '2000-01-01') AS days_since, CASE WHEN priority IS NULL THEN NULL ELSE 'categorical' END AS kind FROM obs")
+def numeric_frame(spark, d):
+    t = observations(spark, d).select("row_id", "code", "price", "target", "priority", "date")
+    numbers, texts = C.split_feature_types(t, ["code", "price", "priority"])
+    t = C.to_numeric_frame(t, ["code", "price", "target", "priority"], texts)
+    kind = F.when(F.col("priority").isNotNull(), F.lit("categorical" if texts == ["priority"] and numbers == ["code", "price"] else "wrong"))
+    return t.withColumn("days_since", C.days_between(F.lit("2000-01-01"), F.col("date").cast("string"))).withColumn("kind", kind).drop("date")
+
+
+@query(f"{OBS} SELECT row_id, round(ln(p / (1 - p)), 6) AS logit FROM (SELECT row_id, greatest(least(CASE WHEN row_id % 50 = 0 THEN 0 WHEN row_id % 50 = 1 THEN 1 ELSE score END, 1 - 1e-15), 1e-15) AS p FROM obs)")
+def prob_to_logit(spark, d):
+    p = F.when(F.col("row_id") % 50 == 0, 0.0).when(F.col("row_id") % 50 == 1, 1.0).otherwise(F.col("score"))
+    return observations(spark, d).select("row_id", F.round(C.prob_to_logit(p), 6).alias("logit"))
+
+
+@query(f"{OBSR}, {_greedy_sql('obs', 'quantity', 10)}, pl AS (SELECT {_GB} AS bucket, target AS y FROM obs), {_woe_sql('pl', 'bucket')} SELECT round(sum(iv), 9) AS iv FROM wi")
+def information_value(spark, d):
+    return rounded(stability.information_value(observations(spark, d), "quantity", "target"), 9)
+
+
+@query(f"{OBSR}, {_greedy_sql('obs', 'quantity', 6)}, pl AS (SELECT {_GB} AS bucket, quantity FROM obs) SELECT bucket, round(min(quantity), 6) AS least, round(max(quantity), 6) AS largest, CASE WHEN bucket = -1 THEN 'quantity is null' END AS label FROM pl GROUP BY bucket")
+def bucket_ranges(spark, d):
+    t = stability.bucket_ranges(stability.quantile_buckets(observations(spark, d), "quantity", 6), "quantity")
+    text = F.format_string("quantity in [%.4g, %.4g]", "least", "largest")
+    return rounded(t.withColumn("label", F.when(F.col("label") == text, F.lit(None)).otherwise(F.col("label"))))
+
+
+@query(f"{OBS}, " + _psi_sql(f"SELECT priority, count(*) FILTER ({_SPLIT}) AS expected, count(*) FILTER (NOT {_SPLIT}) AS actual FROM obs GROUP BY 1") + " SELECT round(sum((sa - es) * ln(sa / es)), 9) AS psi FROM ps")
+def psi_from_counts(spark, d):
+    t = observations(spark, d)
+    counts = lambda x: x.groupBy(F.col("priority").alias("bin")).agg(F.count("*").alias("n"))
+    return rounded(stability.psi_from_counts(counts(t.filter(_SPLIT)), counts(t.filter(f"NOT {_SPLIT}"))), 9)
+
+
+_SPF = ("price", "acctbal", "n_lines")
+_SPR = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0e0 END AS {c}" for c in _SPF)
+
+
+@query(f"{OBS}, rk AS (SELECT {_SPR} FROM obs) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({_corr_sql(a, b)}, 6) AS corr FROM rk" for k, a in enumerate(_SPF) for b in _SPF[k + 1 :]))
+def corr_spearman(spark, d):
+    return rounded(selection.correlation_matrix(observations(spark, d), list(_SPF), "spearman"), 6)
+
+
+@query(f"{OBS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({_corr_sql(a, b)}, 6) AS corr FROM obs" for k, a in enumerate(_CF) for b in _CF[k + 1 :]))
+def corr_by_products(spark, d):
+    return rounded(selection.correlation_matrix(observations(spark, d), list(_CF), chunk=0), 6)
+
+
+_TS = "ts AS (SELECT *, CASE WHEN date >= TIMESTAMP '2000-01-01' THEN 'test' WHEN rk <= round_even(cn * CAST(0.2 AS DOUBLE), 0) THEN 'val' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY target, date < TIMESTAMP '2000-01-01' ORDER BY md5('42|' || row_id), row_id) AS rk, count(*) OVER (PARTITION BY target, date < TIMESTAMP '2000-01-01') AS cn FROM obs))"
+
+
+@query(f"{OBS}, {_TS} SELECT part, count(*) AS n, round(sum(price), 2) AS price, CAST(sum(target) AS BIGINT) AS n_target FROM ts WHERE part <> 'train' GROUP BY part")
+def eval_sets(spark, d):
+    s = splits.time_split(observations(spark, d), "target", "date", "row_id", "2000-01-01")
+    sets = s.eval_sets()
+    parts = [s.xy(name, ["price"]).agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"), F.sum("target").cast("long").alias("n_target")) for name in sets]
+    return parts[0].union(parts[1])
+
+
+@query(f"{OBS}, {_TS} SELECT part, count(*) AS n, count(DISTINCT row_id) AS n_keys, CAST(sum(row_id) AS BIGINT) AS ids FROM ts GROUP BY part")
+def split_parts_are_disjoint(spark, d):
+    s = splits.time_split(observations(spark, d), "target", "date", "row_id", "2000-01-01")
+    s.check("row_id")
+    return s.labeled().groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("n_keys"), F.sum("row_id").alias("ids"))
+
+
+@query(f"{OBS}, r AS (SELECT *, {_RANK} FROM obs), a AS (SELECT count(*) AS al FROM obs) SELECT row_id FROM r, a WHERE rk <= round_even(cn * least(CAST(1 AS DOUBLE), CAST(700 AS DOUBLE) / al), 0)")
+def stratified_cap(spark, d):
+    return splits.stratified_cap(observations(spark, d), "target", "row_id", 700).select("row_id")
+
+
+@query(f"{OBS}, r AS (SELECT row_id, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS rk, count(*) OVER () AS cn FROM obs) SELECT row_id, CASE WHEN rk <= round_even(cn * CAST(0.2 AS DOUBLE), 0) THEN 0 ELSE -1 END AS fold FROM r")
+def holdout_fold(spark, d):
+    return splits.make_folds(observations(spark, d), "target", "row_id", 1, stratify=False).select("row_id", "fold")
+
+
+@query(f"{OBS}, {_rank_sql('obs', '', 'target', 'score')}, ls AS (SELECT avg(-(target * ln(score) + (1 - target) * ln(1 - score))) AS logloss, avg((score - target) * (score - target)) AS brier FROM obs) SELECT unnest(['roc_auc', 'gini', 'ks', 'pr_auc', 'logloss', 'brier']) AS metric, unnest([round(auc, 9), round(2 * auc - 1, 9), round(ks, 9), round(pr_auc, 9), round(logloss, 9), round(brier, 9)]) AS value, unnest([true, true, true, true, false, false]) AS greater_is_better FROM r, ls")
+def metric_registry(spark, d):
+    t, parts = observations(spark, d), []
+    for name in ("roc_auc", "gini", "ks", "pr_auc", "logloss", "brier"):
+        m = ranking.get_metric(name)
+        parts.append(m.func(t, "target", "score").select(F.lit(m.name).alias("metric"), F.round("value", 9).alias("value"), F.lit(m.greater_is_better).alias("greater_is_better")))
+    from functools import reduce
+
+    return reduce(DataFrame.union, parts)
+
+
+@query(f"{OBS} SELECT segment, round(avg(abs(score - target)), 9) AS value FROM obs GROUP BY segment")
+def custom_metric(spark, d):
+    m = ranking.get_metric(lambda y, p: abs(y - p).mean())
+    return rounded(m.func(observations(spark, d), "target", "score", ["segment"]), 9)
+
+
+@query(f"{OBS} SELECT row_id, segment, price, quantity, target FROM obs WHERE row_id % 3 = 1")
+def csv_round_trip(spark, d):
+    import uuid
+
+    from riskloom.plans.relational import shared_folder
+    from riskloom.sources.tables import read_csv, write_csv
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(observations(spark, d).filter("row_id % 3 = 1").select("row_id", "segment", "price", "quantity", "target"), path)
+    return read_csv(spark, path, "row_id long, segment string, price double, quantity double, target int")
+
+
+@query(f"{OBS}, hb AS (SELECT quantile_cont(price, 0.01) AS a, quantile_cont(price, 0.99) AS b FROM obs), x AS (SELECT least(greatest(price, a), b) AS x FROM obs, hb), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x), g AS (SELECT CAST(i AS INT) AS bin, lo + i * ((hi - lo) / 10) AS l, CASE WHEN i = 9 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 10) END AS r FROM e, range(10) t(i)), c AS (SELECT bin, count(x) AS n FROM g LEFT JOIN x ON x >= l AND (x < r OR bin = 9) GROUP BY bin) SELECT g.bin AS bin, round(l, 5) AS \"left\", round(r, 5) AS \"right\", n FROM g JOIN c USING (bin)")
+def distribution(spark, d):
+    return rounded(eda.distribution(observations(spark, d), "price", bins=10, log_scale=False)[0], 5)
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, count(*) AS n_total, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS n_positive, round(avg(CASE WHEN event_type = 'error' THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS rate FROM events WHERE ts IS NOT NULL GROUP BY 1")

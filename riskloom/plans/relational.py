@@ -6,22 +6,27 @@ import math
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` evaluated once, its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    Where that is unset, a local master gets a temporary folder; a cluster must name one that all machines share.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not configured and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one for a local master and an error on a cluster."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not configured:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(configured or f"file://{tempfile.mkdtemp(prefix='riskloom-')}")
+        configured = f"file://{tempfile.mkdtemp(prefix='riskloom-')}"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return configured.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once, its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
