@@ -332,7 +332,7 @@ def _batch_scorer(trees: list[list[dict]]):
         column = lambda name, nodes=nodes: np.array([n.get(name, 0) for n in nodes])
         tables.append((inner, column("feature"), goes_left, column("left"), column("right"), column("value").astype("f8")))
 
-    def total(x: pd.Series) -> pd.Series:
+    def total(x):
         bins = np.minimum(np.stack(x.to_numpy()), width - 1) if len(x) else np.zeros((0, 1), "i4")
         out, every = np.zeros(len(bins)), np.arange(len(bins))
         for inner, feature, goes_left, left, right, value in tables:
@@ -343,6 +343,7 @@ def _batch_scorer(trees: list[list[dict]]):
             out += value[at]
         return pd.Series(out)
 
+    total.__annotations__ = {"x": pd.Series, "return": pd.Series}
     return F.pandas_udf(total, "double")
 
 

@@ -154,3 +154,37 @@ def test_streaming_dynamics_equal_the_batch(spark, small, tmp_path):
     got = {(str(r["period"]), r["n_total"], r["n_positive"]) for r in spark.table("dyn").collect()}
     want = {(str(r["period"]), r["n_total"], r["n_positive"]) for r in eda.target_dynamics(batch.withColumn("y", (F.col("event_type") == "error").cast("int")), "ts", "y", freq="day").collect()}
     assert got == want
+
+
+def test_all_groups_above_the_least_size_are_kept(spark):
+    from datetime import date
+
+    n = 10_050
+    df = spark.range(n).select(F.col("id").alias("client_id"), F.lit(date(2020, 1, 1)).alias("retro_dt"), F.lit(5.0).alias("balance"), F.lit(0).cast("long").alias("tx_days"), (F.col("id") + 1.0).alias("amount"), F.col("id").cast("string").alias("kind"))
+    roles = {"client": "client_id", "days": "tx_days", "amount": "amount", "balance": "balance", "retro": "retro_dt", "horizon": 0}
+    assert vintage.vintage_by_type(df, "kind", min_tx=1, **roles).count() == n
+    assert vintage.vintage_by_segment(df, "kind", min_contracts=1, **roles).count() == n
+    assert {r["sample"] for r in vintage.vintage_by_type(df, "kind", top_k=2, **roles).collect()} == {str(n - 1), str(n - 2)}
+
+
+def test_quantiles_equal_the_builtin(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.floor(F.randn(3) * 20) / 4).alias("x"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    from pyspark.sql import Window as W
+
+    from riskloom.plans.relational import quantiles, running
+
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    got = {r["g"]: r["quantiles"] for r in quantiles(df, "x", shares, ["g"]).collect()}
+    assert got.keys() == want.keys() and all(a == pytest.approx(b) for g in got for a, b in zip(got[g], want[g], strict=True))
+    for buckets in (1, 7, 100):
+        h = df.filter("x IS NOT NULL").groupBy("g", "x").agg(F.count("*").alias("n"))
+        rows = running(h, ["g"], "x", {"c": F.col("n")}, buckets).withColumn("w", F.sum("n").over(W.partitionBy("g").orderBy("x")))
+        assert rows.filter("c <> w").count() == 0
+
+
+def test_correlations_by_products_equal_the_aggregates(spark):
+    df = spark.range(300).select(F.randn(1).alias("a"), F.when(F.col("id") % 5 > 0, F.randn(2) + 1e6).alias("b"), F.lit(3.0).alias("c"), F.lit(None).cast("double").alias("d"))
+    both = [{(r["a"], r["b"]): r["corr"] for r in selection.correlation_matrix(df, ["a", "b", "c", "d"], chunk=k).collect()} for k in (200, 0)]
+    assert both[0].keys() == both[1].keys()
+    assert all((x is None) == (both[1][k] is None) and (x is None or x == pytest.approx(both[1][k], abs=1e-9)) for k, x in both[0].items())

@@ -1,5 +1,6 @@
 """Behaviour of models, wrappers and tests on a table with known signal."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,103 @@ def test_report_and_experiment(data, tmp_path):
         tracking.Experiment(str(tmp_path), "p", version=1)
     rows = {x["part"]: x for x in r.tables["metrics"].collect()}
     assert rows["train"]["score_psi"] == 0 and rows["val"]["auc"] > 0.6
+
+
+def brute_boosting(bins, y, cats, trees, depth, rate, ridge=1.0, min_leaf=20):
+    """Margins of Newton boosting over bins by plain loops over the rows' histograms."""
+    q = y.mean()
+    margin = np.full(len(y), np.log(q / (1 - q)))
+    score = lambda g, h: g * g / (h + ridge)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        step, leaves = np.zeros(len(y)), [np.arange(len(y))]
+        for level in range(depth + 1):
+            following = []
+            for rows in leaves:
+                sg, sh, best = g[rows].sum(), h[rows].sum(), None
+                step[rows] = rate * sg / (sh + ridge)
+                for f in range(bins.shape[1]) if level < depth else ():
+                    b = bins[rows, f]
+                    present = sorted(set(b.tolist()) - {0})
+                    if f in cats:
+                        order = sorted(set(b.tolist()), key=lambda v, b=b, rows=rows: (g[rows][b == v].sum() / (h[rows][b == v].sum() + ridge), v))
+                        sides = [set(order[:k]) for k in range(1, len(order))]
+                    else:
+                        sides = [s for k in range(1, len(present)) for s in (set(present[:k]), *([set(present[:k]) | {0}] if (b == 0).any() else []))]
+                        sides += [set(present)] if (b == 0).any() and present else []
+                    for side in sides:
+                        left = np.isin(b, list(side))
+                        if min(left.sum(), (~left).sum()) < min_leaf:
+                            continue
+                        lg, lh = g[rows][left].sum(), h[rows][left].sum()
+                        gain = score(lg, lh) + score(sg - lg, sh - lh) - score(sg, sh)
+                        if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                            best = (gain, rows[left], rows[~left])
+                if best:
+                    following += best[1:]
+            leaves = following
+        margin = margin + step
+    return margin
+
+
+def test_boosting_equals_plain_loops(spark, data):
+    features = ["x1", "x2", "cat"]
+    rows = data.filter("row_id < 800").cache()
+    m = models.make_model("small", n_trees=13, depth=2, learning_rate=0.3, max_bins=8).fit(rows, "y", features)
+    table = m.predict(m.preparer.transform(rows), "p").select("y", "p", "__bin_0", "__bin_1", "__bin_2").toPandas()
+    margin = brute_boosting(table[["__bin_0", "__bin_1", "__bin_2"]].to_numpy(), table["y"].to_numpy().astype("f8"), {2}, 13, 2, 0.3)
+    assert np.allclose(table["p"], 1 / (1 + np.exp(-margin)), atol=1e-9)
+
+
+def test_large_models_are_scored_in_batches(spark, data, monkeypatch):
+    m = models.make_model("small", n_trees=3).fit(data.filter("fold = 0"), "y", ["x1", "x2", "cat"])
+    plain = {r["row_id"]: r["p"] for r in m.predict(data, "p").collect()}
+    monkeypatch.setattr(models, "EXPRESSION_TREES", 1)
+    batches = {r["row_id"]: r["p"] for r in m.predict(data, "p").collect()}
+    assert all(abs(plain[k] - batches[k]) < 1e-12 for k in plain)
+
+
+def test_a_tree_costs_the_same_however_many_went_before(spark, data, monkeypatch):
+    monkeypatch.setattr(models, "CUT_EVERY", 1)
+    seen = []
+    grow = models.Boosting._grow
+    monkeypatch.setattr(models.Boosting, "_grow", lambda self, rows, grown, p: seen.append((len(grown), len(rows._jdf.queryExecution().optimizedPlan().toString()))) or grow(self, rows, grown, p))
+    models.make_model("small", n_trees=21, depth=1).fit(data.filter("row_id < 300"), "y", ["x1"])
+    assert [n for n, _ in seen] == [*range(10), *range(10), 0]
+    assert abs(seen[20][1] - seen[10][1]) < 0.2 * seen[10][1]
+
+
+def test_categories_beyond_the_cap_share_a_bin(spark):
+    df = spark.createDataFrame([(f"c{i:02d}",) for i in range(40) for _ in range(41 - i)] + [(None,)], "c string")
+    prepared = models.FeaturePreparer(["c"], ["c"], max_categories=30).fit(df)
+    bins = {r["c"]: r["b"] for r in df.select("c", prepared.bin(df, "c").alias("b")).distinct().collect()}
+    assert bins[None] == 0 and {bins[f"c{i:02d}"] for i in range(30, 40)} == {31} and len({bins[f"c{i:02d}"] for i in range(30)}) == 30
+    every = models.FeaturePreparer(["c"], ["c"]).fit(df)
+    assert len(every.categories["c"]) == 40  # more than the bins of numbers
+    unseen = spark.createDataFrame([("new",)], "c string")
+    assert unseen.select(every.bin(unseen, "c")).first()[0] == 0 and unseen.select(prepared.bin(unseen, "c")).first()[0] == 31
+
+
+def test_screened_candidates_are_reported(data):
+    split = splits.random_split(data.drop("fold"), "y", "row_id", 0.2)
+    t = feature_testing.test_features(split, ["noise"], ["x1", "x2", "cat"], n_splits=2, max_exact=1)
+    rows = {r["candidate"]: r for r in t.summary.collect()}
+    assert set(rows) == {"x1", "x2", "cat", "ALL"} and t.info["screened"] == 2
+    assert rows["x1"]["verdict"] != "screened" and rows["x2"]["verdict"] == rows["cat"]["verdict"] == "screened" and rows["x2"]["screen_delta"] is not None
+
+
+def test_domains_tell_shares_and_contributions(data):
+    split = splits.random_split(data.drop("fold"), "y", "row_id", 0.2)
+    t = feature_testing.test_domains(split, ["noise"], {"d": ["x1", "x2"]}, n_splits=2)
+    rows = t.info["features"].collect()
+    assert 0.5 < t.info["gain_share"]["d"] <= 1 and abs(sum(r["share"] for r in rows) - 1) < 1e-9 and rows[0]["feature"] == "x1"
+
+
+def test_leaves_of_a_univariate_tree(data):
+    rows = models.univariate_leaves(data, "y", ["x1", "cat"]).collect()
+    x1 = [r for r in rows if r["feature"] == "x1"]
+    assert sum(r["n"] for r in x1) == 3000 and abs(sum(r["share"] for r in x1) - 1) < 1e-9
+    assert all(a["largest"] <= b["least"] for a, b in zip(sorted(x1, key=lambda r: r["leaf"]), sorted(x1, key=lambda r: r["leaf"])[1:], strict=False))
+    scores = {r["feature"]: r for r in models.univariate_tree_scores(data, "y", ["x1", "cat"]).collect()}
+    assert scores["x1"]["n_leaves"] == len(x1) and scores["x1"]["monotonic"] and scores["cat"]["monotonic"] is None
