@@ -25,7 +25,7 @@ from riskloom.operators.splits import DataSplit, exact_sample, make_folds
 from riskloom.plans.relational import settled
 
 # Fixed values of the usual sizes: trees, depth, rate and rounds without improvement.
-BOOSTING = {"n_trees": 5000, "depth": 4, "learning_rate": 0.03, "min_leaf": 20, "ridge": 1.0, "max_bins": 32, "max_categories": 1000}
+BOOSTING = {"n_trees": 5000, "depth": 4, "learning_rate": 0.03, "min_leaf": 20, "ridge": 1.0, "max_bins": 32, "max_categories": 1000, "accuracy": 10_000}
 SMALL_BOOSTING = {**BOOSTING, "n_trees": 5, "depth": 2, "learning_rate": 0.6}
 FOREST_LIKE = {**BOOSTING, "n_trees": 5, "depth": 4, "learning_rate": 0.5}
 EARLY_STOPPING = 100
@@ -118,7 +118,7 @@ class Boosting:
     def fit(self, train: DataFrame, target: str, features: Sequence[str], categorical: Sequence[str] | None = None, valid: DataFrame | None = None, metric="roc_auc", patience: int = EARLY_STOPPING, weight: str | None = None, margin: str | None = None) -> Boosting:
         p = self.params
         self.features = list(features)
-        self.preparer = FeaturePreparer(self.features, list(categorical) if categorical is not None else None, p["max_bins"], max_categories=p["max_categories"]).fit(train)
+        self.preparer = FeaturePreparer(self.features, list(categorical) if categorical is not None else None, p["max_bins"], max_categories=p["max_categories"], accuracy=p["accuracy"]).fit(train)
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
         columns = [f"__bin_{k}" for k in range(len(self.features))]
         mean = train.filter(F.col(target).isNotNull()).agg(F.sum(F.col(target) * w) / F.sum(w)).first()[0] or 0.0

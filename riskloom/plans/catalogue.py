@@ -827,6 +827,77 @@ def demo_transactions(spark, d):
     return make(spark, 1000).groupBy("product").agg(F.count("*").alias("n"), F.count("tx_date").alias("n_tx"), F.round(F.sum("tx_amount"), 0).alias("turnover"), F.count_if(F.col("tx_type") == "court").alias("n_court"), F.min("tx_date").alias("first_tx"))
 
 
+# --- models of one split, which SQL can grow too -------------------------------------------------
+
+
+def _stump():
+    """Boosting of one tree with one split, its edges exact."""
+    from riskloom.operators.models import make_model
+
+    return make_model("small", n_trees=1, depth=1, accuracy=1_000_000)
+
+
+def _stumps_sql(members: str) -> str:
+    """CTEs ending in au (o, part, auc): models ``o`` of one split, fitted on train and scored by part.
+
+    ``members`` are CTEs ending in fe (o, feature), tn (o, row_id) and ev (o, part, row_id) over sg.
+    """
+    cuts = ", ".join(f"CAST({k} AS DOUBLE) / 31" for k in range(1, 31))
+    values = " UNION ALL ".join(f"SELECT row_id, '{f}' AS feature, {f} AS x FROM sg" for f in MODEL_NUMBERS)
+    return f"""{_SIGNAL}, {members}, va AS ({values}), tx AS (SELECT tn.o AS o, feature, row_id, x FROM tn JOIN fe ON fe.o = tn.o JOIN va USING (feature, row_id)),
+tq AS (SELECT o, feature, x, row_number() OVER (PARTITION BY o, feature ORDER BY x) AS rk, count(*) OVER (PARTITION BY o, feature) AS nx FROM tx WHERE x IS NOT NULL),
+ta AS (SELECT o, feature, list(x) AS e FROM (SELECT DISTINCT o, feature, x FROM tq JOIN (SELECT unnest([{cuts}]) AS q) ON rk = greatest(1, CAST(ceil(q * nx) AS BIGINT))) GROUP BY 1, 2),
+mu AS (SELECT o, avg(target) AS q FROM tn JOIN sg USING (row_id) GROUP BY o), tb AS (SELECT o, feature, row_id, CASE WHEN x IS NULL THEN 0 ELSE len(list_filter(e, lambda v: v < x)) + 1 END AS b FROM tx JOIN ta USING (o, feature)),
+hi AS (SELECT o, feature, b, CAST(count(*) AS DOUBLE) AS n, sum(target - q) AS g, count(*) * any_value(q * (1 - q)) AS h FROM tb JOIN sg USING (row_id) JOIN mu USING (o) GROUP BY 1, 2, 3),
+to_ AS (SELECT o, feature, sum(n) AS n, sum(g) AS g, sum(h) AS h, max(b) AS top, sum(n) FILTER (b = 0) AS nm FROM hi GROUP BY 1, 2),
+op AS (SELECT c.o AS o, c.feature AS feature, c.b AS cut, ml FROM hi c JOIN to_ USING (o, feature) CROSS JOIN (SELECT unnest([false, true]) AS ml) WHERE c.b > 0 AND (c.b < top OR (nm > 0 AND NOT ml)) AND (NOT ml OR nm > 0)),
+sd AS (SELECT op.o AS o, op.feature AS feature, cut, ml, sum(hi.n) AS ln, sum(hi.g) AS lg, sum(hi.h) AS lh FROM op JOIN hi ON hi.o = op.o AND hi.feature = op.feature AND ((hi.b > 0 AND hi.b <= cut) OR (hi.b = 0 AND ml)) GROUP BY 1, 2, 3, 4),
+gn AS (SELECT sd.*, to_.g AS g, to_.h AS h, lg * lg / (lh + 1) + (g - lg) * (g - lg) / (h - lh + 1) - g * g / (h + 1) AS gain FROM sd JOIN to_ USING (o, feature) WHERE ln >= 20 AND n - ln >= 20),
+be AS (SELECT * FROM gn QUALIFY row_number() OVER (PARTITION BY o ORDER BY gain DESC, feature, cut, ml) = 1),
+pr AS (SELECT be.o AS o, part, row_id, CASE WHEN (x IS NULL AND ml) OR (x IS NOT NULL AND len(list_filter(e, lambda v: v < x)) + 1 <= cut) THEN lg / (lh + 1) ELSE (g - lg) / (h - lh + 1) END AS p FROM be JOIN ev USING (o) JOIN va USING (feature, row_id) JOIN ta USING (o, feature)),
+pl AS (SELECT o, part, target AS y, p FROM pr JOIN sg USING (row_id)), {_rank_sql('pl', 'o, part')}, au AS (SELECT o, part, auc FROM r)"""
+
+
+_EACH = f"(SELECT unnest([{', '.join(repr(f) for f in MODEL_NUMBERS)}]) AS feature)"
+_BY_FOLD = f"fo AS (SELECT DISTINCT fold AS o FROM sf), fe AS (SELECT o, feature FROM fo CROSS JOIN {_EACH}), tn AS (SELECT o, row_id FROM sf JOIN fo ON fold <> o), ev AS (SELECT fold AS o, 'valid' AS part, row_id FROM sf)"
+_PARTS = "tp AS (SELECT *, CASE WHEN date >= TIMESTAMP '2000-01-01' THEN 'test' WHEN rk <= round_even(cn * CAST(0.2 AS DOUBLE), 0) THEN 'val' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY target, date < TIMESTAMP '2000-01-01' ORDER BY md5('42|' || row_id), row_id) AS rk, count(*) OVER (PARTITION BY target, date < TIMESTAMP '2000-01-01') AS cn FROM sg))"
+
+
+@query(_stumps_sql(_BY_FOLD) + " SELECT CAST(o AS INT) AS fold, round(auc, 9) AS score FROM au")
+def cv_scores_of_stumps(spark, d):
+    from riskloom.operators import models
+
+    cv = models.cross_validate(_folds(spark, d), "target", list(MODEL_NUMBERS), model=_stump(), segment="segment")
+    return spark.createDataFrame([(k, round(s, 9)) for k, s in enumerate(cv.scores)], "fold int, score double")
+
+
+@query(_stumps_sql(f"{_PARTS}, fe AS (SELECT 0 AS o, feature FROM {_EACH}), tn AS (SELECT 0 AS o, row_id FROM tp WHERE part = 'train'), ev AS (SELECT 0 AS o, part, row_id FROM tp)") + " SELECT part, round(auc, 9) AS score FROM au")
+def train_scores_of_a_stump(spark, d):
+    from riskloom.operators import models
+
+    fitted = models.train_model(_split(spark, d), list(MODEL_NUMBERS), _stump())
+    return spark.createDataFrame([(k, round(v, 9)) for k, v in fitted.scores_.items()], "part string, score double")
+
+
+@query(_stumps_sql(f"{_PARTS}, si AS (SELECT unnest([300, 600]) AS o), fe AS (SELECT o, feature FROM si CROSS JOIN {_EACH}), ot AS (SELECT row_id, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS rk FROM tp WHERE part = 'train'), tn AS (SELECT o, row_id FROM ot JOIN si ON rk <= o), ev AS (SELECT o, part, row_id FROM tp CROSS JOIN si WHERE part = 'val')") + " SELECT CAST(o AS INT) AS size, round(auc, 9) AS score FROM au")
+def sample_size_of_stumps(spark, d):
+    from riskloom.operators import models
+
+    t = models.sample_size_curve(_split(spark, d), list(MODEL_NUMBERS), [300, 600], model=_stump())
+    return rounded(t.select("size", "score"), 9)
+
+
+_SETS = "ms AS (SELECT unnest([0, 1, 2]) AS o), fe AS (SELECT o, 'discount' AS feature FROM ms UNION ALL SELECT 1, 'quantity' UNION ALL SELECT 2, 'price'), tn AS (SELECT o, row_id FROM tp CROSS JOIN ms WHERE part = 'train'), ev AS (SELECT o, part, row_id FROM tp CROSS JOIN ms WHERE part <> 'test')"
+
+
+@query(_stumps_sql(f"{_PARTS}, {_SETS}") + ", pv AS (SELECT o, max(auc) FILTER (part = 'train') AS t, max(auc) FILTER (part = 'val') AS v FROM au GROUP BY o) SELECT CASE o WHEN 0 THEN 'BASE' WHEN 1 THEN 'quantity' ELSE 'price' END AS added, round(t, 9) AS train, round(v, 9) AS valid, round(t - (SELECT t FROM pv WHERE o = 0), 9) AS delta_train, round(v - (SELECT v FROM pv WHERE o = 0), 9) AS delta_valid FROM pv")
+def forward_addition_of_stumps(spark, d):
+    from riskloom.operators import wrappers
+
+    s = _split(spark, d)
+    return rounded(wrappers.forward_addition(s.train, s.val, "target", ["discount"], ["quantity", "price"], model=_stump()).table, 9)
+
+
 # --- helpers that other operators are made of ---------------------------------------------------
 
 
