@@ -6,8 +6,8 @@ probability of being good is at least ``threshold``. No rule alone rejects, exce
 (too few words or too much repetition) that callers ask for by ``base_failed``.
 
 Rule statistics are made row by row from whole texts, without a shuffle. Only counts of vote
-patterns, at most 3 ** rules rows whatever the input, reach the driver, and the posterior goes back
-as a map literal of that many entries at most.
+patterns, at most 3 ** rules rows whatever the input, reach the driver, and the posteriors go back as
+a table of that many rows at most, joined by pattern.
 
 Defined results: null, empty and blank texts have no words and fail the base test; repeated rows
 repeat; an empty table gives no rows; other columns are ignored.
@@ -15,12 +15,13 @@ repeat; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut
+from riskloom.llm.common import cut, joined_to
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -159,11 +160,12 @@ def posteriors(stats: DataFrame) -> dict[tuple[int, ...], float]:
 
 def decided(stats: DataFrame, post: dict[tuple[int, ...], float], threshold: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """``stats`` with base_failed, p_good and kept."""
-    entries = [x for p, v in post.items() for x in (F.lit(",".join(map(str, p))), F.lit(float(v)))]
-    known = F.create_map(*entries) if entries else F.create_map().cast("map<string,double>")
+    known = json.dumps([{"pattern": ",".join(map(str, p)), "p_good": float(v)} for p, v in post.items()])
+    table = stats.sparkSession.range(1).select(F.inline(F.from_json(F.lit(known), "array<struct<pattern:string,p_good:double>>")))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    scored = _voted(stats).withColumn("p_good", F.coalesce(F.element_at(known, F.concat_ws(",", F.col("votes").cast("array<string>"))), F.lit(0.0)))
-    return scored.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop("votes")
+    voted = _voted(stats).withColumn("pattern", F.concat_ws(",", F.col("votes").cast("array<string>"))).drop("votes")
+    scored = voted.join(F.broadcast(table), "pattern", "left").drop("pattern").withColumn("p_good", F.coalesce("p_good", F.lit(0.0)))
+    return scored.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -173,9 +175,14 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **li
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. Statistics are made twice rather than texts shuffled."""
-    post = posteriors(statistics(docs, id_col, text_col))
-    stats = statistics(docs, id_col, text_col, keep=tuple(docs.columns)).withColumn("row", F.monotonically_increasing_id())
-    # a filter that names a row number isn't pushed below the statistics, where it would repeat them for every use
-    kept = decided(stats, post, **limits).filter(F.col("kept") & (F.col("row") >= 0))
-    return kept.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    A verdict depends on the text alone. Statistics are made once, with the text's digest, and saved;
+    rows whose digest was rejected go, by a join that leaves texts where they lie if these are few.
+    """
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    own = docs.select(F.col(id_col), F.col(text_col), digest.alias("digest_"))
+    stats = cut(statistics(own, id_col, text_col, keep=("digest_",)))
+    gone = cut(decided(stats, posteriors(stats), **limits).filter(~F.col("kept")).select(F.col("kept_0").alias("digest_")).distinct())
+    marked = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest_"))
+    return joined_to(marked, gone, ["digest_"], "left_anti").select("row.*")
