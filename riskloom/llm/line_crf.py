@@ -6,7 +6,8 @@ whose lines take the document's label. A document's score is the mean of its lin
 marginals of good, weighted by their lengths, put through a logistic map fitted on the same sample.
 
 The model is fitted on at most ``max_docs`` labelled documents, drawn by a seeded hash among those
-not held out; that sample alone reaches the driver, as features. Scoring reads whole texts in one
+not held out, and on those of them with at most ``max_lines`` lines; that sample alone reaches the
+driver, as features. Of texts that share an id the one with the least features is taken. Scoring reads whole texts in one
 pass without a shuffle.
 
 Defined results: texts without a word score 0; with no labels every text with a word scores one
@@ -182,8 +183,8 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
-    """A model of at most ``max_docs`` labelled documents that are not held out."""
+def fitted(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_lines: int = 5000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
+    """A model of at most ``max_docs`` labelled documents of at most ``max_lines`` lines that are not held out."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("good")).filter(F.col("doc_id").isNotNull() & F.col("good").isin(0, 1) & ~held_out("doc_id"))
     sample = known.groupBy("doc_id").agg(F.max("good").alias("good")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_docs)
 
@@ -194,8 +195,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, seed: int =
             cells = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts * x.shape[1]))), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), cells], names=["doc_id", "good", "cells"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "good", "text")
-    rows = texts.mapInArrow(run, "doc_id long, good int, cells array<double>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").filter(F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) < max_lines).select(F.col("doc_id").cast("long").alias("doc_id"), "good", "text")
+    rows = texts.mapInArrow(run, "doc_id long, good int, cells array<double>").groupBy("doc_id").agg(F.min(F.struct("good", "cells")).alias("x")).select("doc_id", "x.good", "x.cells").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return LineCrf().fit(np.zeros((0, FEATURES)), np.zeros(0, "i8"), np.zeros(0, "i8"))
     cells = rows.column("cells").combine_chunks()

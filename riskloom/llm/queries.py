@@ -11,46 +11,56 @@ from riskloom.llm.common import table
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and decoded bytes of every whole text; null texts are empty."""
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and offset; null texts have the end id alone."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null pages have the empty text."""
     return style_tree.main_texts(table(spark, sf_dir, "pages"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law ``rows``; null texts have size 1."""
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; empty texts share fingerprint zero."""
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; texts without a word score 0."""
     docs = table(spark, sf_dir, "documents")
     return line_crf.scored(docs, line_crf.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of every hundredth vector; vectors that are null or not finite take no part."""
     vectors = topk_threshold.quantised(table(spark, sf_dir, "embeddings"))
     return topk_threshold.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
 def op5_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics, base test and verdict of every document; null texts have no words and fail."""
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
     return weak_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without bytes that repeated strings of 400 cover, its kept text last; null texts are empty."""
     found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), least=400)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives; null pages have the empty payload."""
     read = warc_zip.round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
