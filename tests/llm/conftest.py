@@ -20,7 +20,7 @@ def messy(spark):
         (10, "naïve café ß İ ς 日本語 テスト 123́\x1c\x85 it's I'LL <|endoftext|>", "fr", "d", 40),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = {c: c for c in ("start", "length", "fp", "key", "shard", "slot", "spans", "score", "held_out", "kept", "votes", "place", "h", "stratum")}
+    clash = {c: c for c in ("start", "length", "fp", "key", "shard", "slot", "spans", "score", "held_out", "kept", "votes", "place", "h", "stratum", "survivor_id", "row", "node", "g", "bands", "component", "digest_", "kept_0", "k1", "data", "pattern", "n")}
     from pyspark.sql import functions as F
 
     return df.withColumns({k: F.lit(v) for k, v in clash.items()}).cache()

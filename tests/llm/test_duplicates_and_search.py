@@ -324,7 +324,7 @@ def test_pages_of_the_tables_give_their_articles(spark, small):
         assert found[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
-def test_pipeline(spark, small, messy):
+def test_pipeline(spark, small):
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
@@ -342,8 +342,16 @@ def test_pipeline(spark, small, messy):
     assert kept <= {r["doc_id"] for r in start.collect()}
     packed = c.run(spark, small)
     assert {r["doc_id"] for r in packed.collect()} == kept
-    for _, stage in c.STAGES[1:]:
-        stage(spark, messy, small).count()
+
+
+def test_stages_on_messy_and_empty_tables(spark, small, messy, nothing):
+    import corpus_pipeline as c
+
+    for _, stage in c.STAGES:
+        out = stage(spark, messy, small)
+        assert stage == c.STAGES[-1][1] or out.columns == messy.columns
+        assert 0 < out.count() <= 12 or stage == c.STAGES[-1][1]
+        assert stage(spark, nothing, small).count() == 0
 
 
 def test_queries_equal_their_sql(spark, small, oracle):
