@@ -79,6 +79,15 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    # CRC-32 by bytes from its table of 256 remainders
+    "op2_sharding": """
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END)) AS crc),
+d AS (SELECT doc_id, source, coalesce(text, '') AS t, coalesce('=' || source, '') AS stratum, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, (CAST(row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) AS DOUBLE) - 0.5) / count(*) OVER (PARTITION BY stratum) AS fraction FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, md5('8|' || stratum), stratum, h, doc_id) AS place, count(*) OVER () AS total FROM r)
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size,
+  CAST(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(crc[1 + CAST(xor(c, b) % 256 AS INT)], c // 256))) AS BIGINT) AS text_crc32,
+  'rows' AS law, CAST((place * 16 - 1) // total AS INTEGER) AS shard, CAST(place - 1 - ((place * 16 - 1) // total) * total // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p, k""",
     "op4_topk_threshold": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),

@@ -192,6 +192,12 @@ def test_shards_match_the_mixture(spark, small, bucket_rows):
             assert abs(n - share[s] * len(v) / len(placed)) <= 2
 
 
+def test_shards_do_not_depend_on_the_number_of_buckets(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = [sharding.interleaved_shards(docs, ["doc_id"], "doc_id", "source", 7, bucket_rows=n).sort("doc_id").collect() for n in (3, 50, 4096)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_shards_of_messy_tables(spark, messy, nothing):
     rows = sharding.sharded_documents(messy, 3).collect()
     want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in messy.collect())
