@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, line_crf, packing, sharding, simhash_trie, style_tree, suffix_dedup, topk_threshold, warc_zip, weak_rules
+from riskloom.llm import byte_bpe, line_crf, packing, periodic_runs, sharding, simhash_trie, style_tree, suffix_dedup, topk_threshold, warc_zip, weak_rules
 from riskloom.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, after a tenth of them got one planted; null texts have no words."""
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_style_tree": op1_style_tree,
     "op2_sharding": op2_sharding,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc_zip": op9_warc_zip,
     "op10_simhash_trie": op10_simhash_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
