@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import byte_bpe, line_crf, packing, periodic_runs, sharding, simhash_trie, style_tree, suffix_dedup, topk_threshold, warc_zip, weak_rules
+from riskloom.llm import byte_bpe, line_crf, merkle, packing, periodic_runs, pii_boosting, sharding, simhash_trie, style_tree, suffix_dedup, topk_threshold, warc_zip, weak_rules
 from riskloom.llm.common import table
 
 
@@ -65,6 +65,17 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans by kind, and all spans with those that the trees add; null texts have none."""
+    return pii_boosting.digests(pii_boosting.personal_spans(table(spark, sf_dir, "documents")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and inclusion proof of every document, folded from a changed row for every seventh; nulls are encoded apart from values."""
+    found = merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, after a tenth of them got one planted; null texts have no words."""
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
@@ -81,6 +92,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc_zip": op9_warc_zip,
     "op10_simhash_trie": op10_simhash_trie,
+    "op11_pii_boosting": op11_pii_boosting,
+    "op12_merkle": op12_merkle,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -94,6 +107,24 @@ p AS (SELECT *, row_number() OVER (ORDER BY fraction, md5('8|' || stratum), stra
 SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size,
   CAST(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(crc[1 + CAST(xor(c, b) % 256 AS INT)], c // 256))) AS BIGINT) AS text_crc32,
   'rows' AS law, CAST((place * 16 - 1) // total AS INTEGER) AS shard, CAST(place - 1 - ((place * 16 - 1) // total) * total // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM p, k""",
+    "op12_merkle": """
+WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END)) AS crc),
+e AS (SELECT doc_id, lang, n_chars, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(crc[1 + CAST(xor(c, b) % 256 AS INT)], c // 256))) % 7 = 0 AS hit,
+  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a, coalesce(strlen(text) || ':' || text, '-') AS z FROM documents, k),
+l AS (SELECT doc_id, lang, sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || z) AS leaf, CASE WHEN hit THEN sha256(a || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || z) END AS other FROM e),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (SELECT lang, 0 AS level, i, n, leaf AS digest FROM d
+  UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(digest || coalesce(following, '')) FROM (SELECT *, lead(digest) OVER (PARTITION BY lang ORDER BY i) AS following FROM t WHERE n > 1) x WHERE i % 2 = 0),
+s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, n, subroot AS digest FROM s
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(digest || coalesce(following, '')) FROM (SELECT *, lead(digest) OVER (ORDER BY i) AS following FROM u WHERE n > 1) x WHERE i % 2 = 0),
+w AS (SELECT DISTINCT level, n FROM u WHERE n > 1), v AS (SELECT DISTINCT lang, level, n FROM t WHERE n > 1),
+q AS (SELECT s.lang, list(CASE WHEN u.digest IS NULL THEN 'N' WHEN (s.i >> w.level) % 2 = 0 THEN 'R' || u.digest ELSE 'L' || u.digest END ORDER BY w.level) AS steps FROM s CROSS JOIN w LEFT JOIN u ON u.level = w.level AND u.i = xor(s.i >> w.level, 1) GROUP BY s.lang),
+p AS (SELECT d.lang, d.i, list(CASE WHEN t.digest IS NULL THEN 'N' WHEN (d.i >> v.level) % 2 = 0 THEN 'R' || t.digest ELSE 'L' || t.digest END ORDER BY v.level) AS steps FROM d JOIN v ON v.lang IS NOT DISTINCT FROM d.lang LEFT JOIN t ON t.lang IS NOT DISTINCT FROM d.lang AND t.level = v.level AND t.i = xor(d.i >> v.level, 1) GROUP BY d.lang, d.i),
+m AS (SELECT d.*, s.subroot, list_concat(coalesce(p.steps, []), coalesce(q.steps, [])) AS steps, (SELECT digest FROM u WHERE n = 1) AS root FROM d LEFT JOIN p ON p.lang IS NOT DISTINCT FROM d.lang AND p.i = d.i LEFT JOIN q ON q.lang IS NOT DISTINCT FROM d.lang JOIN s ON s.lang IS NOT DISTINCT FROM d.lang),
+f AS (SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_transform(steps, lambda x: substr(x, 2))), 'string_agg', '')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(other, leaf), steps), lambda a, x: CASE x[1] WHEN 'N' THEN sha256(a) WHEN 'R' THEN sha256(a || substr(x, 2)) ELSE sha256(substr(x, 2) || a) END) AS folded_root FROM m)
+SELECT *, folded_root = root AS verified FROM f""",
     "op4_topk_threshold": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
