@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,15 +74,16 @@ def small(side: DataFrame) -> bool:
 HOT_ROWS = 20_000
 
 
-def spread_to(large: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", rows: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
+def spread_to(large: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", rows: str = "n", hot_rows: int = HOT_ROWS, salt: Column | None = None) -> DataFrame:
     """Join a large table with a side of one row per key that counts the key's ``rows`` in the large one.
 
     Keys of more than ``hot_rows`` rows are dealt out: their rows get a salt each, of as many as their
     count asks for, and the side's row is repeated for every salt. The hot keys, at most one in
     ``hot_rows`` rows, are told to the large table by a measured broadcast. ``side`` should be cut already.
+    ``salt`` is what rows are dealt by; by default all their columns, which doesn't tell equal rows apart.
     """
     salts = F.ceil(F.col(rows) / hot_rows)
     hot = side.filter(F.col(rows) > hot_rows).select(*keys, salts.alias("salts_"))
-    dealt = joined_to(large, hot, keys, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*large.columns), "salts_"), F.lit(0)).cast("long")).drop("salts_")
+    dealt = joined_to(large, hot, keys, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*large.columns) if salt is None else salt, "salts_"), F.lit(0)).cast("long")).drop("salts_")
     repeated = side.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, F.lit(1)).cast("long") - 1)))
     return dealt.join(repeated, [*keys, "salt_"], how).drop("salt_")

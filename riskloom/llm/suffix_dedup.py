@@ -20,6 +20,9 @@ Every byte covered by a string of ``least`` bytes that starts at two or more pla
    those of a span share the bytes that all of them hold, so the hash of these is the part's key.
    A span of one place is a window itself, and what shares its key is repeated.
 
+Rows with the same id and text are put together first and count with their number; their verdict is joined back
+to all of them, dealt out over several tasks.
+
 Keys and contexts with very many places are dealt out over several tasks where places are joined
 with their counts.
 
@@ -41,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut, spread_to
+from riskloom.llm.common import cut, joined_to, small, spread_to
 
 GRAM = 8
 NO_ID = -(1 << 63)
@@ -200,12 +203,12 @@ def repeated_windows(contexts: list[tuple[bytes, bytes, int, int]], least: int)
 
 
 def _anchor_rows(rows: DataFrame, least: int) -> DataFrame:
-    """(k1, k2, key, context, place) of every anchor; place packs the anchor and its largest and least distance."""
+    """(k1, k2, key, context, place, copies) of every anchor; place packs the anchor and its largest and least distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            k1, k2, copies = (batch.column(k).to_numpy() for k in ("k1", "k2", "copies"))
             owner, keys, contexts, places = [], [], [], []
             fixed = least - min(least // 2, 250)
             for row, data in enumerate(batch.column("data")):
@@ -217,9 +220,9 @@ def _anchor_rows(rows: DataFrame, least: int) -> DataFrame:
                     places.append(a << 16 | (a - lo) << 8 | (a - hi))
             owner = np.asarray(owner, "i8")
             as_long = lambda v: pa.array(np.asarray(v, "u8").view("i8"))
-            yield pa.RecordBatch.from_arrays([pa.array(k1[owner]), pa.array(k2[owner]), as_long(keys), as_long(contexts), pa.array(np.asarray(places, "i8"))], names=["k1", "k2", "key", "context", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1[owner]), pa.array(k2[owner]), as_long(keys), as_long(contexts), pa.array(np.asarray(places, "i8")), pa.array(copies[owner])], names=["k1", "k2", "key", "context", "place", "copies"])
 
-    return rows.select("k1", "k2", "data").mapInArrow(run, "k1 long, k2 long, key long, context long, place long")
+    return rows.select("k1", "k2", "data", "copies").mapInArrow(run, "k1 long, k2 long, key long, context long, place long, copies long")
 
 
 def _with_bytes(rows: DataFrame, places: DataFrame, least: int) -> DataFrame:
@@ -323,17 +326,20 @@ def whole_range(least: int) -> list:
 
 
 def repeated_spans(rows: DataFrame, least: int, group_rows: int = 20_000) -> DataFrame:
-    """(k1, k2, s, e): byte ranges of ``rows`` (k1, k2, data) that together are all bytes to remove."""
+    """(k1, k2, s, e): byte ranges of ``rows`` (k1, k2, data, copies) that together are all bytes to remove.
+
+    A row stands for as many equal ones as ``copies`` says, so (k1, k2) is there once.
+    """
     found = _anchor_rows(rows, least)
-    keys = cut(found.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).filter("n > 1"))
+    keys = cut(found.groupBy("key").agg(F.count("*").alias("n"), F.sum("copies").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).filter("all > 1").drop("all"))
     met = cut(spread_to(found, keys, ["key"]).drop("n"))
     whole = met.filter("NOT mixed").select(*whole_range(least))
     mixed = met.filter("mixed").drop("mixed")
-    kinds = cut(mixed.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")))
-    copies = spread_to(mixed, kinds.filter("n > 1").select("key", "context", "n"), ["key", "context"]).select(*whole_range(least))
-    shared = kinds.groupBy("key").agg(F.count("*").alias("n"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
+    kinds = cut(mixed.groupBy("key", "context").agg(F.count("*").alias("n"), (F.sum("copies") == 1).alias("once"), F.min(F.struct("k1", "k2", "place")).alias("one")))
+    copies = spread_to(mixed, kinds.filter("NOT once").select("key", "context", "n"), ["key", "context"]).select(*whole_range(least))
+    shared = kinds.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("once").cast("int")).alias("single"))
     shared = cut(shared.filter("single > 0").select("key", "n"))
-    open_kinds = cut(spread_to(kinds.select("key", "one", (F.col("n") == 1).alias("once")), shared, ["key"]).select("key", "one.*", "once", "n"))
+    open_kinds = cut(spread_to(kinds.select("key", "one", "once"), shared, ["key"]).select("key", "one.*", "once", "n"))
     result = whole.union(copies).union(_sorted_spans(_with_bytes(rows, open_kinds.filter(F.col("n") <= group_rows), least), least))
     sizes = cut(shared.filter(F.col("n") > group_rows))
     if not sizes.isEmpty():
@@ -352,6 +358,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _once_each(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """One row (k1, k2, data, copies) for all that share k1 and k2; ``several`` counts those that more than one row has as n.
+
+    Copies are put together where they lie before they are shuffled.
+    """
+    counted = joined_to(rows, several, ["k1", "k2"], "left") if small(several) else spread_to(rows, several, ["k1", "k2"], "left", salt=F.monotonically_increasing_id())
+    one = counted.filter("n IS NULL").select("k1", "k2", "data", F.lit(1).cast("long").alias("copies"))
+    return one.union(counted.filter("n > 1").groupBy("k1", "k2").agg(F.first("data").alias("data"), F.first("n").alias("copies")))
+
+
 def deduplicated(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = True, group_rows: int = 20_000) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, the spans and the kept text.
 
@@ -363,8 +379,15 @@ def deduplicated(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text
     carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("data"), *carried)
-    runs = repeated_spans(rows, least, group_rows).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    met = rows.join(runs, ["k1", "k2"], "left")
+    several = cut(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"))
+    alone = several.isEmpty()
+    texts = rows.withColumn("copies", F.lit(1).cast("long")) if alone else cut(_once_each(rows, several))
+    runs = repeated_spans(texts, least, group_rows).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    if alone:
+        met = rows.join(runs, ["k1", "k2"], "left")
+    else:
+        counted = cut(runs.join(several, ["k1", "k2"], "left").withColumn("n", F.coalesce("n", F.lit(1))))
+        met = spread_to(rows, counted, ["k1", "k2"], "left", salt=F.monotonically_increasing_id()).drop("n")
     names = [f"kept_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

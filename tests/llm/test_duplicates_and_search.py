@@ -489,3 +489,31 @@ def test_named_wrappers_keep_what_the_page_is_about(wrapper):
     for body in (f"<article><p>{text}</p></article>{extra}", f"<div class='c'><p>{text}</p></div>" + extra.replace("article", "div")):
         found = style_tree.main_text(style_tree.parsed(f"<body><{wrapper}>{body}{closing}</body>"), set())
         assert found == text.strip()
+
+
+@pytest.mark.parametrize("group_rows", [20_000, 3])
+def test_repeated_rows_beside_other_texts_equal_brute_force(spark, group_rows):
+    import random
+
+    random.seed(9)
+    draw = lambda n: "".join(random.choice("abcdefgh é") for _ in range(n))
+    base, own = draw(700), draw(500)
+    rows = [(7, base)] * 50 + [(None, own)] * 30 + [(8, base[100:] + draw(60)), (None, draw(300) + own[:200] + "x"), (7, draw(450)), (9, draw(90) + base[300:450])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.deduplicated(df, 120, group_rows=group_rows).collect()
+    want = brute_removed([t.encode() for _, t in rows], 120)
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == collections.Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
+def test_many_equal_rows_cost_no_more_than_rows_with_ids(spark):
+    import time
+
+    text = " ".join(f"word{(i * i) % 991}" for i in range(160))
+    took = []
+    for own in ("id", "CAST(NULL AS long)"):
+        df = spark.range(40_000).selectExpr(f"{own} AS doc_id", f"'{text}' AS text").repartition(8)
+        began = time.time()
+        found = suffix_dedup.deduplicated(df, 400, with_text=False).groupBy("n_removed", "n_spans").count().collect()
+        took.append(time.time() - began)
+        assert [tuple(r) for r in found] == [(len(text), 1, 40_000)]
+    assert took[1] < 2 * took[0] + 5
