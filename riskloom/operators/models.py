@@ -1,9 +1,8 @@
 """Models: preparation, boosting on binned features, cross-validation, training, comparison, tuning.
 
-The learner is Newton boosting over histograms. Features are cut into at most ``max_bins`` bins once
-(missing values have a bin of their own) and every tree level is one aggregation of gradients by
-(node, feature, bin); only these histograms, whose size does not depend on the number of rows,
-reach the driver. Each row carries its margin, which is brought up to date every CHUNK trees, so the
+The learner is Newton boosting over histograms, leaf by leaf. Features are cut into at most ``max_bins`` bins once
+(missing values have a bin of their own); trees grow as ``growing`` tells, those of all folds, candidates and
+parameter sets of a call together (``fit_many``). Each row carries its margin, so the
 work a tree costs doesn't grow with the trees before it. Predictions of small models are column
 expressions; those of large ones are worked out in Arrow batches.
 """
@@ -15,25 +14,28 @@ import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import category_strings, category_of_number, detect_categorical, numeric
+from riskloom.functions.columns import category_of_number, category_strings, normalize_missing, numeric, to_number
+from riskloom.operators import growing
 from riskloom.operators.ranking import get_metric
-from riskloom.operators.splits import DataSplit, exact_sample, make_folds
-from riskloom.plans.relational import settled
-
-# Fixed values of the usual sizes: trees, depth, rate and rounds without improvement.
-BOOSTING = {"n_trees": 5000, "depth": 4, "learning_rate": 0.03, "min_leaf": 20, "ridge": 1.0, "max_bins": 32, "max_categories": 1000, "accuracy": 10_000}
-SMALL_BOOSTING = {**BOOSTING, "n_trees": 5, "depth": 2, "learning_rate": 0.6}
-FOREST_LIKE = {**BOOSTING, "n_trees": 5, "depth": 4, "learning_rate": 0.5}
+from riskloom.operators.splits import DataSplit, exact_sample, hash_rank
+from riskloom.plans.relational import TableInFolder
+
+# Fixed values of the usual sizes: trees, depth, leaves, rate, shares of rows and features a tree sees, rounds without improvement.
+BOOSTING = {"n_trees": 5000, "depth": 4, "num_leaves": 16, "learning_rate": 0.03, "subsample": 0.8, "colsample": 0.8, "min_leaf": 20, "ridge": 1.0, "max_bins": 32, "max_categories": 1000, "accuracy": 10_000, "seed": 42}
+PLAIN = {**BOOSTING, "num_leaves": None, "subsample": 1.0, "colsample": 1.0}
+SMALL_BOOSTING = {**PLAIN, "n_trees": 5, "depth": 2, "learning_rate": 0.6}
+FOREST_LIKE = {**PLAIN, "n_trees": 5, "depth": 4, "learning_rate": 0.5}
 EARLY_STOPPING = 100
 
-#: Trees that are grown before margins are brought up to date and the validation metric is looked at again.
+#: Trees that are grown before the validation metric is looked at again.
 CHUNK = 10
-#: Updates of the margins between two cuts of their lineage.
-CUT_EVERY = 10
+#: Trees between two cuts of the margins' lineage.
+CUT_EVERY = 20
 #: Models of more trees are scored in Arrow batches.
 EXPRESSION_TREES = 64
 
@@ -65,32 +67,34 @@ class FeaturePreparer:
             raise KeyError(f"columns are absent: {', '.join(absent)}")
 
     def fit(self, df: DataFrame) -> FeaturePreparer:
-        self._check(df)
-        if self.categorical is None:
-            self.categorical = detect_categorical(df.select(*self.features))
-        numbers = [f for f in self.features if f not in self.categorical]
-        texts = [f for f in self.features if f in self.categorical]
-        if numbers:
-            cuts = F.array(*[F.lit(k / (self.max_bins - 1)) for k in range(1, self.max_bins - 1)])
-            row = df.agg(*[F.percentile_approx(numeric(df, f), cuts, self.accuracy).alias(f) for f in numbers]).first()
-            self.edges = {f: sorted(set(row[f] or [])) for f in numbers}
-        for f in texts:
-            top = df.groupBy(self._text(df, f).alias("v")).agg(F.count("*").alias("n")).filter("v IS NOT NULL").orderBy(F.desc("n"), "v").limit(self.max_categories + 1)
-            found = [r["v"] for r in top.collect()]
-            self.categories[f] = sorted(found[: self.max_categories])
-            if len(found) > self.max_categories:
-                self.others.append(f)
+        prepare_many(df, [(self, F.lit(True))])
         return self
 
+    def fit_categories(self, df: DataFrame, f: str) -> None:
+        top = df.groupBy(self._text(df, f).alias("v")).agg(F.count("*").alias("n")).filter("v IS NOT NULL").orderBy(F.desc("n"), "v").limit(self.max_categories + 1)
+        found = [r["v"] for r in top.collect()]
+        self.categories[f] = sorted(found[: self.max_categories])
+        if len(found) > self.max_categories:
+            self.others.append(f)
+
+    def part(self, features: Sequence[str]) -> FeaturePreparer:
+        """The same bins for some of the features."""
+        own = lambda d: {f: d[f] for f in features if f in d}
+        return FeaturePreparer(list(features), [f for f in self.categorical or [] if f in features], self.max_bins, own(self.edges), own(self.categories), self.max_categories, [f for f in self.others if f in features], self.accuracy)
+
+    def width(self) -> int:
+        """Bins of the feature that has most, that of missing values included."""
+        return 2 + max([0, *map(len, self.edges.values()), *map(len, self.categories.values())])
+
     @staticmethod
     def _text(df: DataFrame, f: str) -> Column:
         return category_strings(F.col(f)) if dict(df.dtypes)[f] == "string" else category_of_number(F.col(f))
 
     def bin(self, df: DataFrame, f: str) -> Column:
         if f in self.categories:
-            known = F.array(*[F.lit(c) for c in self.categories[f]]).cast("array<string>")
-            at, text = F.array_position(known, self._text(df, f)).cast("int"), self._text(df, f)
-            rest = F.when(text.isNotNull() & (at == 0), len(self.categories[f]) + 1).otherwise(at) if f in self.others else at
+            text = self._text(df, f)
+            at = F.element_at(F.from_json(F.lit(json.dumps({c: k for k, c in enumerate(self.categories[f], 1)})), "map<string,int>"), text)
+            rest = F.coalesce(at, F.when(text.isNotNull(), len(self.categories[f]) + 1)) if f in self.others else at
             return F.coalesce(rest, F.lit(0))
         x, edges = numeric(df, f), self.edges[f]
         if not edges:
@@ -116,187 +120,49 @@ class Boosting:
         return Boosting(self.loss, self.name, **merge_params(self.params, changes))
 
     def fit(self, train: DataFrame, target: str, features: Sequence[str], categorical: Sequence[str] | None = None, valid: DataFrame | None = None, metric="roc_auc", patience: int = EARLY_STOPPING, weight: str | None = None, margin: str | None = None) -> Boosting:
-        p = self.params
-        self.features = list(features)
-        self.preparer = FeaturePreparer(self.features, list(categorical) if categorical is not None else None, p["max_bins"], max_categories=p["max_categories"], accuracy=p["accuracy"]).fit(train)
-        w = F.col(weight).cast("double") if weight else F.lit(1.0)
-        columns = [f"__bin_{k}" for k in range(len(self.features))]
-        mean = train.filter(F.col(target).isNotNull()).agg(F.sum(F.col(target) * w) / F.sum(w)).first()[0] or 0.0
-        if margin:
-            self.base_ = 0.0
-        elif self.loss == "logistic":
-            q = min(max(mean, 1e-6), 1 - 1e-6)
-            self.base_ = math.log(q / (1 - q))
-        else:
-            self.base_ = mean
-        start = (F.col(margin).cast("double") if margin else F.lit(0.0)) + F.lit(float(self.base_))
-        rows = self.preparer.transform(train).select(F.col(target).cast("double").alias("__y"), w.alias("__w"), start.alias("__m"), F.array(*columns).alias("__x")).filter("__y IS NOT NULL").persist()
-        self.trees_, self.gain_, self.splits_, self.history_ = [], dict.fromkeys(self.features, 0.0), dict.fromkeys(self.features, 0), []
-        best, best_n, scorer = None, 0, get_metric(metric)
-        check = None
+        """Fit on ``train``, stop early by ``valid``; absent columns raise KeyError."""
+        for df in (train, valid):
+            if df is not None and (absent := [f for f in features if f not in df.columns]):
+                raise KeyError(f"columns are absent: {', '.join(absent)}")
+        keep = list(dict.fromkeys([*features, target, *(c for c in (weight, margin, "row_id") if c and c in train.columns)]))
+        whole = train.select(*keep, F.lit(1).alias("__role"))
         if valid is not None:
-            kept = [c for c in ("row_id", target) if c in valid.columns]
-            check = self.preparer.transform(valid).select(*kept, F.array(*columns).alias("__x"), start.alias("__m")).persist()
-        updates = 0
-        try:
-            while len(self.trees_) < p["n_trees"]:
-                done = len(self.trees_)
-                grown: list[list[dict]] = []
-                for _ in range(min(CHUNK, p["n_trees"] - done)):
-                    grown.append(self._grow(rows, grown, p))
-                self.trees_ += grown
-                if check is None:
-                    best_n = len(self.trees_)
-                else:
-                    for k, value in enumerate(self._history(check, target, scorer, grown), done + 1):
-                        self.history_.append(value)
-                        if value is not None and (best is None or scorer.delta(value, best) > 0):
-                            best, best_n = value, k
-                        elif k - best_n >= patience:
-                            break
-                    if len(self.history_) - best_n >= patience:
-                        break
-                if len(self.trees_) < p["n_trees"]:
-                    updates += 1
-                    rows = self._updated(rows, grown, updates)
-                    check = check if check is None else self._updated(check, grown, updates)
-        finally:
-            rows.unpersist()
-            if check is not None:
-                check.unpersist()
-        self.n_iterations_ = max(1, best_n)
-        self.trees_ = self.trees_[: self.n_iterations_]
+            whole = whole.unionByName(valid.select(*(c for c in keep if c in valid.columns), F.lit(2).alias("__role")), allowMissingColumns=True)
+        rows = RowSet(F.col("__role") == 1, None if valid is None else F.col("__role") == 2, F.col(weight) if weight else None, F.col(margin) if margin else None)
+        fit_many(whole, target, [Fit(self, list(features), 0, None if categorical is None else list(categorical))], [rows], metric, patience)
         return self
 
-    def _updated(self, rows: DataFrame, grown: list[list[dict]], updates: int) -> DataFrame:
-        """``rows`` with their margins after the trees just grown, kept; the lineage is cut now and then."""
-        following = rows.withColumn("__m", self._sum(F.col("__m"), grown))
-        following = settled(following) if updates % CUT_EVERY == 0 else following.persist()
-        if updates % CUT_EVERY:
-            following.count()
-        rows.unpersist()
-        return following
-
-    def _history(self, check: DataFrame, target: str, scorer, grown: list[list[dict]]) -> list[float | None]:
-        """The metric after each of the trees just grown, all in one plan."""
-        keep = [c for c in ("row_id", target) if c in check.columns]
-        m, steps = F.col("__m"), []
-        for nodes in grown:
-            m = m + self._tree(nodes)
-            steps.append(m)
-        long = check.select(*keep, F.posexplode(F.array(*map(self._link, steps))).alias("__k", "__p"))
-        found = {r["__k"]: r["value"] for r in scorer.func(long, target, "__p", ["__k"], None).collect()}
-        return [found.get(k) for k in range(len(steps))]
-
     def _link(self, m: Column) -> Column:
         return 1 / (1 + F.exp(-m)) if self.loss == "logistic" else m
 
     @staticmethod
-    def _rule(node: dict) -> str:
+    def _rule(node: dict, x: str) -> str:
         """SQL that is true for rows that go left; bin 0 (missing) goes where the rule says."""
-        b = f"get(__x, {node['feature']})"
+        b = f"get({x}, {node['feature']})"
         if "left_bins" in node:
             return f"{b} IN ({', '.join(map(str, node['left_bins']))})"
         return f"{b} <= {node['cut']}" + ("" if node["missing_left"] else f" AND {b} > 0")
 
-    def _sql(self, nodes: list[dict], leaf, at: int = 0) -> str:
-        """A tree as one nested SQL expression; ``leaf(place, node)`` gives what its ends say."""
+    def _sql(self, nodes: list[dict], x: str, at: int = 0) -> str:
+        """A tree as one nested SQL expression over the array of bins ``x``."""
         node = nodes[at]
         if "left" not in node:
-            return leaf(at, node)
-        return f"IF({self._rule(node)}, {self._sql(nodes, leaf, node['left'])}, {self._sql(nodes, leaf, node['right'])})"
-
-    def _tree(self, nodes: list[dict]) -> Column:
-        return F.expr(self._sql(nodes, lambda at, node: f"({float(node['value'])!r}D)"))
+            return f"({float(node['value'])!r}D)"
+        return f"IF({self._rule(node, x)}, {self._sql(nodes, x, node['left'])}, {self._sql(nodes, x, node['right'])})"
 
-    def _sum(self, start: Column, trees: list[list[dict]]) -> Column:
+    def _margin(self, start: Column, x: str) -> Column:
         """``start`` with the trees' values added, two by two so that the expression stays shallow."""
-        parts = [self._sql(t, lambda at, node: f"({float(node['value'])!r}D)") for t in trees]
+        start = start + F.lit(float(self.base_))
+        if len(self.trees_) > EXPRESSION_TREES:
+            return start + _batch_scorer(self.trees_)(F.col(x))
+        parts = [self._sql(t, x) for t in self.trees_]
         while len(parts) > 1:
             parts = [" + ".join(parts[k : k + 2]) if k + 1 == len(parts) else f"({parts[k]} + {parts[k + 1]})" for k in range(0, len(parts), 2)]
         return start + F.expr(parts[0]) if parts else start
 
-    def _margin(self, start: Column, x: str) -> Column:
-        if len(self.trees_) <= EXPRESSION_TREES:
-            return self._sum(start + F.lit(float(self.base_)), self.trees_)
-        return start + F.lit(float(self.base_)) + _batch_scorer(self.trees_)(F.col(x))
-
-    def _grow(self, rows: DataFrame, grown: list[list[dict]], p: dict) -> list[dict]:
-        """One tree, level by level: each level of splits is one aggregation of (node, feature, bin)."""
-        m = self._sum(F.col("__m"), grown)
-        if self.loss == "logistic":
-            q = 1 / (1 + F.exp(-m))
-            g, h = (F.col("__y") - q) * F.col("__w"), F.greatest(q * (1 - q), F.lit(1e-6)) * F.col("__w")
-        else:
-            g, h = (F.col("__y") - m) * F.col("__w"), F.col("__w")
-        data = rows.select("__x", g.alias("g"), h.alias("h"))
-        leaf = lambda sg, sh, n: {"value": p["learning_rate"] * sg / (sh + p["ridge"]), "n": n}
-        nodes: list[dict] = [{"value": 0.0}]
-        open_nodes = [0]
-        cats = {k for k, f in enumerate(self.features) if f in self.preparer.categories}
-        for level in range(max(1, p["depth"])):
-            if not open_nodes:
-                break
-            place = F.expr(self._sql(nodes, lambda at, node: str(at)))
-            placed = data.withColumn("node", place).filter(F.col("node").isin(open_nodes))
-            hist = placed.select("node", "g", "h", F.posexplode("__x").alias("f", "b")).groupBy("node", "f", "b").agg(F.sum("g"), F.sum("h"), F.count("*")).collect()
-            by: dict[int, dict[int, list]] = {}
-            for node, f, b, sg, sh, n in hist:
-                by.setdefault(node, {}).setdefault(f, []).append((b, sg, sh, n))
-            following = []
-            for node in open_nodes:
-                cells = by.get(node)
-                if not cells:
-                    continue
-                first = cells[min(cells)]
-                sg, sh, n = (sum(c[k] for c in first) for k in (1, 2, 3))
-                nodes[node] = leaf(sg, sh, n)
-                split = self._best_split(cells, sg, sh, n, cats, p) if p["depth"] else None
-                if split is None:
-                    continue
-                gain, f, rule, (lg, lh, ln) = split
-                self.gain_[self.features[f]] += gain
-                self.splits_[self.features[f]] += 1
-                nodes[node] = {"feature": f, **rule, "left": len(nodes), "right": len(nodes) + 1, "n": n}
-                following += [len(nodes), len(nodes) + 1]
-                nodes += [leaf(lg, lh, ln), leaf(sg - lg, sh - lh, n - ln)]
-            open_nodes = following
-        return nodes
-
-    @staticmethod
-    def _best_split(cells: dict[int, list], sg: float, sh: float, n: int, cats: set[int], p: dict):
-        score = lambda a, b: a * a / (b + p["ridge"])
-        best = None
-        for f in sorted(cells):
-            own = sorted(cells[f])
-            missing = next((c for c in own if c[0] == 0), (0, 0.0, 0.0, 0))
-            present = [c for c in own if c[0] != 0]
-            options = []
-            if f in cats:
-                ordered = sorted(own, key=lambda c: (c[1] / (c[2] + p["ridge"]), c[0]))
-                for k in range(1, len(ordered)):
-                    options.append((ordered[:k], {"left_bins": sorted(c[0] for c in ordered[:k])}))
-            else:
-                for k in range(1, len(present)):
-                    options.append((present[:k], {"cut": present[k - 1][0], "missing_left": False}))
-                    if missing[3]:
-                        options.append(([*present[:k], missing], {"cut": present[k - 1][0], "missing_left": True}))
-                if missing[3] and present:
-                    options.append((present, {"cut": present[-1][0], "missing_left": False}))
-            for left, rule in options:
-                lg, lh, ln = (sum(c[k] for c in left) for k in (1, 2, 3))
-                if ln < p["min_leaf"] or n - ln < p["min_leaf"]:
-                    continue
-                gain = score(lg, lh) + score(sg - lg, sh - lh) - score(sg, sh)
-                if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
-                    best = (gain, f, rule, (lg, lh, ln))
-        return best
-
     def predict(self, df: DataFrame, name: str = "prediction", margin: str | None = None) -> DataFrame:
         """``df`` with the prediction: a probability, or a value for regression."""
-        self.preparer._check(df)
-        x = F.array(*[self.preparer.bin(df, f) for f in self.features])
-        return df.withColumn("__x", x).withColumn(name, self._link(self._margin(F.col(margin).cast("double") if margin else F.lit(0.0), "__x"))).drop("__x")
+        return predict_many(df, {name: self}, margin)
 
     def feature_importance(self, kind: str = "gain") -> dict[str, float]:
         return dict(sorted((self.gain_ if kind == "gain" else self.splits_).items(), key=lambda x: (-x[1], x[0])))
@@ -313,6 +179,187 @@ class Boosting:
         return out
 
 
+def predict_many(df: DataFrame, models: dict[str, Boosting], margin: str | None = None) -> DataFrame:
+    """``df`` with a column for each model's prediction."""
+    bins = {}
+    for k, m in enumerate(models.values()):
+        m.preparer._check(df)
+        bins[f"__x_{k}"] = F.array(*[m.preparer.bin(df, f) for f in m.features])
+    start = F.col(margin).cast("double") if margin else F.lit(0.0)
+    return df.withColumns(bins).withColumns({name: m._link(m._margin(start, f"__x_{k}")) for k, (name, m) in enumerate(models.items())}).drop(*bins)
+
+
+def long_predictions(df: DataFrame, models: Sequence[Boosting], keep: Sequence[str], margin: str | None = None) -> DataFrame:
+    """A row for each row and model: ``keep``, the model's number and its prediction."""
+    scored = predict_many(df, {f"__p_{k}": m for k, m in enumerate(models)}, margin)
+    return scored.select(*keep, F.posexplode(F.array(*[f"__p_{k}" for k in range(len(models))])).alias("model", "pred"))
+
+
+def score_many(df: DataFrame, models: Sequence[Boosting], target: str, metric, by: Sequence[str] = (), key: str | None = None, margin: str | None = None) -> list[dict]:
+    """For each model the metric by group, all in one plan."""
+    keep = list(dict.fromkeys([*by, target, *([key] if key and key in df.columns else [])]))
+    found = _value(long_predictions(df, models, keep, margin), metric, target, "pred", ["model", *by], key if key in df.columns else None)
+    return [{k[1:]: v for k, v in found.items() if k[0] == i} for i in range(len(models))]
+
+
+@dataclass
+class RowSet:
+    """Rows of a table to fit on, to stop early by, their weights, and a margin to start from."""
+
+    train: Column
+    valid: Column | None = None
+    weight: Column | None = None
+    margin: Column | None = None
+
+
+@dataclass
+class Fit:
+    """A model to be fitted on the features, on the row set of that number."""
+
+    model: Boosting
+    features: list[str]
+    rows: int = 0
+    categorical: list[str] | None = None
+
+
+def prepare_many(df: DataFrame, wanted: Sequence[tuple[FeaturePreparer, Column]]) -> None:
+    """Learn the bins of several preparers, each on its rows of one table: as each alone, but with one job for all types and one for all quantiles."""
+    strings = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+    odd = {}
+    for k, (p, rows) in enumerate(wanted):
+        p._check(df)
+        if p.categorical is None:
+            odd |= {f"{k}|{f}": F.count_if(rows & normalize_missing(F.col(f)).isNotNull() & to_number(F.col(f)).isNull()) for f in p.features if f in strings}
+    seen = df.agg(*[x.alias(name) for name, x in odd.items()]).first() if odd else {}
+    cuts = {}
+    for k, (p, rows) in enumerate(wanted):
+        if p.categorical is None:
+            p.categorical = [f for f in p.features if f in strings and seen[f"{k}|{f}"]]
+        at = F.array(*[F.lit(i / (p.max_bins - 1)) for i in range(1, p.max_bins - 1)])
+        cuts |= {f"{k}|{f}": F.percentile_approx(F.when(rows, numeric(df, f)), at, p.accuracy) for f in p.features if f not in p.categorical}
+    found = df.agg(*[x.alias(name) for name, x in cuts.items()]).first() if cuts else {}
+    for k, (p, rows) in enumerate(wanted):
+        p.edges = {f: sorted(set(found[f"{k}|{f}"] or [])) for f in p.features if f not in p.categorical}
+        for f in (f for f in p.features if f in p.categorical):
+            p.fit_categories(df.filter(rows), f)
+
+
+def fit_many(df: DataFrame, target: str, fits: Sequence[Fit], sets: Sequence[RowSet], metric="roc_auc", patience: int = EARLY_STOPPING) -> list[Boosting]:
+    """Fit several models together: the jobs are as many as for the one of most trees and greatest depth.
+
+    The result of each is the same as that of fitting it alone.
+    """
+    scorer = get_metric(metric)
+    bins = ("max_bins", "max_categories", "accuracy")
+    groups: dict[tuple, list[int]] = {}
+    for j, x in enumerate(fits):
+        groups.setdefault((x.rows, *(x.model.params[k] for k in bins), None if x.categorical is None else tuple(x.categorical)), []).append(j)
+    prepared = []
+    for (rows, max_bins, max_categories, accuracy, categorical), members in groups.items():
+        features = list(dict.fromkeys(f for j in members for f in fits[j].features))
+        own = None if categorical is None else [f for f in categorical if f in features]
+        prepared.append((FeaturePreparer(features, own, max_bins, max_categories=max_categories, accuracy=accuracy), sets[rows], members))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    prepare_many(df, [(p, yes(x.train)) for p, x, _ in prepared])
+    y = F.col(target).cast("double")
+    weight = lambda x: F.lit(1.0) if x.weight is None else x.weight.cast("double")
+    used = lambda x: yes(x.train) & y.isNotNull()
+    sums = df.agg(*[s.alias(f"{k}{i}") for i, (_, x, _) in enumerate(prepared) for k, s in (("a", F.sum(F.when(used(x), y * weight(x)))), ("b", F.sum(F.when(used(x), weight(x)))))]).first()
+    start = {}
+    for i, (p, x, members) in enumerate(prepared):
+        mean = (sums[f"a{i}"] or 0.0) / sums[f"b{i}"] if sums[f"b{i}"] else 0.0
+        for j in members:
+            m = fits[j].model
+            m.features = list(fits[j].features)
+            m.preparer = p.part(m.features)
+            q = min(max(mean, 1e-6), 1 - 1e-6)
+            m.base_ = 0.0 if x.margin is not None else math.log(q / (1 - q)) if m.loss == "logistic" else mean
+            m.trees_, m.gain_, m.splits_, m.history_ = [], dict.fromkeys(m.features, 0.0), dict.fromkeys(m.features, 0), []
+            start[j] = (i, m.base_, [p.features.index(f) for f in m.features])
+
+    def member(i: int, p: FeaturePreparer, x: RowSet) -> Column:
+        role = F.when(yes(x.train), 1).when(F.lit(False) if x.valid is None else yes(x.valid), 2).otherwise(0)
+        margin = F.lit(0.0) if x.margin is None else x.margin.cast("double")
+        return F.when(role > 0, F.struct(F.lit(i).alias("i"), role.alias("role"), weight(x).alias("w"), margin.alias("m"), F.array(*[p.bin(df, f).cast("short") for f in p.features]).alias("x")))
+
+    key = F.xxhash64(F.col("row_id") if "row_id" in df.columns else F.struct(*df.columns))
+    by_set: dict[int, list] = {}
+    for j, (i, base, columns) in start.items():
+        by_set.setdefault(i, []).append(F.struct(F.lit(j).alias("job"), F.lit(base).alias("base"), F.array(*map(F.lit, columns)).alias("columns")))
+    jobs = F.array(*[F.array(*by_set[i]) for i in range(len(prepared))])
+    shared = df.filter(y.isNotNull()).select(y.alias("y"), key.alias("h"), *([F.col("row_id")] if "row_id" in df.columns else []), F.explode(F.array(*[member(i, p, x) for i, (p, x, _) in enumerate(prepared)])).alias("t"))
+    shared = shared.filter("t.role > 0").select(*[c for c in shared.columns if c != "t"], "t.*").withColumn("j", F.explode(F.get(jobs, F.col("i"))))
+    keep = [c for c in ("row_id",) if c in df.columns]
+    rows = shared.select(*keep, F.col("j.job").alias("job"), "role", "y", "w", "h", (F.col("m") + F.col("j.base")).alias("m"), F.transform("j.columns", lambda c: F.get("x", c)).alias("x"), F.array().cast("array<double>").alias("s")).persist()
+    active, best, number = set(range(len(fits))), dict.fromkeys(range(len(fits)), (None, 0)), 0
+    old: list[DataFrame] = []
+    tables: list[TableInFolder] = []
+    try:
+        while active := {j for j in active if number < fits[j].model.params["n_trees"]}:
+            trees, drawn = {}, {}
+            for j in sorted(active):
+                m = fits[j].model
+                columns, share, seed = growing.draws(m.params, len(m.features), number)
+                cats = {k for k, f in enumerate(m.features) if f in m.preparer.categories}
+                trees[j], drawn[j] = growing.Tree(m.params, columns, cats, m.preparer.width()), (share, seed)
+            growing.grown(rows, trees, drawn, {j for j in active if fits[j].model.loss != "logistic"})
+            for d in old:
+                d.unpersist()
+            old = []
+            lasting = {}
+            for j, t in trees.items():
+                lasting[j], gains = t.finished()
+                fits[j].model.trees_.append(lasting[j])
+                for f, gain in gains:
+                    fits[j].model.gain_[fits[j].model.features[f]] += gain
+                    fits[j].model.splits_[fits[j].model.features[f]] += 1
+            number += 1
+            judged = [j for j in active if sets[fits[j].rows].valid is not None]
+            if not judged and all(number >= fits[j].model.params["n_trees"] for j in active):
+                break
+            following = growing.moved(rows, lasting, max(t.params["depth"] for t in trees.values()), (number - 1) % CHUNK == 0)
+            if number % CUT_EVERY == 0:
+                tables.append(TableInFolder(following.filter(F.col("job").isin(sorted(active)))))
+                following = tables[-1].df
+            old, rows = [rows], following.persist()
+            if due := judged if number % CHUNK == 0 else [j for j in judged if fits[j].model.params["n_trees"] <= number]:
+                active -= _judge(rows, fits, due, number, scorer, best, patience)
+            while len(tables) > 1:  # what the last but one held is in the last
+                tables.pop(0).delete()
+    finally:
+        for d in (*old, rows):
+            d.unpersist()
+        for t in tables:
+            t.delete()
+    for j, x in enumerate(fits):
+        m = x.model
+        m.n_iterations_ = max(1, best[j][1] if sets[x.rows].valid is not None else len(m.trees_))
+        m.trees_ = m.trees_[: m.n_iterations_]
+    return [x.model for x in fits]
+
+
+def _judge(rows: DataFrame, fits: Sequence[Fit], judged: Sequence[int], number: int, scorer, best: dict, patience: int) -> set[int]:
+    """The metric after each of the last trees of all models that are judged, in one plan; ``best`` gets (value, trees). Returns those that have waited too long."""
+    plain = [j for j in judged if fits[j].model.loss != "logistic"]
+    link = lambda m: F.when(F.col("job").isin(plain), m).otherwise(1 / (1 + F.exp(-m))) if plain else 1 / (1 + F.exp(-m))
+    keep = [c for c in ("row_id",) if c in rows.columns]
+    first = (number - 1) // CHUNK * CHUNK
+    long = rows.filter((F.col("role") == 2) & F.col("job").isin(sorted(judged))).select(*keep, "job", "y", F.posexplode("s").alias("k", "m")).select(*keep, "job", "k", "y", link(F.col("m")).alias("p"))
+    found = {(r["job"], r["k"]): r["value"] for r in scorer.func(long, "y", "p", ["job", "k"], None).collect()}
+    over = set()
+    for j in judged:
+        m = fits[j].model
+        for k in range(len(m.history_) + 1, number + 1):
+            value = found.get((j, k - 1 - first))
+            m.history_.append(value)
+            if value is not None and (best[j][0] is None or scorer.delta(value, best[j][0]) > 0):
+                best[j] = (value, k)
+            elif k - best[j][1] >= patience:
+                over.add(j)
+                break
+    return over
+
+
 def _batch_scorer(trees: list[list[dict]]):
     """A function of the array of bins that adds up the values of many trees in Arrow batches."""
     import numpy as np
@@ -389,28 +436,30 @@ class CVResult:
 
 def cross_validate(df: DataFrame, target: str, features: Sequence[str], key: str = "row_id", fold: str = "fold", model="boosting", metric="roc_auc", segment: str | None = None, min_size: int = 30, categorical: Sequence[str] | None = None, margin: str | None = None) -> CVResult:
     """Fit on all folds but one and score that one, for each fold; metrics by fold and segment in one plan."""
-    cached = df.cache()
-    folds = sorted(r[0] for r in cached.select(fold).distinct().collect() if r[0] is not None and r[0] >= 0)
-    parts, iterations = [], []
-    try:
-        for k in folds:
-            train, valid = cached.filter(F.col(fold) != k), cached.filter(F.col(fold) == k)
-            fitted = make_model(model).fit(train, target, features, categorical, valid=valid, metric=metric, margin=margin)
-            iterations.append(fitted.n_iterations_)
-            keep = list(dict.fromkeys([key, fold, target, *([segment] if segment else [])]))
-            parts.append(fitted.predict(valid, "pred", margin).select(*keep, "pred"))
-        oof = parts[0]
-        for p in parts[1:]:
-            oof = oof.unionByName(p)
-        by_fold = _value(oof, metric, target, "pred", [fold], key)
-        scores = [by_fold.get((k,)) for k in folds]
-        segments = []
-        if segment:
-            sizes = {(r[0], r[1]): r[2] for r in oof.groupBy(fold, segment).count().collect()}
-            segments = [{"fold": k[0], "segment": k[1], "score": v} for k, v in _value(oof, metric, target, "pred", [fold, segment], key).items() if sizes[k] >= max(min_size, 2)]
-    finally:
-        cached.unpersist()
-    return CVResult(scores, segments, oof, iterations, get_metric(metric).name)
+    return cross_validate_many(df, target, [(features, model)], key, fold, metric, segment, min_size, categorical, margin)[0]
+
+
+def cross_validate_many(df: DataFrame, target: str, trials: Sequence[tuple], key: str = "row_id", fold: str = "fold", metric="roc_auc", segment: str | None = None, min_size: int = 30, categorical: Sequence[str] | None = None, margin: str | None = None) -> list[CVResult]:
+    """Cross-validation of several (features, model) over the same folds: all folds of all trials are fitted and scored together."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None and r[0] >= 0)
+    start = F.col(margin) if margin else None
+    sets = [RowSet(F.col(fold) != k, F.col(fold) == k, None, start) for k in folds]
+    fits = [Fit(make_model(model), list(features), i, None if categorical is None else [c for c in categorical if c in features]) for features, model in trials for i in range(len(folds))]
+    fit_many(df, target, fits, sets, metric)
+    keep = list(dict.fromkeys([key, fold, target, *([segment] if segment else [])]))
+    parts = [long_predictions(df.filter(F.col(fold) == k), [fits[t * len(folds) + i].model for t in range(len(trials))], keep, margin) for i, k in enumerate(folds)]
+    oof = reduce(DataFrame.unionByName, parts)
+    by_fold = _value(oof, metric, target, "pred", ["model", fold], key)
+    by_segment, sizes = {}, {}
+    if segment:
+        sizes = {(r[0], r[1]): r[2] for r in df.filter(F.col(fold) >= 0).groupBy(fold, segment).count().collect()}
+        by_segment = _value(oof, metric, target, "pred", ["model", fold, segment], key)
+    out = []
+    for t in range(len(trials)):
+        segments = [{"fold": k[1], "segment": k[2], "score": v} for k, v in by_segment.items() if k[0] == t and sizes[k[1:]] >= max(min_size, 2)]
+        iterations = [fits[t * len(folds) + i].model.n_iterations_ for i in range(len(folds))]
+        out.append(CVResult([by_fold.get((t, k)) for k in folds], segments, oof.filter(F.col("model") == t).drop("model"), iterations, get_metric(metric).name))
+    return out
 
 
 def train_model(split: DataSplit, features: Sequence[str], model="boosting", metric="roc_auc", balance: bool = False, refit: bool = False, categorical: Sequence[str] | None = None) -> Boosting:
@@ -430,14 +479,14 @@ def train_model(split: DataSplit, features: Sequence[str], model="boosting", met
 
 
 def compare_models(df: DataFrame, target: str, features: Sequence[str], models: Sequence[str] = ("boosting", "small"), key: str = "row_id", fold: str = "fold", metric="roc_auc") -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(table, out-of-fold predictions): every model over the same folds."""
-    rows, oof = [], {}
-    for name in models:
-        began = time.time()
-        cv = cross_validate(df, target, features, key, fold, name, metric)
+    """(table, out-of-fold predictions): every model over the same folds, all fitted together, so each has an equal share of the time."""
+    began, rows, oof = time.time(), [], {}
+    found = cross_validate_many(df, target, [(features, m) for m in models], key, fold, metric)
+    spent = (time.time() - began) / max(1, sum(len(cv.scores) for cv in found))
+    for name, cv in zip(models, found, strict=True):
         s = [x for x in cv.scores if x is not None]
         std = math.sqrt(sum((x - cv.mean) ** 2 for x in s) / (len(s) - 1)) if len(s) > 1 else math.nan
-        rows.append((str(name), cv.mean, std, (time.time() - began) / max(1, len(cv.scores))))
+        rows.append((str(name), cv.mean, std, spent))
         oof[str(name)] = cv.oof
     return df.sparkSession.createDataFrame(rows, "model string, mean double, std double, mean_fit_time_sec double"), oof
 
@@ -467,14 +516,18 @@ def tune_hyperparams(split: DataSplit, features: Sequence[str], n_trials: int =
 
 
 def sample_size_curve(split: DataSplit, features: Sequence[str], sizes: Sequence[int], repeats: int = 1, metric="roc_auc", key: str = "row_id", model="small") -> DataFrame:
-    """size, repeat, score on val: sizes are capped at the training rows and taken once each."""
+    """size, repeat, score on val: sizes are capped at the training rows and taken once each; all are fitted together."""
     n = split.train.count()
-    rows = []
-    for size in sorted({min(int(s), n) for s in sizes}):
-        for r in range(repeats):
-            fitted = make_model(model).fit(exact_sample(split.train, key, size, 42 + r), split.target, features)
-            rows.append((size, r, _value(fitted.predict(split.val, "__score"), metric, split.target, "__score").get(())))
-    return split.data.sparkSession.createDataFrame(rows, "size int, repeat int, score double")
+    trials = [(size, r) for size in sorted({min(int(s), n) for s in sizes}) for r in range(repeats)]
+    train = split.train
+    for r in range(repeats):
+        train = hash_rank(train, key, 42 + r).withColumnRenamed("__rank", f"__rank_{r}").drop("__n")
+    fits = [Fit(make_model(model), list(features), i) for i in range(len(trials))]
+    train = train.cache()
+    fit_many(train, split.target, fits, [RowSet(F.col(f"__rank_{r}") <= size) for size, r in trials], metric)
+    train.unpersist()
+    scores = score_many(split.val, [x.model for x in fits], split.target, metric)
+    return split.data.sparkSession.createDataFrame([(size, r, s.get(())) for (size, r), s in zip(trials, scores, strict=True)], "size int, repeat int, score double")
 
 
 def learning_curve(model: Boosting) -> list[tuple[int, float]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class TableInFolder:
+    """``df`` written to the shared folder as Parquet and read again, until it is deleted: a cut of the lineage that doesn't pile up."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
+        self._files = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        df.write.parquet(self._path.toString())
+        self.df = spark.read.schema(df.schema).parquet(self._path.toString())
+
+    def delete(self) -> None:
+        self._files.delete(self._path, True)
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """a / b as double, null where b is 0 or null."""
     return a.cast("double") / F.when(b != 0, b.cast("double"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import feature_testing, models, report, splits, tracking, wrappers
+from riskloom.operators import feature_testing, growing, models, report, splits, tracking, wrappers
 
 
 @pytest.fixture(scope="module")
@@ -127,13 +127,74 @@ def test_large_models_are_scored_in_batches(spark, data, monkeypatch):
 
 
 def test_a_tree_costs_the_same_however_many_went_before(spark, data, monkeypatch):
-    monkeypatch.setattr(models, "CUT_EVERY", 1)
+    monkeypatch.setattr(models, "CUT_EVERY", 5)
     seen = []
-    grow = models.Boosting._grow
-    monkeypatch.setattr(models.Boosting, "_grow", lambda self, rows, grown, p: seen.append((len(grown), len(rows._jdf.queryExecution().optimizedPlan().toString()))) or grow(self, rows, grown, p))
-    models.make_model("small", n_trees=21, depth=1).fit(data.filter("row_id < 300"), "y", ["x1"])
-    assert [n for n, _ in seen] == [*range(10), *range(10), 0]
-    assert abs(seen[20][1] - seen[10][1]) < 0.2 * seen[10][1]
+    grown = growing.grown
+    monkeypatch.setattr(growing, "grown", lambda rows, *rest: seen.append(len(rows._jdf.queryExecution().optimizedPlan().toString())) or grown(rows, *rest))
+    models.make_model("small", n_trees=12, depth=1).fit(data.filter("row_id < 300"), "y", ["x1"])
+    assert len(seen) == 12 and abs(seen[10] - seen[5]) < 0.2 * seen[5]
+
+
+def test_many_models_are_those_fitted_alone_and_take_no_more_jobs(spark, data, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(growing, "with_tree", lambda rows, trees, f=growing.with_tree: rounds.append(len([t for t in trees if t["on"]])) or f(rows, trees))
+    fit = lambda fs, k, n: models.Fit(models.make_model("small", n_trees=n, depth=2), fs, k)
+    sets = [models.RowSet(F.col("fold") != 0, F.col("fold") == 0), models.RowSet(F.col("fold") != 1), models.RowSet(F.col("row_id") < 900)]
+    fits = [fit(["x1", "cat"], 0, 3), fit(["x1", "x2", "noise"], 0, 2), fit(["x1", "x2", "cat"], 1, 3), fit(["cat"], 2, 1)]
+    together = models.fit_many(data, "y", fits, sets)
+    assert len(rounds) <= 3 * (2 + 1) and max(rounds) == 4  # two levels and one step of the margins for each tree
+    for x, m in zip(fits, together, strict=True):
+        valid = None if sets[x.rows].valid is None else data.filter(sets[x.rows].valid)
+        alone = models.make_model("small", n_trees=m.params["n_trees"], depth=2).fit(data.filter(sets[x.rows].train), "y", x.features, valid=valid)
+        assert alone.trees_ == m.trees_ and alone.base_ == m.base_ and alone.history_ == m.history_
+
+
+def test_trees_grow_best_leaf_first_and_count_the_smaller_half(data, monkeypatch):
+    asked, told = [], growing.Tree.told
+
+    def note(self, nodes, cells):
+        for k in nodes:
+            if k:
+                parent = self.nodes[self.nodes[k]["parent"]]
+                asked.append((self.nodes[k]["sums"][2], parent["sums"][2]))
+        told(self, nodes, cells)
+
+    monkeypatch.setattr(growing.Tree, "told", note)
+    rows = data.filter("row_id < 1500").cache()
+    options = {"n_trees": 1, "depth": 6, "learning_rate": 0.3, "max_bins": 8, "min_leaf": 10}
+    wide = models.make_model("small", **options).fit(rows, "y", ["x1", "x2", "cat"]).trees_[0]
+    few = models.make_model("small", num_leaves=6, **options).fit(rows, "y", ["x1", "x2", "cat"])
+    assert sum("left" not in n for n in few.trees_[0]) == 6 < sum("left" not in n for n in wide)
+    assert asked and all(2 * n <= whole for n, whole in asked)
+    # plain best-first growth over the bins
+    table = few.preparer.transform(rows).select("y", "__bin_0", "__bin_1", "__bin_2").toPandas()
+    bins, y = table[["__bin_0", "__bin_1", "__bin_2"]].to_numpy(), table["y"].to_numpy().astype("f8")
+    grower = growing.Tree({**few.params}, [0, 1, 2], {2}, few.preparer.width())
+    p = 1 / (1 + np.exp(-few.base_))
+
+    def hist(at):
+        own = np.zeros((3, grower.bins, 3))
+        for f in range(3):
+            np.add.at(own[f], bins[at, f], np.stack([y[at] - p, np.full(at.sum(), p * (1 - p)), np.ones(at.sum())], axis=1))
+        return own
+
+    leaves = [(np.ones(len(y), bool), 0)]
+    while len(leaves) < 6:
+        splits_ = [(grower.best(hist(at), hist(at)[0].sum(axis=0)), k) for k, (at, depth) in enumerate(leaves) if depth < 6]
+        (_, f, rule, _), k = max((s for s in splits_ if s[0]), key=lambda s: (s[0][0], -s[1]))
+        at, depth = leaves.pop(k)
+        left = np.isin(bins[:, f], rule["left_bins"]) if "left_bins" in rule else (bins[:, f] <= rule["cut"]) & ((bins[:, f] > 0) | rule["missing_left"])
+        leaves += [(at & left, depth + 1), (at & ~left, depth + 1)]
+    value = lambda at: round(0.3 * (y[at] - p).sum() / (p * (1 - p) * at.sum() + 1), 9)
+    assert sorted(value(at) for at, _ in leaves) == sorted(round(n["value"], 9) for n in few.trees_[0] if "left" not in n)
+
+
+def test_shares_of_rows_and_features_are_drawn_anew_for_each_tree(data):
+    options = {"n_trees": 4, "depth": 2, "subsample": 0.5, "colsample": 0.34}
+    a, b = (models.make_model("small", **options).fit(data, "y", ["x1", "x2", "cat"]) for _ in range(2))
+    assert a.trees_ == b.trees_ and all(len({n["feature"] for n in t if "left" in n}) <= 1 for t in a.trees_)
+    assert all(0.4 * 3000 < t[0]["n"] < 0.6 * 3000 for t in a.trees_) and len({t[0]["n"] for t in a.trees_}) > 1
+    assert models.make_model("small", seed=1, **options).fit(data, "y", ["x1", "x2", "cat"]).trees_ != a.trees_
 
 
 def test_categories_beyond_the_cap_share_a_bin(spark):
