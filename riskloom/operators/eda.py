@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.columns import detect_categorical, normalize_missing, numeric, wilson
-from riskloom.plans.relational import no_nan, one_row, present, quantiles
+from riskloom.plans.relational import no_nan, one_row, present, quantiles, settled
 
 
 def overview(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: kind, missing values, distinct values, zeros, most frequent value (ties: least text), min, median, mean, max."""
+    """One row per column, all from one histogram of (column, value): kind, missing values, distinct values, zeros, most frequent value (ties: least text), min, median, mean, max."""
     columns = list(columns or df.columns)
     df = present(df.select(*columns))
     categorical = set(detect_categorical(df))
@@ -22,21 +22,22 @@ def overview(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     is_time = {c: isinstance(kinds[c], (T.TimestampType, T.TimestampNTZType, T.DateType)) for c in columns}
     value = {c: normalize_missing(F.col(c)) if isinstance(kinds[c], T.StringType) else F.col(c) for c in columns}
     number = {c: numeric(df, c) if c not in categorical and not is_time[c] else F.lit(None).cast("double") for c in columns}
-    parts = []
-    for c in columns:
-        x = number[c]
-        parts.append(F.struct(F.lit(c).alias("column"), F.lit(kinds[c].simpleString()).alias("dtype"), F.count_if(value[c].isNull()).alias("n_missing"), F.count("*").alias("n"), F.count_distinct(value[c]).alias("n_unique"), F.count_if(x == 0).alias("n_zero"), F.min(x).alias("min"), F.percentile(x, 0.5).alias("median"), F.avg(x).alias("mean"), F.max(x).alias("max"), F.lit(bool(is_time[c])).alias("time"), F.lit(c in categorical).alias("cat")))
-    # aggregates in chunks keep generated code small; each chunk scans its own columns
-    stats = None
-    for k in range(0, len(parts), 20):
-        one = df.agg(F.array(*parts[k : k + 20]).alias("a")).select(F.inline("a"))
-        stats = one if stats is None else stats.union(one)
-    text = df.select(*[value[c].cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value").filter("value IS NOT NULL")
-    counts = text.groupBy("column", "value").agg(F.count("*").alias("top_n"))
-    best = counts.groupBy("column").agg(F.min_by(F.struct("value", "top_n"), F.struct((-F.col("top_n")).alias("n"), "value")).alias("t")).select("column", "t.value", "t.top_n")
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), value[c].cast("string").alias("value"), (number[c] + 0.0).alias("x")) for k, c in enumerate(columns)])
+    long = df.select(F.explode(cells).alias("c")).select("c.*")
+    h = settled(long.groupBy("k", "value", "x").agg(F.count("*").alias("c")))
+    there = F.col("value").isNotNull()
+    numbers = settled(h.filter("x IS NOT NULL").groupBy("k", "x").agg(F.sum("c").alias("c")))
+    n = F.sum("c")
+    stats = h.groupBy("k").agg(n.alias("n"), F.coalesce(F.sum(F.when(~there, F.col("c"))), F.lit(0)).alias("n_missing"), F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("c"))), F.lit(0)).alias("n_zero"))
+    # a number that is written in several ways is one value of a number, several of a text
+    distinct = h.filter(there).groupBy("k").agg(F.count("*").alias("n_unique"), F.min_by(F.struct("value", F.col("c").alias("top_n")), F.struct((-F.col("c")).alias("c"), "value")).alias("t")).select("k", "n_unique", "t.*")
+    spread = numbers.groupBy("k").agg(F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
+    median = quantiles(numbers, "x", [0.5], ["k"], weight="c").select("k", F.get("quantiles", 0).alias("median"))
+    about = F.broadcast(df.sparkSession.createDataFrame([(k, c, kinds[c].simpleString(), bool(is_time[c]), c in categorical) for k, c in enumerate(columns)], "k int, column string, dtype string, time boolean, cat boolean"))
+    stats = about.join(stats, "k", "left").fillna(0, ["n", "n_missing", "n_zero"])
     kind = F.when(F.col("n_unique") == 0, "empty").when(F.col("n_unique") == 1, "constant").when(F.col("time"), "datetime").when(F.col("cat"), "categorical").otherwise("numeric")
     numeric_kind = F.col("kind").isin("numeric", "constant") & F.col("mean").isNotNull()
-    out = stats.join(best, "column", "left").withColumn("kind", kind)
+    out = stats.join(distinct, "k", "left").join(spread, "k", "left").join(median, "k", "left").fillna(0, ["n_unique"]).withColumn("kind", kind)
     return out.select(
         "column", "dtype", "kind", "n_missing", (F.col("n_missing") / F.col("n")).alias("missing_share"), "n_unique",
         F.when(numeric_kind, F.col("n_zero") / F.col("n")).alias("zero_share"), F.col("value").alias("top_value"), (F.col("top_n") / F.col("n")).alias("top_share"), "min", "median", "mean", "max",

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import numeric, prob_to_logit
 from riskloom.functions.mathx import student_quantile
-from riskloom.operators.models import Boosting, _value, make_model
-from riskloom.operators.ranking import direct_auc, get_metric, ranking_metrics
+from riskloom.operators.models import Boosting, Fit, RowSet, _value, fit_many, long_predictions, make_model, predict_many, score_many
+from riskloom.operators.ranking import direct_auc, get_metric
 from riskloom.operators.selection import correlation_matrix
 from riskloom.operators.splits import DataSplit, make_folds, stratified_cap
 from riskloom.operators.stability import feature_psi
@@ -113,37 +113,34 @@ class FeatureTest:
             write_csv(getattr(self, name), f"{folder}/{name}.csv", single_file=True)
 
 
-def _paired(df: DataFrame, target: str, base, extra: Sequence[str], key: str, fold: str, metric, mode: str, model) -> list[tuple[int, float, float]]:
-    """(fold, base score, score with the extra features). ``base`` is features, a fitted model, or a score column."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] >= 0)
-    out = []
-    for k in folds:
-        train, valid = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
-        out.append((k, *_two_scores(train, valid, target, base, extra, metric, mode, model, key)))
-    return out
-
+def _compared(train: DataFrame, conditions: Sequence[Column], evals: dict, target: str, base, extras: dict[str, Sequence[str]], metric, mode: str, model, key: str) -> dict:
+    """{(eval, name): (base score, score with the extra features)} for all evals and extras.
 
-def _base_margin(train: DataFrame, valid: DataFrame, target: str, base, model):
-    """Train and valid tables with __base (probability) and __margin (logit) of the base."""
-    if isinstance(base, str):
-        scored = (train.withColumn("__base", F.col(base)), valid.withColumn("__base", F.col(base)))
-    else:
-        fitted = base if isinstance(base, Boosting) and base.trees_ else make_model(model).fit(train, target, list(base))
-        scored = (fitted.predict(train, "__base"), fitted.predict(valid, "__base"))
-    return [t.withColumn("__margin", prob_to_logit(F.col("__base"))) for t in scored]
-
-
-def _two_scores(train, valid, target, base, extra, metric, mode, model, key):
-    t, v = _base_margin(train, valid, target, base, model)
-    before = _value(v, metric, target, "__base", (), key).get(())
-    if mode == "on_top":
-        fitted = make_model("small").fit(t, target, list(extra), margin="__margin")
-        after = _value(fitted.predict(v, "__new", "__margin"), metric, target, "__new", (), key).get(())
-    else:
-        names = base.features if isinstance(base, Boosting) else list(base)
-        fitted = make_model(model).fit(train, target, [*names, *extra])
-        after = _value(fitted.predict(valid, "__new"), metric, target, "__new", (), key).get(())
-    return before, after
+    ``conditions`` choose rows of ``train`` to fit on; an eval is (number of its condition, table to score).
+    ``base`` is features, a fitted model, or a score column. The base is fitted once for each condition, all
+    extras of all conditions are fitted together, and all scores come from one plan.
+    """
+    fixed = isinstance(base, str) or (isinstance(base, Boosting) and bool(base.trees_))
+    names = base.features if isinstance(base, Boosting) else [] if isinstance(base, str) else list(base)
+    bases = [] if fixed else fit_many(train, target, [Fit(make_model(model), names, i) for i in range(len(conditions))], [RowSet(c) for c in conditions])
+
+    def based(df: DataFrame, i: int, name: str) -> DataFrame:
+        return df.withColumn(name, F.col(base)) if isinstance(base, str) else predict_many(df, {name: base if fixed else bases[i]})
+
+    on_top = mode == "on_top"
+    fits = [Fit(make_model("small" if on_top else model), [*([] if on_top else names), *extra], i) for extra in extras.values() for i in range(len(conditions))]
+    if on_top:
+        for i in range(len(conditions)):
+            train = based(train, i, f"__base_{i}").withColumn(f"__margin_{i}", prob_to_logit(F.col(f"__base_{i}")))
+    fit_many(train, target, fits, [RowSet(c, margin=F.col(f"__margin_{i}") if on_top else None) for i, c in enumerate(conditions)])
+    keep, parts = list(dict.fromkeys([key, target])), []
+    for e, (i, df) in enumerate(evals.values()):
+        scored = based(df, i, "__base").withColumn("__margin", prob_to_logit(F.col("__base")))
+        own = [x.model for x in fits if x.rows == i]
+        new = long_predictions(scored, own, [*keep, "__base"], "__margin" if on_top else None)
+        parts += [new.drop("__base").withColumn("e", F.lit(e)), scored.select(*keep, F.lit(-1).alias("model"), F.col("__base").alias("pred"), F.lit(e).alias("e"))]
+    found = _value(reduce(DataFrame.unionByName, parts), metric, target, "pred", ["e", "model"], key)
+    return {(label, name): (found.get((e, -1)), found.get((e, t))) for e, label in enumerate(evals) for t, name in enumerate(extras)}
 
 
 def test_features(split: DataSplit, base, candidates: Sequence[str], key: str = "row_id", metric="roc_auc", mode: str = "on_top", n_splits: int = 3, max_rows: int = 200_000, max_exact: int = 20, date: str | None = None, model="small", groups: dict[str, Sequence[str]] | None = None) -> FeatureTest:
@@ -171,27 +168,27 @@ def test_features(split: DataSplit, base, candidates: Sequence[str], key: str =
     flat = list(dict.fromkeys(c for fs in groups.values() for c in fs))
     stats = cheap_stats(split.train, split.target, flat, names, date)
     tested, screen = dict(groups), {}
+    of = lambda rows, conditions, evals, extras, how=mode: _compared(rows, conditions, evals, split.target, base, extras, metric, how, model, key)
     if len(groups) > max_exact:
-        for g, fs in groups.items():
-            a, b = _two_scores(train, split.val, split.target, base, fs, metric, "on_top", model, key)
-            screen[g] = m.delta(b, a) if None not in (a, b) else -math.inf
+        first = of(train, [F.lit(True)], {"val": (0, split.val)}, groups, "on_top")
+        screen = {g: m.delta(first["val", g][1], first["val", g][0]) if None not in first["val", g] else -math.inf for g in groups}
         tested = dict(sorted(groups.items(), key=lambda g: (-screen[g[0]], g[0]))[:max_exact])
     if len(groups) > 1:
         tested["ALL"] = flat
+    numbers = list(range(n_splits)) if n_splits > 1 else [0]
+    by_fold = of(train, [F.col("fold") != k for k in numbers], {k: (k, train.filter(F.col("fold") == k)) for k in numbers}, tested)
+    by_part = of(split.train, [F.lit(True)], {p: (0, d) for p, d in split.items() if p != "train"}, tested)
     summary, folds, parts = [], [], []
     share = 1 - 1 / n_splits
     for name, extra in tested.items():
-        pairs = _paired(train, split.target, base, extra, key, "fold", metric, mode, model)
+        pairs = [(k, *by_fold[k, name]) for k in numbers]
         deltas = [m.delta(b, a) for _, a, b in pairs]
         folds += [(name, k, a, b, d) for (k, a, b), d in zip(pairs, deltas, strict=True)]
         low, high = cv_interval(deltas, share)
         mean = sum(deltas) / len(deltas)
         verdict = "better" if low > 0 else "worse" if high < 0 else "same"
         summary.append((name, len(extra), mean, None if math.isnan(low) else low, None if math.isnan(high) else high, verdict, screen.get(name)))
-        for part, d in split.items():
-            if part != "train":
-                a, b = _two_scores(split.train, d, split.target, base, extra, metric, mode, model, key)
-                parts.append((name, part, a, b, m.delta(b, a) if None not in (a, b) else None))
+        parts += [(name, part, a, b, m.delta(b, a) if None not in (a, b) else None) for (part, n), (a, b) in by_part.items() if n == name]
     train.unpersist()
     summary += [(g, len(fs), None, None, None, "screened", screen[g]) for g, fs in groups.items() if g not in tested]
     spark = split.data.sparkSession
@@ -211,10 +208,12 @@ def test_domains(split: DataSplit, base, domains: dict[str, Sequence[str]], **op
     alone, gains, rows = {}, {}, []
     names = base.features if isinstance(base, Boosting) else [] if isinstance(base, str) else list(base)
     cheap = {r["feature"]: r for r in out.stats.select("feature", "coverage", "direct_auc").collect()}
-    for name, fs in domains.items():
-        fitted = make_model(model).fit(split.train, split.target, list(fs))
-        alone[name] = ranking_metrics(fitted.predict(split.val, "__p"), split.target, "__p").first()["auc"]
-        both = (make_model(model).fit(split.train, split.target, list(dict.fromkeys([*names, *fs]))) if names else fitted).feature_importance()
+    sets = [list(fs) for fs in domains.values()] + [list(dict.fromkeys([*names, *fs])) for fs in domains.values()]
+    fitted = fit_many(split.train, split.target, [Fit(make_model(model), fs, 0) for fs in sets], [RowSet(F.lit(True))])
+    scores = score_many(split.val, fitted[: len(domains)], split.target, "roc_auc")
+    for k, (name, fs) in enumerate(domains.items()):
+        alone[name] = scores[k].get(())
+        both = fitted[len(domains) + k].feature_importance()
         own, total = sum(both[f] for f in fs), sum(both.values())
         gains[name] = own / total if names and total else None
         rows += [(name, f, float(both[f]), both[f] / own if own else 0.0, cheap[f]["coverage"], cheap[f]["direct_auc"]) for f in fs]

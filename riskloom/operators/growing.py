@@ -163,9 +163,9 @@ def _plain(node: dict, split, value: float) -> dict:
     return {"f": f, "c": rule.get("cut"), "m": rule.get("missing_left"), "s": rule.get("left_bins"), "l": node["left"], "r": node["right"], "v": 0.0}
 
 
-def as_data(tree: Sequence[dict]) -> dict:
-    """A lasting tree as data for the rows."""
-    return {"on": True, "nodes": [{"f": n.get("feature"), "c": n.get("cut"), "m": n.get("missing_left"), "s": n.get("left_bins"), "l": n.get("left"), "r": n.get("right"), "v": n.get("value", 0.0)} for n in tree]}
+def as_data(tree: Sequence[dict]) -> list[dict]:
+    """The nodes of a lasting tree as data for the rows."""
+    return [{"f": n.get("feature"), "c": n.get("cut"), "m": n.get("missing_left"), "s": n.get("left_bins"), "l": n.get("left"), "r": n.get("right"), "v": n.get("value", 0.0)} for n in tree]
 
 
 OFF = {"on": False}
@@ -176,14 +176,14 @@ _TREES = f"array<struct<on:boolean,open:array<int>,columns:array<int>,share:bigi
 DRAW = 1 << 20
 
 
-def with_tree(rows: DataFrame, trees: Sequence[dict]) -> DataFrame:
+def with_tree(rows: DataFrame, trees: Sequence, kind: str = _TREES) -> DataFrame:
     """``rows`` with their model's tree; the trees are one constant, exploded so that it stands in the plan once."""
-    return rows.select("*", F.explode(F.array(F.get(F.from_json(F.lit(json.dumps(list(trees))), _TREES), F.col("job")))).alias("tree"))
+    return rows.select("*", F.explode(F.array(F.get(F.from_json(F.lit(json.dumps(list(trees))), kind), F.col("job")))).alias("tree"))
 
 
-def reached(depth: int) -> str:
-    """SQL of the node of ``tree`` that the bins ``x`` lead to."""
-    node = "tree.nodes[at]"
+def reached(depth: int, nodes: str = "tree.nodes") -> str:
+    """SQL of the node of a tree that the bins ``x`` lead to."""
+    node = f"{nodes}[at]"
     goes = f"IF({node}.s IS NOT NULL, array_contains({node}.s, CAST(get(x, {node}.f) AS int)), get(x, {node}.f) <= {node}.c AND (get(x, {node}.f) > 0 OR {node}.m))"
     return f"aggregate(sequence(1, {depth}), 0, (at, i) -> CASE WHEN {node}.l IS NULL THEN at WHEN {goes} THEN {node}.l ELSE {node}.r END)"
 
@@ -217,8 +217,12 @@ def grown(rows: DataFrame, trees: dict[int, Tree], drawn: dict[int, tuple[int, i
             trees[j].told(nodes, found.get(j, {}))
 
 
-def moved(rows: DataFrame, trees: dict[int, list[dict]], depth: int, first: bool) -> DataFrame:
-    """``rows`` with the margins after one more tree of each model; those to be judged keep them in ``s``, anew if ``first``."""
-    now = [as_data(trees[j]) if j in trees else OFF for j in range(max(trees) + 1)]
-    stepped = with_tree(rows, now).withColumn("m", F.expr(f"IF(tree.on, m + get(tree.nodes, {reached(max(1, depth))}).v, m)")).drop("tree")
-    return stepped.withColumn("s", F.expr(f"IF(role = 2, {'array(m)' if first else 'concat(s, array(m))'}, s)"))
+def moved(rows: DataFrame, trees: dict[int, list[list[dict]]], depth: int) -> DataFrame:
+    """``rows`` with the margins after some trees of each model; those to be judged have the margin after each of them in ``s``."""
+    size = max(trees, default=0) + 1
+    now = [[{"nodes": as_data(t)} for t in trees.get(j, [])] for j in range(size)]
+    valued = with_tree(rows, now, f"array<array<struct<nodes:array<{_NODE}>>>>").withColumn("v", F.expr(f"transform(tree, t -> get(t.nodes, {reached(max(1, depth), 't.nodes')}).v)")).drop("tree")
+    # a row's values are used several times; exploded so that they are worked out once
+    valued = valued.select(*[c for c in valued.columns if c != "v"], F.explode(F.array("v")).alias("v"))
+    after = valued.withColumn("s", F.expr("IF(role = 2 AND size(v) > 0, transform(sequence(1, size(v)), i -> aggregate(slice(v, 1, i), m, (a, b) -> a + b)), array())"))
+    return after.withColumn("m", F.expr("aggregate(v, m, (a, b) -> a + b)")).drop("v")

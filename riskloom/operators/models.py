@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,13 @@ BOOSTING = {"n_trees": 5000, "depth": 4, "num_leaves": 16, "learning_rate": 0.03
 PLAIN = {**BOOSTING, "num_leaves": None, "subsample": 1.0, "colsample": 1.0}
 SMALL_BOOSTING = {**PLAIN, "n_trees": 5, "depth": 2, "learning_rate": 0.6}
 FOREST_LIKE = {**PLAIN, "n_trees": 5, "depth": 4, "learning_rate": 0.5}
+#: Fixed values of the small model that tells a feature's own strength, and its rounds without improvement.
+UNIVARIATE = {**PLAIN, "n_trees": 500, "learning_rate": 0.05, "num_leaves": 8, "depth": 7, "min_leaf": 50}
+UNIVARIATE_STOPPING = 30
 EARLY_STOPPING = 100
 
-#: Trees that are grown before the validation metric is looked at again.
+#: Trees that are grown before the validation metric is looked at again and the margins are written anew.
 CHUNK = 10
-#: Trees between two cuts of the margins' lineage.
-CUT_EVERY = 20
 #: Models of more trees are scored in Arrow batches.
 EXPRESSION_TREES = 64
 
@@ -292,6 +294,7 @@ def fit_many(df: DataFrame, target: str, fits: Sequence[Fit], sets: Sequence[Row
     keep = [c for c in ("row_id",) if c in df.columns]
     rows = shared.select(*keep, F.col("j.job").alias("job"), "role", "y", "w", "h", (F.col("m") + F.col("j.base")).alias("m"), F.transform("j.columns", lambda c: F.get("x", c)).alias("x"), F.array().cast("array<double>").alias("s")).persist()
     active, best, number = set(range(len(fits))), dict.fromkeys(range(len(fits)), (None, 0)), 0
+    base, since = rows, {}
     old: list[DataFrame] = []
     tables: list[TableInFolder] = []
     try:
@@ -317,17 +320,21 @@ def fit_many(df: DataFrame, target: str, fits: Sequence[Fit], sets: Sequence[Row
             judged = [j for j in active if sets[fits[j].rows].valid is not None]
             if not judged and all(number >= fits[j].model.params["n_trees"] for j in active):
                 break
-            following = growing.moved(rows, lasting, max(t.params["depth"] for t in trees.values()), (number - 1) % CHUNK == 0)
-            if number % CUT_EVERY == 0:
-                tables.append(TableInFolder(following.filter(F.col("job").isin(sorted(active)))))
-                following = tables[-1].df
-            old, rows = [rows], following.persist()
+            for j in trees:
+                since.setdefault(j, []).append(lasting[j])
+            old = [rows] if rows is not base else []
+            rows = growing.moved(base, since, max(fits[j].model.params["depth"] for j in since))
+            if number % CHUNK == 0:  # a table of its own, so that neither plans nor the way back to the first rows grow
+                tables.append(TableInFolder(rows.filter(F.col("job").isin(sorted(active)))))
+                old, rows, since = [*old, base], tables[-1].df, {}
+                base = rows
+            rows.persist()
             if due := judged if number % CHUNK == 0 else [j for j in judged if fits[j].model.params["n_trees"] <= number]:
                 active -= _judge(rows, fits, due, number, scorer, best, patience)
             while len(tables) > 1:  # what the last but one held is in the last
                 tables.pop(0).delete()
     finally:
-        for d in (*old, rows):
+        for d in (*old, base, rows):
             d.unpersist()
         for t in tables:
             t.delete()
@@ -491,28 +498,102 @@ def compare_models(df: DataFrame, target: str, features: Sequence[str], models:
     return df.sparkSession.createDataFrame(rows, "model string, mean double, std double, mean_fit_time_sec double"), oof
 
 
-SEARCH_SPACE = {"depth": (2, 4), "learning_rate": (0.05, 0.5), "min_leaf": (10, 200), "ridge": (0.1, 10.0)}
+SEARCH_SPACE = {"depth": (2, 8), "num_leaves": (4, 64), "learning_rate": (0.01, 0.3), "subsample": (0.5, 1.0), "colsample": (0.5, 1.0), "min_leaf": (10, 200), "ridge": (0.1, 10.0)}
 
 
-def tune_hyperparams(split: DataSplit, features: Sequence[str], n_trials: int = 10, space: dict | None = None, metric="roc_auc", seed: int = 42, max_train_size: int = 300_000, key: str = "row_id") -> tuple[DataFrame, dict]:
-    """(trials, best parameters): seeded random search judged on val alone; test is only reported."""
+class ParzenSearch:
+    """Tree-structured Parzen estimation: the next point has the greatest ratio of its density among good trials to that among the others.
+
+    The space has (low, high) of whole numbers, or of numbers searched in logarithms, or a list of choices. The first
+    ``start`` points are drawn at random; then the best ``share`` of the trials are the good ones, each parameter has a mixture
+    of normal densities cut to its range for either side, with the prior as one of its parts, and the best of ``draws`` points
+    of the good density is tried. Seeded.
+    """
+
+    def __init__(self, space: dict, seed: int = 42, start: int = 10, share: float = 0.1, draws: int = 24):
+        self.space, self.start, self.share, self.draws = space, start, share, draws
+        self.rng = np.random.default_rng(seed)
+        self.trials: list[tuple[dict, float]] = []
+
+    def tell(self, params: dict, loss: float) -> None:
+        self.trials.append((params, loss))
+
+    def ask(self) -> dict:
+        done = sorted((t for t in self.trials if t[1] == t[1]), key=lambda t: t[1])
+        if len(done) < self.start:
+            return {k: self._read(v, self.rng.integers(len(v)) if isinstance(v, list) else self.rng.uniform(*self._ends(v))) for k, v in self.space.items()}
+        n = max(1, min(25, math.ceil(self.share * len(done))))
+        return {k: self._best(v, [t[0][k] for t in done[:n]], [t[0][k] for t in done[n:]]) for k, v in self.space.items()}
+
+    @staticmethod
+    def _ends(v: tuple) -> tuple[float, float]:
+        return (v[0] - 0.5, v[1] + 0.5) if isinstance(v[0], int) else (math.log(v[0]), math.log(v[1]))
+
+    @staticmethod
+    def _read(v, x: float):
+        """The parameter's value at a place of the search."""
+        if isinstance(v, list):
+            return v[int(x)]
+        return min(max(round(float(x)), v[0]), v[1]) if isinstance(v[0], int) else min(max(math.exp(float(x)), v[0]), v[1])
+
+    def _best(self, v, good: list, others: list):
+        if isinstance(v, list):
+            share = lambda seen: (np.bincount([v.index(x) for x in seen], minlength=len(v)) + 1) / (len(seen) + len(v))
+            drawn = self.rng.choice(len(v), self.draws, p=share(good))
+            return v[int(max(drawn, key=lambda k: share(good)[k] / share(others)[k]))]
+        low, high = self._ends(v)
+        at = lambda seen: np.array([float(x) if isinstance(v[0], int) else math.log(x) for x in seen])
+        a, b = self._mixture(at(good), low, high), self._mixture(at(others), low, high)
+        part = self.rng.integers(len(a[0]), size=self.draws)
+        drawn = np.clip(self.rng.normal(a[0][part], a[1][part]), low, high)
+        return self._read(v, drawn[int(np.argmax(self._density(drawn, *a, low, high) - self._density(drawn, *b, low, high)))])
+
+    @staticmethod
+    def _mixture(x: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+        """Means and deviations: each point with the distance to its farther neighbour, and the prior over the range."""
+        x = np.sort(np.append(x, (low + high) / 2))
+        gaps = np.diff(np.concatenate(([low], x, [high])))
+        spread = np.clip(np.maximum(gaps[:-1], gaps[1:]), (high - low) / min(100, 1 + len(x)), high - low)
+        spread[np.searchsorted(x, (low + high) / 2)] = high - low
+        return x, spread
+
+    @staticmethod
+    def _density(x: np.ndarray, mean: np.ndarray, spread: np.ndarray, low: float, high: float) -> np.ndarray:
+        """Logarithm of the mixture's density, its parts cut to the range."""
+        under = lambda z: 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
+        inside = under((high - mean) / spread) - under((low - mean) / spread)
+        parts = np.exp(-0.5 * ((x[:, None] - mean) / spread) ** 2) / (spread * math.sqrt(2 * math.pi) * np.maximum(inside, 1e-12))
+        return np.log(parts.mean(axis=1) + 1e-300)
+
+
+def tune_hyperparams(split: DataSplit, features: Sequence[str], n_trials: int = 10, space: dict | Callable | None = None, metric="roc_auc", seed: int = 42, max_train_size: int = 300_000, key: str = "row_id", search: str = "parzen", together: int = 4, fixed: dict | None = None) -> tuple[DataFrame, dict]:
+    """(trials, best parameters): a seeded search judged on val alone; train and test are only reported.
+
+    ``search`` is parzen or random; ``space`` may also be a function of a random.Random. ``together`` trials are asked for and
+    fitted at once; the best has the trees found by early stopping.
+    """
     import random
 
-    rng, space = random.Random(seed), space or SEARCH_SPACE
+    rng, space, m = random.Random(seed), space or SEARCH_SPACE, get_metric(metric)
     train = split.train
     if train.count() > max_train_size:
         train = exact_sample(train, key, max_train_size, seed)
-    train = train.cache()
-    m, rows = get_metric(metric), []
-    for trial in range(n_trials):
-        params = space(rng) if callable(space) else {k: rng.randint(*v) if isinstance(v[0], int) else math.exp(rng.uniform(math.log(v[0]), math.log(v[1]))) for k, v in space.items()}
-        fitted = make_model("boosting", **params).fit(train, split.target, features, valid=split.val, metric=metric)
-        found = _value(fitted.predict(split.data.filter("part <> 'train'"), "__score"), metric, split.target, "__score", ["part"])
-        rows.append((trial, found.get(("val",)), found.get(("test",)), fitted.n_iterations_, json.dumps(params)))
-    train.unpersist()
-    best = max((r for r in rows if r[1] is not None), key=lambda r: r[1] if m.greater_is_better else -r[1])
-    table = split.data.sparkSession.createDataFrame(rows, "trial int, val double, test double, n_trees int, params string")
-    return table, {**json.loads(best[4]), "n_trees": best[3]}
+    data = train.unionByName(split.data.filter("part <> 'train'"), allowMissingColumns=True).cache()
+    finder = None if callable(space) else ParzenSearch(space, seed, n_trials if search == "random" else min(10, max(2, n_trials // 3)))
+    rows = []
+    while len(rows) < n_trials:
+        asked = [space(rng) if finder is None else finder.ask() for _ in range(min(together, n_trials - len(rows)))]
+        fits = [Fit(make_model("boosting", **merge_params(fixed or {}, p)), list(features)) for p in asked]
+        fit_many(data, split.target, fits, [RowSet(F.col("part") == "train", F.col("part") == "val")], metric)
+        for p, x, found in zip(asked, fits, score_many(data, [x.model for x in fits], split.target, metric, ["part"], key), strict=True):
+            value = found.get(("val",))
+            rows.append((len(rows), found.get(("train",)), value, found.get(("test",)), x.model.n_iterations_, json.dumps(p)))
+            if finder is not None and value is not None:
+                finder.tell(p, -value if m.greater_is_better else value)
+    data.unpersist()
+    best = max((r for r in rows if r[2] is not None), key=lambda r: r[2] if m.greater_is_better else -r[2])
+    table = split.data.sparkSession.createDataFrame(rows, "trial int, train double, val double, test double, n_trees int, params string")
+    return table, {**(fixed or {}), **json.loads(best[5]), "n_trees": best[4]}
 
 
 def sample_size_curve(split: DataSplit, features: Sequence[str], sizes: Sequence[int], repeats: int = 1, metric="roc_auc", key: str = "row_id", model="small") -> DataFrame:
@@ -535,29 +616,23 @@ def learning_curve(model: Boosting) -> list[tuple[int, float]]:
     return list(enumerate(model.history_, 1))
 
 
-def export_model(model: Boosting, folder: str, check: DataFrame | None = None, atol: float = 1e-6) -> None:
-    """Write model.json, preprocessing.json and a standalone inference.py; verify that what is read back scores alike."""
+def export_model(model: Boosting, folder: str, check: DataFrame | None = None, atol: float = 1e-6, sample: int = 1000) -> None:
+    """Write the model, its preprocessing and a scorer that stands alone; verify on ``check`` that what is read back scores alike, and the scorer on ``sample`` of its rows."""
     import os
 
-    os.makedirs(folder, exist_ok=True)
-    text = model.to_json()
-    for name, content in (("model.json", text), ("preprocessing.json", json.dumps(model.preparer.spec(), indent=1)), ("requirements.txt", "pyspark\n"), ("inference.py", INFERENCE)):
-        with open(f"{folder}/{name}", "w") as f:
-            f.write(content)
-    if check is not None:
-        again = load_model(folder)
-        both = again.predict(model.predict(check, "__a"), "__b")
-        if (worst := both.agg(F.max(F.abs(F.col("__a") - F.col("__b")))).first()[0] or 0.0) > atol:
-            raise RuntimeError(f"exported model differs by {worst}")
-
+    from riskloom.operators.scorer import load_scorer, write_scorer
 
-INFERENCE = '''"""Scores a DataFrame with the exported model: score(df, folder) adds the column prediction."""
-from riskloom.operators.models import load_model
-
-
-def score(df, folder="."):
-    return load_model(folder).predict(df)
-'''
+    os.makedirs(folder, exist_ok=True)
+    write_scorer(folder, model.to_json(), model.preparer.spec())
+    if check is None:
+        return
+    again = load_model(folder)
+    both = again.predict(model.predict(check, "__a"), "__b")
+    if (worst := both.agg(F.max(F.abs(F.col("__a") - F.col("__b")))).first()[0] or 0.0) > atol:
+        raise RuntimeError(f"exported model differs by {worst}")
+    rows = model.predict(check, "__a").select(*model.features, "__a").limit(sample).toPandas()
+    if len(rows) and (worst := float(np.abs(load_scorer(folder).predict(rows) - rows["__a"]).max())) > atol:
+        raise RuntimeError(f"the scorer differs by {worst}")
 
 
 def load_model(folder: str) -> Boosting:
@@ -585,49 +660,107 @@ def feature_metric_dynamics(train: DataFrame, data: DataFrame, features: Sequenc
     return sizes.join(found, ["feature", "period"], "left").select("feature", "period", "n", F.when(F.col("n") >= min_size, F.col("value")).alias("value"))
 
 
-def univariate_scores(df: DataFrame, target: str, features: Sequence[str], fold: str = "fold", bins: int = 32, tree_depth: int | None = None, min_leaf_share: float = 0.0, accuracy: int = 10_000) -> DataFrame:
-    """feature, auc_mean, auc_std, auc_gain, status: one-feature models of all features and folds from one histogram.
+def bin_auc(margin: np.ndarray, n: np.ndarray, pos: np.ndarray) -> float | None:
+    """AUC of a score by bin with so many rows and positives; null if a class is absent."""
+    if not 0 < pos.sum() < n.sum():
+        return None
+    _, at = np.unique(margin, return_inverse=True)
+    p, q = np.bincount(at, pos), np.bincount(at, n - pos)
+    return float((p * (np.cumsum(q) - q / 2)).sum() / (p.sum() * q.sum()))
+
 
-    Any model of one binned feature is a function of its counts by (fold, bin). Its score is the
-    smoothed target rate of the bins outside the fold, or with ``tree_depth`` that of the leaves of a
-    tree on them. Sorted by auc_gain = |auc_mean - 0.5|.
+def boosted_bins(n: np.ndarray, pos: np.ndarray, params: dict, categorical: bool = False, valid: tuple[np.ndarray, np.ndarray] | None = None, patience: int = UNIVARIATE_STOPPING) -> tuple[np.ndarray, list]:
+    """(margin of each bin, AUC on ``valid`` by tree) of the one-feature model on so many rows and positives a bin.
+
+    All rows of a bin have the same margin, so the trees are those that ``Boosting`` grows on the rows.
+    """
+    q = min(max(pos.sum() / n.sum(), 1e-6), 1 - 1e-6)
+    margin = np.full(len(n), math.log(q / (1 - q)))
+    best, history = (None, margin, 0), []
+    for k in range(1, params["n_trees"] + 1):
+        q = 1 / (1 + np.exp(-margin))
+        cells = np.stack([pos - n * q, n * np.maximum(q * (1 - q), 1e-6), n], axis=1)
+        tree = growing.Tree(params, [0], {0} if categorical else set(), len(n))
+        inside = {0: n > 0}
+        while wanted := tree.wanted():
+            asked = tree.asked(wanted)
+            for c in asked:
+                _members(tree, inside, c)
+            tree.told(asked, {c: [(0, b, *cells[b]) for b in np.flatnonzero(inside[c])] for c in asked})
+        nodes, _ = tree.finished()
+        step = np.asarray([_leaf_value(nodes, b) for b in range(len(n))])
+        margin = margin + step
+        if valid is None:
+            continue
+        value = bin_auc(margin, *valid)
+        history.append(value)
+        if value is not None and (best[0] is None or value > best[0]):
+            best = (value, margin, k)
+        elif k - best[2] >= patience:
+            break
+    return (margin if valid is None else best[1]), history
+
+
+def _members(tree: growing.Tree, inside: dict[int, np.ndarray], k: int) -> np.ndarray:
+    """The bins of a node, by the rules on the way to it."""
+    if k not in inside:
+        parent = tree.nodes[k]["parent"]
+        own, rule, b = _members(tree, inside, parent), tree.nodes[parent]["split"][2], np.arange(tree.bins)
+        left = np.isin(b, rule["left_bins"]) if "left_bins" in rule else (b <= rule["cut"]) & ((b > 0) | rule["missing_left"])
+        inside[tree.nodes[parent]["left"]], inside[tree.nodes[parent]["right"]] = own & left, own & ~left
+    return inside[k]
+
+
+def _leaf_value(nodes: list[dict], b: int) -> float:
+    node = nodes[0]
+    while "left" in node:
+        goes = b in node["left_bins"] if "left_bins" in node else b <= node["cut"] and (b > 0 or node["missing_left"])
+        node = nodes[node["left"] if goes else node["right"]]
+    return node["value"]
+
+
+def univariate_scores(df: DataFrame, target: str, features: Sequence[str], fold: str = "fold", bins: int = 32, tree_depth: int | None = None, min_leaf_share: float = 0.0, accuracy: int = 10_000, model: str | dict = "boosting", patience: int = UNIVARIATE_STOPPING) -> DataFrame:
+    """feature, auc_mean, auc_std, auc_gain, status, auc_min, auc_max, n_splits_ok: one-feature models of all features and folds from one histogram.
+
+    Any model of one binned feature is a function of its counts by (fold, bin): ``model`` is the small boosting
+    model of UNIVARIATE, changes to its parameters, or ``rates``, the smoothed target rate of the bins outside the fold;
+    with ``tree_depth`` it is the leaves of one tree. Boosting stops early by the fold that it is scored on.
+    Sorted by auc_gain = |auc_mean - 0.5|.
     """
     prepared = FeaturePreparer(list(features), None, bins, accuracy=accuracy).fit(df)
     binned = prepared.transform(df).select(F.col(target).cast("int").alias("y"), F.col(fold).alias("fold"), F.posexplode(F.array(*[f"__bin_{k}" for k in range(len(features))])).alias("f", "b"))
     counts = binned.filter("y IS NOT NULL").groupBy("f", "fold", "b").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    names = list(features)
+    names, cats, width = list(features), set(prepared.categories), prepared.width()
+    params = merge_params(UNIVARIATE, model if isinstance(model, dict) else None)
+
+    def margins(train, valid, categorical):
+        """A score for each bin."""
+        if tree_depth:
+            leaf = _histogram_tree(train.rename_axis("b"), tree_depth, min_leaf_share)
+            return np.asarray([leaf.get(b, 0.5) for b in range(width)])
+        full = lambda t, c: np.bincount(t.index, t[c], width)
+        if model == "rates":
+            rate = train["pos"].sum() / train["n"].sum()
+            return (full(train, "pos") + 5 * rate) / (full(train, "n") + 5)
+        return boosted_bins(full(train, "n"), full(train, "pos"), params, categorical, (full(valid, "n"), full(valid, "pos")), patience)[0]
 
     def run(key, pdf):
         import pandas as pd
 
-        f = int(key[0])
+        f = names[int(key[0])]
         aucs = []
         for k in sorted(pdf["fold"].unique()):
             train = pdf[pdf["fold"] != k].groupby("b")[["n", "pos"]].sum()
             valid = pdf[pdf["fold"] == k].groupby("b")[["n", "pos"]].sum()
-            p, n = valid["pos"].sum(), valid["n"].sum()
-            if not len(train) or p == 0 or p == n:
-                continue
-            if tree_depth:
-                leaf = _histogram_tree(train, tree_depth, min_leaf_share)
-                score = {b: leaf.get(b, 0.5) for b in valid.index}
-            else:
-                rate = train["pos"].sum() / train["n"].sum()
-                smooth = (train["pos"] + 5 * rate) / (train["n"] + 5)
-                score = {b: float(smooth.get(b, rate)) for b in valid.index}
-            below, area = 0.0, 0.0
-            for s in sorted(set(score.values())):
-                own = valid.loc[[b for b in valid.index if score[b] == s]]
-                q, m = own["pos"].sum(), own["n"].sum() - own["pos"].sum()
-                area += q * (below + m / 2)
-                below += m
-            aucs.append(area / (p * (n - p)))
+            if k >= 0 and len(train) and 0 < valid["pos"].sum() < valid["n"].sum():
+                aucs.append(bin_auc(margins(train, valid, f in cats)[valid.index], valid["n"].to_numpy("f8"), valid["pos"].to_numpy("f8")))
         status = "constant_or_all_nan" if pdf["b"].nunique() < 2 else "ok" if aucs else "no_valid_folds"
-        mean = sum(aucs) / len(aucs) if aucs and status == "ok" else None
-        std = math.sqrt(sum((a - mean) ** 2 for a in aucs) / len(aucs)) if mean is not None else None
-        return pd.DataFrame({"feature": [names[f]], "auc_mean": [mean], "auc_std": [std], "auc_gain": [abs(mean - 0.5) if mean is not None else None], "status": [status]})
+        fine = status == "ok"
+        mean = sum(aucs) / len(aucs) if fine else None
+        std = math.sqrt(sum((a - mean) ** 2 for a in aucs) / len(aucs)) if fine else None
+        return pd.DataFrame({"feature": [f], "auc_mean": [mean], "auc_std": [std], "auc_gain": [abs(mean - 0.5) if fine else None], "status": [status], "auc_min": [min(aucs) if fine else None], "auc_max": [max(aucs) if fine else None], "n_splits_ok": [len(aucs) if fine else 0]})
 
-    out = counts.groupBy("f").applyInPandas(run, "feature string, auc_mean double, auc_std double, auc_gain double, status string")
+    out = counts.groupBy("f").applyInPandas(run, "feature string, auc_mean double, auc_std double, auc_gain double, status string, auc_min double, auc_max double, n_splits_ok int")
     return out.orderBy(F.desc_nulls_last("auc_gain"), "feature")
 
 
@@ -662,7 +795,7 @@ def _histogram_tree(counts, depth: int, min_share: float, categorical: bool = Fa
 
 def univariate_tree_scores(df: DataFrame, target: str, features: Sequence[str], fold: str = "fold", max_depth: int = 3, min_leaf_share: float = 0.05) -> DataFrame:
     """As ``univariate_scores`` for one readable tree a feature, with n_leaves and whether the leaves' rates are monotonic (numbers alone)."""
-    scores = univariate_scores(df, target, features, fold, tree_depth=max_depth, min_leaf_share=min_leaf_share)
+    scores = univariate_scores(df, target, features, fold, tree_depth=max_depth, min_leaf_share=min_leaf_share).drop("auc_min", "auc_max", "n_splits_ok")
     leaves = univariate_leaves(df, target, features, max_depth, min_leaf_share)
     shape = leaves.groupBy("feature").agg(F.count("*").alias("n_leaves"), F.array_sort(F.collect_list(F.when(~F.col("categorical") & F.col("least").isNotNull(), F.struct("leaf", "target_rate")))).alias("r"))
     steps = F.zip_with(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), F.slice("r", 1, F.greatest(F.size("r") - 1, F.lit(0))), lambda a, b: a["target_rate"] - b["target_rate"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import detect_categorical, normalize_missing, numeric
 from riskloom.operators.ranking import direct_auc
+from riskloom.operators.kendall import kendall_matrix
 from riskloom.operators.results import Result
 from riskloom.plans.relational import long_form, safe_div
 
@@ -42,7 +43,7 @@ def quality_filter(df: DataFrame, features: Sequence[str], categorical: Sequence
 def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pearson", chunk: int = 200) -> DataFrame:
     """(a, b, corr) of each pair a before b, over the rows where both are present; null where one is constant.
 
-    Pearson and Spearman. Up to ``chunk`` pairs are aggregates of one scan; for more, every task adds
+    Pearson, Spearman and Kendall (tau-b). Up to ``chunk`` pairs are aggregates of one scan; for more, every task adds
     up the products of its rows' centred values as matrices, and the matrices' cells are added up, in
     one scan too. Ranks are averages over all present rows of the feature.
     """
@@ -53,8 +54,10 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
         w = W.partitionBy("feature").orderBy("value")
         ranks = h.withColumn("r", F.sum("n").over(w) - (F.col("n") - 1) / 2).select("feature", "value", "r")
         x = rows.join(ranks, ["feature", "value"]).groupBy("__id").pivot("feature", list(features)).agg(F.first("r")).select(*features)
+    elif method == "kendall":
+        return kendall_matrix(x, list(features))
     elif method != "pearson":
-        raise ValueError("method is pearson or spearman")
+        raise ValueError("method is pearson, spearman or kendall")
     pairs = [(a, b) for k, a in enumerate(features) for b in features[k + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, corr double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from riskloom.plans.relational import buckets_of, one_row, running, seeded_order
 
 
+#: Rows of one hash prefix that may be ordered together.
+EDGE_ROWS = 100_000
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Add ``__rank`` (from 1, in the order of the seeded hash within ``by``) and ``__n``.
 
@@ -114,8 +119,29 @@ def make_folds(df: DataFrame, target: str, key: str, n_splits: int = 5, stratify
 
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The first n rows in the seeded order."""
-    return df.orderBy(seeded_order(seed, key), key).limit(n)
+    """The first n rows in the seeded order.
+
+    Counts by hash prefix tell the prefix that the n-th row falls on; whole prefixes before it are taken, and
+    only the rows of that one are ordered, further by longer prefixes while they are many.
+    """
+    if n <= 0:
+        return df.limit(0)
+    rows = df.withColumn("__h", F.coalesce(seeded_order(seed, key), F.lit("0" * 32)))
+    taken, left, inside = [], n, rows
+    for length in (4, 8, 12):
+        part = F.substring("__h", 1, length)
+        counts = running(inside.groupBy(F.conv(part, 16, 10).cast("long").alias("__o")).agg(F.count("*").alias("__c")), [], "__o", {"__upto": F.col("__c")})
+        edge = counts.filter((F.col("__upto") - F.col("__c") < left) & (F.col("__upto") >= left)).select("__o", "__upto", "__c").first()
+        if edge is None:  # all that is left
+            return reduce(DataFrame.unionByName, [*taken, inside]).drop("__h")
+        at = F.conv(part, 16, 10).cast("long")
+        taken.append(inside.filter(at < edge["__o"]))
+        left -= edge["__upto"] - edge["__c"]
+        inside = inside.filter(at == edge["__o"])
+        if edge["__c"] <= EDGE_ROWS:
+            break
+    first = inside.withColumn("__r", F.row_number().over(W.partitionBy(F.substring("__h", 1, 4)).orderBy("__h", key))).filter(F.col("__r") <= left).drop("__r")
+    return reduce(DataFrame.unionByName, [*taken, first]).drop("__h")
 
 
 def stratified_cap(df: DataFrame, target: str, key: str, max_rows: int, seed: int = 42) -> DataFrame:

@@ -4,22 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskloom.operators.models import _value, cross_validate, make_model
+from riskloom.operators.models import Fit, RowSet, _value, cross_validate, cross_validate_many, fit_many, make_model, score_many
 from riskloom.operators.ranking import get_metric
 from riskloom.operators.results import Result
 from riskloom.operators.selection import Step
 from riskloom.operators.splits import hash_rank
 
-#: Independent fits that run at once.
-THREADS = 3
-
-
 def permutation_importance(model, df: DataFrame, target: str, key: str = "row_id", metric="roc_auc", n_repeats: int = 3, features: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """feature, importance, std: how much the metric drops when the feature's values are dealt anew among the rows.
 
@@ -73,21 +69,27 @@ def cumulative_importance_selection(df: DataFrame, target: str, features: Sequen
     return Result("importance", table, [f for f in features if f in set(kept)], info)
 
 
-def _scores(model, parts: dict[str, DataFrame], target: str, metric, key: str) -> dict[str, float]:
-    return {p: _value(model.predict(d, "__p"), metric, target, "__p", (), key).get(()) for p, d in parts.items()}
+def _scores(models: Sequence, parts: dict[str, DataFrame], target: str, metric, key: str) -> list[dict[str, float]]:
+    """For each model its score on each part, all in one plan."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("__part", F.lit(p)) for p, d in parts.items()])
+    return [{k[0]: v for k, v in s.items()} for s in score_many(whole, models, target, metric, ["__part"], key)]
+
+
+def _fitted(train: DataFrame, valid: DataFrame | None, target: str, sets: Sequence[Sequence[str]], model, metric) -> list:
+    """A model for each set of features, fitted together."""
+    whole = train.withColumn("__role", F.lit(1))
+    if valid is not None:
+        whole = whole.unionByName(valid.withColumn("__role", F.lit(2)), allowMissingColumns=True)
+    rows = RowSet(F.col("__role") == 1, None if valid is None else F.col("__role") == 2)
+    return fit_many(whole, target, [Fit(make_model(model), list(fs)) for fs in sets], [rows], metric)
 
 
 def drop_column_importance(train: DataFrame, val: DataFrame, features: Sequence[str], target: str, test: DataFrame | None = None, model="small", metric="roc_auc", key: str = "row_id") -> DataFrame:
-    """feature, delta_val, delta_test: the loss of a model fitted without the feature; positive is useful."""
+    """feature, delta_val, delta_test: the loss of a model fitted without the feature; positive is useful. All models are fitted together."""
     parts = {"val": val} | ({"test": test} if test is not None else {})
     m = get_metric(metric)
-
-    def fit(left: list[str]) -> dict[str, float]:
-        return _scores(make_model(model).fit(train, target, left, valid=val, metric=metric), parts, target, metric, key)
-
-    full = fit(list(features))
-    with ThreadPoolExecutor(THREADS) as pool:
-        found = list(pool.map(lambda f: fit([x for x in features if x != f]), features))
+    models = _fitted(train, val, target, [features, *([x for x in features if x != f] for f in features)], model, metric)
+    full, *found = _scores(models, parts, target, metric, key)
     rows = [(f, m.delta(full["val"], s["val"]), m.delta(full["test"], s["test"]) if test is not None else None) for f, s in zip(features, found, strict=True)]
     return train.sparkSession.createDataFrame(rows, "feature string, delta_val double, delta_test double").orderBy(F.desc("delta_val"), "feature")
 
@@ -130,7 +132,7 @@ def rfe(df: DataFrame, target: str, features: Sequence[str], key: str = "row_id"
         for f in weakest:
             if len(now) <= min_features:
                 break
-            trial, segments = evaluate([x for x in now if x != f])
+            trial, segments = evaluate([x for x in now if x != f])  # a drop changes what the next trial starts from
             delta = m.delta(trial.mean, base.mean)
             worst = min((m.delta(segments[s], base_segments[s]) for s in segments if s in base_segments), default=0.0)
             good = delta >= -tol and worst >= -segment_tol
@@ -150,7 +152,7 @@ def backward_elimination(train: DataFrame, valid: DataFrame, target: str, featur
     now, rows = list(features), []
     while True:
         fitted = make_model(model).fit(train, target, now, valid=valid, metric=metric)
-        s = _scores(fitted, {"train": train, "valid": valid}, target, metric, key)
+        s = _scores([fitted], {"train": train, "valid": valid}, target, metric, key)[0]
         worst = min(now, key=lambda f: (fitted.feature_importance()[f], now.index(f)))
         last = len(now) <= min_features
         rows.append((len(rows), len(now), None if last else worst, s["train"], s["valid"], list(now)))
@@ -172,12 +174,8 @@ def forward_addition(train: DataFrame, valid: DataFrame, target: str, base: Sequ
         raise ValueError("mode is one_by_one, all_together or groups")
     m = get_metric(metric)
 
-    def fit(extra: Sequence[str]) -> dict[str, float]:
-        return _scores(make_model(model).fit(train, target, [*base, *extra], valid=valid, metric=metric), {"train": train, "valid": valid}, target, metric, key)
-
-    start = fit([])
-    with ThreadPoolExecutor(THREADS) as pool:
-        found = list(pool.map(fit, trials.values()))
+    models = _fitted(train, valid, target, [list(base), *([*base, *extra] for extra in trials.values())], model, metric)
+    start, *found = _scores(models, {"train": train, "valid": valid}, target, metric, key)
     rows = [("BASE", start["train"], start["valid"], 0.0, 0.0)] + [(n, s["train"], s["valid"], m.delta(s["train"], start["train"]), m.delta(s["valid"], start["valid"])) for n, s in zip(trials, found, strict=True)]
     table = train.sparkSession.createDataFrame(rows, "added string, train double, valid double, delta_train double, delta_valid double")
     good = {n for n, s in zip(trials, found, strict=True) if m.delta(s["valid"], start["valid"]) > 0}
@@ -199,23 +197,25 @@ def incremental_feature_eval(df: DataFrame, target: str, features: Sequence[str]
         external = {}
         if eval_sets:
             fitted = make_model(model, n_trees=max(1, cv.mean_best_iteration)).fit(df, target, fs)
-            external = _scores(fitted, eval_sets, target, metric, key)
+            external = _scores([fitted], eval_sets, target, metric, key)[0]
         signal = (cv.mean - 0.5) / (full.mean - 0.5) if full.mean != 0.5 else None
         rows.append((len(rows) + 1, name, len(fs), cv.mean, cv.std, None if last is None else m.delta(cv.mean, last), cv.mean / full.mean if full.mean else None, signal, {k: v for k, v in external.items()}, list(fs)))
         last = cv.mean
 
     left = list(features)
     steps = min(max_steps or len(left), len(left))
+    # In a given order all steps are known beforehand and fitted together.
+    planned = [features[: k + 1] for k in range(steps)] if direction == "forward" else [left[: len(left) - k - 1] for k in range(min(steps, len(left) - 1))]
+    ready = iter(cross_validate_many(df, target, [(list(fs), model) for fs in planned], key, fold, metric) if mode == "ordered" and planned else [])
     if direction == "forward":
         now: list[str] = []
         for _ in range(steps):
             if mode == "greedy":
-                trials = {f: cross_validate(df, target, [*now, f], key, fold, model, metric) for f in left}
+                trials = dict(zip(left, cross_validate_many(df, target, [([*now, f], model) for f in left], key, fold, metric), strict=True))
                 pick = max(left, key=lambda f: trials[f].mean if m.greater_is_better else -trials[f].mean)
                 cv = trials[pick]
             else:
-                pick = left[0]
-                cv = cross_validate(df, target, [*now, pick], key, fold, model, metric)
+                pick, cv = left[0], next(ready)
             now.append(pick)
             left.remove(pick)
             note(pick, now, cv)
@@ -223,12 +223,11 @@ def incremental_feature_eval(df: DataFrame, target: str, features: Sequence[str]
         note(None, left, full)
         for _ in range(min(steps, len(left) - 1)):
             if mode == "greedy":
-                trials = {f: cross_validate(df, target, [x for x in left if x != f], key, fold, model, metric) for f in left}
+                trials = dict(zip(left, cross_validate_many(df, target, [([x for x in left if x != f], model) for f in left], key, fold, metric), strict=True))
                 pick = max(left, key=lambda f: trials[f].mean if m.greater_is_better else -trials[f].mean)
                 cv = trials[pick]
             else:
-                pick = left[-1]
-                cv = cross_validate(df, target, left[:-1], key, fold, model, metric)
+                pick, cv = left[-1], next(ready)
             left = [x for x in left if x != pick]
             note(pick, left, cv)
     else:

@@ -471,6 +471,15 @@ def corr_matrix(spark, d):
     return rounded(selection.correlation_matrix(observations(spark, d), list(_CF)), 6)
 
 
+_KF = ("c_acctbal", "c_nationkey", "c_custkey", "thousands")
+
+
+@query("WITH c AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, CASE WHEN c_custkey % 7 <> 0 THEN floor(CAST(c_acctbal AS DOUBLE) / 1000) END AS thousands FROM customer) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) / sqrt(sum(abs(sign(x.{a} - y.{a}))) * sum(abs(sign(x.{b} - y.{b})))), 9) AS corr FROM c x JOIN c y ON x.c_custkey < y.c_custkey WHERE x.{a} IS NOT NULL AND y.{a} IS NOT NULL AND x.{b} IS NOT NULL AND y.{b} IS NOT NULL" for k, a in enumerate(_KF) for b in _KF[k + 1 :]))
+def corr_kendall(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    return rounded(selection.correlation_matrix(c.withColumn("thousands", F.when(F.col("c_custkey") % 7 != 0, F.floor(F.col("c_acctbal") / 1000).cast("double"))), list(_KF), "kendall"), 9)
+
+
 _CORR = f"{OBS}, s AS ({' UNION ALL '.join(f'SELECT {chr(39)}{c}{chr(39)} AS feature, target AS y, {c} AS p FROM obs' for c in ('price', 'acctbal', 'price_copy'))}), {_rank_sql('s', 'feature')}, da AS (SELECT feature, greatest(auc, 1 - auc) AS a FROM r), cr AS (SELECT abs(corr(price, price_copy)) > 0.8 AS hit FROM obs)"
 _CORR_OUT = " SELECT feature, round(a, 9) AS direct_auc, CASE WHEN feature <> 'acctbal' AND hit AND (a < (SELECT max(a) FROM da WHERE feature <> 'acctbal') OR (feature = 'price_copy' AND a = (SELECT a FROM da WHERE feature = 'price'))) THEN 'drop' ELSE 'keep' END AS action FROM da, cr"
 
@@ -587,7 +596,31 @@ SELECT feature, round(avg(auc), 9) AS auc_mean, round(stddev_pop(auc), 9) AS auc
 def univariate_scores(spark, d):
     from riskloom.operators import models
 
-    return rounded(models.univariate_scores(_folds(spark, d), "target", MODEL_FEATURES, accuracy=1_000_000), 9)
+    t = models.univariate_scores(_folds(spark, d), "target", MODEL_FEATURES, accuracy=1_000_000, model="rates")
+    return rounded(t.select("feature", "auc_mean", "auc_std", "auc_gain", "status"), 9)
+
+
+@query()
+def univariate_boosting(spark, d):
+    from riskloom.operators import models
+
+    return models.univariate_scores(_folds(spark, d), "target", MODEL_FEATURES)
+
+
+@query(f"""{_SIGNAL}, {_bins_sql('sf', 'sf', 'fold, target')}, ct AS (SELECT feature, fold, b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(target) AS DOUBLE) AS k FROM bn WHERE feature <> 'priority' GROUP BY 1, 2, 3), fo AS (SELECT DISTINCT fold AS o FROM sf),
+tn AS (SELECT feature, o, b, sum(n) AS n, sum(k) AS k FROM ct JOIN fo ON fold <> o GROUP BY 1, 2, 3), mu AS (SELECT feature, o, sum(k) / sum(n) AS q FROM tn GROUP BY 1, 2),
+hi AS (SELECT feature, o, b, n, k - n * q AS g, n * q * (1 - q) AS h FROM tn JOIN mu USING (feature, o)), to_ AS (SELECT feature, o, sum(n) AS n, sum(g) AS g, sum(h) AS h, max(b) AS top, sum(n) FILTER (b = 0) AS nm FROM hi GROUP BY 1, 2),
+op AS (SELECT c.feature AS feature, c.o AS o, c.b AS cut, ml FROM hi c JOIN to_ USING (feature, o) CROSS JOIN (SELECT unnest([false, true]) AS ml) WHERE c.b > 0 AND (c.b < top OR (nm > 0 AND NOT ml)) AND (NOT ml OR nm > 0)),
+sd AS (SELECT op.feature AS feature, op.o AS o, cut, ml, sum(hi.n) AS ln, sum(hi.g) AS lg, sum(hi.h) AS lh FROM op JOIN hi ON hi.o = op.o AND hi.feature = op.feature AND ((hi.b > 0 AND hi.b <= cut) OR (hi.b = 0 AND ml)) GROUP BY 1, 2, 3, 4),
+be AS (SELECT sd.*, to_.g AS g, to_.h AS h, lg * lg / (lh + 1) + (g - lg) * (g - lg) / (h - lh + 1) - g * g / (h + 1) AS gain FROM sd JOIN to_ USING (feature, o) WHERE ln >= 50 AND n - ln >= 50 QUALIFY row_number() OVER (PARTITION BY feature, o ORDER BY gain DESC, cut, ml) = 1),
+hs AS (SELECT ct.feature AS feature, fold, p, sum(n) AS n, sum(k) AS q FROM (SELECT ct.*, coalesce(CASE WHEN (ct.b = 0 AND ml) OR (ct.b > 0 AND ct.b <= cut) THEN lg / (lh + 1) ELSE (g - lg) / (h - lh + 1) END, 0) AS p FROM ct LEFT JOIN be ON be.feature = ct.feature AND be.o = ct.fold) ct GROUP BY 1, 2, 3),
+hc AS (SELECT *, sum(n - q) OVER (PARTITION BY feature, fold ORDER BY p) AS cn FROM hs), fa AS (SELECT feature, fold, sum(q * (cn - (n - q) / 2)) / (sum(q) * sum(n - q)) AS auc FROM hc GROUP BY 1, 2)
+SELECT feature, round(avg(auc), 9) AS auc_mean, round(stddev_pop(auc), 9) AS auc_std, round(min(auc), 9) AS auc_min, round(max(auc), 9) AS auc_max FROM fa GROUP BY feature""")
+def univariate_boosting_of_stumps(spark, d):
+    from riskloom.operators import models
+
+    t = models.univariate_scores(_folds(spark, d), "target", list(MODEL_NUMBERS), accuracy=1_000_000, model={"n_trees": 1, "num_leaves": 2})
+    return rounded(t.select("feature", "auc_mean", "auc_std", "auc_min", "auc_max"), 9)
 
 
 @query(f"""{_SIGNAL}, st AS (SELECT * FROM sg WHERE date < TIMESTAMP '1997-01-01'), sd AS (SELECT CAST(date_trunc('quarter', date) AS TIMESTAMP) AS period, * FROM sg WHERE date >= TIMESTAMP '1997-01-01'), {_bins_sql('st', 'sd', 'period, target')},

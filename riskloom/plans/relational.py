@@ -101,14 +101,15 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column
     return joined.drop("__range", *[f"__k_{c}" for c in [*by, "__range"]], *[f"__b_{k}" for k in sums], *[f"__v_{k}" for k in sums])
 
 
-def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), name: str = "quantiles") -> DataFrame:
-    """Keys and an array of the exact quantiles of ``column``, interpolated between neighbours, one for each share.
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), name: str = "quantiles", weight: str | None = None) -> DataFrame:
+    """Keys and an array of the exact quantiles of ``column``, interpolated between neighbours, one for each share; a row counts ``weight`` times.
 
     Taken from running counts over the histogram of distinct values: a value answers the shares whose
     ranks fall on it, and only these answers are gathered. Groups without a value have no row.
     """
     by = list(by)
-    h = df.select(*by, no_nan(F.col(column).cast("double")).alias("__x")).filter("__x IS NOT NULL").groupBy(*by, "__x").agg(F.count("*").alias("__n"))
+    rows = df.select(*by, no_nan(F.col(column).cast("double")).alias("__x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("__w")).filter("__x IS NOT NULL")
+    h = rows.groupBy(*by, "__x").agg(F.sum("__w").alias("__n"))
     c = running(h, by, "__x", {"__c": F.col("__n")})
     at = lambda q: q * (F.col("__c_all") - 1)
     holds = lambda rank: (rank >= F.col("__c") - F.col("__n")) & (rank < F.col("__c"))

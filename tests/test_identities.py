@@ -188,3 +188,49 @@ def test_correlations_by_products_equal_the_aggregates(spark):
     both = [{(r["a"], r["b"]): r["corr"] for r in selection.correlation_matrix(df, ["a", "b", "c", "d"], chunk=k).collect()} for k in (200, 0)]
     assert both[0].keys() == both[1].keys()
     assert all((x is None) == (both[1][k] is None) and (x is None or x == pytest.approx(both[1][k], abs=1e-9)) for k, x in both[0].items())
+
+
+def test_kendall_equals_comparing_all_pairs(spark):
+    import random
+
+    import numpy as np
+
+    from riskloom.operators import kendall
+
+    random.seed(4)
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 7, 64, 300):
+        b, w = rng.integers(0, 9, n).astype("f8"), rng.integers(1, 4, n).astype("f8")
+        assert kendall.inversions(b, w) == sum(w[i] * w[j] for j in range(n) for i in range(j) if b[i] > b[j])
+
+    def plain(x, y):
+        s = t = u = 0
+        for i in range(len(x)):
+            for j in range(i):
+                a, b = (x[i] > x[j]) - (x[i] < x[j]), (y[i] > y[j]) - (y[i] < y[j])
+                s, t, u = s + a * b, t + abs(a), u + abs(b)
+        return s / (t * u) ** 0.5 if t and u else None
+
+    rows = [(random.choice([None, 1.0, 1.0, random.random(), 5.0]), random.choice([random.random(), 2.0]), float(k % 11), 3.0) for k in range(240)]
+    df = spark.createDataFrame(rows, "p double, q double, r double, s double")
+    for ranges in (2, 5, 40):
+        for m in kendall.kendall_matrix(df, ["p", "q", "r", "s"], ranges).collect():
+            i, j = "pqrs".index(m["a"]), "pqrs".index(m["b"])
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            want = plain(*zip(*both, strict=True))
+            assert (m["corr"] is None) == (want is None) and (want is None or abs(m["corr"] - want) < 1e-12)
+    assert kendall.kendall_matrix(df.filter("false"), ["p", "q"]).first()["corr"] is None
+
+
+def test_exact_samples_are_the_first_rows_in_the_seeded_order(spark, monkeypatch):
+    import hashlib
+
+    from riskloom.operators import splits
+
+    df = spark.range(3000).withColumnRenamed("id", "k").repartition(5)
+    order = sorted(range(3000), key=lambda k: (hashlib.md5(f"42|{k}".encode()).hexdigest(), k))
+    for n, edge in ((0, 100_000), (1, 100_000), (700, 100_000), (700, 0), (3000, 10), (5000, 10)):
+        monkeypatch.setattr(splits, "EDGE_ROWS", edge)
+        assert sorted(r["k"] for r in splits.exact_sample(df, "k", n).collect()) == sorted(order[:n])
+    plan = splits.exact_sample(df, "k", 700)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "rangepartitioning" not in plan

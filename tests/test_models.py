@@ -34,6 +34,20 @@ def test_cross_validation_covers_every_row(data):
     assert {s["segment"] for s in cv.segments} == {"a", "b", "c"}
 
 
+def test_boosting_on_bins_is_boosting_on_rows(data):
+    for f, cats in (("x2", []), ("cat", ["cat"])):
+        options = {"n_trees": 6, "depth": 4, "num_leaves": 5, "min_leaf": 30, "max_bins": 12}
+        m = models.make_model("small", **options).fit(data.filter("fold <> 0"), "y", [f], cats)
+        rows = m.preparer.transform(data.select("fold", "y", f)).groupBy("fold", "__bin_0").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.first(f).alias(f)).toPandas()
+        full = lambda k, c, rows=rows, m=m: np.bincount(rows["__bin_0"], np.where((rows["fold"] == 0) == k, rows[c], 0), m.preparer.width())
+        margin, history = models.boosted_bins(full(False, "n"), full(False, "pos"), m.params, bool(cats), (full(True, "n"), full(True, "pos")), patience=100)
+        again, _ = models.boosted_bins(full(False, "n"), full(False, "pos"), m.params, bool(cats))
+        shown = {r["b"]: r["p"] for r in m.predict(m.preparer.transform(data), "p").select(F.col("__bin_0").alias("b"), "p").distinct().collect()}
+        assert all(abs(1 / (1 + np.exp(-again[b])) - p) < 1e-9 for b, p in shown.items())
+        assert len(history) == 6 and abs(models._value(m.predict(data.filter("fold = 0"), "p"), "roc_auc", "y", "p")[()] - history[-1]) < 1e-9
+        assert margin.shape == again.shape
+
+
 def test_univariate_scores_rank_signal_first(data):
     rows = models.univariate_scores(data.withColumn("one", F.lit(1.0)), "y", ["noise", "x1", "one"]).collect()
     assert rows[0]["feature"] == "x1" and {r["feature"]: r["status"] for r in rows}["one"] == "constant_or_all_nan"
@@ -118,6 +132,51 @@ def test_boosting_equals_plain_loops(spark, data):
     assert np.allclose(table["p"], 1 / (1 + np.exp(-margin)), atol=1e-9)
 
 
+def test_the_exported_scorer_needs_neither_spark_nor_the_library(spark, data, tmp_path):
+    import json
+    import subprocess
+    import sys
+
+    odd = data.select("row_id", "y", F.when(F.col("row_id") % 5 > 0, F.col("x1").cast("string")).otherwise(F.lit("nan")).alias("x1"), "x2", F.when(F.col("cat") == "a", F.lit("1.0")).otherwise(F.col("cat")).alias("cat"), F.timestamp_seconds(F.col("row_id") * 86400).alias("t"), (F.col("row_id") % 2 == 0).alias("b"))
+    m = models.make_model("small", n_trees=8, max_categories=2).fit(odd, "y", ["x1", "x2", "cat", "t", "b"])
+    folder = tmp_path / "m"
+    models.export_model(m, str(folder), odd)
+    want = [r["p"] for r in m.predict(odd.orderBy("row_id").limit(200), "p").collect()]
+    odd.orderBy("row_id").limit(200).toPandas().to_parquet(folder / "in.parquet")
+    code = "import sys, json, pandas as pd; sys.path.insert(0, '.'); import inference; assert not any(x.startswith(('pyspark', 'riskloom')) for x in sys.modules); print(json.dumps(inference.predict(pd.read_parquet('in.parquet')).tolist()))"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=folder, env={"PATH": ""}, capture_output=True, text=True, check=True)
+    assert np.allclose(json.loads(ran.stdout), want, atol=1e-12)
+    text = (folder / "inference.py").read_text().replace("    return df\n\n\ndef absent", "    return df.assign(x1=0.0)\n\n\ndef absent")
+    (folder / "inference.py").write_text(text)
+    changed = json.loads(subprocess.run([sys.executable, "-c", code], cwd=folder, env={"PATH": ""}, capture_output=True, text=True, check=True).stdout)
+    assert np.allclose(changed, [r["p"] for r in m.predict(odd.orderBy("row_id").limit(200).withColumn("x1", F.lit(0.0)), "p").collect()], atol=1e-12)
+
+
+def test_parzen_search_beats_random_points_on_a_fixed_surface():
+    space = {"a": (1, 50), "b": (0.001, 10.0), "c": ["x", "y", "z"]}
+    loss = lambda p: ((p["a"] - 37) / 20) ** 2 + (np.log(p["b"]) - np.log(0.05)) ** 2 / 4 + (p["c"] != "y")
+
+    def best(start, seed):
+        s = models.ParzenSearch(space, seed, start)
+        for _ in range(60):
+            p = s.ask()
+            assert 1 <= p["a"] <= 50 and 0.001 <= p["b"] <= 10 and p["c"] in "xyz"
+            s.tell(p, loss(p))
+        return min(v for _, v in s.trials)
+
+    found = [(best(10, seed), best(60, seed)) for seed in range(12)]
+    assert sum(a < b for a, b in found) >= 9 and np.median([a for a, _ in found]) < 0.5 * np.median([b for _, b in found])
+    assert best(10, 3) == best(10, 3)
+
+
+def test_tuning_is_judged_on_val_and_reports_test(data):
+    split = splits.random_split(data.drop("fold"), "y", "row_id", 0.2, 0.2)
+    table, best = models.tune_hyperparams(split, ["x1", "x2"], n_trials=3, space={"depth": (1, 2), "learning_rate": (0.1, 0.6)}, fixed={"n_trees": 3, "num_leaves": None}, together=3)
+    rows = table.collect()
+    top = max(rows, key=lambda r: r["val"])
+    assert len(rows) == 3 and best["n_trees"] == top["n_trees"] <= 3 and all(0.5 < r["test"] < 1 and 0.5 < r["train"] < 1 for r in rows)
+
+
 def test_large_models_are_scored_in_batches(spark, data, monkeypatch):
     m = models.make_model("small", n_trees=3).fit(data.filter("fold = 0"), "y", ["x1", "x2", "cat"])
     plain = {r["row_id"]: r["p"] for r in m.predict(data, "p").collect()}
@@ -127,17 +186,17 @@ def test_large_models_are_scored_in_batches(spark, data, monkeypatch):
 
 
 def test_a_tree_costs_the_same_however_many_went_before(spark, data, monkeypatch):
-    monkeypatch.setattr(models, "CUT_EVERY", 5)
+    monkeypatch.setattr(models, "CHUNK", 5)
     seen = []
     grown = growing.grown
     monkeypatch.setattr(growing, "grown", lambda rows, *rest: seen.append(len(rows._jdf.queryExecution().optimizedPlan().toString())) or grown(rows, *rest))
     models.make_model("small", n_trees=12, depth=1).fit(data.filter("row_id < 300"), "y", ["x1"])
-    assert len(seen) == 12 and abs(seen[10] - seen[5]) < 0.2 * seen[5]
+    assert len(seen) == 12 and abs(seen[10] - seen[5]) < 0.2 * seen[5] and max(seen[6:10]) < 1.2 * max(seen[1:5])
 
 
 def test_many_models_are_those_fitted_alone_and_take_no_more_jobs(spark, data, monkeypatch):
     rounds = []
-    monkeypatch.setattr(growing, "with_tree", lambda rows, trees, f=growing.with_tree: rounds.append(len([t for t in trees if t["on"]])) or f(rows, trees))
+    monkeypatch.setattr(growing, "with_tree", lambda rows, trees, *kind, f=growing.with_tree: rounds.append(len([t for t in trees if kind or t["on"]])) or f(rows, trees, *kind))
     fit = lambda fs, k, n: models.Fit(models.make_model("small", n_trees=n, depth=2), fs, k)
     sets = [models.RowSet(F.col("fold") != 0, F.col("fold") == 0), models.RowSet(F.col("fold") != 1), models.RowSet(F.col("row_id") < 900)]
     fits = [fit(["x1", "cat"], 0, 3), fit(["x1", "x2", "noise"], 0, 2), fit(["x1", "x2", "cat"], 1, 3), fit(["cat"], 2, 1)]
