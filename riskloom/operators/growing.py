@@ -156,6 +156,47 @@ class Tree:
         return out, gains
 
 
+class SymmetricTree(Tree):
+    """A tree whose leaves of one depth are all split by the same feature and cut: the one with the greatest gain over all of them.
+
+    Bins are numbers; a side without rows is a leaf of value 0.
+    """
+
+    def best(self, own: np.ndarray, sums: np.ndarray):
+        return None
+
+    def wanted(self) -> list[int]:
+        level, depth = [0], 0
+        while depth < self.params["depth"]:
+            if unknown := [k for k in level if k not in self.hist]:
+                return unknown
+            if "split" not in self.nodes[level[0]] and not self._split(level):
+                break
+            level = [c for k in level for c in self._children(k)]
+            depth += 1
+        self.chosen = [k for k, n in enumerate(self.nodes) if "left" in n]
+        return []
+
+    def _split(self, level: list[int]) -> bool:
+        part = lambda s: s[..., 0] ** 2 / (s[..., 1] + self.params["ridge"])
+        own = np.stack([self.hist[k] for k in level])[:, self.columns]
+        sums = np.stack([self.nodes[k]["sums"] for k in level])[:, None, None, None]
+        upto = np.cumsum(own[:, :, 1:], axis=2)
+        left = np.stack([upto, upto + own[:, :, :1]], axis=3)  # leaf, feature, cut, whether missing goes left
+        rest = sums - left
+        gain = (part(left) + part(rest) - part(sums)).sum(axis=0)
+        both = (left[..., 2].sum(axis=0) >= self.params["min_leaf"]) & (rest[..., 2].sum(axis=0) >= self.params["min_leaf"])
+        gain = np.where(both, gain, -np.inf)
+        best = int(np.flatnonzero(gain >= gain.max() - TIE)[0])
+        f, cut, missing = np.unravel_index(best, gain.shape)
+        if not gain[f, cut, missing] > 1e-9:
+            return False
+        rule = {"cut": int(cut) + 1, "missing_left": bool(missing)}
+        for i, k in enumerate(level):
+            self.nodes[k]["split"] = float(gain[f, cut, missing]) / len(level), self.columns[int(f)], rule, left[i, f, cut, missing]
+        return True
+
+
 def _plain(node: dict, split, value: float) -> dict:
     if split is None or "left" not in node:
         return {"v": value}

@@ -24,11 +24,13 @@ from riskloom.functions.columns import category_of_number, category_strings, nor
 from riskloom.operators import growing
 from riskloom.operators.ranking import get_metric
 from riskloom.operators.splits import DataSplit, exact_sample, hash_rank
-from riskloom.plans.relational import TableInFolder
+from riskloom.plans.relational import TableInFolder, running
 
 # Fixed values of the usual sizes: trees, depth, leaves, rate, shares of rows and features a tree sees, rounds without improvement.
 BOOSTING = {"n_trees": 5000, "depth": 4, "num_leaves": 16, "learning_rate": 0.03, "subsample": 0.8, "colsample": 0.8, "min_leaf": 20, "ridge": 1.0, "max_bins": 32, "max_categories": 1000, "accuracy": 10_000, "seed": 42}
 PLAIN = {**BOOSTING, "num_leaves": None, "subsample": 1.0, "colsample": 1.0}
+#: Trees split alike at every depth, categories by the target statistics of the rows before them in a seeded order, which ``prior`` rows of the mean precede.
+SYMMETRIC = {**PLAIN, "symmetric": True, "ridge": 3.0, "prior": 1.0}
 SMALL_BOOSTING = {**PLAIN, "n_trees": 5, "depth": 2, "learning_rate": 0.6}
 FOREST_LIKE = {**PLAIN, "n_trees": 5, "depth": 4, "learning_rate": 0.5}
 #: Fixed values of the small model that tells a feature's own strength, and its rounds without improvement.
@@ -63,6 +65,9 @@ class FeaturePreparer:
     max_categories: int = 1000
     others: list[str] = field(default_factory=list)
     accuracy: int = 10_000
+    #: Target statistics of categories that are used as numbers; the empty text stands for missing, and what isn't there has the mean.
+    encoders: dict[str, dict[str, float]] = field(default_factory=dict)
+    mean: float = 0.0
 
     def _check(self, df: DataFrame) -> None:
         if absent := [f for f in self.features if f not in df.columns]:
@@ -82,7 +87,7 @@ class FeaturePreparer:
     def part(self, features: Sequence[str]) -> FeaturePreparer:
         """The same bins for some of the features."""
         own = lambda d: {f: d[f] for f in features if f in d}
-        return FeaturePreparer(list(features), [f for f in self.categorical or [] if f in features], self.max_bins, own(self.edges), own(self.categories), self.max_categories, [f for f in self.others if f in features], self.accuracy)
+        return FeaturePreparer(list(features), [f for f in self.categorical or [] if f in features], self.max_bins, own(self.edges), own(self.categories), self.max_categories, [f for f in self.others if f in features], self.accuracy, own(self.encoders), self.mean)
 
     def width(self) -> int:
         """Bins of the feature that has most, that of missing values included."""
@@ -98,7 +103,13 @@ class FeaturePreparer:
             at = F.element_at(F.from_json(F.lit(json.dumps({c: k for k, c in enumerate(self.categories[f], 1)})), "map<string,int>"), text)
             rest = F.coalesce(at, F.when(text.isNotNull(), len(self.categories[f]) + 1)) if f in self.others else at
             return F.coalesce(rest, F.lit(0))
-        x, edges = numeric(df, f), self.edges[f]
+        if f in self.encoders:
+            known = F.from_json(F.lit(json.dumps(self.encoders[f])), "map<string,double>")
+            return self.bin_of(F.coalesce(F.element_at(known, F.coalesce(self._text(df, f), F.lit(""))), F.lit(float(self.mean))), f)
+        return self.bin_of(numeric(df, f), f)
+
+    def bin_of(self, x: Column, f: str) -> Column:
+        edges = self.edges[f]
         if not edges:
             return F.when(x.isNull(), 0).otherwise(1)
         return F.when(x.isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < x)) + 1)
@@ -108,7 +119,7 @@ class FeaturePreparer:
         return df.withColumns({f"{prefix}{k}": self.bin(df, f) for k, f in enumerate(self.features)})
 
     def spec(self) -> dict:
-        return {"features": self.features, "categorical": self.categorical, "max_bins": self.max_bins, "edges": self.edges, "categories": self.categories, "max_categories": self.max_categories, "others": self.others, "accuracy": self.accuracy}
+        return {"features": self.features, "categorical": self.categorical, "max_bins": self.max_bins, "edges": self.edges, "categories": self.categories, "max_categories": self.max_categories, "others": self.others, "accuracy": self.accuracy, "encoders": self.encoders, "mean": self.mean}
 
 
 class Boosting:
@@ -224,8 +235,13 @@ class Fit:
     categorical: list[str] | None = None
 
 
-def prepare_many(df: DataFrame, wanted: Sequence[tuple[FeaturePreparer, Column]]) -> None:
-    """Learn the bins of several preparers, each on its rows of one table: as each alone, but with one job for all types and one for all quantiles."""
+def prepare_many(df: DataFrame, wanted: Sequence[tuple[FeaturePreparer, Column]], ordered: dict[int, tuple] | None = None) -> DataFrame:
+    """Learn the bins of several preparers, each on its rows of one table: as each alone, but with one job for all types and one for all quantiles.
+
+    Preparers in ``ordered``, with (target, prior, seed), have their categories encoded by ordered target statistics; the table
+    comes back with these as columns.
+    """
+    ordered = ordered or {}
     strings = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
     odd = {}
     for k, (p, rows) in enumerate(wanted):
@@ -233,17 +249,44 @@ def prepare_many(df: DataFrame, wanted: Sequence[tuple[FeaturePreparer, Column]]
         if p.categorical is None:
             odd |= {f"{k}|{f}": F.count_if(rows & normalize_missing(F.col(f)).isNotNull() & to_number(F.col(f)).isNull()) for f in p.features if f in strings}
     seen = df.agg(*[x.alias(name) for name, x in odd.items()]).first() if odd else {}
-    cuts = {}
-    for k, (p, rows) in enumerate(wanted):
+    for k, (p, _) in enumerate(wanted):
         if p.categorical is None:
             p.categorical = [f for f in p.features if f in strings and seen[f"{k}|{f}"]]
+    for k, (p, rows) in enumerate(wanted):
+        if k in ordered:
+            for f in p.categorical:
+                df, p.encoders[f], p.mean = with_ordered_stats(df, ordered[k][0], p._text(df, f), rows, f"__ts_{k}_{f}", *ordered[k][1:], p.max_categories)
+    cuts = {}
+    for k, (p, rows) in enumerate(wanted):
         at = F.array(*[F.lit(i / (p.max_bins - 1)) for i in range(1, p.max_bins - 1)])
-        cuts |= {f"{k}|{f}": F.percentile_approx(F.when(rows, numeric(df, f)), at, p.accuracy) for f in p.features if f not in p.categorical}
+        cuts |= {f"{k}|{f}": F.percentile_approx(F.when(rows, F.col(f"__ts_{k}_{f}") if f in p.encoders else numeric(df, f)), at, p.accuracy) for f in p.features if f in p.encoders or f not in p.categorical}
     found = df.agg(*[x.alias(name) for name, x in cuts.items()]).first() if cuts else {}
     for k, (p, rows) in enumerate(wanted):
-        p.edges = {f: sorted(set(found[f"{k}|{f}"] or [])) for f in p.features if f not in p.categorical}
-        for f in (f for f in p.features if f in p.categorical):
+        p.edges = {f: sorted(set(found[f"{k}|{f}"] or [])) for f in p.features if f in p.encoders or f not in p.categorical}
+        for f in (f for f in p.features if f in p.categorical and f not in p.encoders):
             p.fit_categories(df.filter(rows), f)
+    return df
+
+
+def with_ordered_stats(df: DataFrame, target: str, category: Column, rows: Column, name: str, prior: float = 1.0, seed: int = 42, most: int = 1000) -> tuple[DataFrame, dict[str, float], float]:
+    """``df`` with the ordered target statistic of a category, the statistics of all rows by category, and the mean.
+
+    A row of ``rows`` sees the target of the rows before it in the order of a seeded hash, and ``prior`` rows of the mean,
+    never its own; other rows see none of their own anyway. The ``most`` frequent categories are told; a missing
+    category is the empty text. Running sums are made in ranges, so no category meets in one task.
+    """
+    y = F.coalesce(F.col(target).cast("double"), F.lit(0.0))
+    used = rows & F.col(target).isNotNull()
+    mean = df.agg(F.avg(F.when(used, y))).first()[0] or 0.0
+    key = "row_id" if "row_id" in df.columns else None
+    named = df.withColumns({"__cat": F.coalesce(category, F.lit("")), "__used": used.cast("int"), "__key": F.col(key) if key else F.monotonically_increasing_id()})
+    ranked = hash_rank(named, "__key", seed).drop("__n")
+    summed = running(ranked, ["__cat"], "__rank", {"__sum": F.col("__used") * y, "__count": F.col("__used")})
+    own = lambda total, part: F.col(total) - part
+    before = (own("__sum", F.col("__used") * y) + prior * mean) / (own("__count", F.col("__used")) + prior)
+    top = named.groupBy("__cat").agg(F.sum("__used").alias("n"), F.sum(F.col("__used") * y).alias("s")).filter("n > 0").orderBy(F.desc("n"), "__cat").limit(most)
+    stats = {r["__cat"]: (r["s"] + prior * mean) / (r["n"] + prior) for r in top.collect()}
+    return summed.withColumn(name, before).select(*df.columns, name), stats, float(mean)
 
 
 def fit_many(df: DataFrame, target: str, fits: Sequence[Fit], sets: Sequence[RowSet], metric="roc_auc", patience: int = EARLY_STOPPING) -> list[Boosting]:
@@ -252,17 +295,20 @@ def fit_many(df: DataFrame, target: str, fits: Sequence[Fit], sets: Sequence[Row
     The result of each is the same as that of fitting it alone.
     """
     scorer = get_metric(metric)
-    bins = ("max_bins", "max_categories", "accuracy")
+    bins = ("max_bins", "max_categories", "accuracy", "symmetric", "prior", "seed")
     groups: dict[tuple, list[int]] = {}
     for j, x in enumerate(fits):
-        groups.setdefault((x.rows, *(x.model.params[k] for k in bins), None if x.categorical is None else tuple(x.categorical)), []).append(j)
+        groups.setdefault((x.rows, *(x.model.params.get(k) for k in bins), None if x.categorical is None else tuple(x.categorical)), []).append(j)
     prepared = []
-    for (rows, max_bins, max_categories, accuracy, categorical), members in groups.items():
+    ordered = {}
+    for i, ((rows, max_bins, max_categories, accuracy, symmetric, prior, seed, categorical), members) in enumerate(groups.items()):
+        if symmetric:
+            ordered[i] = target, prior, seed
         features = list(dict.fromkeys(f for j in members for f in fits[j].features))
         own = None if categorical is None else [f for f in categorical if f in features]
         prepared.append((FeaturePreparer(features, own, max_bins, max_categories=max_categories, accuracy=accuracy), sets[rows], members))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    prepare_many(df, [(p, yes(x.train)) for p, x, _ in prepared])
+    df = prepare_many(df, [(p, yes(x.train)) for p, x, _ in prepared], ordered)
     y = F.col(target).cast("double")
     weight = lambda x: F.lit(1.0) if x.weight is None else x.weight.cast("double")
     used = lambda x: yes(x.train) & y.isNotNull()
@@ -282,7 +328,10 @@ def fit_many(df: DataFrame, target: str, fits: Sequence[Fit], sets: Sequence[Row
     def member(i: int, p: FeaturePreparer, x: RowSet) -> Column:
         role = F.when(yes(x.train), 1).when(F.lit(False) if x.valid is None else yes(x.valid), 2).otherwise(0)
         margin = F.lit(0.0) if x.margin is None else x.margin.cast("double")
-        return F.when(role > 0, F.struct(F.lit(i).alias("i"), role.alias("role"), weight(x).alias("w"), margin.alias("m"), F.array(*[p.bin(df, f).cast("short") for f in p.features]).alias("x")))
+        return F.when(role > 0, F.struct(F.lit(i).alias("i"), role.alias("role"), weight(x).alias("w"), margin.alias("m"), F.array(*[binned(i, p, f, role).cast("short") for f in p.features]).alias("x")))
+
+    def binned(i: int, p: FeaturePreparer, f: str, role: Column) -> Column:
+        return F.when(role == 1, p.bin_of(F.col(f"__ts_{i}_{f}"), f)).otherwise(p.bin(df, f)) if f in p.encoders else p.bin(df, f)
 
     key = F.xxhash64(F.col("row_id") if "row_id" in df.columns else F.struct(*df.columns))
     by_set: dict[int, list] = {}
@@ -304,7 +353,7 @@ def fit_many(df: DataFrame, target: str, fits: Sequence[Fit], sets: Sequence[Row
                 m = fits[j].model
                 columns, share, seed = growing.draws(m.params, len(m.features), number)
                 cats = {k for k, f in enumerate(m.features) if f in m.preparer.categories}
-                trees[j], drawn[j] = growing.Tree(m.params, columns, cats, m.preparer.width()), (share, seed)
+                trees[j], drawn[j] = (growing.SymmetricTree if m.params.get("symmetric") else growing.Tree)(m.params, columns, cats, m.preparer.width()), (share, seed)
             growing.grown(rows, trees, drawn, {j for j in active if fits[j].model.loss != "logistic"})
             for d in old:
                 d.unpersist()
@@ -401,7 +450,7 @@ def _batch_scorer(trees: list[list[dict]]):
     return F.pandas_udf(total, "double")
 
 
-MODELS = {"boosting": BOOSTING, "small": SMALL_BOOSTING, "deep": FOREST_LIKE}
+MODELS = {"boosting": BOOSTING, "symmetric": SYMMETRIC, "small": SMALL_BOOSTING, "deep": FOREST_LIKE}
 
 
 def make_model(model="boosting", **params) -> Boosting:

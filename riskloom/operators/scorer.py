@@ -75,7 +75,11 @@ def bins(df):
             texts = [category(v) for v in values]
             out[:, k] = [0 if t is None else known.get(t, rest) for t in texts]
         else:
-            x = np.array([number(v) for v in values], "f8")
+            if name in SPEC["encoders"]:
+                known = SPEC["encoders"][name]
+                x = np.array([known.get(category(v) or "", SPEC["mean"]) for v in values], "f8")
+            else:
+                x = np.array([number(v) for v in values], "f8")
             out[:, k] = np.where(np.isnan(x), 0, np.searchsorted(np.array(SPEC["edges"][name], "f8"), x, "left") + 1)
     return out
 

@@ -600,6 +600,23 @@ def univariate_scores(spark, d):
     return rounded(t.select("feature", "auc_mean", "auc_std", "auc_gain", "status"), 9)
 
 
+@query(f"{_SIGNAL}, mu AS (SELECT avg(target) AS m FROM sg), rk AS (SELECT row_id, target, coalesce(priority, '') AS c, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS r FROM sg) SELECT row_id, round((coalesce(sum(target) OVER w, 0) + m) / (count(target) OVER w + 1), 9) AS stat FROM rk, mu WINDOW w AS (PARTITION BY c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def ordered_target_stats(spark, d):
+    from riskloom.operators import models
+
+    t, _, _ = models.with_ordered_stats(_signal(spark, d), "target", F.col("priority"), F.lit(True), "stat")
+    return rounded(t.select("row_id", "stat"), 9)
+
+
+@query()
+def symmetric_scores(spark, d):
+    from riskloom.operators import models
+
+    m = models.make_model("symmetric", n_trees=5, depth=3, learning_rate=0.3)
+    cv = models.cross_validate(_folds(spark, d), "target", MODEL_FEATURES, model=m)
+    return spark.createDataFrame([(k, s) for k, s in enumerate(cv.scores)], "fold int, score double")
+
+
 @query()
 def univariate_boosting(spark, d):
     from riskloom.operators import models

@@ -248,6 +248,43 @@ def test_trees_grow_best_leaf_first_and_count_the_smaller_half(data, monkeypatch
     assert sorted(value(at) for at, _ in leaves) == sorted(round(n["value"], 9) for n in few.trees_[0] if "left" not in n)
 
 
+def test_symmetric_trees_split_alike_and_learn_without_leakage(spark, data):
+    rows = data.withColumn("one_each", F.concat(F.lit("id"), F.col("row_id")))
+    options = {"n_trees": 6, "depth": 3, "learning_rate": 0.5}
+    m = models.make_model("symmetric", **options).fit(rows.filter("fold = 0"), "y", ["x1", "x2", "cat"])
+    for t in m.trees_:
+        level = [0]
+        while "left" in t[level[0]]:
+            assert len({(t[k]["feature"], t[k]["cut"], t[k]["missing_left"]) for k in level}) == 1
+            level = [c for k in level for c in (t[k]["left"], t[k]["right"])]
+        assert all("left" not in t[k] for k in level)
+    assert models._value(m.predict(rows.filter("fold = 1"), "p"), "roc_auc", "y", "p")[()] > 0.72 and m.gain_["cat"] > 0
+    # an id tells nothing: the rows before a row never hold its own target
+    own = models.make_model("symmetric", **options).fit(rows.filter("fold = 0"), "y", ["one_each"])
+    assert sum(own.gain_.values()) == 0 and len(own.trees_[0]) == 1
+    again = models.Boosting.from_json(m.to_json())
+    both = again.predict(m.predict(rows, "a"), "b")
+    assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-12
+
+
+def test_ordered_statistics_see_only_rows_before(spark):
+    import hashlib
+    import random
+
+    random.seed(3)
+    table = [(k, random.choice(["a", "b", None]), random.randint(0, 1), k % 4 > 0) for k in range(200)]
+    df = spark.createDataFrame(table, "row_id long, c string, y int, train boolean").repartition(4)
+    found, stats, mean = models.with_ordered_stats(df, "y", F.col("c"), F.col("train"), "s", 2.0)
+    order = sorted(table, key=lambda r: (hashlib.md5(f"42|{r[0]}".encode()).hexdigest(), r[0]))
+    got = {r["row_id"]: r["s"] for r in found.collect()}
+    assert abs(mean - np.mean([r[2] for r in table if r[3]])) < 1e-12
+    for i, r in enumerate(order):
+        before = [x[2] for x in order[:i] if x[3] and x[1] == r[1]]
+        assert abs(got[r[0]] - (sum(before) + 2 * mean) / (len(before) + 2)) < 1e-12
+    every = [r[2] for r in table if r[3] and r[1] is None]
+    assert abs(stats[""] - (sum(every) + 2 * mean) / (len(every) + 2)) < 1e-12 and set(stats) == {"a", "b", ""}
+
+
 def test_shares_of_rows_and_features_are_drawn_anew_for_each_tree(data):
     options = {"n_trees": 4, "depth": 2, "subsample": 0.5, "colsample": 0.34}
     a, b = (models.make_model("small", **options).fit(data, "y", ["x1", "x2", "cat"]) for _ in range(2))
