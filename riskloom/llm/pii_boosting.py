@@ -9,15 +9,15 @@
 4. Labels come from the data: candidates in base form are positive, those that fail a check are negative,
    and what is neither is not learnt from. Positives are also learnt from in other forms (signs written out,
    dots between groups, no leading plus) and, with their check broken, as negatives. All candidates of all
-   documents are counted by feature values; trees are boosted on these counts.
+   documents are counted by feature values; trees are boosted on the counts of at most ``max_patterns`` of these
+   patterns, drawn by a hash, the only sample taken.
 5. A fifth of the documents is held back; there the scores are calibrated by monotonic regression for each kind,
    and the least score whose calibrated precision reaches ``precision`` is the kind's threshold. A kind without such
    a score gets no spans.
 6. Of accepted candidates that overlap one another the best scored is added, unless a base span is among them.
 
-All of it is DataFrame functions; matches' places are running sums of the lengths of gaps and matches. Only the
-histograms of the trees and of the calibration, whose size doesn't depend on the rows, reach the driver. Texts are read once and
-never shuffled.
+All that touches rows is DataFrame functions; matches' places are running sums of the lengths of gaps and matches. Only the
+bounded sample of patterns and the calibration's histogram reach the driver. Texts are read once and never shuffled.
 
 Defined results: a null or empty text has no spans; repeated rows and ids give a row each; a null id stays null;
 an empty table gives no rows; without any positives nothing is added; other columns are ignored. Places are code points.
@@ -25,15 +25,18 @@ an empty table gives no rows; without any positives nothing is added; other colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import cut
-from riskloom.operators.models import Boosting
+from riskloom.operators import growing
+from riskloom.operators.models import Boosting, FeaturePreparer
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -159,6 +162,9 @@ def featured(rows: DataFrame) -> DataFrame:
 
 _DATE = r"^\(?(?:19|20)[0-9]{2}[-./\x20][01]?[0-9][-./\x20][0-3]?[0-9]|^\(?[0-3]?[0-9][-./][0-3]?[0-9][-./](?:19|20)[0-9]{2}"
 
+#: What looks like the address of a machine is no telephone number.
+_FOUR_PARTS = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
+
 
 def labelled(rows: DataFrame) -> DataFrame:
     """``rows`` with ``label``: 1 in base form, 0 if a check fails, null if neither."""
@@ -168,7 +174,7 @@ def labelled(rows: DataFrame) -> DataFrame:
     email = F.when(whole("email") & (F.col("x_tld") >= 2), 1).when((F.col("x_tld") < 2) | mixed | (F.col("x_dots") == 4), 0)
     ip = F.when(F.col("x_range") == 0, 0).when(whole("ip"), 1)
     card = F.when((F.col("x_luhn") == 0) | ~n.between(13, 19), 0).when(whole("card") & (n >= 14), 1)
-    phone = F.when(~n.between(10, 15) | m.rlike(_DATE) | ((F.col("x_plus") == 0) & ((F.col("x_groups") < 3) | (F.col("x_longest") > 5))), 0).when(whole("phone"), 1)
+    phone = F.when(~n.between(10, 15) | m.rlike(_DATE) | m.rlike(_FOUR_PARTS) | ((F.col("x_plus") == 0) & ((F.col("x_groups") < 3) | (F.col("x_longest") > 5))), 0).when(whole("phone"), 1)
     return rows.withColumn("label", F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, card).otherwise(phone))
 
 
@@ -227,9 +233,60 @@ def thresholds(model: Boosting, counts: DataFrame, precision: float, steps: int
     return out
 
 
-def fitted(counts: DataFrame, precision: float = 0.98, trees: dict | None = None) -> tuple[Boosting, dict[int, float]]:
-    """The boosted trees and the kinds' thresholds."""
-    model = Boosting(**{**TREES, **(trees or {})}).fit(counts.filter("NOT held"), "label", FEATURES, categorical=[], weight="n")
+def boosted(rows: Sequence[tuple], params: dict) -> Boosting:
+    """Boosted trees on patterns (features, label, n), each weighing as many candidates as it was counted for."""
+    model = Boosting(**params)
+    x = np.array([r[: len(FEATURES)] for r in rows], "i8").reshape(len(rows), len(FEATURES))
+    y, n = np.array([r[-2] for r in rows], "f8"), np.array([r[-1] for r in rows], "f8")
+    edges = {f: [float(v) for v in np.unique(x[:, k])[:-1]] for k, f in enumerate(FEATURES)}
+    model.features, model.preparer = list(FEATURES), FeaturePreparer(list(FEATURES), [], edges=edges)
+    bins = np.stack([np.searchsorted(edges[f], x[:, k], "left") + 1 for k, f in enumerate(FEATURES)], axis=1)
+    rate = min(max(float((y * n).sum() / n.sum()) if len(rows) else 0.0, 1e-6), 1 - 1e-6)
+    model.base_, model.trees_ = math.log(rate / (1 - rate)), []
+    margin = np.full(len(rows), model.base_)
+    for _ in range(model.params["n_trees"] if len(rows) else 0):
+        q = 1 / (1 + np.exp(-margin))
+        sums = np.stack([(y - q) * n, np.maximum(q * (1 - q), 1e-6) * n, np.ones(len(rows))])
+        tree = growing.Tree(model.params, list(range(len(FEATURES))), set(), model.preparer.width())
+        inside = {0: np.ones(len(rows), bool)}
+        while wanted := tree.wanted():
+            asked, cells = tree.asked(wanted), {}
+            for k in asked:
+                own = _inside(tree, inside, bins, k)
+                count = lambda f, own=own: np.stack([np.bincount(bins[own, f], s[own], tree.bins) for s in sums], axis=1)
+                cells[k] = [(f, b, *cell[b]) for f in range(len(FEATURES)) for cell in [count(f)] for b in np.flatnonzero(cell[:, 2])]
+            tree.told(asked, cells)
+        nodes, _ = tree.finished()
+        model.trees_.append(nodes)
+        margin = margin + _values(nodes, bins)
+    return model
+
+
+def _inside(tree: growing.Tree, inside: dict[int, np.ndarray], bins: np.ndarray, k: int) -> np.ndarray:
+    """The patterns that a node holds."""
+    if k not in inside:
+        parent = tree.nodes[k]["parent"]
+        own, (_, f, rule, _) = _inside(tree, inside, bins, parent), tree.nodes[parent]["split"]
+        left = bins[:, f] <= rule["cut"]
+        inside[tree.nodes[parent]["left"]], inside[tree.nodes[parent]["right"]] = own & left, own & ~left
+    return inside[k]
+
+
+def _values(nodes: list[dict], bins: np.ndarray) -> np.ndarray:
+    out, at = np.zeros(len(bins)), np.zeros(len(bins), "i8")
+    for k, node in enumerate(nodes):  # children come after their parents
+        own = at == k
+        if "left" in node:
+            at[own] = np.where(bins[own, node["feature"]] <= node["cut"], node["left"], node["right"])
+        else:
+            out[own] = node["value"]
+    return out
+
+
+def fitted(counts: DataFrame, precision: float = 0.98, trees: dict | None = None, max_patterns: int = 50_000) -> tuple[Boosting, dict[int, float]]:
+    """The boosted trees and the kinds' thresholds. Trees are fitted on at most ``max_patterns`` counted patterns, drawn by a hash; calibration is on all that are held back."""
+    rows = counts.filter("NOT held").orderBy(F.xxhash64(*FEATURES, "label"), *FEATURES, "label").limit(max_patterns).select(*FEATURES, "label", "n").collect()
+    model = boosted(rows, {**TREES, **(trees or {})})
     return model, thresholds(model, counts, precision)
 
 
@@ -244,7 +301,7 @@ def chosen(base: DataFrame, accepted: DataFrame) -> DataFrame:
     return ranked.filter("score IS NOT NULL AND free_ AND rank_ = 1").select("row_", "kind", "start", "end", "score")
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98, trees: dict | None = None) -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98, trees: dict | None = None, max_patterns: int = 50_000) -> DataFrame:
     """Per row: doc_id and ``spans``, sorted by start and kind: (start, kind, end, score), kind a number in KINDS, score null for base spans."""
     found = matches(docs, id_col, text_col)
     rows = cut(placed(found))
@@ -252,7 +309,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = rows.filter(F.col("p") < len(KINDS)).withColumn("kind", F.col("p")).filter(passes(F.col("kind"), F.col("m")))
     proposed = rows.filter(F.col("p") >= len(KINDS)).withColumn("kind", F.explode(F.get(own, F.col("p") - len(KINDS))))
     candidates = cut(labelled(featured(proposed)))
-    model, least = fitted(counted(candidates), precision, trees)
+    model, least = fitted(counted(candidates), precision, trees, max_patterns)
     enough = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("score") >= v), True) for k, v in least.items()], F.lit(False))
     accepted = model.predict(candidates, "score").filter(enough)
     shown = lambda df: df.select("row_", F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score")).alias("s"))
