@@ -1044,7 +1044,7 @@ def custom_metric(spark, d):
     return rounded(m.func(observations(spark, d), "target", "score", ["segment"]), 9)
 
 
-@query(f"{OBS} SELECT row_id, segment, price, quantity, target FROM obs WHERE row_id % 3 = 1")
+@query(f"{OBS} SELECT row_id, segment, price, quantity, target FROM obs")
 def csv_round_trip(spark, d):
     import uuid
 
@@ -1052,7 +1052,7 @@ def csv_round_trip(spark, d):
     from riskloom.sources.tables import read_csv, write_csv
 
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    write_csv(observations(spark, d).filter("row_id % 3 = 1").select("row_id", "segment", "price", "quantity", "target"), path)
+    write_csv(observations(spark, d).select("row_id", "segment", "price", "quantity", "target"), path)
     return read_csv(spark, path, "row_id long, segment string, price double, quantity double, target int")
 
 
