@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import cut
 
 #: A worker forgets its words, or its stems, beyond this many, so its memory stays bounded.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 
 #: Texts whose unseen words are looked up together.
 TOGETHER = 128
