@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import cut
 
 #: A worker forgets its words, or its stems, beyond this many, so its memory stays bounded.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 
 #: Texts whose unseen words are looked up together.
 TOGETHER = 128
@@ -110,19 +110,19 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, limit: int = MEMO_WORDS) -> WordIds:
     """One memo per worker process, kept from task to task."""
-    return WordIds(path)
+    return WordIds(path, limit)
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece of at most ``capacity`` ids of each document, the end id included.
 
     ``keep_ids`` adds the ids themselves as array<int>.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
+        ids_of = word_ids(tokenizer, memo_words)
         end = np.asarray([end_id], dtype="<u4").tobytes()
 
         def each(texts: pa.Array) -> Iterator[bytes]:
