@@ -6,7 +6,8 @@ size. Each group is packed on its own by first-fit decreasing: a tournament tree
 hold the largest room below them finds the first bin with enough room in O(log bins).
 
 Defined results: a null or empty text has only the end token; repeated rows are packed each on
-their own; an empty table gives no pieces; other columns of the input are ignored.
+their own; an empty table gives no pieces; other columns of the input are ignored. Rows without an
+id, and rows of one id, are dealt over all groups like any others.
 """
 
 from __future__ import annotations
@@ -170,21 +171,23 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 16_384, seed: int = 7) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (doc_id, start, length and more columns).
 
-    Groups are drawn by a seeded hash and hold about ``group_pieces`` pieces whatever the size of
-    the input, so no task grows with it. Lengths must lie between 0 and ``capacity``.
+    Groups are drawn by a seeded hash of a key that each piece gets once, and hold about ``group_pieces``
+    pieces whatever the size of the input and however often an id repeats, so no task grows with it. With
+    more than one group, which pieces share one follows the partitions of the input. Lengths must lie
+    between 0 and ``capacity``.
     """
-    pieces = cut(pieces)
-    groups = max(1, -(-pieces.count() // group_pieces))
     names = pieces.columns
+    pieces = cut(pieces.withColumn("pack_key", F.monotonically_increasing_id()))
+    groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(k, "ascending") for k in ("doc_id", "start", "length")])
+        group = group.sort_by([(k, "ascending") for k in ("doc_id", "start", "length", "pack_key")])
         bins, offsets = first_fit_decreasing(group.column("length").to_numpy(), capacity)
         sequence = (group.column("pack_group").to_numpy().astype("i8") << 32) + bins
         return group.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names) + ", sequence_id long, offset long"
+    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "pack_key"), F.lit(groups)))
     return grouped.groupBy("pack_group").applyInArrow(run, schema)
 
 
