@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut, joined_to
+from riskloom.llm.common import cut, joined_to, spread_to
 from riskloom.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -222,17 +222,18 @@ def near_links(classes: DataFrame, budget: int = 4, group_rows: int = 20_000, ta
 
 
 def placed(fps: DataFrame, budget: int = 4) -> DataFrame:
-    """(fp, component, component_id) of the classes of rows (doc_id, fp): the least fp and the least doc_id that links reach."""
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    """(fp, component, component_id, n) of the classes of ``n`` rows (doc_id, fp): the least fp and the least doc_id that links reach."""
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     linked = components(near_links(classes.select("fp", F.col("fp").alias("rep")), budget), "a", "b").withColumnRenamed("node", "fp")
-    named = linked.join(classes, "fp").groupBy("component").agg(F.min("rep").alias("named"))
-    own = classes.join(linked.join(named, "component"), "fp", "left")
-    return own.select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("named")).alias("component_id"))
+    linked = cut(linked)
+    named = cut(linked.join(classes, "fp").groupBy("component").agg(F.min("rep").alias("named"), F.count("*").alias("fps")))
+    own = classes.join(spread_to(linked, named, ["component"], rows="fps"), "fp", "left")
+    return own.select("n", "fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("named")).alias("component_id"))
 
 
 def grouped(fps: DataFrame, budget: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of rows (doc_id, fp): the least doc_id that links reach."""
-    return fps.join(placed(fps, budget).drop("component"), "fp")
+    return spread_to(fps, cut(placed(fps, budget)), ["fp"], salt=F.monotonically_increasing_id()).drop("component", "n")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

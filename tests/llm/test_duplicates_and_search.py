@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from riskloom.llm import components, simhash_trie, style_tree, suffix_dedup, topk_threshold, warc_zip
@@ -79,6 +80,18 @@ def test_components_of_chains_and_stars(spark):
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 160), 100)
 
 
+def test_components_deal_hubs_over_tasks(spark):
+    edges = [(300, k) for k in range(500)] + [(k, k + 1000) for k in range(0, 500, 7)] + [(2000, 2001)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b", hot_rows=20).collect()}
+    assert got == dict.fromkeys({x for e in edges[:-1] for x in e}, 0) | {2000: 2000, 2001: 2000}
+
+
+def test_many_rows_of_one_fingerprint_and_no_id(spark):
+    fps = spark.range(45_000).select(F.expr("IF(id < 40000, NULL, id)").alias("doc_id"), F.expr("IF(id < 44000, 5L, id * 7919 * 104729)").alias("fp")).checkpoint()
+    got = simhash_trie.grouped(fps).groupBy("component_id").count().collect()
+    assert sum(r["count"] for r in got) == 45_000 and {r["component_id"]: r["count"] for r in got}[40_000] >= 44_000
+
+
 def brute_removed(docs, least):
     seen = collections.Counter(x[i : i + least] for x in docs for i in range(len(x) - least + 1))
     out = []
