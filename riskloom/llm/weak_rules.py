@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut, joined_to
+from riskloom.llm.common import cut, small, spread_to
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -97,6 +97,7 @@ def votes() -> dict[str, Column]:
     mean, symbols, repeats = share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_repeat_words", "n_words")
     lines, upper, marks, variety = share("n_dup_lines", "n_lines"), share("n_upper", "word_chars"), share("n_marks", "n_words"), share("n_distinct", "n_words")
     density, runs = share("n_symbols", "word_chars"), share("n_symbol_runs", "n_words")
+    # three measures of symbols: a class that a single rule tells apart can't be learnt from votes alone
     return {
         "length": rule(F.col("n_words"), F.col("n_words") >= 50, F.col("n_words") < 10),
         "word_length": rule(mean, (mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 14)),
@@ -143,7 +144,7 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 100, prior: float =
                 voted = sum(n * weight(p) for p, n in patterns.items() if p[j] != ABSTAIN)
                 agreed = sum(n * weight(p) for p, n in patterns.items() if p[j] == c)
                 # a good document seldom gets a bad vote; a bad one may well pass most rules
-                low = 0.9 if c == GOOD else 0.05
+                low = 0.5 if c == GOOD else 0.05
                 right[j, c] = min(0.999, max(low, (agreed + 9) / (voted + 10)))
     return {p: posterior(p) for p in patterns}
 
@@ -178,11 +179,14 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that are kept, with all their columns.
 
     A verdict depends on the text alone. Statistics are made once, with the text's digest, and saved;
-    rows whose digest was rejected go, by a join that leaves texts where they lie if these are few.
+    rows whose digest was rejected go, by a join that leaves texts where they lie if these digests are few
+    and that deals rows of a frequent text, such as the empty one, over several tasks if not.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     own = docs.select(F.col(id_col), F.col(text_col), digest.alias("digest_"))
     stats = cut(statistics(own, id_col, text_col, keep=("digest_",)))
-    gone = cut(decided(stats, posteriors(stats), **limits).filter(~F.col("kept")).select(F.col("kept_0").alias("digest_")).distinct())
+    gone = cut(decided(stats, posteriors(stats), **limits).filter(~F.col("kept")).groupBy(F.col("kept_0").alias("digest_")).agg(F.count("*").alias("n")))
     marked = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest_"))
-    return joined_to(marked, gone, ["digest_"], "left_anti").select("row.*")
+    if small(gone):
+        return marked.join(F.broadcast(gone), "digest_", "left_anti").select("row.*")
+    return spread_to(marked, gone, ["digest_"], "left_anti", salt=F.monotonically_increasing_id()).select("row.*")

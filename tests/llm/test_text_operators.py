@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import byte_bpe, line_crf, packing, sharding, weak_rules
 
@@ -63,6 +64,17 @@ def test_pieces_hold_every_id_once_and_sequences_fit(spark, messy, nothing):
     assert packing.pack_documents(nothing, WORDS).count() == 0
 
 
+def test_rows_without_an_id_are_dealt_over_all_groups(spark):
+    """Equal rows, and rows without an id, fall into no group of more than its bound."""
+    pieces = spark.range(60_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0L AS start", "1 + id % 2 AS length")
+    rows = packing.pack(pieces, 64, group_pieces=4096).groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("g"), "sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()
+    assert sum(r["n"] for r in rows) == 90_000 and max(r["n"] for r in rows) <= 64
+    per = collections.Counter()
+    for r in rows:
+        per[r["g"]] += r["k"]
+    assert len(per) == 15 and max(per.values()) < 1.2 * 4096
+
+
 def test_word_ids_equal_the_library(tmp_path):
     import json
 
@@ -120,12 +132,47 @@ def test_rule_statistics_equal_brute_force(spark, small, messy, nothing):
     assert weak_rules.kept_documents(messy).columns == messy.columns
 
 
+def test_kept_documents_with_many_rejected_texts(spark, small, messy, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(messy.select("doc_id", "text")).union(spark.range(300).selectExpr("id", "CAST(NULL AS STRING)"))
+    want = collections.Counter(map(tuple, weak_rules.kept_documents(docs).collect()))
+    monkeypatch.setattr(weak_rules, "small", lambda side: False)
+    assert want and collections.Counter(map(tuple, weak_rules.kept_documents(docs).collect())) == want
+    assert sum(want.values()) == weak_rules.judged(docs).filter("kept").count()
+
+
 def test_rules_learn_their_accuracies():
     good, bad = (1,) * 5, (1, 0, 0, 0, 1)
     post = weak_rules.fit({good: 900, bad: 80, (1, 1, 1, 1, -1): 20})
     assert post[good] > 0.9 and post[bad] < 0.1 and weak_rules.fit({}) == {}
 
 
+def test_expectation_maximisation_equals_plain_loops_over_documents():
+    rng = np.random.default_rng(3)
+    good = rng.random(6000) < 0.7
+    right = np.where(good[:, None], [0.95, 0.9, 0.97, 0.8], [0.7, 0.6, 0.5, 0.65])
+    agree, voted = rng.random(right.shape) < right, rng.random(right.shape) < 0.9
+    votes = np.where(voted, np.where(agree, good[:, None], ~good[:, None]).astype(int), weak_rules.ABSTAIN)
+    got = weak_rules.fit(collections.Counter(map(tuple, votes.tolist())), rounds=25)
+    prior, rates = 0.8, np.tile([[0.2], [0.99]], 4)  # rates[class, rule]: votes that agree with the class
+
+    def posterior():
+        fit = []
+        for c in (0, 1):
+            p = np.where(votes == c, rates[c], np.where(votes == 1 - c, 1 - rates[c], 1.0)).prod(axis=1)
+            fit.append(p * (prior if c else 1 - prior))
+        return fit[1] / (fit[0] + fit[1])
+
+    for _ in range(25):
+        post = posterior()
+        prior = np.clip((post.sum() + 4) / (len(post) + 5), 0.5, 0.99)
+        for c in (0, 1):
+            w = (post if c else 1 - post)[:, None]
+            rates[c] = np.clip(((w * (votes == c)).sum(0) + 9) / ((w * (votes >= 0)).sum(0) + 10), 0.5 if c else 0.05, 0.999)
+    want = posterior()
+    assert all(abs(got[tuple(v)] - p) < 1e-6 for v, p in zip(votes.tolist(), want.tolist(), strict=True))
+    assert ((want >= 0.5) == good).mean() > 0.85
+
+
 def test_rules_agree_with_labels_they_never_saw(spark, small):
     rows = weak_rules.judged(spark.read.parquet(f"{small}/documents.parquet")).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
     assert sum(r["kept"] == (r["quality"] == 1) for r in rows) / len(rows) > 0.95
