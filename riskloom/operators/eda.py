@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.columns import detect_categorical, normalize_missing, numeric, wilson
-from riskloom.plans.relational import no_nan, one_row, present, quantiles, settled
+from riskloom.plans.relational import deviation, no_nan, one_row, present, quantiles, settled
 
 
 def overview(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -82,7 +82,7 @@ def distribution_stats(df: DataFrame, column: str, low: float = 0.01, high: floa
     """n, mean, median, sample deviation and bias-adjusted skewness of the clipped column, and whether a log scale is due."""
     x = clipped(df, column, low, high)
     n = F.count("*").cast("double")
-    skew = F.when((n > 2) & (F.stddev_pop("x") > 0), F.skewness("x") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(F.lit(0.0))
+    skew = F.when((n > 2) & (deviation(F.col("x")) > 0), F.skewness("x") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(F.lit(0.0))
     out = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), skew.alias("skew"), F.min("x").alias("least"))
     out = out.crossJoin(one_row(quantiles(x, "x", [0.5]).select(F.get("quantiles", 0).alias("median"))))
     return out.select("n", "mean", "median", "std", "skew", ((F.col("skew") > 2) & (F.col("least") > 0)).alias("log_scale"))
