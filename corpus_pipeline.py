@@ -56,7 +56,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise and pack what is left: one row per piece; an empty text is its end token alone."""
     importable(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=400_000)  # workers keep it beside what later stages need
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=400_000, keep_memo=False)
 
 
 STAGES = [

@@ -217,10 +217,12 @@ def scored(docs: DataFrame, model: LineCrf, threshold: float = 0.3, id_col: str
                 parts.append(model.score([t.as_py() or "" for t in batch.column("text").slice(k, 1000)]))
             score = np.concatenate(parts) if parts else np.zeros(0)
             made = [pa.array(score), pa.array((score >= threshold).astype("i4"))]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in sent.values()), *made], names=[*sent, "score", "predicted"])
 
-    carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    # a kept text goes to the workers once
+    sent = {"doc_id": "doc_id", "held_out": "held_out"} | {f"kept_{i}": "text" if c == text_col else f"kept_{i}" for i, c in enumerate(keep)}
+    carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep) if c != text_col]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *carried)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    types = dict(rows.dtypes)
+    kinds = ", ".join(f"{name} {types[column]}" for name, column in sent.items())
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")

@@ -94,6 +94,10 @@ class WordIds:
             else:
                 self.words[word] = np.asarray(self._ids(word), dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        """Let go of all words and stems."""
+        self.words, self.stems = {"": b""}, {"": b""}
+
     def many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         if not self.by_word:
@@ -116,13 +120,21 @@ def word_ids(path: str, limit: int = MEMO_WORDS) -> WordIds:
     return WordIds(path, limit)
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo_words: int = MEMO_WORDS, keep_memo: bool = True) -> DataFrame:
     """One row per piece of at most ``capacity`` ids of each document, the end id included.
 
-    ``keep_ids`` adds the ids themselves as array<int>.
+    ``keep_ids`` adds the ids themselves as array<int>. Without ``keep_memo`` a worker forgets its words at the end of each
+    task, so that they take no memory from later stages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pieces_of(batches)
+        finally:
+            if not keep_memo:
+                word_ids(tokenizer, memo_words).forget()
+
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer, memo_words)
         end = np.asarray([end_id], dtype="<u4").tobytes()
 

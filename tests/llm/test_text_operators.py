@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,20 @@ def test_pieces_hold_every_id_once_and_sequences_fit(spark, messy, nothing):
     assert packing.pack_documents(nothing, WORDS).count() == 0
 
 
+def test_workers_of_the_pipeline_forget_their_words(spark, messy):
+    from riskloom.llm.common import importable
+
+    importable(spark)
+
+    def remembered(batches):
+        for batch in batches:
+            memo = packing.word_ids(WORDS, 12_345)
+            yield pa.RecordBatch.from_pydict({"n": [len(memo.words) + len(memo.stems)]})
+
+    packing.pack_documents(messy.repartition(4), WORDS, memo_words=12_345, keep_memo=False).count()
+    assert {r["n"] for r in spark.range(8).repartition(4).mapInArrow(remembered, "n long").collect()} == {2}  # the empty text alone
+
+
 def test_rows_without_an_id_are_dealt_over_all_groups(spark):
     """Equal rows, and rows without an id, fall into no group of more than its bound."""
     pieces = spark.range(60_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0L AS start", "1 + id % 2 AS length")
@@ -211,6 +226,14 @@ def test_classifier_on_held_out_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_a_kept_text_goes_to_the_workers_once(spark, messy):
+    model = line_crf.LineCrf().fit(np.zeros((0, line_crf.FEATURES)), np.zeros(0, "i8"), np.zeros(0, "i8"))
+    df = line_crf.scored(messy, model, keep=("doc_id", "text", "lang"))
+    sent = df._jdf.queryExecution().analyzed().child().output().mkString(" ")
+    assert "kept_0" in sent and "kept_1" not in sent and "kept_2" in sent
+    assert sorted(map(str, (r["kept_1"] for r in df.collect()))) == sorted(map(str, (r["text"] for r in messy.collect())))
+
+
 def test_classifier_on_messy_tables(spark, messy, nothing):
     labels = spark.createDataFrame([(1, 1), (8, 0), (9, 0), (5, 1), (6, 1), (None, 1), (3, None)], "doc_id long, quality int")
     model = line_crf.fitted(messy, labels)
