@@ -1,5 +1,7 @@
 """Behaviour of models, wrappers and tests on a table with known signal."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +328,49 @@ def test_leaves_of_a_univariate_tree(data):
     assert all(a["largest"] <= b["least"] for a, b in zip(sorted(x1, key=lambda r: r["leaf"]), sorted(x1, key=lambda r: r["leaf"])[1:], strict=False))
     scores = {r["feature"]: r for r in models.univariate_tree_scores(data, "y", ["x1", "cat"]).collect()}
     assert scores["x1"]["n_leaves"] == len(x1) and scores["x1"]["monotonic"] and scores["cat"]["monotonic"] is None
+
+
+def test_scores_of_expressions_equal_those_of_bins(spark):
+    """Rows on an edge, missing, infinite and of unseen categories are scored as their bins say."""
+    rows = [(k, float(k % 50) if k % 7 else None, "abcd"[k % 4] if k % 11 else None, int(k % 50 > 20 or k % 4 == 1)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "row_id long, x double, c string, y int")
+    m = models.make_model("small", n_trees=4, depth=3).fit(df, "y", ["x", "c"])
+    odd = [float(e) for e in m.preparer.edges["x"]] + [-0.0, float("inf"), float("-inf"), float("nan"), None, 1e9]
+    asked = spark.createDataFrame([(x, c) for x in odd for c in ("a", "d", "new", None)], "x double, c string")
+    scored = m.preparer.transform(m.predict(asked, "p")).collect()
+    edges = m.preparer.edges["x"]
+    for r in scored:
+        missing = r["x"] is None or r["x"] != r["x"]
+        assert r["__bin_0"] == (0 if missing else 1 + sum(e < r["x"] for e in edges))
+        bins = (r["__bin_0"], r["__bin_1"])
+        margin = m.base_ + sum(_leaf(t, bins) for t in m.trees_)
+        assert abs(r["p"] - 1 / (1 + math.exp(-margin))) < 1e-12
+    assert not [c for c in scored[0].asDict() if c.startswith(("__r_", "__s_"))]
+    plan = m.predict(asked, "p")._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "filter(" not in plan  # what Spark doesn't compile
+
+
+def test_cuts_of_a_high_accuracy_are_exact(spark, monkeypatch):
+    """Ranks are exact for ties, nulls, infinities and where the brackets miss them."""
+    values = [(k, float((k * 7919) % 30011), float(k % 5), None if k % 3 else float("-inf") if k % 2 else k / 7, None) for k in range(30_000)]
+    df = spark.createDataFrame(values, "i long, a double, b double, c double, d double").repartition(7)
+    shares = [k / 31 for k in range(1, 31)]
+    columns = {name: (F.col(name), shares) for name in "abcd"}
+
+    def want(name):
+        x = sorted(r["abcd".index(name) + 1] for r in values if r["abcd".index(name) + 1] is not None)
+        return sorted({x[max(1, math.ceil(q * len(x))) - 1] for q in shares}) if x else []
+
+    for accuracy in (10_000, 5_000_000, 50):  # brackets of no width and wide ones
+        monkeypatch.setattr(models, "APPROXIMATE", accuracy)
+        found = models.exact_cuts(df, columns)
+        assert {name: sorted(v) for name, v in found.items()} == {name: want(name) for name in "abcd"}
+
+
+def _leaf(nodes, bins):
+    node = nodes[0]
+    while "left" in node:
+        b = bins[node["feature"]]
+        goes = b in node["left_bins"] if "left_bins" in node else b <= node["cut"] and (b > 0 or node["missing_left"])
+        node = nodes[node["left"] if goes else node["right"]]
+    return node["value"]
