@@ -15,15 +15,17 @@ texts of fewer words than a shingle are one shingle; equal rows share a class; a
 no rows; rows without an id link and are linked like any other but never name a component; other
 columns are ignored.
 
-Budgets as wide as a Jaccard similarity of 0.8 asks for (``without_similar``) leave no block of bits
-that near texts must share. There groups are dealt by MinHash: the texts of a group share one of
-BANDS bands of ROWS minima, and a pair at 0.8 shares none with a probability of 1.3e-7. The trie
-self-join searches every group for fingerprints within WIDE bits (a pair at 0.8 differs in 9.7 of 64
-on average and in more than WIDE with a probability of 2e-4), and what it finds is compared exactly,
-in the group's task, from which only the links of a spanning forest go back.
-Texts with one and the same set of shingles form a class. A group's classes are first compared with
-one centre each, in rounds with different centres, and only groups that are then still in different
-components go into the trie; a pair is looked at in the first band that it shares. Groups that are
+A Jaccard similarity of 0.8 (``without_similar``) goes through the same steps, twice. Texts with one
+and the same set of shingles form a class. First the trie self-join above links all classes within
+NARROW bits, and its links are compared exactly. Such a similarity asks for wider budgets too, which
+leave no block of bits that near texts must share. There groups are dealt by MinHash: the texts of a
+group share one of BANDS bands of ROWS minima, and a pair at 0.8 shares none with a probability of
+1.3e-7. The trie self-join searches each group whose classes are still in different components for
+fingerprints within WIDE bits (a pair at 0.8 differs in 9.7 of 64 on average and in more than WIDE
+with a probability of 2e-4), and what it finds is compared exactly, in the group's task, from which
+only the links of a spanning forest go back. So no pair of different sets is compared but those that
+the trie gives. Of groups with the same classes one is searched; a pair is looked at in the first band
+that it shares. Groups that are
 still large are dealt again by each further band that their texts share. Empty texts have one class,
 rows need no id, and rows that share one are told apart.
 """
@@ -45,8 +47,8 @@ from riskloom.llm.components import components
 BANDS, ROWS = 40, 5
 #: Differing bits of 64 that the trie allows where exact comparison follows.
 WIDE = 20
-#: Rounds with one centre a group before the trie.
-STAR_ROUNDS = 2
+#: Differing bits of the trie self-join over all classes, which comes first, and its rounds, each with other links of a class.
+NARROW, STAR_ROUNDS = 4, 1
 #: Shingles whose minima are taken at once.
 CHUNK = 1024
 
@@ -446,38 +448,46 @@ def _dealt_again(members: DataFrame, group_rows: int, levels: int = 3) -> DataFr
     return level if ready is None else ready.union(level.select(*ready.columns))
 
 
+def _close_pairs(rows: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
+    """Pairs (a, b) of classes within NARROW bits that the trie self-join gives, enough to connect all that are; each round prefers other links.
+
+    ``classes`` (fp, rep, last) has the least and greatest class of each fingerprint. Different sets of one fingerprint are paired with the least.
+    """
+    twins = joined_to(rows.select("fp", "node").distinct(), cut(classes.filter("rep < last").select("fp", "rep")), ["fp"], "inner").filter("node <> rep")
+    found = twins.select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    for k in range(rounds):
+        mixed = lambda c: F.col(c).bitwiseXOR(F.lit(int(SHIFTS[k, 0] >> np.uint64(1)) * (k > 0)).cast("long"))  # noqa: B023, E731
+        links = near_links(classes.select("fp", mixed("rep").alias("rep")), NARROW).select(mixed("a").alias("a"), mixed("b").alias("b"))
+        found = found.union(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return found.distinct()
+
+
+def _to_search(placed: DataFrame) -> DataFrame:
+    """The groups ``g`` of ``placed`` (at, g, node, component) that join different components; of those with the same classes the one of the first band.
+
+    A pair is looked at in the first band that it shares, so that none is lost with the other groups.
+    """
+    groups = placed.groupBy("g").agg(F.min("at").alias("at"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *[F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)])
+    return cut(groups.filter("low < high").groupBy("n", "s0", "s1").agg(F.min_by("g", "at").alias("g")).select("g"))
+
+
 def similar_links(rows: DataFrame, shingle: int, least: float, text_col: str, budget: int = WIDE, group_rows: int = 2_000) -> DataFrame:
     """(node, component) of the classes that are linked with others; ``rows`` as ``classed`` gives them."""
-    spread = rows.select(F.explode("bands").alias("g"), "node", "fp", "n")
-    shared = cut(spread.groupBy("g").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("g"))
+    spread = rows.select(F.posexplode("bands").alias("at", "g"), "node", "fp")
+    shared = cut(spread.groupBy("g").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("g"))
     members = cut(joined_to(spread, shared, ["g"], "left_semi").distinct())
-    some = cut(members.select("node").distinct())
+    classes = cut(rows.groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("last")))
+    close = cut(_close_pairs(rows, classes, STAR_ROUNDS))
+    some = cut(members.select("node").union(close.select("a")).union(close.select("b")).distinct())
     own = joined_to(rows.select("node", "key", "bands"), some, ["node"], "left_semi").groupBy("node").agg(F.min_by("bands", "key").alias("bands"), F.min("key").alias("key"))
     own = cut(own)
     sets = cut(_sets(joined_to(rows.select("key", F.col("row").getField(text_col).alias("text")), own.select("key", "node"), ["key"], "inner"), shingle))
-    near = (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("their_fp"))) <= budget)
-    tried = found = None
-    placed = members.withColumn("component", F.col("node"))
-    for k in range(STAR_ROUNDS + 1):
-        order = F.xxhash64("node", F.lit(k), F.pmod("g", F.lit(8 if k else 1)))  # later rounds try eight centres of a large group
-        mixed = cut(placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(order.alias("order"), "node", "fp", "n", "component")).alias("c")).filter("low < high"))
-        if mixed.isEmpty():
-            break
-        if k < STAR_ROUNDS:
-            other = mixed.select("g", F.col("c.node").alias("other"), F.col("c.fp").alias("their_fp"), F.col("c.n").alias("m"), F.col("c.component").alias("theirs"))
-            met = joined_to(placed, other, ["g"], "inner").filter("component <> theirs").filter(near)
-            pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-            pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-            tried = pairs if tried is None else tried.union(pairs)
-            alike = cut(similar(pairs, sets, least))
-        else:
-            left = joined_to(placed, mixed.select("g"), ["g"], "left_semi").drop("n")
-            dealt = _dealt_again(left.join(own.select("node", "bands"), "node"), group_rows)
-            alike = cut(_group_links(dealt.join(sets, "node"), least, budget))
-        found = alike if found is None else found.union(alike)
-        linked = cut(components(found, "a", "b"))
-        placed = cut(members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    return placed.select("node", "component").distinct()
+    found = cut(similar(close, sets, least))
+    linked = cut(components(found, "a", "b"))
+    placed = cut(members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    left = joined_to(placed, _to_search(placed), ["g"], "left_semi").drop("at")
+    dealt = _dealt_again(left.join(own.select("node", "bands"), "node"), group_rows)
+    return components(found.union(cut(_group_links(dealt.join(sets, "node"), least, budget))), "a", "b")
 
 
 def without_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:

@@ -530,3 +530,38 @@ def test_many_equal_rows_cost_no_more_than_rows_with_ids(spark):
         took.append(time.time() - began)
         assert [tuple(r) for r in found] == [(len(text), 1, 40_000)]
     assert took[1] < 2 * took[0] + 5
+
+
+def test_the_stage_compares_what_the_trie_gives_and_searches_equal_groups_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = []
+    for _ in range(6):
+        words = [f"w{v}" for v in rng.integers(0, 10**6, 150)]
+        docs.append(" ".join(words))
+        for changed in (1, 3, 4):
+            other = list(words)
+            for i in rng.choice(150, changed, replace=False):
+                other[i] = f"x{rng.integers(10**6)}"
+            docs.append(" ".join(other))
+    compared, searched = [], []
+    similar, group_links = simhash_trie.similar, simhash_trie._group_links
+
+    def seen_similar(pairs, *rest):
+        compared.extend((r["a"], r["b"]) for r in pairs.collect())
+        return similar(pairs, *rest)
+
+    def seen_groups(groups, *rest):
+        found = {}
+        for r in groups.select("g", "node").collect():
+            found.setdefault(r["g"], set()).add(r["node"])
+        searched.extend(map(frozenset, found.values()))
+        return group_links(groups, *rest)
+
+    monkeypatch.setattr(simhash_trie, "similar", seen_similar)
+    monkeypatch.setattr(simhash_trie, "_group_links", seen_groups)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    fps = {r["node"]: r["fp"] % 2**64 for r in simhash_trie.classed(df, 5, "doc_id", "text").select("node", "fp").collect()}
+    kept = {r["doc_id"] for r in simhash_trie.without_similar(df).collect()}
+    assert kept == set(jaccard_roots(docs))
+    assert compared and all((fps[a] ^ fps[b]).bit_count() <= simhash_trie.NARROW for a, b in compared)
+    assert searched and len(searched) == len(set(searched))
