@@ -403,3 +403,33 @@ def test_texts_that_are_no_numbers_cost_no_failed_casts(spark):
 
     now, then = spent(category_strings(F.col("t"))), spent(text_of(F.when(~F.isnan(before), before)))
     assert now < 0.6 * then, (now, then)
+
+
+def test_backward_elimination_judges_segments_and_the_set_after_each_removal(data):
+    rows = data.drop("fold").withColumn("seg", F.when(F.col("row_id") < 60, "rare").when(F.col("cat") != "a", F.col("cat")))
+    split = splits.random_split(rows, "y", "row_id", 0.3)
+    small = models.make_model("small", n_trees=2)
+    r = wrappers.backward_elimination(split.train, split.val, "y", ["x1", "x2", "noise"], metric="logloss", model=small, segment="seg", min_features=2)
+    got = r.table.orderBy("step").collect()
+    assert [(x["n_features"], x["removed"]) for x in got] == [(3, "noise"), (2, "x2")] and r.info["segments"] == ["NaN", "b", "c"]
+
+    def judged(features):
+        m = small.clone().fit(split.train, "y", features, valid=split.val, metric="logloss")
+        named = split.val.withColumn("s", F.coalesce("seg", F.lit("NaN")))
+        of = lambda df: models._value(m.predict(df, "p"), "logloss", "y", "p")[()]
+        return m, {"train": of(split.train), "valid": of(split.val)}, {s: of(named.filter(F.col("s") == s)) for s in ("NaN", "b", "c")}
+
+    (m, own, inner), (_, then, then_inner) = judged(["x1", "x2"]), judged(["x1"])
+    last = got[-1]
+    assert last["removed_importance"] == pytest.approx(m.feature_importance()["x2"])
+    assert {p: last[p] for p in own} == pytest.approx(own) and last["segments"] == pytest.approx(inner)
+    assert last["delta_valid"] == pytest.approx(own["valid"] - then["valid"]) and last["delta_valid"] < 0  # a greater loss is worse
+    assert last["delta_train"] == pytest.approx(own["train"] - then["train"])
+    assert last["delta_segments"] == pytest.approx({s: inner[s] - then_inner[s] for s in inner})
+    whole = wrappers.backward_elimination(split.train, split.val, "y", ["x1", "noise"], model=small).table.orderBy("step").collect()
+    assert [x["removed"] for x in whole] == ["noise", "x1"] and whole[-1]["delta_valid"] is None and whole[-1]["segments"] == {}
+
+
+def test_importances_are_of_the_trees_that_are_kept(data):
+    m = models.make_model("small", n_trees=20, depth=4, learning_rate=0.9).fit(data.filter("fold = 0"), "y", ["x1", "noise"], valid=data.filter("fold = 1"), patience=5)
+    assert len(m.trees_) < len(m.history_) and sum(m.splits_.values()) == sum("left" in n for t in m.trees_ for n in t)
