@@ -433,3 +433,22 @@ def test_backward_elimination_judges_segments_and_the_set_after_each_removal(dat
 def test_importances_are_of_the_trees_that_are_kept(data):
     m = models.make_model("small", n_trees=20, depth=4, learning_rate=0.9).fit(data.filter("fold = 0"), "y", ["x1", "noise"], valid=data.filter("fold = 1"), patience=5)
     assert len(m.trees_) < len(m.history_) and sum(m.splits_.values()) == sum("left" in n for t in m.trees_ for n in t)
+
+
+@pytest.mark.parametrize("test", ["features", "domains"])
+def test_models_of_a_test_see_every_training_row(spark, monkeypatch, test):
+    df = spark.range(252_000).select(F.col("id").alias("row_id"), F.rand(1).alias("x"), F.rand(2).alias("noise"), F.rand(3).alias("u"))
+    split = splits.random_split(df.withColumn("y", (F.col("u") < F.col("x")).cast("int")).drop("u"), "y", "row_id", 0.2)
+    seen, fit = [], feature_testing.fit_many
+
+    def noted(rows, target, fits, sets, *rest):
+        seen.append([rows.filter(x.train).count() for x in sets])
+        return fit(rows, target, fits, sets, *rest)
+
+    monkeypatch.setattr(feature_testing, "fit_many", noted)
+    stump, n = models.make_model("small", n_trees=1, depth=1), split.train.count()
+    if test == "features":
+        feature_testing.test_features(split, ["noise"], ["x"], n_splits=2, model=stump)
+    else:
+        feature_testing.test_domains(split, ["noise"], {"d": ["x"]}, n_splits=2, model=stump)
+    assert n > 200_000 and len(seen) >= 4 and all(sum(s) == n for s in seen)
