@@ -452,3 +452,11 @@ def test_models_of_a_test_see_every_training_row(spark, monkeypatch, test):
     else:
         feature_testing.test_domains(split, ["noise"], {"d": ["x"]}, n_splits=2, model=stump)
     assert n > 200_000 and len(seen) >= 4 and all(sum(s) == n for s in seen)
+
+
+def test_no_domain_is_screened_out(data):
+    split = splits.random_split(data.drop("fold"), "y", "row_id", 0.2)
+    t = feature_testing.test_domains(split, ["noise"], {f"d{k}": ["x1"] for k in range(21)}, n_splits=2, model=models.make_model("small", n_trees=1, depth=1))
+    rows = {r["candidate"]: r for r in t.summary.collect()}
+    assert set(rows) == {"ALL", *(f"d{k}" for k in range(21))} and t.info["screened"] == 0
+    assert all(r["verdict"] != "screened" and r["delta_cv"] == rows["d0"]["delta_cv"] for r in rows.values())
